@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.llm import chat_format, line_dedup
+from loomwell.llm import chat_format, line_dedup, secret_scan, webp_media
 
-MODULES = (chat_format, line_dedup)
+MODULES = (webp_media, chat_format, line_dedup, secret_scan)
 
 
 def queries() -> dict:
