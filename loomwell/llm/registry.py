@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.llm import chat_format, line_dedup, packing, secret_scan, webp_media
+from loomwell.llm import chat_format, line_dedup, packing, secret_scan, toxicity, webp_media
 
-MODULES = (webp_media, packing, chat_format, line_dedup, secret_scan)
+MODULES = (webp_media, packing, chat_format, line_dedup, toxicity, secret_scan)
 
 
 def queries() -> dict:
