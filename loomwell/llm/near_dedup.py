@@ -70,7 +70,7 @@ class Hasher:
         try:
             return np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            known.update((w, xxh3_64_intdigest(w)) for w in set(words) - known.keys())
+            known.update((w, xxh3_64_intdigest(w)) for w in set(words) if w not in known)
             return np.array([known[w] for w in words], np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
