@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import table
 
-#: Bounds of the sample that the model is fitted on.
+#: Bounds of the sample that the model is fitted on: rows a class, and characters a text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 30_000
 GRAM, ROUNDS, DICTIONARY_BYTES = 5, 3, 3500
 #: Differences in bytes whose frequency describes a document.
@@ -165,15 +165,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # An empty sample of texts is nothing to learn from, and the longest texts are left to the scoring.
-    usable = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.length("text").between(1, SAMPLE_CHARS))
-    rows = []
-    for toxic in (1, 0):
-        mine = usable.join(known.where(F.col("toxic") == toxic), "doc_id", "left_semi")
-        rows.append([r["text"] for r in mine.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()])
-    return fit(*rows)
+    """Fit on a bounded sample of the labelled rows that are not held out.
+
+    The ids are chosen among the labels first, so that one pass over the documents finds their texts.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    chosen = [known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for toxic in (True, False)]
+    # Twice SAMPLE_ROWS ids at most. An empty text has nothing to learn from, and the longest are left to the scoring.
+    usable = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
+    found = usable.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").limit(4 * SAMPLE_ROWS).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return fit(*([r["text"] for r in found if r["toxic"] == toxic][:SAMPLE_ROWS] for toxic in (True, False)))
 
 
 @lru_cache(maxsize=1)
