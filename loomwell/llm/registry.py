@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.llm import chat_format, line_dedup, near_dedup, packing, secret_scan, toxicity, webp_media
+from loomwell.llm import chat_format, decontaminate, language_id, line_dedup, near_dedup, packing, secret_scan, toxicity, webp_media
 
-MODULES = (webp_media, packing, chat_format, line_dedup, toxicity, secret_scan, near_dedup)
+MODULES = (webp_media, packing, decontaminate, chat_format, line_dedup, language_id, toxicity, secret_scan, near_dedup)
 
 
 def queries() -> dict:
