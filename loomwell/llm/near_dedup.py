@@ -41,8 +41,9 @@ WORDS, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 6
 #: Signature values compared at once, and the probability with which a pair at the threshold may be dropped early.
 BATCH, MISS = 32, 1e-7
-#: Members up to which a bucket gives its pairs directly, and members that a larger one compares at a time.
-SMALL, AT_A_TIME = 64, 16
+#: Members up to which a bucket of a band, and one of a rare shingle, gives its pairs directly; members that a larger
+#: one of the latter compares at a time.
+SMALL, SMALL_RARE, AT_A_TIME = 64, 256, 64
 #: Shingles hashed at once: 192 signature values for each stay within the processor's cache.
 BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +88,7 @@ class Hasher:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each hash function over a set."""
+    """16 bits of the smallest value of each hash function over a set."""
     a, b = _family()
     low = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
     best = None
@@ -98,7 +99,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         x *= np.uint32(0x2C1B3C6D)
         least = x.min(axis=1)
         best = least if best is None else np.minimum(best, least)
-    return best
+    return (best * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
 def sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -143,7 +144,7 @@ def _plausible(threshold: int):
         for frame in frames:
             if not len(frame):
                 continue
-            one, two = (np.frombuffer(b"".join(frame[c]), np.uint32).reshape(len(frame), -1) for c in ("sig_a", "sig_b"))
+            one, two = (np.frombuffer(b"".join(frame[c]), np.uint16).reshape(len(frame), -1) for c in ("sig_a", "sig_b"))
             alive, matches, done = np.arange(len(frame)), np.zeros(len(frame), int), 0
             for n, least in steps:
                 matches = matches + (one[alive, done:n] == two[alive, done:n]).sum(axis=1)
@@ -154,6 +155,16 @@ def _plausible(threshold: int):
     return batches
 
 
+def _linked(threshold: int):
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(frame["of_a"], frame["of_b"])], np.int64)
+            sizes = frame["of_a"].str.len().to_numpy(np.int64) + frame["of_b"].str.len().to_numpy(np.int64)
+            yield frame[100 * common >= threshold * (sizes - common)][["a", "b"]]
+
+    return batches
+
+
 def _sets_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
     """(v, shingles) of the classes in ``wanted`` (v, digest), from their texts; twice for a row given twice."""
     kind = wanted.schema["v"].dataType.simpleString()
@@ -182,26 +193,23 @@ class _Groups:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, threshold: int):
         self.docs, self.doc_id, self.text, self.threshold = docs, doc_id, text, threshold
-        self.sets = checkpointed(sets(docs, doc_id, text))
-        found = self.sets.where("digest is not null and doc_id is not null")
-        self.classes = checkpointed(found.groupBy("digest").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+        found = checkpointed(sets(docs, doc_id, text))
+        self.rows = found.select("doc_id", "n", "digest")
+        of_a_set = found.where("digest is not null and doc_id is not null")
+        self.classes = checkpointed(of_a_set.groupBy("digest").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.first("n").alias("n")))
         self.links = None
         self.labels = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
-        sig = self.classes.select("v", "sig")
-        size = self.classes.select("v", "n", "digest")
-        both = pairs.join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a")
+        of = lambda c: self.near.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+        # No similarity exceeds the quotient of the sizes.
+        both = pairs.join(of("b"), "b").join(of("a"), "a").where(100 * F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b"))
         kind = pairs.schema["a"].dataType.simpleString()
         likely = checkpointed(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_plausible(self.threshold), f"a {kind}, b {kind}"))
-        if likely.isEmpty():
-            return likely
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(size.select("v", "digest"), "v")
-        full = checkpointed(_sets_of(self.docs, self.doc_id, self.text, wanted))
-        held = likely.join(full.select(F.col("v").alias("b"), F.col("shingles").alias("of_b")), "b").join(full.select(F.col("v").alias("a"), F.col("shingles").alias("of_a")), "a")
-        common, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-        return checkpointed(held.where(100 * common >= self.threshold * (sizes - common)).select("a", "b"))
+        full = lambda c: self.full.select(F.col("v").alias(c), F.col("shingles").alias(f"of_{c}"))
+        held = likely.join(full("b"), "b").join(full("a"), "a").select("a", "b", "of_a", "of_b")
+        return checkpointed(held.mapInPandas(_linked(self.threshold), f"a {kind}, b {kind}"))
 
     def add(self, pairs: DataFrame) -> None:
         new = self.verified(pairs)
@@ -230,7 +238,7 @@ class _Groups:
         return None if left.isEmpty() else left
 
     def compare_small(self, members: DataFrame) -> None:
-        """All pairs in different groups; for buckets of up to SMALL members."""
+        """All pairs in different groups; for buckets of a bounded number of members."""
         other = members.select("bucket", F.col("v").alias("b"), F.col("g").alias("h"))
         self.add(members.join(other, (members["bucket"] == other["bucket"]) & (F.col("v") < F.col("b")) & (F.col("g") != F.col("h"))).select(F.col("v").alias("a"), "b").distinct())
 
@@ -240,9 +248,7 @@ class _Groups:
         In the order of rarity among these members, two sets at the threshold share one of the first
         n - ceil(n * threshold) + 1.
         """
-        wanted = members.select("v").distinct().join(self.classes.select("v", "digest"), "v")
-        full = checkpointed(_sets_of(self.docs, self.doc_id, self.text, wanted))
-        each = full.select("v", F.explode("shingles").alias("s"))
+        each = members.select("v").distinct().join(self.full, "v").select("v", F.explode("shingles").alias("s"))
         ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s").groupBy("v").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("all"))
         size = F.size("all")
         taken = size - F.expr(f"int((size(all) * {self.threshold} + 99) div 100)") + 1
@@ -251,10 +257,10 @@ class _Groups:
     def rest(self, members: DataFrame | None) -> None:
         """AT_A_TIME members of each bucket at a time against all others in other groups, until none is left."""
         while members is not None:
-            small = members.where(F.col("n") <= SMALL)
+            small = members.where(F.col("n") <= SMALL_RARE)
             if not small.isEmpty():
                 self.compare_small(small)
-            large = members.where(F.col("n") > SMALL)
+            large = members.where(F.col("n") > SMALL_RARE)
             lead = large.groupBy("bucket").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("v"), F.col("n")) < AT_A_TIME, F.col("v")))).alias("c"), F.min("v").alias("m"))
             # Members are chosen by their hash; the smallest one always is, so the turns come to an end.
             lead = checkpointed(lead.select("bucket", F.slice(F.array_union(F.array("m"), "c"), 1, AT_A_TIME).alias("lead")))
@@ -270,6 +276,9 @@ class _Groups:
         banded = self.classes.select("v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, _slice("sig", k)))).alias("band", "bucket")).select("bucket", "v")
         shared = banded.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("bucket")
         members = checkpointed(banded.join(shared, "bucket"))
+        # Only classes that share a band are looked at again; their texts are read once for all comparisons.
+        self.near = checkpointed(members.select("v").distinct().join(self.classes, "v"))
+        self.full = checkpointed(_sets_of(self.docs, self.doc_id, self.text, self.near.select("v", "digest")))
         left = self.compare(members)
         if left is None:
             return
@@ -282,7 +291,7 @@ class _Groups:
 
 
 def _slice(sig: str, k: Column) -> Column:
-    return F.substring(F.col(sig), k * (4 * ROWS) + 1, F.lit(4 * ROWS))
+    return F.substring(F.col(sig), k * (2 * ROWS) + 1, F.lit(2 * ROWS))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,7 +319,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     named = named.withColumn("label", F.col("v")) if groups.labels is None else named.join(groups.labels, "v", "left").select("digest", F.coalesce("label", "v").alias("label"))
     # Rows without a class get none: their join key is null.
     key = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
-    labelled = groups.sets.select("doc_id", "n", key.alias("digest")).join(named.select("digest", "label"), "digest", "left")
+    labelled = groups.rows.select("doc_id", "n", key.alias("digest")).join(named.select("digest", "label"), "digest", "left")
     component = F.coalesce("label", "doc_id")
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
