@@ -1,8 +1,9 @@
-"""What the training-data operators share: table reading and reliable checkpoints."""
+"""What the training-data operators share: table reading and results that are written out between steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where none is set (tests on one machine) is a temporary folder made.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if "folder" not in _OWN:
+        _OWN["folder"] = tempfile.mkdtemp(prefix="spark-ckpt-")
+    return _OWN["folder"]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share.
+    """Write ``df`` to a table in the shared folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set (tests on one machine) is a
-    temporary folder made.
+    That cuts the lineage, outlives executors, and lets Spark plan what follows with the true size. In loops of joins
+    a plan that starts at files stays small, where checkpoints pass on orderings that double each time round.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/loomwell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

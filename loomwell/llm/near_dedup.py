@@ -9,8 +9,9 @@ similarity of their sets is at least ``THRESHOLD`` per cent; groups are the conn
 3. Inside a bucket all members are compared with its smallest one. A link puts both into one group, so members that
    meet in one group need no comparison. What is left, pairs of members in different groups, is taken up in two
    ways: buckets of up to ``SMALL`` members give those pairs; members of larger ones are grouped anew by the rarest
-   shingles of their sets, of which linked pairs share at least one, compared with the smallest member again, and
-   then with a few members at a time until no pair in different groups is left. No pair is ever given up.
+   shingles of their sets, of which linked pairs share at least one, and compared where sizes and places of that
+   shingle leave a link possible, in large buckets with some members at a time, until no pair in different groups is
+   left. No pair is ever given up.
 4. A pair is verified sequentially: signatures are compared in batches, and after each batch the pair is dropped if
    its posterior probability to reach the threshold (uniform prior) is under ``MISS``. Survivors are confirmed
    exactly on the full sets.
@@ -43,7 +44,7 @@ BANDS, ROWS = 32, 6
 BATCH, MISS = 32, 1e-7
 #: Members up to which a bucket of a band, and one of a rare shingle, gives its pairs directly; members that a larger
 #: one of the latter compares at a time.
-SMALL, SMALL_RARE, AT_A_TIME = 64, 256, 64
+SMALL, SMALL_RARE, AT_A_TIME = 64, 256, 256
 #: Shingles hashed at once: 192 signature values for each stay within the processor's cache.
 BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -217,60 +218,70 @@ class _Groups:
             self.links = new if self.links is None else self.links.unionByName(new)
             self.labels = components(self.links)
 
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """``members`` (bucket, v) with the group g of each."""
+    def grouped(self, members: DataFrame) -> DataFrame:
+        """``members`` (bucket, v, ...) with the group g of each."""
         if self.labels is None:
             return members.withColumn("g", F.col("v"))
-        return members.join(self.labels.select("v", "label"), "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("g"))
-
-    def compare(self, members: DataFrame) -> DataFrame | None:
-        """Compare the members of each bucket with its smallest one; what then is in several groups, or None."""
-        least = checkpointed(members.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("bucket", "a"))
-        self.add(members.join(least, "bucket").where("v > a").select("a", F.col("v").alias("b")).distinct())
-        mixed = self.mixed(members)
-        return None if mixed is None else mixed.join(least, "bucket").where("v > a").drop("a")
+        return members.join(self.labels, "v", "left").select(*(members[c] for c in members.columns), F.coalesce("label", members["v"]).alias("g"))
 
     def mixed(self, members: DataFrame) -> DataFrame | None:
-        """(bucket, v, g, n) of the buckets with members of several groups, or None."""
-        labelled = self.labelled(members)
-        several = labelled.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        left = checkpointed(labelled.join(several.select("bucket", "n"), "bucket"))
+        """``members`` with group g and the bucket's size m, of the buckets with several groups; None without any."""
+        grouped = self.grouped(members)
+        several = grouped.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+        left = checkpointed(grouped.join(several.select("bucket", "m"), "bucket"))
         return None if left.isEmpty() else left
 
-    def compare_small(self, members: DataFrame) -> None:
-        """All pairs in different groups; for buckets of a bounded number of members."""
-        other = members.select("bucket", F.col("v").alias("b"), F.col("g").alias("h"))
-        self.add(members.join(other, (members["bucket"] == other["bucket"]) & (F.col("v") < F.col("b")) & (F.col("g") != F.col("h"))).select(F.col("v").alias("a"), "b").distinct())
+    def compare_with_least(self, members: DataFrame) -> DataFrame | None:
+        """Compare the members of each bucket with its smallest one; the others that then are in several groups."""
+        least = checkpointed(members.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("bucket", "a"))
+        self.add(members.join(least, "bucket").where("v > a").select("a", F.col("v").alias("b")).distinct())
+        return self.mixed(members.join(least, "bucket").where("v > a").drop("a"))
+
+    def compare_all(self, members: DataFrame, leads: DataFrame, possible: Column | None = None) -> None:
+        """Every member with every lead of its bucket that is in another group, where ``possible`` does not rule it out."""
+        other = leads.select("bucket", *(F.col(c).alias(f"{c}2") for c in leads.columns if c != "bucket"))
+        wanted = (members["bucket"] == other["bucket"]) & (F.col("g") != F.col("g2"))
+        self.add(members.join(other, wanted if possible is None else wanted & possible).select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct())
 
     def by_rare_shingles(self, members: DataFrame) -> DataFrame:
-        """(bucket, v): the members regrouped by shingles of which linked sets share at least one.
+        """(bucket, v, size, reach): the members regrouped by shingles of which linked sets share at least one.
 
         In the order of rarity among these members, two sets at the threshold share one of the first
-        n - ceil(n * threshold) + 1.
+        size - ceil(size * threshold) + 1. In the bucket of the first one that they share, what they have in common
+        is at most the smaller of their reaches, the shingles from that one on.
         """
         each = members.select("v").distinct().join(self.full, "v").select("v", F.explode("shingles").alias("s"))
         ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s").groupBy("v").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("all"))
-        size = F.size("all")
-        taken = size - F.expr(f"int((size(all) * {self.threshold} + 99) div 100)") + 1
-        return checkpointed(ranked.select("v", F.explode(F.slice("all", F.lit(1), taken)).alias("x")).where("x.df > 1").select(F.col("x.s").alias("bucket"), "v"))
-
-    def rest(self, members: DataFrame | None) -> None:
-        """AT_A_TIME members of each bucket at a time against all others in other groups, until none is left."""
-        while members is not None:
-            small = members.where(F.col("n") <= SMALL_RARE)
-            if not small.isEmpty():
-                self.compare_small(small)
-            large = members.where(F.col("n") > SMALL_RARE)
-            lead = large.groupBy("bucket").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("v"), F.col("n")) < AT_A_TIME, F.col("v")))).alias("c"), F.min("v").alias("m"))
+        ranked = ranked.withColumn("size", F.size("all"))
+        taken = F.expr(f"size - int((size * {self.threshold} + 99) div 100) + 1")
+        placed = ranked.select("v", "size", F.posexplode(F.slice("all", F.lit(1), taken)).alias("before", "x")).where("x.df > 1")
+        placed = placed.select(F.col("x.s").alias("bucket"), "v", "size", (F.col("size") - F.col("before")).alias("reach"))
+        # A member without any partner in its bucket goes: not even the smallest set there that is large enough would do.
+        placed = checkpointed(placed)
+        least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
+        partner = F.greatest("least", F.expr(f"int((size * {self.threshold} + 99) div 100)"))
+        return placed.join(least, "bucket").where(self.enough(F.col("reach"), F.col("size") + partner)).drop("least")
+
+    def enough(self, common: Column, sizes: Column) -> Column:
+        """Whether ``common`` shingles of two sets of ``sizes`` in all reach the threshold."""
+        return (100 + self.threshold) * common >= self.threshold * sizes
+
+    def compare_by_rare_shingles(self, members: DataFrame) -> None:
+        """All pairs of ``members`` that can be linked and are in different groups.
+
+        Buckets of up to SMALL_RARE members at once, of larger ones AT_A_TIME members against all others at a time.
+        """
+        possible = self.enough(F.least("reach", "reach2"), F.col("size") + F.col("size2"))
+        left = self.mixed(self.by_rare_shingles(members))
+        while left is not None:
+            small, large = left.where(F.col("m") <= SMALL_RARE), left.where(F.col("m") > SMALL_RARE)
+            chosen = F.pmod(F.xxhash64("v"), F.col("m")) < AT_A_TIME
             # Members are chosen by their hash; the smallest one always is, so the turns come to an end.
-            lead = checkpointed(lead.select("bucket", F.slice(F.array_union(F.array("m"), "c"), 1, AT_A_TIME).alias("lead")))
-            if lead.isEmpty():
-                return
-            turn = checkpointed(large.join(lead, "bucket"))
-            mine = turn.where(F.array_contains("lead", F.col("v"))).select("bucket", F.col("v").alias("p"), F.col("g").alias("h"))
-            pairs = turn.join(mine, "bucket").where((F.col("p") != F.col("v")) & (F.col("g") != F.col("h"))).select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b"))
-            self.add(pairs.distinct())
-            members = self.mixed(turn.where(~F.array_contains("lead", F.col("v"))).select("bucket", "v"))
+            turn = checkpointed(large.join(large.groupBy("bucket").agg(F.min("v").alias("first")), "bucket").withColumn("lead", chosen | (F.col("v") == F.col("first"))).drop("first"))
+            leads = small.unionByName(turn.where("lead").drop("lead"))
+            self.compare_all(small.unionByName(turn.drop("lead")), leads, (F.col("v") != F.col("v2")) & possible)
+            rest = turn.where("not lead").drop("lead", "g", "m")
+            left = self.mixed(rest)
 
     def run(self) -> None:
         banded = self.classes.select("v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, _slice("sig", k)))).alias("band", "bucket")).select("bucket", "v")
@@ -279,15 +290,14 @@ class _Groups:
         # Only classes that share a band are looked at again; their texts are read once for all comparisons.
         self.near = checkpointed(members.select("v").distinct().join(self.classes, "v"))
         self.full = checkpointed(_sets_of(self.docs, self.doc_id, self.text, self.near.select("v", "digest")))
-        left = self.compare(members)
+        left = self.compare_with_least(members)
         if left is None:
             return
-        small = left.where(F.col("n") <= SMALL)
-        if not small.isEmpty():
-            self.compare_small(small)
-        large = left.where(F.col("n") > SMALL)
-        if not large.isEmpty() and (again := self.mixed(large.select("bucket", "v"))) is not None:
-            self.rest(self.compare(self.by_rare_shingles(again)))
+        small = left.where(F.col("m") <= SMALL)
+        self.compare_all(small, small, F.col("v") < F.col("v2"))
+        again = self.mixed(left.where(F.col("m") > SMALL).select("bucket", "v"))
+        if again is not None:
+            self.compare_by_rare_shingles(again)
 
 
 def _slice(sig: str, k: Column) -> Column:
