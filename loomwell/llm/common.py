@@ -37,3 +37,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/loomwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent_if_few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a written table, marked for a broadcast join if its rows, which are counted, are at most ``most``."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df

@@ -227,15 +227,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no passage is found, all columns as they were."""
     for items in blocks(benchmark, item_id, item_text):
+        docs = docs.where(_is_clean(_sent(docs, items))(F.col(text)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(parts: Iterator[pd.Series], sent=_sent(docs, items)) -> Iterator[pd.Series]:
-            index = _index_of(sent)
-            for part in parts:
-                yield pd.Series([not index.found(normalised(t)) for t in part], dtype=bool)
 
-        docs = docs.where(clean(F.col(text)))
-    return docs
+def _is_clean(sent):
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = _index_of(sent)
+        for part in parts:
+            yield pd.Series([not index.found(normalised(t)) for t in part], dtype=bool)
+
+    return clean
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm.common import checkpointed, table
+from loomwell.llm.common import checkpointed, sent_if_few, table
 
 WORDS, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 6
@@ -45,6 +45,8 @@ BATCH, MISS = 32, 1e-7
 #: Members up to which a bucket of a band, and one of a rare shingle, gives its pairs directly; members that a larger
 #: one of the latter compares at a time.
 SMALL, SMALL_RARE, AT_A_TIME = 64, 256, 256
+#: Classes (of 24 bytes each) up to which a list is broadcast to the documents rather than joined by a shuffle.
+SENT = 300_000
 #: Shingles hashed at once: 192 signature values for each stay within the processor's cache.
 BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +171,7 @@ def _linked(threshold: int):
 def _sets_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
     """(v, shingles) of the classes in ``wanted`` (v, digest), from their texts; twice for a row given twice."""
     kind = wanted.schema["v"].dataType.simpleString()
-    rows = docs.select(docs[doc_id].alias("v"), docs[text].alias("t")).join(wanted, "v")
+    rows = docs.select(docs[doc_id].alias("v"), docs[text].alias("t")).join(sent_if_few(wanted, SENT), "v")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
