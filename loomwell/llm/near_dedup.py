@@ -45,6 +45,8 @@ BATCH, MISS = 32, 1e-7
 #: Members up to which a bucket of a band, and one of a rare shingle, gives its pairs directly; members that a larger
 #: one of the latter compares at a time.
 SMALL, SMALL_RARE, AT_A_TIME = 64, 256, 256
+#: log2 of the most hash cells by which shingles of common passages are told from others.
+CELLS = 20
 #: Classes (of 24 bytes each) up to which a list is broadcast to the documents rather than joined by a shuffle.
 SENT = 300_000
 #: Shingles hashed at once: 192 signature values for each stay within the processor's cache.
@@ -248,18 +250,42 @@ class _Groups:
     def by_rare_shingles(self, members: DataFrame) -> DataFrame:
         """(bucket, v, size, reach): the members regrouped by shingles of which linked sets share at least one.
 
-        In the order of rarity among these members, two sets at the threshold share one of the first
-        size - ceil(size * threshold) + 1. In the bucket of the first one that they share, what they have in common
-        is at most the smaller of their reaches, the shingles from that one on.
+        In a common order, two sets at the threshold share one of the first size - ceil(size * threshold) + 1. In the
+        bucket of the first one that they share, what they have in common is at most the smaller of their reaches,
+        the shingles from that one on. Any order gives all links; this one, by how many shingles of these members
+        fall into the same hash cell, puts those of common passages last. There are some 64 shingles a cell, and at
+        most 2 ** CELLS cells.
         """
-        each = members.select("v").distinct().join(self.full, "v").select("v", F.explode("shingles").alias("s"))
-        ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s").groupBy("v").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("all"))
-        ranked = ranked.withColumn("size", F.size("all"))
-        taken = F.expr(f"size - int((size * {self.threshold} + 99) div 100) + 1")
-        placed = ranked.select("v", "size", F.posexplode(F.slice("all", F.lit(1), taken)).alias("before", "x")).where("x.df > 1")
-        placed = placed.select(F.col("x.s").alias("bucket"), "v", "size", (F.col("size") - F.col("before")).alias("reach"))
+        mine = checkpointed(members.select("v").distinct().join(self.full, "v"))
+        total = mine.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
+        mask = (1 << min(CELLS, max(10, (total // 64).bit_length()))) - 1
+        kind, threshold = mine.schema["v"].dataType.simpleString(), self.threshold
+
+        def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = np.zeros(mask + 1, np.int64)
+            for frame in frames:
+                for s in frame["shingles"]:
+                    np.add.at(n, s & mask, 1)
+            cell = np.flatnonzero(n)
+            yield pd.DataFrame({"cell": cell, "n": n[cell]})
+
+        counts = mine.select("shingles").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        common = np.zeros(mask + 1, np.int64)
+        common[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+        sent = mine.sparkSession.sparkContext.broadcast(common)
+
+        def first_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                taken = [len(s) - (len(s) * threshold + 99) // 100 + 1 for s in frame["shingles"]]
+                buckets = [s[np.lexsort((s, sent.value[s & mask]))[:n]] for s, n in zip(frame["shingles"], taken)]
+                size = np.repeat(frame["shingles"].str.len().to_numpy(np.int64), taken)
+                before = np.concatenate([np.arange(n) for n in taken])
+                yield pd.DataFrame({"bucket": np.concatenate(buckets), "v": frame["v"].repeat(taken).to_numpy(), "size": size, "reach": size - before})
+
+        placed = checkpointed(mine.mapInPandas(first_ones, f"bucket long, v {kind}, size int, reach int").distinct())
         # A member without any partner in its bucket goes: not even the smallest set there that is large enough would do.
-        placed = checkpointed(placed)
         least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
         partner = F.greatest("least", F.expr(f"int((size * {self.threshold} + 99) div 100)"))
         return placed.join(least, "bucket").where(self.enough(F.col("reach"), F.col("size") + partner)).drop("least")
