@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from loomwell.plans import retrieval
+
+MODULES = (retrieval,)
 
 
 def queries() -> dict:
