@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.plans import retrieval
+from loomwell.plans import graphs, knowledge, retrieval, texts
 
-MODULES = (retrieval,)
+MODULES = (retrieval, texts, knowledge, graphs)
 
 
 def queries() -> dict:
