@@ -2,8 +2,9 @@
 
 ``decode`` reads any lossless stream: simple and normal prefix codes, several prefix-code groups, length-distance
 back-references, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms.
-``decode_plain`` decodes many streams at once, one lane each, where every stream has one group of prefix codes and
-only green literals; ``encode_plain`` writes such streams. ``encode`` writes single images with any mix of features.
+``decode_batch`` decodes the grey levels of many streams at once, one lane each: prefix codes and back-references step
+by step for all lanes together, then the inverse transforms. ``encode_batch`` writes such streams from grey images.
+``encode`` writes single images with any mix of features.
 
 Pixels are uint32 numbers 0xAARRGGBB.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -58,12 +60,18 @@ class Writer:
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
-        while self.n >= 8:
-            self.done.append(self.value & 255)
-            self.value >>= 8
-            self.n -= 8
+        if self.n > 1024:
+            self.settle()
+
+    def settle(self) -> None:
+        """Whole bytes to ``done``."""
+        whole = self.n >> 3
+        self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+        self.value >>= 8 * whole
+        self.n &= 7
 
     def bytes(self) -> bytes:
+        self.settle()
         return bytes(self.done) + (bytes([self.value & 255]) if self.n else b"")
 
 
@@ -326,6 +334,15 @@ def _neighbours(pixels: list[int], at: int, width: int, modes: list[int], block:
 
 
 def undo_predictor(residuals: np.ndarray, width: int, modes: np.ndarray, block: int) -> np.ndarray:
+    used = np.unique(modes >> 8 & 15)
+    if len(used) == 1 and used[0] in (1, 2):
+        # Left or top everywhere: sums along rows or columns, channel by channel; the first row always adds from the left, the first column from the top.
+        parts = residuals.astype("<u4").view(np.uint8).reshape(-1, width, 4).copy()
+        parts[0, 0, 3] += np.uint8(255)
+        first, then = (0, 1) if used[0] == 1 else (1, 0)
+        edge = (slice(None), 0) if first == 0 else (0,)
+        parts[edge] = np.cumsum(parts[edge], axis=0, dtype=np.uint8)
+        return np.ascontiguousarray(np.cumsum(parts, axis=then, dtype=np.uint8)).view("<u4").ravel().astype(np.uint32)
     out, modes = [], modes.tolist()
     for at, r in enumerate(residuals.tolist()):
         out.append(_add(r, _neighbours(out, at, width, modes, block)))
@@ -398,38 +415,46 @@ def _head(bits: Bits) -> tuple[int, int]:
     return width, height
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file, (height, width)."""
-    bits = Bits(payload(data))
-    width, height = _head(bits)
-    undo, now, seen = [], width, set()
+def _read_transforms(bits: Bits, width: int, height: int) -> tuple[list[tuple], int]:
+    """The transforms in the order written, (kind, width, block, data), and the width of the pixels that follow."""
+    found, now = [], width
     while bits.read(1):
         kind = bits.read(2)
-        if kind in seen:
+        if any(kind == k for k, *_ in found):
             raise ValueError("a transform that is given twice")
-        seen.add(kind)
         if kind in (PREDICTOR, CROSS):
             block = bits.read(3) + 2
-            undo.append((kind, now, block, read_image(bits, -(-now >> block), -(-height >> block))))
+            found.append((kind, now, block, read_image(bits, -(-now >> block), -(-height >> block))))
         elif kind == SUBTRACT:
-            undo.append((kind, now, 0, None))
+            found.append((kind, now, 0, None))
         else:
             colours = bits.read(8) + 1
             steps = read_image(bits, colours, 1)
             palette = np.cumsum(steps.view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).view(np.uint32).ravel()
-            undo.append((kind, now, 0, palette))
+            found.append((kind, now, 0, palette))
             now = -(-now >> packing(colours))
-    pixels = read_image(bits, now, height, main=True)
-    for kind, across, block, data_of in reversed(undo):
+    return found, now
+
+
+def _undo(pixels: np.ndarray, transforms: list[tuple], height: int) -> np.ndarray:
+    for kind, across, block, data in reversed(transforms):
         if kind == PREDICTOR:
-            pixels = undo_predictor(pixels, across, data_of, block)
+            pixels = undo_predictor(pixels, across, data, block)
         elif kind == CROSS:
-            pixels = cross_colour(pixels, across, data_of, block, 1)
+            pixels = cross_colour(pixels, across, data, block, 1)
         elif kind == SUBTRACT:
             pixels = add_green(pixels, 1)
         else:
-            pixels = undo_palette(pixels, across, height, data_of)
-    return pixels.reshape(height, width)
+            pixels = undo_palette(pixels, across, height, data)
+    return pixels
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of a lossless WebP file, (height, width)."""
+    bits = Bits(payload(data))
+    width, height = _head(bits)
+    transforms, now = _read_transforms(bits, width, height)
+    return _undo(read_image(bits, now, height, main=True), transforms, height).reshape(height, width)
 
 
 def _write_symbols(out: Writer, symbols: list[tuple], cache_bits: int) -> None:
@@ -537,47 +562,171 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
 
 # Many grey images at once
 
-#: Longest code in a plain stream; short codes keep the lanes' look-up tables small.
-PLAIN_BITS = 10
+#: Longest code in a batch's streams; short codes keep the lanes' look-up tables small.
+LANE_BITS = 10
 #: Below so many lanes, the rest is decoded one lane at a time.
 FEW = 40
-#: Images whose bits are put together at once when writing.
-WRITTEN = 100
-
-
-def encode_plain(images: list[np.ndarray]) -> list[bytes]:
-    """Grey images (height, width) of uint8 as files: green subtracted, and one prefix code for the grey levels."""
-    return [file for k in range(0, len(images), WRITTEN) for file in _encode_plain(images[k : k + WRITTEN])]
-
-
-def _encode_plain(images: list[np.ndarray]) -> list[bytes]:
-    heads, codes = [], np.zeros((len(images), 256), np.uint32)  # code << 4 | its length
-    for i, image in enumerate(images):
-        counts = np.bincount(image.ravel(), minlength=256)
-        used = np.flatnonzero(counts)
-        lengths = code_lengths(dict(zip(used.tolist(), counts[used].tolist())), PLAIN_BITS)
-        out = Writer()
-        for value, n in ((SIGNATURE, 8), (image.shape[1] - 1, 14), (image.shape[0] - 1, 14), (0, 4), (1 | SUBTRACT << 1, 6)):
-            out.put(value, n)
-        write_code(out, lengths, GREENS)
-        for s in (0, 0, 255, 0):
-            write_code(out, {s: 1}, LITERALS)
-        table = canonical(lengths)
-        codes[i, list(table)] = [code << 4 | n for code, n in table.values()]
-        heads.append(out)
-    sizes = np.array([image.size for image in images])
-    found = np.concatenate([codes[i][image.ravel()] for i, image in enumerate(images)])
-    n = (found & 15).astype(np.int64)
+#: Images that are coded at once when writing, shortest and longest back-reference, and the farthest.
+WRITTEN, SHORTEST, LONGEST, FARTHEST = 100, 6, 64, 1 << 20
+#: Levels up to which an image gets a palette with several pixels in one, and the entropy below which it gets a predictor.
+FEW_LEVELS, PREDICTED = 16, 0.97
+
+
+def encode_batch(images: list[np.ndarray]) -> list[bytes]:
+    """Grey images (height, width) of uint8 as files.
+
+    Each gets the transform that suits it: a palette for few levels, else subtracted green, with a prediction from
+    above where that lowers the entropy. Pixels are literals and back-references to the last equal stretch.
+    """
+    return [file for k in range(0, len(images), WRITTEN) for file in _encode_batch(images[k : k + WRITTEN])]
+
+
+def _entropy(levels: np.ndarray) -> float:
+    n = levels[levels > 0]
+    return float(n @ (np.log2(n.sum()) - np.log2(n)))
+
+
+def _prepared(image: np.ndarray, out: Writer) -> tuple[np.ndarray, int]:
+    """Writes the head and transforms of an image; its green samples and the constant alpha."""
+    height, width = image.shape
+    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4)):
+        out.put(value, n)
+    counts = np.bincount(image.ravel(), minlength=256)
+    used = np.flatnonzero(counts)
+    if len(used) <= FEW_LEVELS:
+        out.put(1 | PALETTE << 1, 3)
+        out.put(len(used) - 1, 8)
+        palette = np.repeat(used.astype(np.uint8)[:, None], 4, axis=1)
+        palette[:, 3] = 255
+        _write_image(out, np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8).copy().view("<u4"), len(used))
+        out.put(0, 1)
+        shift = packing(len(used))
+        index = np.zeros((height, -(-width >> shift) << shift), np.uint8)
+        index[:, :width] = np.searchsorted(used, image)
+        each = np.arange(1 << shift, dtype=np.uint8) * np.uint8(8 >> shift)
+        return (index.reshape(height, -1, 1 << shift) << each).sum(axis=2, dtype=np.uint8).ravel(), 255
+    out.put(1 | SUBTRACT << 1, 3)
+    if height > 4:
+        above = np.diff(image, axis=0)
+        first = np.diff(image[0], prepend=np.uint8(0))
+        residuals = np.concatenate((first[None], above)).astype(np.uint8)
+        if _entropy(np.bincount(residuals.ravel(), minlength=256)) < PREDICTED * _entropy(counts):
+            out.put(1 | PREDICTOR << 1, 3)
+            out.put(7, 3)
+            block = 9
+            _write_image(out, np.full(-(-width >> block) * -(-height >> block), 2 << 8 | BLACK, np.uint32), -(-width >> block))
+            out.put(0, 1)
+            return residuals.ravel(), 0
+    out.put(0, 1)
+    return image.ravel(), 255
+
+
+def _matches(x: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every sample the length of the stretch that also begins at its last occurrence (0: none), and how far back that is."""
+    n = len(x)
+    length, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n <= SHORTEST:
+        return length, back
+    key = image[: n - SHORTEST + 1].astype(np.uint64) << np.uint64(48)
+    for k in range(SHORTEST):
+        key |= x[k : n - SHORTEST + 1 + k].astype(np.uint64) << np.uint64(8 * k)
+    # Hash and place in one number, so that a plain sort puts equal stretches side by side in their order.
+    bits = np.uint64(n.bit_length())
+    place = np.arange(n - SHORTEST + 1, dtype=np.uint64)
+    order = np.sort((key * np.uint64(0x9E3779B97F4A7C15) >> bits << bits | place)[place + np.uint64(SHORTEST) <= ends[: n - SHORTEST + 1]])
+    same = np.flatnonzero((order[1:] ^ order[:-1]) >> bits == 0)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    at, before = (order[1:][same] & low).astype(np.int64), (order[:-1][same] & low).astype(np.int64)
+    true = (key[at] == key[before]) & (at - before <= FARTHEST)
+    at, before = at[true], before[true]
+    back[at], length[at] = at - before, SHORTEST
+    for k in range(SHORTEST, LONGEST):
+        go = at + k < ends[at]
+        at, before = at[go], before[go]
+        go = x[at + k] == x[before + k]
+        at, before = at[go], before[go]
+        if not len(at):
+            break
+        length[at] = k + 1
+    return length, back
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, extra bits, their number) of lengths or distance codes, all at least 1."""
+    w = values - 1
+    n = np.maximum(0, np.frexp(np.maximum(w, 1).astype(float))[1] - 2)
+    code = np.where(w < 4, w, 2 * n + 2 + (w >> n & 1))
+    n = np.where(w < 4, 0, n)
+    return code, w & ((1 << n) - 1), n
+
+
+def _encode_batch(images: list[np.ndarray]) -> list[bytes]:
+    heads = [Writer() for _ in images]
+    prepared = [_prepared(image, out) for image, out in zip(images, heads)]
+    x, sizes = np.concatenate([p for p, _ in prepared]), np.array([len(p) for p, _ in prepared])
+    image = np.repeat(np.arange(len(images)), sizes)
+    length, back = _matches(x, image, np.repeat(np.cumsum(sizes), sizes))
+    # Greedy: take a stretch where there is one, and go on with the first one after its end.
+    n = len(x)
+    ahead = np.minimum.accumulate(np.where(np.append(length, 1) > 0, np.arange(n + 1), n)[::-1])[::-1]
+    jump, taken, i = ahead[np.arange(n) + length].tolist(), [], int(ahead[0])
+    while i < n:
+        taken.append(i)
+        i = jump[i]
+    refs = np.array(taken, np.int64)
+    covered = np.zeros(n + 1, np.int64)
+    np.add.at(covered, refs + 1, 1)
+    np.add.at(covered, refs + length[refs], -1)
+    at = np.flatnonzero(np.cumsum(covered)[:n] == 0)
+    is_ref = np.zeros(n, bool)
+    is_ref[refs] = True
+    image, far = image[at], np.flatnonzero(is_ref[at])
+    green = x[at].astype(np.int64)
+    long_code, long_extra, long_bits = _prefixes(length[at[far]])
+    back_code, back_extra, back_bits = _prefixes(back[at[far]] + len(NEAR))
+    green[far] = LITERALS + long_code
+    greens = np.bincount(image * GREENS + green, minlength=len(images) * GREENS).reshape(-1, GREENS)
+    backs = np.bincount(image[far] * DISTANCES + back_code, minlength=len(images) * DISTANCES).reshape(-1, DISTANCES)
+    codes, back_codes = np.zeros((len(images), GREENS), np.uint64), np.zeros((len(images), DISTANCES), np.uint64)  # code << 4 | its length
+    for i, (out, (_, alpha)) in enumerate(zip(heads, prepared)):
+        out.put(0, 2)  # neither a colour cache nor several groups of codes
+        for table, counts, size in ((codes, greens[i], GREENS), (None, 0, 0), (None, 0, 0), (None, alpha, 0), (back_codes, backs[i], DISTANCES)):
+            if table is None:
+                write_code(out, {counts: 1}, LITERALS)
+                continue
+            used = np.flatnonzero(counts)
+            lengths = code_lengths(dict(zip(used.tolist(), counts[used].tolist())) or {0: 1}, LANE_BITS)
+            write_code(out, lengths, size)
+            found = canonical(lengths)
+            table[i, list(found)] = [code << 4 | n for code, n in found.values()]
+    # One item a literal, two a back-reference; extra bits follow their code in one item.
+    place = np.arange(len(at)) + np.concatenate(([0], np.cumsum(is_ref[at])[:-1]))
+    value, n = np.zeros(len(at) + len(far), np.uint64), np.zeros(len(at) + len(far), np.int64)
+    entry = codes[image, green]
+    value[place], n[place] = entry >> np.uint64(4), (entry & np.uint64(15)).astype(np.int64)
+    value[place[far]] |= long_extra.astype(np.uint64) << n[place[far]].astype(np.uint64)
+    n[place[far]] += long_bits
+    entry = back_codes[image[far], back_code]
+    own = (entry & np.uint64(15)).astype(np.int64)
+    value[place[far] + 1], n[place[far] + 1] = entry >> np.uint64(4) | back_extra.astype(np.uint64) << own.astype(np.uint64), own + back_bits
+    first = place[np.searchsorted(image, np.arange(len(images)))]
+    return _written(heads, value, n, first)
+
+
+def _written(heads: list[Writer], code: np.ndarray, n: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Files of items (value, bits), each image's from ``first`` on, after its head."""
+    for head in heads:
+        head.settle()
+    sizes = np.diff(np.append(first, len(code)))
     ends = np.cumsum(n)
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     start = np.array([8 * len(h.done) + h.n for h in heads])
     total = start + np.add.reduceat(n, first)
     words = (total >> 6) + 2
     word_at = np.concatenate(([0], np.cumsum(words)[:-1]))
     bit = ends - n + np.repeat(64 * word_at + start - (ends - n)[first], sizes)
-    word, shift, code = bit >> 6, (bit & 63).astype(np.uint64), (found >> 4).astype(np.uint64)
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
     buffer = np.zeros(int(words.sum()) + 1, np.uint64)
-    # Codes do not overlap, so within a word their sum is their union.
+    # Items do not overlap, so within a word their sum is their union.
     groups = np.flatnonzero(np.diff(word, prepend=-1))
     buffer[word[groups]] += np.add.reduceat(code << shift, groups)
     over = np.flatnonzero((bit & 63) + n > 64)
@@ -592,70 +741,169 @@ def _encode_plain(images: list[np.ndarray]) -> list[bytes]:
     return files
 
 
-def _plain(data: bytes) -> tuple[int, int, dict[int, int], int, bytes] | None:
-    """(width, height, code lengths of the grey levels, first bit, stream), or None if the stream needs more."""
+@dataclass
+class Lane:
+    """A stream whose pixels differ in green only, up to where its symbols begin."""
+
+    number: int
+    width: int
+    height: int
+    across: int  # pixels in a stored row
+    transforms: list
+    other: int  # alpha, red and blue of every stored pixel
+    green: dict
+    back: dict
+    first: int
+    data: bytes
+
+    @property
+    def size(self) -> int:
+        return self.across * self.height
+
+
+def _lane(number: int, data: bytes) -> Lane | None:
+    """The lane of a file, or None for a stream that needs more than one."""
     bits = Bits(payload(data))
     width, height = _head(bits)
-    if bits.read(6) != 1 | SUBTRACT << 1:
+    transforms, across = _read_transforms(bits, width, height)
+    if bits.read(2):
         return None
-    green = read_code(bits, GREENS)
-    if max(green) >= LITERALS or max(green.values()) > PLAIN_BITS or any(read_code(bits, LITERALS) != {s: 1} for s in (0, 0, 255)):
+    green, red, blue, alpha, back = (read_code(bits, size) for size in (GREENS, LITERALS, LITERALS, LITERALS, DISTANCES))
+    if max(len(red), len(blue), len(alpha)) > 1 or max(max(green.values()), max(back.values())) > LANE_BITS:
         return None
-    read_code(bits, DISTANCES)
-    return width, height, green, bits.at, bits.data
+    return Lane(number, width, height, across, transforms, min(alpha) << 24 | min(red) << 16 | min(blue), green, back, bits.at, bits.data)
 
 
-def decode_plain(files: list[bytes]) -> list[np.ndarray]:
-    """The grey levels (height, width) of each file; any lossless file will do, plain ones go lane by lane."""
+def decode_batch(files: list[bytes]) -> list[np.ndarray]:
+    """The grey levels (height, width) of each file; any lossless file will do, streams of one group go lane by lane."""
     out: list = [None] * len(files)
     lanes = []
     for i, data in enumerate(files):
-        if (head := _plain(data)) is None:
+        if (lane := _lane(i, data)) is None:
             out[i] = (decode(data) >> 8 & 255).astype(np.uint8)
         else:
-            lanes.append((head[0] * head[1], i, *head))
-    lanes.sort(key=lambda x: -x[0])
+            lanes.append(lane)
+    lanes.sort(key=lambda x: -x.size)
+    for lane, green in zip(lanes, _decode_lanes(lanes)):
+        if [k for k, *_ in lane.transforms] == [SUBTRACT]:
+            out[lane.number] = green.reshape(lane.height, lane.width)  # green stays as it is
+        else:
+            pixels = _undo(green.astype(np.uint32) << 8 | np.uint32(lane.other), lane.transforms, lane.height)
+            out[lane.number] = (pixels >> 8 & 255).astype(np.uint8).reshape(lane.height, lane.width)
+    return out
+
+
+#: What length and distance codes stand for: their least value and their extra bits.
+_EXTRA = np.array([max(0, (c - 2) >> 1) for c in range(DISTANCES)])
+_LEAST = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1)) + 1 for c in range(DISTANCES)])
+
+
+def _distances(code: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Distances in pixels from distance codes: neighbours first, then plain distances."""
+    x, y = _NEAR_XY[np.minimum(code, len(NEAR)) - 1].T
+    return np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, x + y * across))
+
+
+_NEAR_XY = np.array(NEAR)
+
+
+def _decode_lanes(lanes: list[Lane]) -> list[np.ndarray]:
+    """Green samples of lanes sorted by falling size.
+
+    Step k gives sample k of every lane that is that long: the next symbol's literal, or a sample copied from a
+    back-reference's distance. Lanes in the middle of a copy read nothing.
+    """
     if not lanes:
-        return out
-    tables = np.zeros((len(lanes), 1 << PLAIN_BITS), np.uint16)
+        return []
+    greens, backs = np.zeros((len(lanes), 1 << LANE_BITS), np.uint16), np.zeros((len(lanes), 1 << LANE_BITS), np.uint16)
     position, at, streams = np.zeros(len(lanes), np.int64), 0, []
-    for k, (_, _, _, _, green, first, data) in enumerate(lanes):
-        tables[k] = table_of(green, PLAIN_BITS)[0]
-        position[k] = 8 * at + first
-        streams.append(data)
-        at += len(data)
-    raw = np.frombuffer(b"".join([*streams, b"\0" * 8]), np.uint8).astype(np.uint32)
-    window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    flat, sizes = tables.ravel(), np.array([x[0] for x in lanes])
-    base = np.arange(len(lanes), dtype=np.int64) << PLAIN_BITS
+    for k, lane in enumerate(lanes):
+        greens[k], backs[k] = table_of(lane.green, LANE_BITS)[0], table_of(lane.back, LANE_BITS)[0]
+        position[k] = 8 * at + lane.first
+        streams.append(lane.data)
+        at += len(lane.data)
+    raw = np.frombuffer(b"".join([*streams, b"\0" * 8]), np.uint8).astype(np.uint64)
+    window = raw[:-4] | raw[1:-3] << np.uint64(8) | raw[2:-2] << np.uint64(16) | raw[3:-1] << np.uint64(24) | raw[4:] << np.uint64(32)
+    window = window.view(np.int64)
+    green_of, back_of, sizes = greens.ravel(), backs.ravel(), np.array([x.size for x in lanes])
+    base, across = np.arange(len(lanes), dtype=np.int64) << LANE_BITS, np.array([x.across for x in lanes])
     steps = int(sizes[FEW - 1]) if len(lanes) >= FEW else 0  # from here on fewer than FEW lanes go on
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")  # lanes with more samples than the step's number
     offset = np.concatenate(([0], np.cumsum(alive)))
     got = np.empty(int(offset[-1]), np.uint8)  # step after step, each the samples of the lanes that are alive
-    mask, last = (1 << PLAIN_BITS) - 1, 0
-    for n, to in zip(alive.tolist(), offset[1:].tolist()):
-        if n != last:
-            p, b, last = position[:n], base[:n], n
-        entry = flat[(window[p >> 3] >> (p & 7) & mask) + b]
-        np.right_shift(entry, 4, out=got[to - n : to], casting="unsafe")
+    mask = (1 << LANE_BITS) - 1
+    left, far = np.zeros(len(lanes), np.int64), np.ones(len(lanes), np.int64)  # samples still to copy, and from how far back
+    for step, n in enumerate(alive.tolist()):
+        row = got[offset[step] : offset[step] + n]
+        reading = np.flatnonzero(left[:n] == 0)
+        p = position[reading]
+        entry = green_of[(window[p >> 3] >> (p & 7) & mask) + base[reading]]
         p += entry & 15
-    for k, (size, i, width, height, *_) in enumerate(lanes):
-        samples, done = np.empty(size, np.uint8), min(size, steps)
-        samples[:done] = got[offset[:done] + k]
+        symbol = entry >> 4
+        row[reading] = symbol
+        new = np.flatnonzero(symbol >= LITERALS)
+        if len(new):
+            lane, q, code = reading[new], p[new], symbol[new].astype(np.int64) - LITERALS
+            extra = _EXTRA[code]
+            left[lane] = _LEAST[code] + (window[q >> 3] >> (q & 7) & ((1 << extra) - 1))
+            q += extra
+            entry = back_of[(window[q >> 3] >> (q & 7) & mask) + base[lane]]
+            q += entry & 15
+            code = (entry >> 4).astype(np.int64)
+            extra = _EXTRA[code]
+            far[lane] = _distances(_LEAST[code] + (window[q >> 3] >> (q & 7) & ((1 << extra) - 1)), across[lane])
+            p[new] = q + extra
+        position[reading] = p
+        copying = np.flatnonzero(left[:n])
+        if len(copying):
+            source = step - far[copying]
+            if source.min() < 0:
+                raise ValueError("a back-reference outside the image")
+            row[copying] = got[offset[source] + copying]
+            left[copying] -= 1
+    out = []
+    for k, size in enumerate(sizes.tolist()):
+        done = min(size, steps)
+        samples = bytearray(got[offset[:done] + k].tobytes())
         if done < size:
-            samples[done:] = np.frombuffer(_rest(window, int(position[k]), tables[k].tolist(), size - done), np.uint8)
-        out[i] = samples.reshape(height, width)
+            _finish(samples, window, int(position[k]), greens[k].tolist(), backs[k].tolist(), size, int(left[k]), int(far[k]), int(across[k]))
+        out.append(np.frombuffer(samples, np.uint8))
     return out
 
 
-def _rest(window: np.ndarray, at: int, table: list[int], n: int) -> bytes:
-    """``n`` more samples of one lane."""
-    out, mask = bytearray(), (1 << PLAIN_BITS) - 1
-    first = at >> 3
-    near = window[first : first + n * PLAIN_BITS // 8 + 8].tolist()
-    at &= 7
-    for _ in range(n):
-        entry = table[near[at >> 3] >> (at & 7) & mask]
-        out.append(entry >> 4)
+def _finish(out: bytearray, window: np.ndarray, at: int, green: list, back: list, size: int, left: int, far: int, across: int) -> None:
+    """The rest of one lane, appended to ``out``."""
+    mask, least, extras = (1 << LANE_BITS) - 1, _LEAST.tolist(), _EXTRA.tolist()
+    first, at = at >> 3, at & 7
+    near = window[first : first + 64 + (size - len(out)) * 6].tolist()  # no symbol has more than 48 bits
+    while True:
+        if left:
+            if far > len(out) or len(out) + left > size:
+                raise ValueError("a back-reference outside the image")
+            start = len(out) - far
+            if far >= left:
+                out += out[start : start + left]
+            else:
+                out += (out[start:] * (left // far + 1))[:left]
+        if len(out) >= size:
+            return
+        entry = green[near[at >> 3] >> (at & 7) & mask]
         at += entry & 15
-    return bytes(out)
+        symbol = entry >> 4
+        if symbol < LITERALS:
+            out.append(symbol)
+            left = 0
+            continue
+        n = extras[symbol - LITERALS]
+        left = least[symbol - LITERALS] + (near[at >> 3] >> (at & 7) & ((1 << n) - 1))
+        at += n
+        entry = back[near[at >> 3] >> (at & 7) & mask]
+        at += entry & 15
+        n = extras[entry >> 4]
+        far = least[entry >> 4] + (near[at >> 3] >> (at & 7) & ((1 << n) - 1))
+        at += n
+        if far > len(NEAR):
+            far -= len(NEAR)
+        else:
+            x, y = NEAR[far - 1]
+            far = max(1, x + y * across)

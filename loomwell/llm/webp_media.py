@@ -2,7 +2,9 @@
 
 A payload is the UTF-8 text with zero bytes up to a positive multiple of 64. It becomes a grey image of 8-bit samples,
 64 to a row (rows are widened by whole multiples where an image would be taller than the format allows, and the last
-row is then filled with zeros). The file is what is stored; digests and features come from the decoded pixels.
+row is then filled with zeros). The file is what is stored; digests and features come from the decoded pixels. Files
+hold prefix codes and back-references, and the palette or predictor transform where an image gains by it; the decoder
+reads those, colour caches and cross-colour transforms of any file alike.
 
 Work is done in Arrow batches cut to a few MB of samples; nothing is shuffled, and a lost task is run again.
 
@@ -69,8 +71,8 @@ def described(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     payloads = [to_payload(t) for t in frame["t"]]
     for part in _groups(payloads):
         rows, own = [], payloads[part]
-        files = vp8l.encode_plain([to_image(p) for p, _ in own])
-        for key, (payload, n), file, image in zip(frame["k"][part], own, files, vp8l.decode_plain(files)):
+        files = vp8l.encode_batch([to_image(p) for p, _ in own])
+        for key, (payload, n), file, image in zip(frame["k"][part], own, files, vp8l.decode_batch(files)):
             back = image.tobytes()[: len(payload)]
             rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(file), hashlib.sha256(file).hexdigest(), feature_of(image)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
@@ -91,7 +93,7 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for frame in frames:
             payloads = [to_payload(t) for t in frame["t"]]
             for part in _groups(payloads):
-                files = vp8l.encode_plain([to_image(p) for p, _ in payloads[part]])
+                files = vp8l.encode_batch([to_image(p) for p, _ in payloads[part]])
                 yield pd.DataFrame({"doc_id": frame["k"][part].astype("Int64"), "n_bytes": [n for _, n in payloads[part]], "file": files})
 
     return docs.select(docs[doc_id].alias("k"), docs[text].alias("t")).mapInPandas(batches, "doc_id long, n_bytes long, file binary")

@@ -32,8 +32,8 @@ def test_palette_sizes(colours):
 def test_plain_images_are_ordinary_files():
     rng = np.random.default_rng(3)
     images = [rng.integers(0, k, (n, 64), np.uint8) for k, n in ((1, 1), (2, 3), (256, 40), (90, 200))] * 15
-    files = vp8l.encode_plain(images)
-    assert all((a == b).all() for a, b in zip(vp8l.decode_plain(files), images))
+    files = vp8l.encode_batch(images)
+    assert all((a == b).all() for a, b in zip(vp8l.decode_batch(files), images))
     assert ((vp8l.decode(files[2]) >> 8 & 255) == images[2]).all()
 
 
