@@ -43,10 +43,10 @@ BANDS, ROWS = 32, 6
 #: Signature values compared at once, and the probability with which a pair at the threshold may be dropped early.
 BATCH, MISS = 32, 1e-7
 #: Members up to which a bucket of a band, and one of a rare shingle, gives its pairs directly; members that a larger
-#: one of the latter compares at a time.
-SMALL, SMALL_RARE, AT_A_TIME = 64, 256, 256
+#: one of the latter compares at first, and at most at a time (their number grows fourfold each time).
+SMALL, SMALL_RARE, AT_FIRST, AT_A_TIME = 16, 16, 4, 256
 #: log2 of the most hash cells by which shingles of common passages are told from others.
-CELLS = 20
+CELLS = 22
 #: Classes (of 24 bytes each) up to which a list is broadcast to the documents rather than joined by a shuffle.
 SENT = 300_000
 #: Shingles hashed at once: 192 signature values for each stay within the processor's cache.
@@ -70,7 +70,7 @@ class Hasher:
     def words(self, text: str | None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known, words = self.known, (text or "").encode("utf-8", "surrogatepass").lower().split()
         try:
@@ -194,7 +194,7 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Data
 
 
 class _Groups:
-    """The classes of one corpus, their links so far, and the group that each linked class is in."""
+    """The classes of one corpus, and the group that each linked class is in so far (``labels``: v, label)."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, threshold: int):
         self.docs, self.doc_id, self.text, self.threshold = docs, doc_id, text, threshold
@@ -202,25 +202,44 @@ class _Groups:
         self.rows = found.select("doc_id", "n", "digest")
         of_a_set = found.where("digest is not null and doc_id is not null")
         self.classes = checkpointed(of_a_set.groupBy("digest").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.first("n").alias("n")))
-        self.links = None
         self.labels = None
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their signatures don't rule out."""
         of = lambda c: self.near.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
         # No similarity exceeds the quotient of the sizes.
         both = pairs.join(of("b"), "b").join(of("a"), "a").where(100 * F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b"))
         kind = pairs.schema["a"].dataType.simpleString()
-        likely = checkpointed(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_plausible(self.threshold), f"a {kind}, b {kind}"))
+        return checkpointed(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_plausible(self.threshold), f"a {kind}, b {kind}"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold."""
+        kind = pairs.schema["a"].dataType.simpleString()
         full = lambda c: self.full.select(F.col("v").alias(c), F.col("shingles").alias(f"of_{c}"))
-        held = likely.join(full("b"), "b").join(full("a"), "a").select("a", "b", "of_a", "of_b")
+        held = pairs.join(full("b"), "b").join(full("a"), "a").select("a", "b", "of_a", "of_b")
         return checkpointed(held.mapInPandas(_linked(self.threshold), f"a {kind}, b {kind}"))
 
-    def add(self, pairs: DataFrame) -> None:
-        new = self.verified(pairs)
-        if not new.isEmpty():
-            self.links = new if self.links is None else self.links.unionByName(new)
-            self.labels = components(self.links)
+    def add(self, pairs: DataFrame, banded: bool = True) -> None:
+        """Verify pairs and merge the groups that they link.
+
+        Pairs that only bands have brought together go through their signatures first. Those that come by rare
+        shingles are near the threshold, where signatures would let nearly all of them pass.
+        """
+        new = self.linked(self.likely(pairs) if banded else checkpointed(pairs))
+        if self.labels is not None:
+            group = lambda c: self.labels.select(F.col("v").alias(c), F.col("label").alias(f"of_{c}"))
+            named = new.join(group("a"), "a", "left").join(group("b"), "b", "left")
+            new = checkpointed(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
+        if new.isEmpty():
+            return
+        merged = components(new)
+        if self.labels is None:
+            self.labels = merged
+            return
+        # Groups of one that are linked for the first time come in as their own label.
+        every = self.labels.unionByName(merged.select("v", F.col("v").alias("label"))).groupBy("v").agg(F.min("label").alias("label"))
+        renamed = every.join(merged.select(F.col("v").alias("label"), F.col("label").alias("now")), "label", "left")
+        self.labels = checkpointed(renamed.select("v", F.coalesce("now", "label").alias("label")))
 
     def grouped(self, members: DataFrame) -> DataFrame:
         """``members`` (bucket, v, ...) with the group g of each."""
@@ -241,11 +260,12 @@ class _Groups:
         self.add(members.join(least, "bucket").where("v > a").select("a", F.col("v").alias("b")).distinct())
         return self.mixed(members.join(least, "bucket").where("v > a").drop("a"))
 
-    def compare_all(self, members: DataFrame, leads: DataFrame, possible: Column | None = None) -> None:
+    def compare_all(self, members: DataFrame, leads: DataFrame, possible: Column, banded: bool) -> None:
         """Every member with every lead of its bucket that is in another group, where ``possible`` does not rule it out."""
         other = leads.select("bucket", *(F.col(c).alias(f"{c}2") for c in leads.columns if c != "bucket"))
         wanted = (members["bucket"] == other["bucket"]) & (F.col("g") != F.col("g2"))
-        self.add(members.join(other, wanted if possible is None else wanted & possible).select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct())
+        pairs = members.join(other, wanted & possible).select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+        self.add(pairs, banded)
 
     def by_rare_shingles(self, members: DataFrame) -> DataFrame:
         """(bucket, v, size, reach): the members regrouped by shingles of which linked sets share at least one.
@@ -253,25 +273,25 @@ class _Groups:
         In a common order, two sets at the threshold share one of the first size - ceil(size * threshold) + 1. In the
         bucket of the first one that they share, what they have in common is at most the smaller of their reaches,
         the shingles from that one on. Any order gives all links; this one, by how many shingles of these members
-        fall into the same hash cell, puts those of common passages last. There are some 64 shingles a cell, and at
-        most 2 ** CELLS cells.
+        fall into the same hash cell, puts those of common passages last. There are some four cells a shingle, and at
+        most 2 ** CELLS cells; what a task sees once in a cell is left out of the counts.
         """
         mine = checkpointed(members.select("v").distinct().join(self.full, "v"))
         total = mine.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
-        mask = (1 << min(CELLS, max(10, (total // 64).bit_length()))) - 1
+        mask = (1 << min(CELLS, max(10, (4 * total).bit_length()))) - 1
         kind, threshold = mine.schema["v"].dataType.simpleString(), self.threshold
 
         def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n = np.zeros(mask + 1, np.int64)
+            n = np.zeros(mask + 1, np.int32)
             for frame in frames:
                 for s in frame["shingles"]:
                     np.add.at(n, s & mask, 1)
-            cell = np.flatnonzero(n)
+            cell = np.flatnonzero(n > 1)
             yield pd.DataFrame({"cell": cell, "n": n[cell]})
 
         counts = mine.select("shingles").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        common = np.zeros(mask + 1, np.int64)
-        common[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+        common = np.zeros(mask + 1, np.int32)
+        common[counts["cell"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), 1 << 30)
         sent = mine.sparkSession.sparkContext.broadcast(common)
 
         def first_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,17 +317,20 @@ class _Groups:
     def compare_by_rare_shingles(self, members: DataFrame) -> None:
         """All pairs of ``members`` that can be linked and are in different groups.
 
-        Buckets of up to SMALL_RARE members at once, of larger ones AT_A_TIME members against all others at a time.
+        Buckets of up to SMALL_RARE members at once, of larger ones some members against all others at a time. They are
+        few at first, as a link that is found early spares the comparisons within its group.
         """
         possible = self.enough(F.least("reach", "reach2"), F.col("size") + F.col("size2"))
         left = self.mixed(self.by_rare_shingles(members))
+        turns = 0
         while left is not None:
+            at_a_time, turns = min(AT_A_TIME, AT_FIRST << 2 * turns), turns + 1
             small, large = left.where(F.col("m") <= SMALL_RARE), left.where(F.col("m") > SMALL_RARE)
-            chosen = F.pmod(F.xxhash64("v"), F.col("m")) < AT_A_TIME
-            # Members are chosen by their hash; the smallest one always is, so the turns come to an end.
+            chosen = F.pmod(F.xxhash64("v"), F.col("m")) < at_a_time
+            # Members are chosen by their hash, the same in every bucket of the same size; the smallest one always is, so the turns come to an end.
             turn = checkpointed(large.join(large.groupBy("bucket").agg(F.min("v").alias("first")), "bucket").withColumn("lead", chosen | (F.col("v") == F.col("first"))).drop("first"))
             leads = small.unionByName(turn.where("lead").drop("lead"))
-            self.compare_all(small.unionByName(turn.drop("lead")), leads, (F.col("v") != F.col("v2")) & possible)
+            self.compare_all(small.unionByName(turn.drop("lead")), leads, (F.col("v") != F.col("v2")) & possible, False)
             rest = turn.where("not lead").drop("lead", "g", "m")
             left = self.mixed(rest)
 
@@ -322,7 +345,7 @@ class _Groups:
         if left is None:
             return
         small = left.where(F.col("m") <= SMALL)
-        self.compare_all(small, small, F.col("v") < F.col("v2"))
+        self.compare_all(small, small, F.col("v") < F.col("v2"), True)
         again = self.mixed(left.where(F.col("m") > SMALL).select("bucket", "v"))
         if again is not None:
             self.compare_by_rare_shingles(again)

@@ -43,7 +43,7 @@ STEPS = (2, 3, 4, 5, 6, 8)
 #: Ends every window and both dictionaries: the compressor looks for no match in the last 8 bytes of its input.
 PADDING = bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19])
 #: Words whose difference a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -566,8 +566,10 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
 LANE_BITS = 10
 #: Below so many lanes, the rest is decoded one lane at a time.
 FEW = 40
-#: Images that are coded at once when writing, shortest and longest back-reference, and the farthest.
-WRITTEN, SHORTEST, LONGEST, FARTHEST = 100, 6, 64, 1 << 20
+#: Images and samples that are coded at once when writing.
+WRITTEN, WRITTEN_BYTES = 100, 1 << 20
+#: Shortest and longest back-reference, and the farthest.
+SHORTEST, LONGEST, FARTHEST = 6, 64, 1 << 20
 #: Levels up to which an image gets a palette with several pixels in one, and the entropy below which it gets a predictor.
 FEW_LEVELS, PREDICTED = 16, 0.97
 
@@ -578,7 +580,13 @@ def encode_batch(images: list[np.ndarray]) -> list[bytes]:
     Each gets the transform that suits it: a palette for few levels, else subtracted green, with a prediction from
     above where that lowers the entropy. Pixels are literals and back-references to the last equal stretch.
     """
-    return [file for k in range(0, len(images), WRITTEN) for file in _encode_batch(images[k : k + WRITTEN])]
+    files, first, size = [], 0, 0
+    for k, image in enumerate(images):
+        if k > first and (k - first >= WRITTEN or size + image.size > WRITTEN_BYTES):
+            files += _encode_batch(images[first:k])
+            first, size = k, 0
+        size += image.size
+    return files + (_encode_batch(images[first:]) if images else [])
 
 
 def _entropy(levels: np.ndarray) -> float:
