@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.plans import graphs, knowledge, retrieval, texts
+from loomwell.plans import graphs, knowledge, pages, retrieval, texts
 
-MODULES = (retrieval, texts, knowledge, graphs)
+MODULES = (retrieval, texts, knowledge, graphs, pages)
 
 
 def queries() -> dict:

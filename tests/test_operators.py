@@ -161,3 +161,54 @@ def test_bm25_of_blank(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert retrieval.bm25(docs, "  ", 5).count() == 0
     assert [r["doc"] for r in retrieval.bm25(docs, "b", 5).collect()] == [1]
+
+
+def model_sections(raw):
+    out, open_, now, lines = [], [], None, []
+
+    def close():
+        content = re.sub(r"[ \t]+", " ", "\n".join(x.strip() for x in lines if x.strip()))
+        if now and content:
+            out.append((*now, content))
+
+    for line in raw.split("\n"):
+        m = re.match(r"^(={2,6})\s*([^=].*?)\s*={2,6}\s*$", line)
+        if not m:
+            lines.append(line)
+            continue
+        close()
+        lines, level, title = [], len(m[1]), m[2].strip()
+        if title.lower() in ("references", "gallery", "external links", "navigation"):
+            now = None
+            continue
+        open_ = [p for p in open_ if p[0] < level] + [(level, title)]
+        now = (title, level, " > ".join(t for _, t in open_))
+    close()
+    return out
+
+
+def test_sections_are_the_model(spark):
+    from loomwell.operators import wiki
+
+    pages = [
+        "lead\n== A ==\ntext\n=== B ===\n\n==== C ====\n  deep \t x\n== References ==\nno\n=== D ===\nyes\n== E ==",
+        "== Gallery ==\n=== x ===\na\n== y ==\nb\n\n c", "", "no headings", "== a ==\n1\n==== b ====\n2\n=== c ===\n3",
+    ]
+    for page in pages:
+        assert [tuple(s) for s in one(spark, wiki.sections(F.lit(page)))] == model_sections(page)
+
+
+def test_infobox_and_links(spark):
+    from loomwell.operators import wiki
+
+    raw = "{{Char Infobox\n| a = [[x|y]]\n| a = z\n|b={{S|t}}<br>u\n| none\n}}\n[[P#q|r]] [[File:f]] [[P]] [[de:x]]"
+    assert one(spark, wiki.infobox(F.lit(raw))) == {"a": "y", "b": "(t)\nu"}
+    assert one(spark, wiki.links(F.lit(raw))) == ["x", "P"]
+    assert one(spark, wiki.infobox(F.lit("no box"))) == {}
+
+
+def test_verification(spark):
+    from loomwell.operators import answers
+
+    assert tuple(one(spark, answers.verification(F.lit('```json\n{"verdict": "bad", "summary": "x"}\n```')))) == ("bad", "x")
+    assert tuple(one(spark, answers.verification(F.lit("[1]")))) == ("unverified", "[1]")
