@@ -565,7 +565,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
 #: Longest code in a batch's streams; short codes keep the lanes' look-up tables small.
 LANE_BITS = 10
 #: Below so many lanes, the rest is decoded one lane at a time.
-FEW = 40
+FEW = 160
 #: Images and samples that are coded at once when writing.
 WRITTEN, WRITTEN_BYTES = 100, 1 << 20
 #: Shortest and longest back-reference, and the farthest.
@@ -677,7 +677,7 @@ def _encode_batch(images: list[np.ndarray]) -> list[bytes]:
     # Greedy: take a stretch where there is one, and go on with the first one after its end.
     n = len(x)
     ahead = np.minimum.accumulate(np.where(np.append(length, 1) > 0, np.arange(n + 1), n)[::-1])[::-1]
-    jump, taken, i = ahead[np.arange(n) + length].tolist(), [], int(ahead[0])
+    jump, taken, i = memoryview(ahead[np.arange(n) + length]), [], int(ahead[0])
     while i < n:
         taken.append(i)
         i = jump[i]
@@ -698,10 +698,10 @@ def _encode_batch(images: list[np.ndarray]) -> list[bytes]:
     codes, back_codes = np.zeros((len(images), GREENS), np.uint64), np.zeros((len(images), DISTANCES), np.uint64)  # code << 4 | its length
     for i, (out, (_, alpha)) in enumerate(zip(heads, prepared)):
         out.put(0, 2)  # neither a colour cache nor several groups of codes
-        for table, counts, size in ((codes, greens[i], GREENS), (None, 0, 0), (None, 0, 0), (None, alpha, 0), (back_codes, backs[i], DISTANCES)):
-            if table is None:
-                write_code(out, {counts: 1}, LITERALS)
-                continue
+        for table, counts, size in ((codes, greens[i], GREENS), (back_codes, backs[i], DISTANCES)):
+            if size == DISTANCES:  # red, blue and alpha are the same everywhere
+                for value in (0, 0, alpha):
+                    write_code(out, {value: 1}, LITERALS)
             used = np.flatnonzero(counts)
             lengths = code_lengths(dict(zip(used.tolist(), counts[used].tolist())) or {0: 1}, LANE_BITS)
             write_code(out, lengths, size)
@@ -824,15 +824,18 @@ def _decode_lanes(lanes: list[Lane]) -> list[np.ndarray]:
     if not lanes:
         return []
     greens, backs = np.zeros((len(lanes), 1 << LANE_BITS), np.uint16), np.zeros((len(lanes), 1 << LANE_BITS), np.uint16)
-    position, at, streams = np.zeros(len(lanes), np.int64), 0, []
+    position, at, streams, ends = np.zeros(len(lanes), np.int64), 0, [], []
     for k, lane in enumerate(lanes):
         greens[k], backs[k] = table_of(lane.green, LANE_BITS)[0], table_of(lane.back, LANE_BITS)[0]
         position[k] = 8 * at + lane.first
         streams.append(lane.data)
         at += len(lane.data)
-    raw = np.frombuffer(b"".join([*streams, b"\0" * 8]), np.uint8).astype(np.uint64)
-    window = raw[:-4] | raw[1:-3] << np.uint64(8) | raw[2:-2] << np.uint64(16) | raw[3:-1] << np.uint64(24) | raw[4:] << np.uint64(32)
-    window = window.view(np.int64)
+        ends.append(at + 4)
+    raw = np.frombuffer(b"".join([*streams, b"\0" * 8]), np.uint8)
+    window = raw[4:].astype(np.int64)  # at each byte the next five, the first one lowest
+    for k in (3, 2, 1, 0):
+        window <<= 8
+        window |= raw[k : len(raw) - 4 + k]
     green_of, back_of, sizes = greens.ravel(), backs.ravel(), np.array([x.size for x in lanes])
     base, across = np.arange(len(lanes), dtype=np.int64) << LANE_BITS, np.array([x.across for x in lanes])
     steps = int(sizes[FEW - 1]) if len(lanes) >= FEW else 0  # from here on fewer than FEW lanes go on
@@ -874,7 +877,7 @@ def _decode_lanes(lanes: list[Lane]) -> list[np.ndarray]:
         done = min(size, steps)
         samples = bytearray(got[offset[:done] + k].tobytes())
         if done < size:
-            _finish(samples, window, int(position[k]), greens[k].tolist(), backs[k].tolist(), size, int(left[k]), int(far[k]), int(across[k]))
+            _finish(samples, window[: ends[k]], int(position[k]), greens[k].tolist(), backs[k].tolist(), size, int(left[k]), int(far[k]), int(across[k]))
         out.append(np.frombuffer(samples, np.uint8))
     return out
 
@@ -883,7 +886,7 @@ def _finish(out: bytearray, window: np.ndarray, at: int, green: list, back: list
     """The rest of one lane, appended to ``out``."""
     mask, least, extras = (1 << LANE_BITS) - 1, _LEAST.tolist(), _EXTRA.tolist()
     first, at = at >> 3, at & 7
-    near = window[first : first + 64 + (size - len(out)) * 6].tolist()  # no symbol has more than 48 bits
+    near = window[first:].tolist()
     while True:
         if left:
             if far > len(out) or len(out) + left > size:

@@ -28,7 +28,7 @@ from loomwell.llm.common import table
 
 ROW = 64
 #: Samples and images that are coded together.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 8000
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
