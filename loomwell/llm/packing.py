@@ -27,16 +27,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwell.llm.common import checkpointed, table
+from loomwell.llm.common import checkpointed, sent_if_few, table
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-#: Parts that the pieces of each length are dealt into for ranking.
-SALTS = 256
+#: Pieces of one length are dealt into salts of about SALTED for ranking, at most MOST_SALTS of them.
+SALTED, MOST_SALTS = 500, 4096
+#: Counts (of 24 bytes each) up to which they are broadcast rather than joined by a shuffle.
+SENT = 300_000
 
 
 @lru_cache(maxsize=2)
@@ -159,26 +161,21 @@ def shares(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def _salt(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
-
-
 def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Reads ``cut_up`` twice: give it written out."""
-    dealt = cut_up.withColumn("salt", _salt(F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
-    counts = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # At most capacity x SALTS rows; each length's running sum needs only its own SALTS rows.
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = checkpointed(before)
-    totals = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    """``pieces`` with sequence_id and offset. Reads ``cut_up`` three times: give it written out."""
     spark = cut_up.sparkSession
+    totals = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    parts = spark.createDataFrame([(length, min(MOST_SALTS, -(-n // SALTED))) for length, n in totals.items()] or [(0, 1)], "length long, salts int")
+    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = cut_up.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(key, F.col("salts")).cast("int")).drop("salts")
+    counts = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    # A length's running sum needs only its own salts.
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = checkpointed(counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
     share = spark.createDataFrame(shares(plan(totals, capacity)) or [(0, 0, 0, 0, 0)], "length long, rank_from long, rank_to long, first_sequence long, offset long")
     ordered = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
-        dealt.withColumn("within", F.row_number().over(ordered) - 1)
-        .join(F.broadcast(before.select("length", "salt", "before")), ["length", "salt"])
-        .withColumn("rank", F.col("before") + F.col("within"))
-    )
+    within = dealt.withColumn("within", F.row_number().over(ordered) - 1)
+    ranked = within.join(sent_if_few(before, SENT), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
     # The shares are bounded by the plan: at most some thousand patterns of a few lengths.
     placed = ranked.join(F.broadcast(share), ["length"]).where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
