@@ -98,7 +98,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LITERALS = (
-    "What species is Rimuru?", "Compare Benimaru versus Souei", "Who is the master of Milim", "When did volume 3 end", "เผ่าของริมุรุคืออะไร", "ความสัมพันธ์ของเขา", "เล่มที่ 4 ตอนที่ 2", "search the language",
+    "What species is the dragon?", "Compare fire versus ice", "Who is the master of the tower", "When did volume 3 end", "เผ่าของมังกรคืออะไร", "ความสัมพันธ์ของเขา", "เล่มที่ 4 ตอนที่ 2", "search the language",
 )
 
 

@@ -54,14 +54,14 @@ def test_fusion_skips_rows_without_id(spark):
 
 @pytest.mark.parametrize(
     "question, expected",
-    [("What species is Rimuru?", "factual"), ("relationship of A and B", "relational"), ("Compare A and B", "comparative"), ("เปรียบเทียบ ก กับ ข", "comparative"), ("ใครคือ", "factual"), ("เพื่อนของเขา", "relational"), ("search", "timeline"), ("hello", "general")],
+    [("What species is the dragon?", "factual"), ("relationship of A and B", "relational"), ("Compare A and B", "comparative"), ("เปรียบเทียบ ก กับ ข", "comparative"), ("ใครคือ", "factual"), ("เพื่อนของเขา", "relational"), ("search", "timeline"), ("hello", "general")],
 )
 def test_archetype(spark, question, expected):
     assert one(spark, routing.archetype(F.lit(question))) == expected
 
 
 def test_language(spark):
-    assert [one(spark, routing.language(F.lit(q))) for q in ("ริมุรุ", "Rimuru", "Rimuru คือ")] == ["th", "en", "th"]
+    assert [one(spark, routing.language(F.lit(q))) for q in ("มังกร", "Dragon", "Dragon คือ")] == ["th", "en", "th"]
 
 
 def test_numbers_beside_thai_and_spaces(spark):
@@ -88,14 +88,14 @@ def test_chunk_id(spark):
 
 
 def test_title(spark):
-    assert one(spark, files.title_of(F.lit("file:/x/rimuru_lore.md"))) == "Rimuru Lore"
+    assert one(spark, files.title_of(F.lit("file:/x/dragon_lore.md"))) == "Dragon Lore"
 
 
 def test_local_documents(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "rimuru_lore.md").write_text("hello\nworld")
+    (tmp_path / "sub" / "dragon_lore.md").write_text("hello\nworld")
     (tmp_path / "image.png").write_text("no")
-    assert [(r["title"], r["raw_text"]) for r in files.local_documents(spark, str(tmp_path)).collect()] == [("Rimuru Lore", "hello\nworld")]
+    assert [(r["title"], r["raw_text"]) for r in files.local_documents(spark, str(tmp_path)).collect()] == [("Dragon Lore", "hello\nworld")]
 
 
 def test_audit(spark):
@@ -107,8 +107,8 @@ def test_audit(spark):
 
 
 def test_keyword_recall(spark):
-    words = F.array(F.lit("blue"), F.lit("slime"), F.lit("demon"))
-    assert one(spark, knowledge.keyword_recall(F.lit("A Blue Slime"), words)) == pytest.approx(2 / 3)
+    words = F.array(F.lit("blue"), F.lit("stone"), F.lit("tower"))
+    assert one(spark, knowledge.keyword_recall(F.lit("A Blue Stone"), words)) == pytest.approx(2 / 3)
     assert one(spark, knowledge.keyword_recall(F.lit("x"), F.array().cast("array<string>"))) == 1.0
 
 
