@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN: dict = {}
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,9 +35,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     That cuts the lineage, outlives executors, and lets Spark plan what follows with the true size. In loops of joins
     a plan that starts at files stays small, where checkpoints pass on orderings that double each time round.
     """
-    path = f"{shared_folder(df.sparkSession)}/loomwell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    session = df.sparkSession
+    path = f"{shared_folder(session)}/loomwell-{uuid.uuid4().hex}"
+    # Python gets its rows in small batches, so that workers need little memory beside the executor's own.
+    usual = session.conf.get(BATCH, None)
+    session.conf.set(BATCH, str(8 << 20))
+    try:
+        df.write.parquet(path)
+    finally:
+        session.conf.unset(BATCH) if usual is None else session.conf.set(BATCH, usual)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def sent_if_few(df: DataFrame, most: int) -> DataFrame:

@@ -43,8 +43,8 @@ BANDS, ROWS = 32, 6
 #: Signature values compared at once, and the probability with which a pair at the threshold may be dropped early.
 BATCH, MISS = 32, 1e-7
 #: Members up to which a bucket of a band, and one of a rare shingle, gives its pairs directly; members that a larger
-#: one of the latter compares at first, and at most at a time (their number grows fourfold each time).
-SMALL, SMALL_RARE, AT_FIRST, AT_A_TIME = 16, 16, 4, 256
+#: one of the latter compares at first, and later.
+SMALL, SMALL_RARE, AT_FIRST, AT_A_TIME = 16, 16, 16, 256
 #: log2 of the most hash cells by which shingles of common passages are told from others.
 CELLS = 22
 #: Classes (of 24 bytes each) up to which a list is broadcast to the documents rather than joined by a shuffle.
@@ -70,7 +70,7 @@ class Hasher:
     def words(self, text: str | None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        if len(self.known) > 150_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known, words = self.known, (text or "").encode("utf-8", "surrogatepass").lower().split()
         try:
@@ -210,7 +210,7 @@ class _Groups:
         # No similarity exceeds the quotient of the sizes.
         both = pairs.join(of("b"), "b").join(of("a"), "a").where(100 * F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b"))
         kind = pairs.schema["a"].dataType.simpleString()
-        return checkpointed(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_plausible(self.threshold), f"a {kind}, b {kind}"))
+        return both.select("a", "b", "sig_a", "sig_b").mapInPandas(_plausible(self.threshold), f"a {kind}, b {kind}")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
@@ -225,7 +225,7 @@ class _Groups:
         Pairs that only bands have brought together go through their signatures first. Those that come by rare
         shingles are near the threshold, where signatures would let nearly all of them pass.
         """
-        new = self.linked(self.likely(pairs) if banded else checkpointed(pairs))
+        new = self.linked(self.likely(pairs) if banded else pairs)
         if self.labels is not None:
             group = lambda c: self.labels.select(F.col("v").alias(c), F.col("label").alias(f"of_{c}"))
             named = new.join(group("a"), "a", "left").join(group("b"), "b", "left")
@@ -324,7 +324,7 @@ class _Groups:
         left = self.mixed(self.by_rare_shingles(members))
         turns = 0
         while left is not None:
-            at_a_time, turns = min(AT_A_TIME, AT_FIRST << 2 * turns), turns + 1
+            at_a_time, turns = AT_A_TIME if turns else AT_FIRST, turns + 1
             small, large = left.where(F.col("m") <= SMALL_RARE), left.where(F.col("m") > SMALL_RARE)
             chosen = F.pmod(F.xxhash64("v"), F.col("m")) < at_a_time
             # Members are chosen by their hash, the same in every bucket of the same size; the smallest one always is, so the turns come to an end.
