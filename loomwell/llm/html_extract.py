@@ -63,7 +63,8 @@ ARTICLE = frozenset(["article", "main"])
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th caption".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, name and value, so that nothing is found inside another one's name or value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
@@ -90,9 +91,10 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
     """The element's name in paths, and whether its markup marks it as furniture."""
     if not attributes or attributes.isspace():
         return tag, tag in FURNITURE_TAGS
-    name, bad = tag, tag in FURNITURE_TAGS
+    name, bad, given = tag, tag in FURNITURE_TAGS, {}
     for m in ATTRIBUTE.finditer(attributes):
-        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        given.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    for kind, value in given.items():
         if kind in ("class", "id"):
             words = WORD.findall(value)
             bad = bad or not FURNITURE_WORDS.isdisjoint(words)
@@ -100,7 +102,7 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
         elif kind == "role":
             bad = bad or value in FURNITURE_ROLES
         else:
-            bad = bad or kind == "hidden" or value == "true"
+            bad = bad or kind == "hidden" or (kind == "aria-hidden" and value == "true")
     return name, bad
 
 

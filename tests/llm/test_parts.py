@@ -164,6 +164,15 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes", ["style='overflow:hidden'", "style=overflow:hidden", "alt='a hidden valley'", "data-id='menu-1'", "data-class=nav", "title='x class=ad role=menu'", "data-hidden", "aria-hidden=false", "aria-hidden", "class=text class=ad", 'title="class=ad'])
+def test_attributes_are_whole(attributes):
+    """Words inside other attributes' names and values condemn nothing; the named attributes themselves do."""
+    for tag in ("body", "article", "div"):
+        assert html_extract.main_text(f"<{tag} {attributes}><p>all the text</p></{tag}>") == "all the text"
+    for real in ("hidden", "HIDDEN=''", "aria-hidden='true'", "role=menu", "class='x ad'", "alt=x id=menu", "data-x='a'class=ad"):
+        assert html_extract.main_text(f"<div {real}>gone</div><p>all the text</p>") == "all the text"
+
+
 def test_style_tree_finds_repeated_branches(spark):
     """On one host a box without telling marks repeats; on another it differs from page to page."""
     rows = []
