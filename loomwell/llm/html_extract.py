@@ -58,7 +58,14 @@ FURNITURE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist respond disqus reply replies pagination pager masthead toolbar widget widgets skip copyright".split()
 )
+#: Words that name readers' comments, and words of a class or id after which the rest describes the element.
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus reply replies".split())
+DESCRIBING = frozenset("no non not without has with".split())
 ARTICLE = frozenset(["article", "main"])
+#: Elements that markup never condemns, and those that it doesn't condemn when they hold an article.
+EXEMPT, WRAPPING = ARTICLE | {"html", "body"}, frozenset(["form", "header"])
+#: What condemns an element: nothing, a class or id word, such a word for comments, its tag, role or hiding.
+FREE, WORDS, COMMENTS, MARKUP = range(4)
 #: Elements that are text blocks, not branches of a page.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th caption".split())
 
@@ -74,11 +81,13 @@ _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 class Element:
     tag: str
     path: str
-    furniture: bool
+    rule: int
     article: bool
     depth: int
     parent: "Element | None"
     children: list
+    #: The tag of an article or main element below, main first.
+    holds: str = ""
 
 
 @dataclass(slots=True)
@@ -87,29 +96,38 @@ class Block:
     text: str
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name in paths, and whether its markup marks it as furniture."""
+def _named(value: str) -> set[str]:
+    """The words by which a class or id names an element: none after "no", "has" or "with"."""
+    words = set()
+    for name in value.split():
+        for word in WORD.findall(name):
+            if word in DESCRIBING:
+                break
+            words.add(word)
+    return words
+
+
+def _described(tag: str, attributes: str) -> tuple[str, int]:
+    """The element's name in paths, and by what its markup marks it as furniture."""
+    name, rule, given = tag, MARKUP if tag in FURNITURE_TAGS else FREE, {}
     if not attributes or attributes.isspace():
-        return tag, tag in FURNITURE_TAGS
-    name, bad, given = tag, tag in FURNITURE_TAGS, {}
+        return name, rule
     for m in ATTRIBUTE.finditer(attributes):
         given.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     for kind, value in given.items():
         if kind in ("class", "id"):
-            words = WORD.findall(value)
-            bad = bad or not FURNITURE_WORDS.isdisjoint(words)
-            name += ("." if kind == "class" else "#") + "-".join(words)
-        elif kind == "role":
-            bad = bad or value in FURNITURE_ROLES
-        else:
-            bad = bad or kind == "hidden" or (kind == "aria-hidden" and value == "true")
-    return name, bad
+            if words := _named(value) & FURNITURE_WORDS:
+                rule = max(rule, COMMENTS if words & COMMENT_WORDS else WORDS)
+            name += ("." if kind == "class" else "#") + "-".join(WORD.findall(value))
+        elif (kind == "role" and value in FURNITURE_ROLES) or kind == "hidden" or (kind == "aria-hidden" and value == "true"):
+            rule = MARKUP
+    return name, FREE if tag in EXEMPT else rule
 
 
 def parse(source: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     source = source or ""
-    root = Element("", "", False, False, 0, None, [])
+    root = Element("", "", FREE, False, 0, None, [])
     now, blocks, parts, at, end = root, [], [], 0, len(source)
 
     def flush() -> None:
@@ -160,12 +178,16 @@ def parse(source: str | None) -> list[Block]:
         if tag in SIBLINGS:
             while (e := scope(*SIBLINGS[tag])) is not None:
                 now = e.parent
-        name, bad = _described(tag, attributes)
-        if tag == "header":
-            bad = bad or not now.article
+        name, rule = _described(tag, attributes)
+        if tag == "header" and not now.article:
+            rule = MARKUP
         now.children.append(tag)
         depth = now.depth + 1
-        now = Element(tag, f"{now.path}/{name}" if depth <= DEEPEST else now.path, now.furniture or bad, now.article or (tag in ARTICLE and not now.furniture and not bad), depth, now, [])
+        if tag in ARTICLE:
+            above = now
+            while above.parent is not None and above.holds not in (tag, "main"):
+                above.holds, above = tag, above.parent
+        now = Element(tag, f"{now.path}/{name}" if depth <= DEEPEST else now.path, rule, now.article or tag in ARTICLE, depth, now, [])
     flush()
     return blocks
 
@@ -177,10 +199,41 @@ def chain(element: Element) -> Iterator[Element]:
         element = element.parent
 
 
+def without_furniture(blocks: list[Block]) -> tuple[list[Block], bool]:
+    """The blocks outside of furniture, and whether those in articles are the page's text.
+
+    Class and id words are guesses: what they condemn stays if it holds the only article, or more than half of the
+    text that is left without them (comments: all of it). An only article below such a word marks the page's text
+    when it has more than half of it.
+    """
+    above: dict[int, list[Element]] = {}
+    for b in blocks:
+        if id(b.element) not in above:
+            above[id(b.element)] = list(chain(b.element))
+    sure = {id(e) for es in above.values() for e in es if e.rule == MARKUP and not (e.holds and (e.tag in WRAPPING or e.holds == "main"))}
+    words = {id(e): e for es in above.values() for e in es if e.rule in (WORDS, COMMENTS) and e.holds != "main"}
+    out = lambda b, gone: all(id(e) not in gone for e in above[id(b.element)])
+    blocks = [b for b in blocks if out(b, sure)]
+    articles = [b for b in blocks if b.element.article]
+    if articles and not any(out(b, words) for b in articles):
+        if sum(len(b.text) for b in articles) <= sum(len(b.text) for b in blocks) / 2:
+            articles = []
+        words = {k: e for k, e in words.items() if not e.holds}
+    sizes: Counter = Counter()
+    for b in articles or blocks:
+        for e in above[id(b.element)]:
+            sizes[id(e)] += len(b.text)
+    most = sum(len(b.text) for b in articles or blocks) / 2
+    words = {k: e for k, e in words.items() if e.rule == COMMENTS or sizes[k] <= most}
+    if not any(out(b, words) for b in articles or blocks):
+        words = {k: e for k, e in words.items() if sizes[k] <= most}
+    return [b for b in blocks if out(b, words)], bool(articles)
+
+
 def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
     """The text of a page without the branches at ``low`` paths and without furniture."""
-    blocks = [b for b in parse(source) if not b.element.furniture]
-    if any(b.element.article for b in blocks):
+    blocks, marked = without_furniture(parse(source))
+    if marked:
         blocks = [b for b in blocks if b.element.article]
     if low and blocks:
         held = {b.element.path: [e.path for e in chain(b.element)] for b in blocks}

@@ -173,6 +173,29 @@ def test_attributes_are_whole(attributes):
         assert html_extract.main_text(f"<div {real}>gone</div><p>all the text</p>") == "all the text"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html class='no-js cookie'><body class='home no-sidebar menu'><p>all the text</p></body>", "all the text"),
+        ("<div class='has-sidebar content'><p>all</p></div><div id='main-with-menu'><p>the text</p></div><div class='sidebar'>x</div>", "all\nthe text"),
+        ("<article class='post social-history'><p>all the text</p></article><div>x</div>", "all the text"),
+        ("<main class='banner'><p>all the text</p></main>", "all the text"),
+        ("<div id='widget'><main><p>all the text</p></main></div><div>x</div>", "all the text"),
+        ("<div class='banner-page'><article><p>all the text</p></article></div><div>x</div>", "all the text"),
+        ("<div class='related'><article>x</article></div><p>all the text</p>", "x\nall the text"),
+        ("<form><header><main><p>all the text</p></main></header></form><footer>f</footer>", "all the text"),
+        ("<div class='social-history'><p>the text and most of it</p></div><p>short</p><div class='social'>x</div>", "the text and most of it\nshort"),
+        ("<article><h1>T</h1><div class='overlay'><p>all the text</p></div></article>", "T\nall the text"),
+        ("<article><p>all</p><div class='comments'>longer than the text itself</div></article>", "all"),
+        ("<div class='comments'><p>all the text</p></div><nav>m</nav>", "all the text"),
+        ("<div class='related'><article>x</article></div><article>all the text</article>", "all the text"),
+        ("<aside><article>x</article></aside><article>all</article>", "all"),
+    ],
+)
+def test_class_words_are_guesses(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_style_tree_finds_repeated_branches(spark):
     """On one host a box without telling marks repeats; on another it differs from page to page."""
     rows = []
