@@ -1,21 +1,24 @@
 """Main-text extraction with site style trees.
 
 The element trees of all pages of a host are merged: elements with the same path of tags and classes are one node of
-the host's style tree. Over the m pages that have a node:
+the host's style tree. Pages with the same text blocks count as one page, so copies repeat nothing. Over the m pages
+that have a node:
 
 * a content node (a text block at that path, found on k of the pages) has importance 1 - log k / log m: text that all
   pages repeat has 0, text of one page has 1;
 * a presentation node (an element) has the entropy of its pages' sequences of child elements, to the base m, as its own
   importance, and as composite importance ``OWN`` of that plus the rest of the mean importance of all content below.
 
-A branch of a page is removed when its node was seen on ``LEAST_PAGES`` pages and its composite importance is under
-``CUT``. The elements that hold the article (and what is above them) and the branch with most of a page's text are
-never removed, so copies of a page on one host don't lose their text. What the tree can't know, such as a host's
-only page, is settled by the markup: elements, roles and class words that mean navigation, notices, adverts, forms or
-comments go, and where a page marks its article, text outside of it goes.
+Nodes that ``LEAST_PAGES`` pages have are judged, first of all: a branch of a page is removed when its composite
+importance is under ``CUT``, a text block when its own is, paragraphs in articles like any other. The elements that
+hold the article (and what is above them) and branches with half of a page's text or more are never removed, nor are
+text blocks when they are half of what the branches leave, so near copies of a page on one host don't lose their text.
+Then markup: elements, roles and class words that mean navigation, notices, adverts, forms or comments go, on all
+hosts, as their text may differ from page to page; and where a page marks its article, text outside of it goes unless
+the tree judged its node and found it important.
 
-Pages are parsed in Arrow batches twice; between, only path and content hashes are counted, combined before the
-shuffle. Removable paths come to the pages by host: broadcast where their number, which is checked, is at most
+Pages are parsed in Arrow batches twice; between, only path, content and page hashes are counted, combined before the
+shuffle. The verdicts come to the pages by host: broadcast where their number, which is checked, is at most
 ``BROADCAST_ROWS``, else by a join that Spark can split for a hot host.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; broken markup is read as
@@ -230,11 +233,14 @@ def without_furniture(blocks: list[Block]) -> tuple[list[Block], bool]:
     return [b for b in blocks if out(b, words)], bool(articles)
 
 
-def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
-    """The text of a page without the branches at ``low`` paths and without furniture."""
-    blocks, marked = without_furniture(parse(source))
-    if marked:
-        blocks = [b for b in blocks if b.element.article]
+def _digest(*parts: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def without_low(blocks: list[Block], low: frozenset[str], repeated: frozenset[int]) -> list[Block]:
+    """The blocks outside of branches at ``low`` paths and without ``repeated`` ones, which digests of path and text name."""
     if low and blocks:
         held = {b.element.path: [e.path for e in chain(b.element)] for b in blocks}
         sizes: Counter = Counter()
@@ -245,43 +251,54 @@ def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
         most = sum(len(b.text) for b in blocks) / 2
         gone = {path for path, n in sizes.items() if path in low and n < most}
         blocks = [b for b in blocks if gone.isdisjoint(held[b.element.path])]
+    if repeated and blocks:
+        new = [b for b in blocks if _digest(b.element.path, b.text) not in repeated]
+        if 2 * sum(len(b.text) for b in new) > sum(len(b.text) for b in blocks):
+            return new
+    return blocks
+
+
+def main_text(source: str | None, low: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset(), important: frozenset[str] = frozenset()) -> str:
+    """The text of a page: first by the tree's verdicts, then without furniture."""
+    blocks, marked = without_furniture(without_low(parse(source), low, repeated))
+    if marked:
+        blocks = [b for b in blocks if b.element.article or b.element.path in important]
     return "\n".join(b.text for b in blocks)
 
 
-def counted(source: str | None) -> Iterator[tuple[str, int, str]]:
-    """(path, kind, what) once for each page: 0 a text block, 1 a sequence of child elements, 2 the node itself."""
-    seen, elements = set(), {}
-    for b in parse(source):
-        seen.add((b.element.path, 0, b.text))
+def counted(source: str | None) -> tuple[int, set[tuple[str, int, int]]]:
+    """The page's digest, and (path, kind, what) of its nodes: 0 a text block, 1 a sequence of child elements."""
+    seen, elements, blocks = set(), {}, parse(source)
+    for b in blocks:
+        seen.add((b.element.path, 0, _digest(b.element.path, b.text)))
         for e in chain(b.element):
             elements.setdefault(e.path, e)
     for path, e in elements.items():
-        seen.add((path, 1, ",".join(dict.fromkeys(e.children))))
-        seen.add((path, 2, ""))
-    return iter(seen)
+        seen.add((path, 1, _digest(",".join(dict.fromkeys(e.children)))))
+    return _digest(*(b.text for b in blocks)), seen
 
 
 def _host(pages: DataFrame, url: str):
     return F.coalesce(F.lower(F.regexp_extract(pages[url], r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def low_branches(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path) of the style trees' nodes of low importance."""
+def verdicts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, path, repeated, important) of the judged nodes: branches of low importance, repeated text blocks
+    (``repeated`` is a digest of path and text) and important nodes."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_64_intdigest
-
         for frame in frames:
-            n: Counter = Counter()
+            seen = set()
             for host, source in zip(frame["host"], frame["source"]):
-                for path, kind, what in counted(source):
-                    n[host, path, kind, xxh3_64_intdigest(what.encode("utf-8", "surrogatepass")) - (1 << 63)] += 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["host", "path", "kind", "what", "k"])
-
-    seen = pages.select(_host(pages, url).alias("host"), pages[html].alias("source")).mapInPandas(batches, "host string, path string, kind int, what long, k long")
-    by_what = seen.groupBy("host", "path", "kind", "what").agg(F.sum("k").alias("k"))
-    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
-    nodes = by_what.groupBy("host", "path").agg(of(2, F.col("k")).alias("m"), of(0, F.col("k")).alias("blocks"), of(0, F.col("k") * F.ln("k")).alias("repeated"), of(1, F.col("k") * F.ln("k")).alias("styled"))
+                page, nodes = counted(source)
+                seen.update((host, *node, page) for node in nodes)
+            yield pd.DataFrame(list(seen), columns=["host", "path", "kind", "what", "page"])
+
+    seen = pages.select(_host(pages, url).alias("host"), pages[html].alias("source")).mapInPandas(batches, "host string, path string, kind int, what long, page long")
+    by_what = checkpointed(seen.distinct().groupBy("host", "path", "kind", "what").agg(F.count(F.lit(1)).alias("k")))
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
+    # A page has one sequence of children by path, so those count the pages of a node.
+    nodes = by_what.groupBy("host", "path").agg(of(1, F.col("k")).alias("m"), of(0, F.col("k")).alias("blocks"), of(0, F.col("k") * F.ln("k")).alias("repeated"), of(1, F.col("k") * F.ln("k")).alias("styled"))
     nodes = nodes.where("m > 1")
     own = nodes.select("host", "path", "m", (1 - F.col("styled") / (F.col("m") * F.ln("m"))).alias("own"), F.lit(0).cast("long").alias("blocks"), F.lit(0.0).alias("content"))
     steps = F.split("path", "/")
@@ -290,19 +307,28 @@ def low_branches(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     tree = own.unionByName(content).groupBy("host", "path").agg(F.max("m").alias("m"), F.max("own").alias("own"), (F.sum("content") / F.sum("blocks")).alias("content"))
     name = F.regexp_extract("path", r"([^/.#]*)[^/]*$", 1)
     branch = ~name.isin(*sorted(TEXT_TAGS | ARTICLE | {"html", "body", ""}))
-    return tree.where(branch & (F.col("m") >= LEAST_PAGES) & (OWN * F.col("own") + (1 - OWN) * F.col("content") < CUT)).select("host", "path")
+    poor = OWN * F.col("own") + (1 - OWN) * F.col("content") < CUT
+    judged = tree.where(F.col("m") >= LEAST_PAGES).where(branch | ~poor).select("host", "path", F.lit(None).cast("long").alias("repeated"), (~poor).alias("important"))
+    # A text block on k of m pages: at least LEAST_PAGES ** (1 - CUT) of them, which few blocks reach.
+    common = by_what.where((F.col("kind") == 0) & (F.col("k") > LEAST_PAGES ** (1 - CUT)))
+    same = common.join(nodes.where(F.col("m") >= LEAST_PAGES).select("host", "path", "m"), ["host", "path"]).where(1 - F.ln("k") / F.ln("m") < CUT)
+    return judged.unionByName(same.select("host", "path", F.col("what").alias("repeated"), F.lit(False).alias("important")))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
-    low = checkpointed(low_branches(pages, url, html).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")))
-    few = (low.agg(F.sum(F.size("low")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
+    these = lambda c, test: F.collect_set(F.when(test, F.col(c))).alias
+    path = F.col("repeated").isNull()
+    told = verdicts(pages, url, html).groupBy("host").agg(these("path", path & ~F.col("important"))("low"), these("repeated", ~path)("again"), these("path", path & F.col("important"))("important"))
+    told = checkpointed(told)
+    few = (told.agg(F.sum(F.size("low") + F.size("again") + F.size("important")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
     rows = pages.select(pages[page_id].alias("page_id"), pages[url].alias("url"), pages[html].alias("source"), _host(pages, url).alias("host"))
-    given = rows.join(F.broadcast(low) if few else low, "host", "left").select("page_id", "url", "source", "low")
+    given = rows.join(F.broadcast(told) if few else told, "host", "left").select("page_id", "url", "source", "low", "again", "important")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [main_text(s, frozenset(p) if p is not None else frozenset()) for s, p in zip(frame["source"], frame["low"])]
+            sets = zip(*([frozenset(x) if x is not None else frozenset() for x in frame[c]] for c in ("low", "again", "important")))
+            texts = [main_text(s, *x) for s, x in zip(frame["source"], sets)]
             yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts})
 
     return given.mapInPandas(batches, "page_id long, url string, text string")

@@ -215,6 +215,27 @@ def test_style_tree_keeps_pages_that_are_copies(spark):
     assert {r["text"] for r in html_extract.extract_main_text(pages).collect()} == {"all the text there is"}
 
 
+def test_style_tree_judges_text_blocks_and_comes_first(spark):
+    """Notices in articles, text beside an article, copies and near copies, all without telling names."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows, want = [], {}
+
+    def add(host, source, text):
+        rows.append((len(rows), f"http://{host}/a", source))
+        want[len(rows) - 1] = text
+
+    for i in range(12):
+        add("notices", f"<article><p>{words(i, 30)}</p><p>All rights are ours</p><ul><li>Write to us<li>item {i}</ul></article>", f"{words(i, 30)}\nitem {i}")
+        add("beside", f"<article><p>{words(i, 30)}</p></article><div class='zone'><p>told {i} once</p></div><div class='box'><p>Follow us</p></div>", f"{words(i, 30)}\ntold {i} once")
+        add("copies", "<article><p>all the text there is</p></article>", "all the text there is")
+        add("near", f"<article><p>all the text there is</p><p>{i}</p></article>", f"all the text there is\n{i}")
+    for i in range(4):
+        add("copies", f"<article><p>{words(i, 30)}</p></article>", words(i, 30))
+    add("single", "<article><p>a</p><p>All rights are ours</p></article><div>x</div>", "a\nAll rights are ours")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()} == want
+
+
 def test_toxicity_without_labels():
     model = toxicity.fit([], ["a"])
     assert model.score("x") == 0.0 and toxicity.fit(["bad words"] * 3, ["good words"] * 3).score(None) < 1
