@@ -1,12 +1,12 @@
 """Line dedup: drop lines that many documents share.
 
-Every text is split at ``\\n`` and exploded to (document, position, key hash). Hashes are counted by document with
-map-side combination, the frequent ones are joined back to the positions, and each text is put together again by
+Every text is split at ``\\n`` and exploded to (document, position, key hash). The distinct documents of each hash are
+counted in two steps, by (hash, document) and by hash, both with map-side combination; the frequent ones are joined back to the positions, and each text is put together again by
 position without them. Only built-in functions run; line texts themselves never travel, their 16-byte hashes do.
 
 Defined results: a null or empty text is one empty line and is kept as an empty text; lines whose key is empty are
-never dropped; a row counts as one document, so a row given twice counts twice and both are treated alike; a null
-``doc_id`` is kept; an empty table gives an empty table. Input columns are only touched by name, so extra columns
+never dropped; rows with one ``doc_id`` are one document, however often given, and rows with equal id and text are
+treated alike; a null ``doc_id`` is kept and is no document in the count, as in SQL's ``count(DISTINCT doc_id)``; an empty table gives an empty table. Input columns are only touched by name, so extra columns
 (also ones named like internal ones) pass through ``dedup_lines``.
 """
 
@@ -41,11 +41,14 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 def dropped_positions(docs: DataFrame, doc_id: str, text: str, min_key: int, min_docs: int) -> DataFrame:
     """(row key, drops array<int>) for the documents that lose lines."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(_row_key(F.col(doc_id), body).alias("row"), F.transform(F.split(body, "\n", -1), line_key).alias("keys"))
+    lines = docs.select(F.col(doc_id).alias("doc"), _row_key(F.col(doc_id), body).alias("row"), F.transform(F.split(body, "\n", -1), line_key).alias("keys"))
     long_enough = lambda k: F.length(k) >= min_key
     frequent = checkpointed(
-        lines.select(F.explode(F.array_distinct(F.filter("keys", long_enough))).alias("k"))
-        .groupBy(key_hash(F.col("k")).alias("h"))
+        lines.where(F.col("doc").isNotNull())
+        .select("doc", F.explode(F.array_distinct(F.filter("keys", long_enough))).alias("k"))
+        .select("doc", key_hash(F.col("k")).alias("h"))
+        .distinct()
+        .groupBy("h")
         .agg(F.count(F.lit(1)).alias("docs"))
         .where(F.col("docs") >= min_docs)
         .select("h")

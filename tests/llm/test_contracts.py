@@ -218,5 +218,22 @@ def test_line_dedup_keeps_columns(spark, odd_dir):
     assert lines[5] == ("line\nline\n\nline", 4, 0)
 
 
+@pytest.mark.parametrize("ids, n_dropped", [([7] * 10, 0), ([None] * 10, 0), ([*range(9), None, None], 0), ([*range(9), 3, 3], 0), (range(10), 1)])
+def test_line_dedup_counts_documents(spark, tmp_path, ids, n_dropped):
+    """Repeated rows are one document, rows without an id are none."""
+    import duckdb
+
+    rows = [(i, "line\nand more" if i == 3 else "line") for i in ids] + [(100, "Line \nother")]
+    # 100 holds the line as well, so it takes nine ids beside it.
+    rows = [r for r in rows if r[0] != 0]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    done = registry.queries()["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert len(done) == len(rows) and {r["n_dropped"] for r in done} == {n_dropped}
+    if len(set(rows)) == len(rows):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(map(tuple, done)) == sorted(con.execute(registry.oracle_sql()["op5_line_dedup"]).fetchall())
+
+
 def test_odd_rows_are_odd():
     assert sum(r[1] is None for r in odd_documents()) == 2
