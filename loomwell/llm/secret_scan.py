@@ -3,7 +3,7 @@ r"""Secret scans by token efficiency.
 A byte-pair vocabulary packs ordinary words and identifiers into few tokens; random strings fall apart into many. A
 run of ``[A-Za-z0-9+/_=-]`` with 20 characters or more whose characters per token under a tiktoken vocabulary are at
 most ``MAX_RATIO`` is reported as ``random``, unless it is a known form that is no secret: a hexadecimal digest of a
-usual length, a UUID, a number, or words joined as an identifier (letters only, snake_case, camelCase, paths). Fixed
+usual length, a UUID, a number, or words joined as an identifier (letters only, snake_case, camelCase, paths) if those have more characters per token than that themselves. Fixed
 patterns give the kinds ``assign``, ``access`` and ``hex`` beside it; a random run that such a span covers is not
 reported again.
 
@@ -42,6 +42,8 @@ UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 NUMBER = re.compile(r"[0-9+/_=-]+")
 WORDS = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*|[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}")
 
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
@@ -61,8 +63,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m[group]) >= least)
 
 
-def is_known(run: str) -> bool:
-    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run) or WORDS.fullmatch(run))
+def is_known(run: str, path: str | None = None) -> bool:
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
+        return True
+    if not WORDS.fullmatch(run):
+        return False
+    # Letters in the form of an identifier are one if they are words to the vocabulary, as they would stand in a sentence.
+    parts = PART.findall(run)
+    return sum(map(len, parts)) > MAX_RATIO * sum(len(encoding(path).encode_ordinary(" " + part.lower())) for part in parts)
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], path: str | None = None) -> list[tuple[int, int, int]]:
@@ -73,7 +81,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], path: str | None
         while span[0] < m.end():
             reached, span = max(reached, span[2]), next(ahead)
         run = m[0].strip("=-/_+")
-        if len(run) < MIN_RUN or reached > m.start() or is_known(run):
+        if len(run) < MIN_RUN or reached > m.start() or is_known(run, path):
             continue
         if len(run) <= MAX_RATIO * len(encoding(path).encode_ordinary(run)):
             found.append((m.start(), KINDS.index("random"), m.end()))

@@ -141,6 +141,13 @@ def test_secret_kinds():
     assert secret_scan.scan("")[1] == [] and secret_scan.scan(None)[1] == []
 
 
+def test_random_letters_of_one_case_are_measured():
+    for run in ("xqzvkjwpfhgtrnbvcxzqwkjd", "XQZVKJWPFHGTRNBVCXZQWKJD", "xqzvkj-wpfhgt-rnbvcx-zqwkjd"):
+        assert secret_scan.listed(secret_scan.scan(f"pass {run} end")[1]) == f"random:5:{5 + len(run)}"
+    for run in ("internationalization_of_documentation", "CONFIGURATION_DIRECTORY_NAME", "getConnectionFactoryBuilder", "docs/reference/configuration", "antidisestablishmentarianism"):
+        assert secret_scan.scan(f"see {run} there")[1] == []
+
+
 def test_bound_of_early_dropping():
     """No pair at the threshold is dropped with more than the chosen probability."""
     from math import comb
