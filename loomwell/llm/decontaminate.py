@@ -14,8 +14,10 @@ of the whole passage.
 The passages' q-grams are the query set. They are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters
 (one pass over the documents for each), so what is broadcast has a fixed bound. Documents are not shuffled.
 
-Defined results: a null or empty text or passage, and a passage too short for the bound (fewer than ``SHORTEST``
-characters), leaks nowhere; each passage is looked for in each document whole, however long; passages given twice
+Passages of fewer than ``SHORTEST`` characters, where an edit says little, are found when they stand in a document
+whole and unchanged, between spaces or its ends: a document's stretches of as many words are looked up in a table.
+
+Defined results: a null or empty text or passage leaks nowhere; each passage is looked for in each document whole, however long; passages given twice
 and documents given twice give their rows twice; a null id is kept; an empty table gives an empty table; extra
 columns are not read.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import table
 
-#: Length of the grams, edits for each character of a passage, and the shortest passage that is looked for.
+#: Length of the grams, edits for each character of a passage, and the shortest passage that edits are allowed in.
 Q, BUDGET, SHORTEST = 8, 0.08, 40
 #: Characters of passages in a block, and of documents that a task works on at once.
 BLOCK_CHARS, CHUNK_CHARS = 4_000_000, 2_000_000
@@ -83,6 +85,14 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(i, t) for i, t in items if len(t) >= SHORTEST and least_shared(len(t)) > 0]
+        # Short passages by their words; by a first word, the numbers of words that passages with it have.
+        self.short: dict[str, list] = {}
+        self.lengths: dict[str, set[int]] = {}
+        for i, t in items:
+            if 0 < len(t) < SHORTEST:
+                words = t.split(" ")
+                self.short.setdefault(t, []).append(i)
+                self.lengths.setdefault(words[0], set()).add(len(words))
         found = [grams(codes(t)) for _, t in self.items]
         of = np.repeat(np.arange(len(found)), [len(g) for g in found])
         place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
@@ -135,7 +145,20 @@ class Block:
             got = banded(passage, text, diagonal, 2 * int(self.width[k]), edits_allowed(len(passage)))
             if got is not None and (k not in best or got < best[k]):
                 best[k] = got
-        return [(self.items[k][0], *best[k], len(self.items[k][1])) for k in sorted(best)]
+        return [(self.items[k][0], *best[k], len(self.items[k][1])) for k in sorted(best)] + self.found_short(text)
+
+    def found_short(self, text: str) -> list[tuple]:
+        """Rows of SCHEMA: the first place of each short passage that stands in ``text`` between word limits."""
+        if not self.short:
+            return []
+        words, start, first = text.split(" "), 0, {}
+        for at, word in enumerate(words):
+            for n in self.lengths.get(word, ()):
+                passage = " ".join(words[at : at + n])
+                if passage in self.short:
+                    first.setdefault(passage, start)
+            start += len(word) + 1
+        return [(i, 0, s, s + len(p), len(p)) for p, s in first.items() for i in self.short[p]]
 
 
 def banded(passage: str, text: str, diagonal: int, width: int, most: int) -> tuple[int, int, int] | None:
@@ -179,7 +202,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
     block, size = [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
         passage = normalised(row["t"])
-        if len(passage) >= SHORTEST:
+        if passage:
             if block and size + len(passage) > BLOCK_CHARS:
                 yield block
                 block, size = [], 0

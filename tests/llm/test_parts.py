@@ -123,6 +123,21 @@ def test_leaks_are_those_within_the_budget():
         assert got == ([best] if best <= budget else [])
 
 
+def test_short_passages_are_found_whole():
+    items = [(1, "what is rain"), (1, "what is rain"), (2, "rain"), (3, "x"), (4, ""), (5, "what is rain made of"), (6, "a" * 39), (7, "b" * 40)]
+    block = decontaminate.Block(items)
+    assert sorted(block.found("so what is rain what is rain")) == [(1, 0, 3, 15, 12), (1, 0, 3, 15, 12), (2, 0, 11, 15, 4)]
+    assert block.found("somewhat is rainy xx " + "a" * 40) == [] and block.found("") == []
+    assert sorted(block.found("x " + "a" * 39 + " " + "b" * 40)) == [(3, 0, 0, 1, 1), (6, 0, 2, 41, 39), (7, 0, 42, 82, 40)]
+
+
+def test_short_passages_reach_the_tasks(spark):
+    docs = spark.createDataFrame([(1, "Why, is it RAINING?"), (2, "is it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "Is it raining"), (8, None), (9, " ? ")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 7, 0, 4, 17, 13)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()] == [2]
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <|image|> <\\|end|>", None, None, None, None, None), ("image", None, "i.png", 57, 28, None, None), ("audio", None, "a.wav", None, None, 1.5, None), None, ("hologram", "x", None, None, None, None, None), ("document", None, "d.pdf", None, None, None, 3)]
     turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "ok", None, None, None, None, None)]), (1, 2, "user", None)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
