@@ -5,20 +5,23 @@ around it; it is compressed with each, and the difference of the two lengths tel
 it. A document is described by how many of its windows reach each of a few differences, in number and per word;
 weights on these, fitted on the labelled rows, are the calibration, and 0.5 is the threshold.
 
-How the dictionaries are made, from a bounded sample of labelled rows (``SAMPLE_ROWS`` a class, of at most
-``SAMPLE_CHARS`` characters each; the rows are those with the smallest hashes of their ids):
+How the dictionaries are made, from a bounded sample of labelled rows (``SAMPLE_ROWS`` a class, with whole texts; the
+rows are those with the smallest hashes of their ids, and of rows with one id the first text counts):
 
 * labels are given to documents, but toxicity sits in a few windows. The toxic side is trained on the words of toxic
-  documents that hold a piece of ``GRAM`` bytes found far more often in toxic documents than in others;
-* the ordinary side is trained on ordinary words; then the ordinary words that the toxic side still compresses better
-  are added to its samples, and it is trained again, ``ROUNDS`` times.
+  documents that hold a telling piece: one of ``GRAMS`` bytes found in more than ``RATIO`` times as many stretches of
+  ``STRETCH`` words as ordinary documents let expect, by ``SURE`` standard deviations, and in several documents;
+* the ordinary side is trained on stretches of ordinary text; then the ordinary words that hold no telling piece but
+  are still explained better by the toxic side take up half of it, the most frequent ones at its end, nearest to the
+  window. That is done ``ROUNDS`` times.
 
 Both sides are used as plain content of the same size, with the same padding at the end, so that for a window in
 neither the lengths agree. Labels, language, source and id are never part of a score.
 
 Defined results: a null or empty text has no windows and gets the score of a document without findings; a null
 ``doc_id`` is kept and counts as held out; rows given twice come out twice; a null label is no label; without labels of both kinds
-(an empty table too) every score is 0; extra columns are ignored. Every window of a text counts, however long it is.
+(an empty table too, which gives an empty table) every score is 0; extra columns are ignored. Every window of a text
+counts, however long it is.
 """
 
 from __future__ import annotations
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import table
 
-#: Bounds of the sample that the model is fitted on: rows a class, and characters a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 30_000
-GRAM, ROUNDS, DICTIONARY_BYTES = 5, 3, 3500
+#: Bound of the sample that the model is fitted on: rows a class.
+SAMPLE_ROWS = 1500
+#: Pieces by which toxic words are told: their bytes, words of a stretch, how much more often than in ordinary text,
+#: standard deviations above it, and the least number of documents.
+GRAMS, STRETCH, RATIO, SURE, LEAST_DOCUMENTS = (5, 6, 7, 8), 30, 4, 10, 3
+ROUNDS, DICTIONARY_BYTES = 3, 6000
 #: Differences in bytes whose frequency describes a document.
 STEPS = (2, 3, 4, 5, 6, 8)
 #: Ends every window and both dictionaries: the compressor looks for no match in the last 8 bytes of its input.
@@ -115,8 +121,63 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.described(text) @ self.weights, -30, 30))))
 
 
-def _pieces(words: list[bytes]) -> set[bytes]:
-    return {w[i : i + GRAM] for w in map(_window, set(words)) for i in range(len(w) - GRAM + 1)}
+@dataclass
+class _Windows:
+    """The windows of some documents in one buffer: a space, each word, a space."""
+
+    text: np.ndarray
+    word: np.ndarray
+    stretch: np.ndarray
+    document: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[list[bytes]]) -> "_Windows":
+        text = np.frombuffer(b" " + b" ".join(w for words in documents for w in words) + b" ", np.uint8)
+        sizes = np.array([len(words) for words in documents], np.int64)
+        document = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(document)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.concatenate(([0], np.cumsum(-(-sizes // STRETCH))))
+        return cls(text, np.cumsum(text == 32) - 1, first[document] + place // STRETCH, document)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces of ``n`` bytes of windows, as numbers, and the word of each. Only their ends may be spaces."""
+        space = np.concatenate(([0], np.cumsum(self.text == 32)))
+        at = np.arange(max(0, len(self.text) - n + 1))
+        at = at[space[at + n - 1] == space[at + 1]]
+        value = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            value = value << np.uint64(8) | self.text[at + k]
+        return value, self.word[at]
+
+
+def _found_in(values: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """In how many places each of the values 0..n-1 is found."""
+    return np.bincount(np.unique(places * n + values) % n, minlength=n)
+
+
+def telling_words(bad: list[list[bytes]], good: list[list[bytes]]) -> tuple[np.ndarray, set[bytes]]:
+    """Which words of toxic documents hold a telling piece, by place, and the ordinary ones that do."""
+    toxic, ordinary = _Windows.of(bad), _Windows.of(good)
+    marked, marked_good = np.zeros(len(toxic.document), bool), np.zeros(len(ordinary.document), bool)
+    if not len(marked) or not len(marked_good):
+        return marked, set()
+    share = (toxic.stretch[-1] + 1) / (ordinary.stretch[-1] + 1)
+    for n in GRAMS:
+        (of_bad, word), (of_good, word_good) = toxic.grams(n), ordinary.grams(n)
+        known, value = np.unique(of_bad, return_inverse=True)
+        if not len(known):
+            continue
+        at = np.minimum(np.searchsorted(known, of_good), len(known) - 1)
+        there = known[at] == of_good
+        at, word_good = at[there], word_good[there]
+        found = _found_in(value, toxic.stretch[word], len(known))
+        expected = (_found_in(at, ordinary.stretch[word_good], len(known)) + 0.5) * share
+        least = max(LEAST_DOCUMENTS, len(bad) // 120)
+        telling = (found > RATIO * expected) & (found - expected > SURE * np.sqrt(expected + 1)) & (_found_in(value, toxic.document[word], len(known)) >= least)
+        marked[word[telling[value]]] = True
+        marked_good[word_good[telling[at]]] = True
+    words = [w for of in good for w in of]
+    return marked, {words[k] for k in np.flatnonzero(marked_good)}
 
 
 def fit(toxic: list[str | None], ordinary: list[str | None]) -> Model:
@@ -124,23 +185,28 @@ def fit(toxic: list[str | None], ordinary: list[str | None]) -> Model:
     bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
     if not bad or not good:
         return Model(b"", b"", np.zeros(0))
-    in_bad, in_good = Counter(p for w in bad for p in _pieces(w)), Counter(p for w in good for p in _pieces(w))
-    least = max(3, len(bad) // 120)
-    telling = {p for p, n in in_bad.items() if n >= least and n / len(bad) > 6 * (in_good[p] + 0.5) / len(good)}
-    marked = [[w for w in words if not telling.isdisjoint(_window(w)[i : i + GRAM] for i in range(len(w) + 2 - GRAM + 1))] for words in bad]
-    toxic_side = _trained([_window(b" ".join(w)) for w in marked if w] or [b" ".join(w) for w in bad])
+    marked, known = telling_words(bad, good)
+    samples, at = [], 0
+    for words in bad:
+        mine = [words[k] for k in np.flatnonzero(marked[at : at + len(words)])]
+        samples += [_window(b" ".join(mine))] if mine else []
+        at += len(words)
+    toxic_side = _trained(samples or [_window(b" ".join(words)) for words in bad])
     counts = Counter(w for words in good for w in words)
-    common = [_window(b" ".join(words[k : k + 12])) for words in good for k in range(0, min(len(words), 240), 60)]
-    model = Model(toxic_side, _trained(common), np.zeros(0))
+    common = _trained([_window(b" ".join(words[k : k + 12])) for words in good for k in range(0, len(words), 60)])
+    model = Model(toxic_side, common, np.zeros(0))
     hard: Counter = Counter()
     for _ in range(ROUNDS):
-        wrong = {w: n for w, n in counts.items() if model.difference(w) >= STEPS[1]}
-        hard.update(wrong)
+        wrong = {w: n for w, n in counts.items() if w not in known and model.difference(w) >= STEPS[0]}
         if not wrong:
             break
-        ranked = [w for w, _ in sorted(hard.items(), key=lambda x: (-x[1], x[0]))]
-        # The most frequent ones last, nearest to the window; half of the room stays for common prose.
-        model = Model(toxic_side, model.ordinary[: DICTIONARY_BYTES // 2] + b"".join(map(_window, ranked))[: DICTIONARY_BYTES // 2], np.zeros(0))
+        hard.update(wrong)
+        taken, room = [], DICTIONARY_BYTES // 2
+        for w in sorted(hard, key=lambda w: (-hard[w], w)):
+            if (room := room - len(w) - 2) < 0:
+                break
+            taken.append(_window(w))
+        model = Model(toxic_side, common[: DICTIONARY_BYTES // 2] + b"".join(reversed(taken)), np.zeros(0))
     x = np.array([model.described(t) for t in [*toxic, *ordinary]])
     y = np.array([1.0] * len(bad) + [0.0] * len(good))
     return Model(model.toxic, model.ordinary, _logistic(x, y))
@@ -171,11 +237,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = [known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for toxic in (True, False)]
-    # Twice SAMPLE_ROWS ids at most. An empty text has nothing to learn from, and the longest are left to the scoring.
-    usable = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    found = usable.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").limit(4 * SAMPLE_ROWS).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit(*([r["text"] for r in found if r["toxic"] == toxic][:SAMPLE_ROWS] for toxic in (True, False)))
+    # Twice SAMPLE_ROWS ids at most, and one text for each. An empty text has nothing to learn from.
+    usable = docs.select("doc_id", "text").where(F.length("text") > 0)
+    texts = usable.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = sorted(texts.collect(), key=lambda r: r["doc_id"])
+    return fit(*([r["text"] for r in found if r["toxic"] == toxic] for toxic in (True, False)))
 
 
 @lru_cache(maxsize=1)

@@ -194,7 +194,33 @@ def test_op7_held_out(spark):
     held = [(score[d], y) for d, y in toxic.items() if d in score and y is not None and remainder(d, 5) == 0]
     bad, good = [s for s, y in held if y], [s for s, y in held if not y]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
-    assert auc > 0.75 and np.mean([s >= 0.5 for s in good]) < 0.05
+    assert auc > 0.94 and np.mean([s >= 0.5 for s in bad]) > 0.8 and np.mean([s >= 0.5 for s in good]) < 0.02
+
+
+def test_op7_scores_are_those_of_the_model(spark, odd_dir):
+    """Scores recomputed window by window without any cache; the model is the same on a second run, ids given twice included."""
+    import zstandard
+
+    from loomwell.llm import toxicity as tx
+
+    docs, labels = (spark.read.parquet(f"{SF01}/{name}.parquet") for name in ("documents", "labels"))
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    models = [tx.fit_on(d, labels) for d in (docs, docs.repartition(7), twice, twice.repartition(5))]
+    assert models[0].__getstate__()[:2] == models[1].__getstate__()[:2] and models[2].__getstate__()[:2] == models[3].__getstate__()[:2]
+    assert np.allclose(models[0].weights, models[1].weights) and len(models[0].toxic) and models[0].toxic != models[0].ordinary
+    settings = zstandard.ZstdCompressionParameters(window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(content, window):
+        whole = content[-tx.DICTIONARY_BYTES :].rjust(tx.DICTIONARY_BYTES, b"\0") + tx.PADDING
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings).compress(window + tx.PADDING))
+
+    got = {r["doc_id"]: r["score"] for r in registry.queries()["op7_toxicity"](spark, SF01).collect()}
+    for d in read(spark, SF01)[:12]:
+        words = (d["text"] or "").lower().encode().split()
+        saved = [length(models[0].ordinary, b" " + w + b" ") - length(models[0].toxic, b" " + w + b" ") for w in words]
+        reach = [sum(x >= step for x in saved) for step in tx.STEPS]
+        x = [1.0, *np.log1p(reach), *np.sqrt(np.array(reach) / (len(words) + 20.0)), np.log1p(len(words))]
+        assert got[d["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(np.dot(x, models[0].weights), -30, 30))), abs=1e-9)
 
 
 def test_op10_article_only(spark):

@@ -263,6 +263,35 @@ def test_toxicity_without_labels():
     assert model.score("x") == 0.0 and toxicity.fit(["bad words"] * 3, ["good words"] * 3).score(None) < 1
 
 
+def test_toxicity_learns_from_whole_texts():
+    """A text of 50000 characters that only swears at its end teaches the word."""
+    plain = [" ".join(f"w{(7 * i + j) % 991}" for j in range(400)) for i in range(40)]
+    long = " ".join(f"w{j % 991}" for j in range(9000))
+    model = toxicity.fit([f"{long} blastedly {p} blastedly" for p in plain[:12]], [*plain[12:], long])
+    assert len(long) > 40_000 and model.difference(b"blastedly") >= 4
+    assert model.score(f"{plain[30]} blastedly") > 2 * model.score(plain[30])
+
+
+def test_telling_words_are_those_of_plain_counts():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))).encode()
+    good, bad = [[[word() for _ in range(rng.randrange(0, 150))] for _ in range(n)] for n in (60, 20)]
+    for words in bad:
+        words[::17] = [b"xyzzyx"] * len(words[::17])
+    good[3] += [b"xyzzyx"]
+    marked, known = toxicity.telling_words(bad, good)
+    stretches = lambda texts: [words[k : k + toxicity.STRETCH] for words in texts for k in range(0, len(words), toxicity.STRETCH)]
+    pieces = lambda words: {w[i : i + n] for w in (b" " + w + b" " for w in words) for n in toxicity.GRAMS for i in range(len(w) - n + 1)}
+    of_bad, of_good = [pieces(s) for s in stretches(bad)], [pieces(s) for s in stretches(good)]
+    telling = set()
+    for p in set().union(*of_bad):
+        n, e = sum(p in s for s in of_bad), (sum(p in s for s in of_good) + 0.5) * len(of_bad) / len(of_good)
+        if n > toxicity.RATIO * e and n - e > toxicity.SURE * (e + 1) ** 0.5 and sum(p in pieces(w) for w in bad) >= toxicity.LEAST_DOCUMENTS:
+            telling.add(p)
+    assert [bool(pieces([w]) & telling) for words in bad for w in words] == marked.tolist() and marked.any()
+    assert known == {b"xyzzyx"} == {w for words in good for w in words if pieces([w]) & telling}
+
+
 def brute_lines(docs, least):
     key = lambda x: x.strip(line_dedup.BLANKS).translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
     n = {}
