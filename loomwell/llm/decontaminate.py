@@ -2,20 +2,25 @@
 
 Texts are compared as letters and digits in lower case, runs of anything else being one space. A benchmark passage of
 m such characters leaks into a document when some stretch of the document is within e = floor(``BUDGET`` * m) edits
-of the whole passage.
+of the whole passage. Passages of fewer than ``SHORT`` characters are compared with the spaces around them, so that
+they are found between word limits.
 
 * Lemma: such a stretch shares at least m + 1 - q - q*e character q-grams with the passage, all of them on e + 1
-  neighbouring diagonals (place in the document minus place in the passage).
+  neighbouring diagonals (place in the document minus place in the passage). q is 8, and 5 for the short passages,
+  for which the bound then is above 0 as well.
 * Diagonals are cut into cells of e + 1. Two neighbouring cells are a band, so bands overlap by half and every such
-  window of diagonals lies within one band. Shared q-grams are counted by band; a band that meets the bound gives a
-  region of the document, the others are dropped.
-* A region is verified by banded alignment: edit distances over its diagonals only, with free ends in the document.
+  window of diagonals lies within one band. Shared q-grams are counted by band; bands that meet the bound are kept,
+  and those of one passage that touch are one region of the document. The others are dropped.
+* Regions are verified by banded alignment: edit distances over their diagonals only, with free ends in the document,
+  all regions of a passage side by side. A region is left as soon as it exceeds the budget, and none is aligned where
+  the passage stands unchanged.
 
-The passages' q-grams are the query set. They are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters
-(one pass over the documents for each), so what is broadcast has a fixed bound. Documents are not shuffled.
+Passages that allow no edit (of up to 12 characters) need no alignment: a document's stretches of as many words are
+looked up in a table.
 
-Passages of fewer than ``SHORTEST`` characters, where an edit says little, are found when they stand in a document
-whole and unchanged, between spaces or its ends: a document's stretches of as many words are looked up in a table.
+The passages' q-grams are the query set. They are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters
+(one pass over the documents for each), so what is broadcast has a fixed bound. Documents are not shuffled, and a
+task works on ``CHUNK_CHARS`` characters of a document and ``PAIRS`` shared q-grams at once, however long it is.
 
 Defined results: a null or empty text or passage leaks nowhere; each passage is looked for in each document whole, however long; passages given twice
 and documents given twice give their rows twice; a null id is kept; an empty table gives an empty table; extra
@@ -32,12 +37,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm.common import table
+from loomwell.llm.common import checkpointed, table
 
-#: Length of the grams, edits for each character of a passage, and the shortest passage that edits are allowed in.
-Q, BUDGET, SHORTEST = 8, 0.08, 40
-#: Characters of passages in a block, and of documents that a task works on at once.
-BLOCK_CHARS, CHUNK_CHARS = 4_000_000, 2_000_000
+#: Length of the grams, edits for each character of a passage, and length below which passages are short.
+Q, BUDGET, SHORT = 8, 0.08, 40
+#: Length of the grams of short passages.
+Q_SHORT = 5
+#: Characters of passages in a block; characters of a document, shared q-grams and diagonals that are worked on at once.
+BLOCK_CHARS, CHUNK_CHARS, PAIRS, DIAGONALS = 4_000_000, 1_000_000, 4_000_000, 1 << 18
 _OTHER = re.compile(r"[\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: log2 of the size of the table by which most places are ruled out.
@@ -54,12 +61,12 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
+def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
     """Hashes of all q-grams, by place: blocks of doubling length are combined, so few passes do."""
-    if len(chars) < Q:
+    if len(chars) < q:
         return np.zeros(0, np.uint64)
-    n, done, size = len(chars) - Q + 1, None, 1
-    power, h, left = Q, (chars.astype(np.uint64) + np.uint64(1)) * _MIX, 0
+    n, done, size = len(chars) - q + 1, None, 1
+    power, h, left = q, (chars.astype(np.uint64) + np.uint64(1)) * _MIX, 0
     while power:
         if power & 1:
             part = h[left : left + n]
@@ -76,24 +83,12 @@ def edits_allowed(m: int) -> int:
     return int(BUDGET * m + 1e-9)
 
 
-def least_shared(m: int) -> int:
-    return m + 1 - Q - Q * edits_allowed(m)
+class Index:
+    """The q-grams of some passages, (number, characters, edits allowed) each."""
 
-
-class Block:
-    """The q-gram index of some passages."""
-
-    def __init__(self, items: list[tuple[int | None, str]]):
-        self.items = [(i, t) for i, t in items if len(t) >= SHORTEST and least_shared(len(t)) > 0]
-        # Short passages by their words; by a first word, the numbers of words that passages with it have.
-        self.short: dict[str, list] = {}
-        self.lengths: dict[str, set[int]] = {}
-        for i, t in items:
-            if 0 < len(t) < SHORTEST:
-                words = t.split(" ")
-                self.short.setdefault(t, []).append(i)
-                self.lengths.setdefault(words[0], set()).add(len(words))
-        found = [grams(codes(t)) for _, t in self.items]
+    def __init__(self, passages: list[tuple[int, str, int]], q: int):
+        self.passages, self.q = passages, q
+        found = [grams(codes(t), q) for _, t, _ in passages]
         of = np.repeat(np.arange(len(found)), [len(g) for g in found])
         place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
         all_grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -103,28 +98,42 @@ class Block:
         self.of, self.place = of[order], place[order]
         self.sieve = np.zeros(1 << SIEVE, bool)
         self.sieve[self.grams & np.uint64((1 << SIEVE) - 1)] = True
-        self.width = np.array([edits_allowed(len(t)) + 1 for _, t in self.items], np.int64)
-        self.least = np.array([least_shared(len(t)) for _, t in self.items], np.int64)
-
-    def regions(self, text: str) -> list[tuple[int, int]]:
-        """(number of the passage, first diagonal of a band) wherever the bound is met."""
-        g = grams(codes(text))
-        if not len(g) or not len(self.grams):
-            return []
-        maybe = np.flatnonzero(self.sieve[g & np.uint64((1 << SIEVE) - 1)])
-        at = np.searchsorted(self.grams, g[maybe])
-        at[at == len(self.grams)] = 0
-        good = self.grams[at] == g[maybe]
-        maybe, at = maybe[good], at[good]
-        n = self.first[at + 1] - self.first[at]
-        if not len(n):
-            return []
-        # Every (place in the text, place in a passage) with the same gram.
-        entry = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item = self.of[entry]
-        cell = (np.repeat(maybe, n) - self.place[entry]) // self.width[item]
-        key = item * (1 << 40) + cell + (1 << 30)  # cells before the text's begin are negative
-        cells, count = np.unique(key, return_counts=True)
+        self.width = np.array([e + 1 for _, _, e in passages], np.int64)
+        self.least = np.array([len(t) + 1 - q - q * e for _, t, e in passages], np.int64)
+
+    def counted(self, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cell keys, shared q-grams) of a document, a part at a time. A key is a passage's number and a cell."""
+        for begin in range(0, len(chars) - self.q + 1, CHUNK_CHARS):
+            g = grams(chars[begin : begin + CHUNK_CHARS + self.q - 1], self.q)
+            maybe = np.flatnonzero(self.sieve[g & np.uint64((1 << SIEVE) - 1)])
+            at = np.searchsorted(self.grams, g[maybe])
+            at[at == len(self.grams)] = 0
+            good = self.grams[at] == g[maybe]
+            maybe, at = maybe[good], at[good]
+            n = self.first[at + 1] - self.first[at]
+            if not len(n):
+                continue
+            # Every (place in the text, place in a passage) with the same gram.
+            total = np.cumsum(n)
+            limits = np.unique([0, *np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)), len(n)])
+            for low, high in zip(limits[:-1], limits[1:]):
+                m = n[low:high]
+                entry = np.repeat(self.first[at[low:high]] - (total[low:high] - m - (total[low] - n[low])), m) + np.arange(m.sum())
+                item = self.of[entry]
+                cell = (begin + np.repeat(maybe[low:high], m) - self.place[entry]) // self.width[item]
+                yield np.unique(item * (1 << 40) + cell + (1 << 30), return_counts=True)  # cells before the text's begin are negative
+
+    def regions(self, chars: np.ndarray) -> dict[int, list[list[int]]]:
+        """By passage, [first diagonal, end] of the regions where the bound is met."""
+        parts = list(self.counted(chars)) if len(self.grams) else []
+        if not parts:
+            return {}
+        cells, count = parts[0]
+        if len(parts) > 1:
+            cells, of = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            count = np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64)
+        if 2 * count.max() < self.least.min():
+            return {}
         # A band is a cell and the next one; a cell without hits before one with hits starts a band as well.
         starts = np.unique(np.concatenate((cells, cells - 1)))
 
@@ -133,68 +142,140 @@ class Block:
             return np.where(cells[i] == k, count[i], 0)
 
         met = starts[hits(starts) + hits(starts + 1) >= self.least[starts >> 40]]
-        return [(k >> 40, ((k & ((1 << 40) - 1)) - (1 << 30)) * int(self.width[k >> 40])) for k in met.tolist()]
+        found: dict[int, list[list[int]]] = {}
+        for key in met.tolist():
+            k, cell, width = key >> 40, (key & ((1 << 40) - 1)) - (1 << 30), int(self.width[key >> 40])
+            mine = found.setdefault(k, [])
+            if mine and cell * width <= mine[-1][1]:
+                mine[-1][1] = (cell + 2) * width
+            else:
+                mine.append([cell * width, (cell + 2) * width])
+        return found
+
+    def found(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(number, edits, start, end) of each passage's best stretch in ``text``."""
+        chars = codes(text)
+        for k, regions in self.regions(chars).items():
+            number, passage, most = self.passages[k]
+            at = text.find(passage)
+            best = (0, at, at + len(passage)) if at >= 0 else aligned(codes(passage), chars, regions, most)
+            if best is not None:
+                yield number, *best
 
-    def found(self, text: str) -> list[tuple]:
-        """Rows of SCHEMA: each passage's best stretch in ``text``."""
-        best: dict[int, tuple] = {}
-        for k, diagonal in self.regions(text):
-            passage = self.items[k][1]
-            if k in best and best[k][0] == 0:
-                continue
-            got = banded(passage, text, diagonal, 2 * int(self.width[k]), edits_allowed(len(passage)))
-            if got is not None and (k not in best or got < best[k]):
-                best[k] = got
-        return [(self.items[k][0], *best[k], len(self.items[k][1])) for k in sorted(best)] + self.found_short(text)
-
-    def found_short(self, text: str) -> list[tuple]:
-        """Rows of SCHEMA: the first place of each short passage that stands in ``text`` between word limits."""
-        if not self.short:
-            return []
-        words, start, first = text.split(" "), 0, {}
+
+class Block:
+    """Some passages, by how they are found."""
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.items = items
+        edits = [edits_allowed(len(t)) for _, t in items]
+        self.long = Index([(i, t, e) for i, ((_, t), e) in enumerate(zip(items, edits)) if len(t) >= SHORT], Q)
+        self.short = Index([(i, f" {t} ", e) for i, ((_, t), e) in enumerate(zip(items, edits)) if e and len(t) < SHORT], Q_SHORT)
+        # Passages without edits by their words; by a first word, the numbers of words that passages with it have.
+        self.whole: dict[str, list[int]] = {}
+        self.lengths: dict[str, set[int]] = {}
+        for i, (_, t) in enumerate(items):
+            if t and not edits[i]:
+                words = t.split(" ")
+                self.whole.setdefault(t, []).append(i)
+                self.lengths.setdefault(words[0], set()).add(len(words))
+
+    def stretches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(number, edits, start, end) of each passage's best stretch in ``text``."""
+        yield from self.long.found(text)
+        if self.short.passages:
+            for i, edits, start, end in self.short.found(f" {text} "):
+                # From places in the text with spaces around, the passage's own left out.
+                yield i, edits, min(start, len(text)), max(min(start, len(text)), min(end - 2, len(text)))
+        if self.whole:
+            yield from self.unchanged(text)
+
+    def unchanged(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """The first place of each passage of ``whole`` that stands in ``text`` between word limits."""
+        start, first = 0, {}
+        words = text.split(" ")
         for at, word in enumerate(words):
             for n in self.lengths.get(word, ()):
                 passage = " ".join(words[at : at + n])
-                if passage in self.short:
+                if passage in self.whole:
                     first.setdefault(passage, start)
             start += len(word) + 1
-        return [(i, 0, s, s + len(p), len(p)) for p, s in first.items() for i in self.short[p]]
-
+        for passage, start in first.items():
+            for i in self.whole[passage]:
+                yield i, 0, start, start + len(passage)
 
-def banded(passage: str, text: str, diagonal: int, width: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best stretch of ``text`` for ``passage`` on ``width`` diagonals from ``diagonal``, or None.
-
-    Row i of the band holds the distances of the passage's first i characters to stretches that end at
-    diagonal + i + j, and where each such stretch starts. Stretches may start and end anywhere in the band.
-    """
-    exact = text.find(passage, max(0, diagonal), max(0, diagonal + width + len(passage)))
-    if exact >= 0:
-        return 0, exact, exact + len(passage)
-    p, far = codes(passage), 1 << 20
-    reach = np.arange(width, dtype=np.int64)
-    row = np.where((diagonal + reach >= 0) & (diagonal + reach <= len(text)), 0, far)
-    start = diagonal + reach
-    low, high = max(0, diagonal), min(len(text), diagonal + width + len(p) + 1)
-    window = np.full(width + len(p) + 1, 0xFFFFFFFF, np.uint32)  # window[x] is the text's character at diagonal + x
-    if high > low:
-        window[low - diagonal : high - diagonal] = codes(text[low:high])
-    for i, c in enumerate(p, 1):
-        # From the same diagonal: a match or substitution of the character at diagonal + i - 1 + j; from the next one: a character of the passage left out.
-        same = row + (window[i - 1 : i - 1 + width] != c)
+    def found(self, text: str) -> list[tuple]:
+        """Rows of SCHEMA."""
+        return [(self.items[i][0], *best, len(self.items[i][1])) for i, *best in sorted(self.stretches(text))]
+
+    def holds_any(self, text: str) -> bool:
+        return next(self.stretches(text), None) is not None
+
+
+def _pieces(regions: list[list[int]], overlap: int) -> Iterator[list[list[int]]]:
+    """The regions in lots of at most some DIAGONALS; wide ones in pieces that overlap by a band."""
+    lot, size = [], 0
+    for low, high in regions:
+        while low < high:
+            end = min(high, low + DIAGONALS)
+            if lot and size + end - low > DIAGONALS:
+                yield lot
+                lot, size = [], 0
+            lot.append([low, end])
+            size += end - low
+            low = end if end == high else end - overlap
+    if lot:
+        yield lot
+
+
+def aligned(passage: np.ndarray, text: np.ndarray, regions: list[list[int]], most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best stretch of ``text`` on the regions' diagonals, or None above ``most`` edits."""
+    best = None
+    for lot in _pieces(regions, 2 * (most + 1)):
+        got = _aligned(passage, text, lot, most)
+        if got is not None and (best is None or got < best):
+            best = got
+    return best
+
+
+def _aligned(passage: np.ndarray, text: np.ndarray, regions: list[list[int]], most: int) -> tuple[int, int, int] | None:
+    """Row i holds the distances of the passage's first i characters to stretches that end at diagonal + i, and where
+    each such stretch starts. The regions' diagonals lie one after the other in one array; a large number for each
+    region before keeps what a running minimum sees of it out of the next one."""
+    n, far, apart = len(text), 1 << 20, 1 << 22
+    base = np.concatenate([np.arange(low, high) for low, high in regions])
+    region = np.repeat(np.arange(len(regions)), [high - low for low, high in regions])
+    before, after = max(0, -int(base.min())), max(0, int(base.max()) + len(passage) - n)
+    window = np.full(before + n + after + 1, 0xFFFFFFFF, np.uint32)
+    window[before : before + n] = text
+    row, start, at = np.where((base >= 0) & (base <= n), 0, far), base, base + before
+    last = np.append(region[1:] != region[:-1], True)
+    level, place = region * apart + np.arange(len(base)), np.arange(len(base))
+    for i, c in enumerate(passage, 1):
+        # From the same diagonal: a match or substitution; from the next one: a character of the passage left out.
+        same = row + (window[at + (i - 1)] != c)
         skip = np.append(row[1:], far) + 1
+        skip[last] = far
         better = skip < same
         row, start = np.where(better, skip, same), np.where(better, np.append(start[1:], 0), start)
-        end = diagonal + i + reach
-        row = np.where((end >= 0) & (end <= len(text)), row, far)
-        # Characters of the text left out: the least of row[k] + (j - k) over k <= j.
-        reduced = row - reach
+        if before or after:
+            end = base + i
+            row = np.where((end >= 0) & (end <= n), row, far)
+        # Characters of the text left out: the least of row[k] + (j - k) over k <= j in the region.
+        reduced = row - level
         least = np.minimum.accumulate(reduced)
-        source = np.maximum.accumulate(np.where(reduced == least, reach, 0))
-        row, start = least + reach, start[source]
-        if row.min() > most:
-            return None
-    j = int(np.argmin(row))
-    return int(row[j]), int(start[j]), int(diagonal + len(p) + j)
+        row, start = least + level, start[np.maximum.accumulate(np.where(reduced == least, place, 0))]
+        if i % 8 == 0 or i == len(passage):
+            first = np.flatnonzero(np.append(True, last[:-1]))
+            alive = np.minimum.reduceat(row, first) <= most
+            if not alive.any():
+                return None
+            if not alive.all():
+                keep = np.repeat(alive, np.diff(np.append(first, len(row))))
+                row, start, base, at, last, level = row[keep], start[keep], base[keep], at[keep], last[keep], level[keep]
+                place = np.arange(len(row))
+    j = np.lexsort((base, start, row))[0]
+    return int(row[j]), int(start[j]), int(base[j] + len(passage))
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
@@ -248,9 +329,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no passage is found, all columns as they were."""
-    for items in blocks(benchmark, item_id, item_text):
-        docs = docs.where(_is_clean(_sent(docs, items))(F.col(text)))
+    """The rows of ``docs`` in which no passage is found, all columns as they were.
+
+    What a block leaves is written out before the next one, so a worker holds one block's index at a time.
+    """
+    for n, items in enumerate(blocks(benchmark, item_id, item_text)):
+        docs = (checkpointed(docs) if n else docs).where(_is_clean(_sent(docs, items))(F.col(text)))
     return docs
 
 
@@ -259,7 +343,7 @@ def _is_clean(sent):
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = _index_of(sent)
         for part in parts:
-            yield pd.Series([not index.found(normalised(t)) for t in part], dtype=bool)
+            yield pd.Series([not index.holds_any(normalised(t)) for t in part], dtype=bool)
 
     return clean
 

@@ -81,15 +81,58 @@ def test_op2(spark, odd_dir):
     check_packing(registry.queries()["op2_best_fit_packing"](spark, odd_dir).collect(), read(spark, odd_dir))
 
 
-def test_op3_finds_every_passage(spark, odd_dir):
+def least_edits(passage, text):
+    """The least edits of any stretch of ``text`` for the passage: bit vectors, one step a character."""
+    m, places = len(passage), {}
+    for i, c in enumerate(passage):
+        places[c] = places.get(c, 0) | 1 << i
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, best = every, 0, m, m
+    for c in text:
+        eq = places.get(c, 0)
+        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(xh | up)) & every, up & xh
+        score += bool(ph & top) - bool(mh & top)
+        best = min(best, score)
+        ph, mh = ph << 1, mh << 1
+        up, down = (mh | ~(xv | ph)) & every, ph & xv & every
+    return best
+
+
+def test_least_edits():
+    assert [least_edits("abcdef", t) for t in ("xxabcdefxx", "xxabdefxx", "abcXdef", "", "zzz", "abXdXf")] == [0, 1, 1, 6, 6, 2]
+
+
+def test_op3_exact_passages(spark, odd_dir):
     norm = decontaminate.normalised
     for folder in (SF01, odd_dir):
         docs, items = read(spark, folder), read(spark, folder, "benchmark")
-        want = Counter((d["doc_id"], i["item_id"]) for d in docs for i in items if len(norm(i["text"])) >= decontaminate.SHORTEST and norm(i["text"]) in norm(d["text"]))
+        holds = lambda d, i: norm(i) and (norm(i) in norm(d) if len(norm(i)) >= decontaminate.SHORT else f" {norm(i)} " in f" {norm(d)} ")
+        want = Counter((d["doc_id"], i["item_id"]) for d in docs for i in items if holds(d["text"], i["text"]))
         got = Counter((r["doc_id"], r["item_id"]) for r in registry.queries()["op3_benchmark_leaks"](spark, folder).collect() if r["edits"] == 0)
         assert got == want and want
 
 
+def test_op3_all_pairs_by_edit_distance(spark):
+    """Every document against every passage, near matches too; planted ones with edits make sure that there are some."""
+    norm, rng = decontaminate.normalised, np.random.default_rng(4)
+    items = read(spark, SF, "benchmark")[::5]
+    docs = [(d["doc_id"], d["text"]) for d in read(spark, SF) if len(d["text"] or "") < 4000]
+    for k, i in enumerate(items):
+        chars = list(i["text"])
+        for at in rng.integers(0, len(chars) - 1, 2 + 2 * k):
+            chars[at] = chars[at] + "q" if at % 3 == 0 else "" if at % 3 == 1 else "z"
+        docs.append((10_000 + k, f"{docs[k][1][:300]} {''.join(chars)} {docs[k + 1][1][:300]}"))
+    want = {}
+    for d, t in docs:
+        for i in items:
+            edits, p = least_edits(norm(i["text"]), norm(t)), norm(i["text"])
+            if edits <= decontaminate.edits_allowed(len(p)):
+                want[d, i["item_id"]] = edits
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in found} == want and len(set(want.values())) > 4 and len(found) == len(want)
+
+
 def base_spans(text):
     """The fixed patterns, one start after the other."""
     found = []
