@@ -7,21 +7,27 @@ that have a node:
 * a content node (a text block at that path, found on k of the pages) has importance 1 - log k / log m: text that all
   pages repeat has 0, text of one page has 1;
 * a presentation node (an element) has the entropy of its pages' sequences of child elements, to the base m, as its own
-  importance, and as composite importance ``OWN`` of that plus the rest of the mean importance of all content below.
-
-Nodes that ``LEAST_PAGES`` pages have are judged, first of all: a branch of a page is removed when its composite
-importance is under ``CUT``, a text block when its own is, paragraphs in articles like any other. The elements that
-hold the article (and what is above them) and branches with half of a page's text or more are never removed, nor are
-text blocks when they are half of what the branches leave, so near copies of a page on one host don't lose their text.
-Then markup: elements, roles and class words that mean navigation, notices, adverts, forms or comments go, on all
-hosts, as their text may differ from page to page; and where a page marks its article, text outside of it goes unless
-the tree judged its node and found it important.
+  importance. With c the mean importance of all content below and s its own, its composite importance is
+  1 - (1 - c) * (1 - s): a branch is important by content that differs from page to page, or by its build.
+
+Nodes that ``LEAST_PAGES`` pages have are judged, first of all. The measure is the host's main branch, the deepest one
+with half of the host's text or more: a branch of a page is removed when its composite importance is more than ``GAP``
+below that of the main branch. Text in adverts, menus and footers recurs now and then even where it is not the same on
+all pages; an article's hardly does. A text block that most pages of its node repeat (importance under ``CUT``) is
+removed as well, paragraphs in articles like any other. The elements that hold the article (and what is above them)
+and branches with half of a page's text or more are never removed, nor are text blocks when they are half of what the
+branches leave, so near copies of a page on one host don't lose their text.
+
+Then markup, for what a tree can't know (a host with few pages, menus that differ on all of them): elements and roles
+that mean navigation, notices, adverts, forms or comments go, and elements whose class or id says so with all of its
+words (``FURNITURE_WORDS`` and neutral ones). Where a page marks its article, and that has half of the text that is
+left, text outside of it goes unless the tree judged its node and found it important.
 
 Pages are parsed in Arrow batches twice; between, only path, content and page hashes are counted, combined before the
-shuffle. The verdicts come to the pages by host: broadcast where their number, which is checked, is at most
-``BROADCAST_ROWS``, else by a join that Spark can split for a hot host.
+shuffle. The verdicts are sent to the tasks where their number, which is counted, is at most ``BROADCAST_ROWS``; else
+the pages' own nodes are joined with them, and what each page gets is bounded by its own nodes.
 
-Defined results: a null or empty html gives an empty text; a null url is a host of its own; broken markup is read as
+Defined results: a null or empty html gives an empty text, an empty table an empty table; a null url is a host of its own; broken markup is read as
 browsers read it in the main (unclosed, stray and overlapping tags); ``br`` is white space; elements nested deeper
 than ``DEEPEST`` levels count as their ancestor at that level in paths, their text stays; rows given twice come out
 twice; a null ``page_id`` is kept; extra columns are not read.
@@ -41,11 +47,12 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import checkpointed, table
 
-#: Share of an element's own (presentation) importance in the composite one, and the importance below which it goes.
-OWN, CUT = 0.1, 0.3
-#: Pages of a host that must have an element before it is judged by the tree.
-LEAST_PAGES = 5
-DEEPEST, BROADCAST_ROWS = 60, 100_000
+#: How far a branch's importance may lie below the main branch's, and the importance below which a text block goes.
+GAP, CUT = 0.05, 0.3
+#: Pages of a host that must have a node before it is judged by the tree, and levels of elements that paths tell apart.
+LEAST_PAGES, DEEPEST = 5, 60
+#: Verdicts that are sent to all tasks.
+BROADCAST_ROWS = 100_000
 
 # Fixed values of the markup language, and words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +68,11 @@ FURNITURE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist respond disqus reply replies pagination pager masthead toolbar widget widgets skip copyright".split()
 )
+#: Words that say nothing about what an element holds, beside words that do.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box buttons button column container content contents entry form global group header icons inner item items label layer left link links list "
+    "module outer page panel post posts primary right row secondary section site slot small strip tag text title top unit view wrap wrapper zone".split()
+)
 #: Words that name readers' comments, and words of a class or id after which the rest describes the element.
 COMMENT_WORDS = frozenset("comment comments commentlist respond disqus reply replies".split())
 DESCRIBING = frozenset("no non not without has with".split())
@@ -100,13 +112,16 @@ class Block:
 
 
 def _named(value: str) -> set[str]:
-    """The words by which a class or id names an element: none after "no", "has" or "with"."""
+    """The furniture words of a class or id, where a name has no other words than neutral ones: "ad-box" is named, "related-work" is not."""
     words = set()
     for name in value.split():
+        mine = []
         for word in WORD.findall(name):
             if word in DESCRIBING:
                 break
-            words.add(word)
+            mine.append(word)
+        if all(word in FURNITURE_WORDS or word in NEUTRAL_WORDS for word in mine):
+            words.update(FURNITURE_WORDS.intersection(mine))
     return words
 
 
@@ -119,7 +134,7 @@ def _described(tag: str, attributes: str) -> tuple[str, int]:
         given.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     for kind, value in given.items():
         if kind in ("class", "id"):
-            if words := _named(value) & FURNITURE_WORDS:
+            if words := _named(value):
                 rule = max(rule, COMMENTS if words & COMMENT_WORDS else WORDS)
             name += ("." if kind == "class" else "#") + "-".join(WORD.findall(value))
         elif (kind == "role" and value in FURNITURE_ROLES) or kind == "hidden" or (kind == "aria-hidden" and value == "true"):
@@ -230,7 +245,9 @@ def without_furniture(blocks: list[Block]) -> tuple[list[Block], bool]:
     words = {k: e for k, e in words.items() if e.rule == COMMENTS or sizes[k] <= most}
     if not any(out(b, words) for b in articles or blocks):
         words = {k: e for k, e in words.items() if sizes[k] <= most}
-    return [b for b in blocks if out(b, words)], bool(articles)
+    blocks = [b for b in blocks if out(b, words)]
+    inside = sum(len(b.text) for b in blocks if b.element.article)
+    return blocks, bool(articles) and 2 * inside >= sum(len(b.text) for b in blocks)
 
 
 def _digest(*parts: str) -> int:
@@ -266,15 +283,15 @@ def main_text(source: str | None, low: frozenset[str] = frozenset(), repeated: f
     return "\n".join(b.text for b in blocks)
 
 
-def counted(source: str | None) -> tuple[int, set[tuple[str, int, int]]]:
-    """The page's digest, and (path, kind, what) of its nodes: 0 a text block, 1 a sequence of child elements."""
+def counted(source: str | None) -> tuple[int, set[tuple[str, int, int, int]]]:
+    """The page's digest, and (path, kind, what, characters) of its nodes: 0 a text block, 1 a sequence of child elements."""
     seen, elements, blocks = set(), {}, parse(source)
     for b in blocks:
-        seen.add((b.element.path, 0, _digest(b.element.path, b.text)))
+        seen.add((b.element.path, 0, _digest(b.element.path, b.text), len(b.text)))
         for e in chain(b.element):
             elements.setdefault(e.path, e)
     for path, e in elements.items():
-        seen.add((path, 1, _digest(",".join(dict.fromkeys(e.children)))))
+        seen.add((path, 1, _digest(",".join(e.children)), 0))
     return _digest(*(b.text for b in blocks)), seen
 
 
@@ -282,9 +299,9 @@ def _host(pages: DataFrame, url: str):
     return F.coalesce(F.lower(F.regexp_extract(pages[url], r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def verdicts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, repeated, important) of the judged nodes: branches of low importance, repeated text blocks
-    (``repeated`` is a digest of path and text) and important nodes."""
+def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """The merged trees of all hosts: (host, path, m, own, content, chars, importance) of elements, and (host, path,
+    what, k, m) of the text blocks of which some are alike."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -292,46 +309,95 @@ def verdicts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
             for host, source in zip(frame["host"], frame["source"]):
                 page, nodes = counted(source)
                 seen.update((host, *node, page) for node in nodes)
-            yield pd.DataFrame(list(seen), columns=["host", "path", "kind", "what", "page"])
+            yield pd.DataFrame(list(seen), columns=["host", "path", "kind", "what", "chars", "page"])
 
-    seen = pages.select(_host(pages, url).alias("host"), pages[html].alias("source")).mapInPandas(batches, "host string, path string, kind int, what long, page long")
-    by_what = checkpointed(seen.distinct().groupBy("host", "path", "kind", "what").agg(F.count(F.lit(1)).alias("k")))
+    seen = pages.select(_host(pages, url).alias("host"), pages[html].alias("source")).mapInPandas(batches, "host string, path string, kind int, what long, chars long, page long")
+    by_what = checkpointed(seen.distinct().groupBy("host", "path", "kind", "what", "chars").agg(F.count(F.lit(1)).alias("k")))
     of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
     # A page has one sequence of children by path, so those count the pages of a node.
-    nodes = by_what.groupBy("host", "path").agg(of(1, F.col("k")).alias("m"), of(0, F.col("k")).alias("blocks"), of(0, F.col("k") * F.ln("k")).alias("repeated"), of(1, F.col("k") * F.ln("k")).alias("styled"))
-    nodes = nodes.where("m > 1")
-    own = nodes.select("host", "path", "m", (1 - F.col("styled") / (F.col("m") * F.ln("m"))).alias("own"), F.lit(0).cast("long").alias("blocks"), F.lit(0.0).alias("content"))
+    nodes = by_what.groupBy("host", "path").agg(
+        of(1, F.col("k")).alias("m"), of(0, F.col("k")).alias("blocks"), of(0, F.col("k") * F.col("chars")).alias("chars"),
+        of(0, F.col("k") * F.ln("k")).alias("repeated"), of(1, F.col("k") * F.ln("k")).alias("styled"),
+    )
+    nodes = checkpointed(nodes.where("m > 1"))
+    own = nodes.select("host", "path", "m", (1 - F.col("styled") / (F.col("m") * F.ln("m"))).alias("own"), *(F.lit(0).cast(t).alias(c) for c, t in (("blocks", "long"), ("chars", "long"), ("content", "double"))))
     steps = F.split("path", "/")
     above = F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
-    content = nodes.where("blocks > 0").select("host", above.alias("path"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("double").alias("own"), "blocks", (F.col("blocks") - F.col("repeated") / F.ln("m")).alias("content"))
-    tree = own.unionByName(content).groupBy("host", "path").agg(F.max("m").alias("m"), F.max("own").alias("own"), (F.sum("content") / F.sum("blocks")).alias("content"))
+    none = lambda t: F.lit(None).cast(t)
+    content = nodes.where("blocks > 0").select("host", above.alias("path"), none("long").alias("m"), none("double").alias("own"), "blocks", "chars", (F.col("blocks") - F.col("repeated") / F.ln("m")).alias("content"))
+    tree = own.unionByName(content).groupBy("host", "path").agg(F.max("m").alias("m"), F.max("own").alias("own"), F.sum("chars").alias("chars"), (F.sum("content") / F.sum("blocks")).alias("content"))
+    tree = tree.where("m is not null").withColumn("importance", 1 - (1 - F.coalesce("content", F.lit(1.0))) * (1 - F.col("own")))
+    blocks = by_what.where("kind = 0 and k > 1").join(nodes.select("host", "path", "m"), ["host", "path"]).select("host", "path", "what", "k", "m")
+    return checkpointed(tree), blocks
+
+
+def verdicts(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, path, repeated, important) of the judged nodes: branches of low importance, repeated text blocks
+    (``repeated`` is a digest of path and text) and important nodes."""
+    tree, blocks = style_tree(pages, url, html)
+    # The main branch: the deepest one with half of the host's text, by what lies at the top of its pages.
+    total = tree.groupBy("host").agg(F.max("chars").alias("total"))
+    half = 2 * F.col("chars") >= F.col("total")
+    place = F.struct(half.alias("half"), F.when(half, F.size(F.split("path", "/"))).alias("depth"), "chars", "path")
+    main = tree.join(total, "host").groupBy("host").agg(F.max_by("importance", place).alias("main"))
     name = F.regexp_extract("path", r"([^/.#]*)[^/]*$", 1)
     branch = ~name.isin(*sorted(TEXT_TAGS | ARTICLE | {"html", "body", ""}))
-    poor = OWN * F.col("own") + (1 - OWN) * F.col("content") < CUT
-    judged = tree.where(F.col("m") >= LEAST_PAGES).where(branch | ~poor).select("host", "path", F.lit(None).cast("long").alias("repeated"), (~poor).alias("important"))
-    # A text block on k of m pages: at least LEAST_PAGES ** (1 - CUT) of them, which few blocks reach.
-    common = by_what.where((F.col("kind") == 0) & (F.col("k") > LEAST_PAGES ** (1 - CUT)))
-    same = common.join(nodes.where(F.col("m") >= LEAST_PAGES).select("host", "path", "m"), ["host", "path"]).where(1 - F.ln("k") / F.ln("m") < CUT)
+    poor = F.col("importance") < F.col("main") - GAP
+    judged = tree.where(F.col("m") >= least_pages).join(main, "host").where(branch | ~poor)
+    judged = judged.select("host", "path", F.lit(None).cast("long").alias("repeated"), (~poor).alias("important"))
+    same = blocks.where((F.col("m") >= least_pages) & (1 - F.ln("k") / F.ln("m") < CUT))
     return judged.unionByName(same.select("host", "path", F.col("what").alias("repeated"), F.lit(False).alias("important")))
 
 
-def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+KINDS = ("low", "again", "important")
+
+
+def _kind(row) -> str:
+    return "again" if row["repeated"] is not None else "important" if row["important"] else "low"
+
+
+def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text) of every page."""
-    these = lambda c, test: F.collect_set(F.when(test, F.col(c))).alias
-    path = F.col("repeated").isNull()
-    told = verdicts(pages, url, html).groupBy("host").agg(these("path", path & ~F.col("important"))("low"), these("repeated", ~path)("again"), these("path", path & F.col("important"))("important"))
-    told = checkpointed(told)
-    few = (told.agg(F.sum(F.size("low") + F.size("again") + F.size("important")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
+    told = checkpointed(verdicts(pages, url, html, least_pages))
     rows = pages.select(pages[page_id].alias("page_id"), pages[url].alias("url"), pages[html].alias("source"), _host(pages, url).alias("host"))
-    given = rows.join(F.broadcast(told) if few else told, "host", "left").select("page_id", "url", "source", "low", "again", "important")
+    schema = "page_id long, url string, text string"
+    output = lambda frame, texts: pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts})
+    if told.count() > BROADCAST_ROWS:
+        given = _joined(rows, told)
+
+        def one_by_one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                sets = zip(*([frozenset(x) if x is not None else frozenset() for x in frame[c]] for c in KINDS))
+                yield output(frame, [main_text(s, *x) for s, x in zip(frame["source"], sets)])
+
+        return given.mapInPandas(one_by_one, schema)
+    by_host: dict = {}
+    for row in told.collect():  # at most BROADCAST_ROWS, as counted
+        by_host.setdefault(row["host"], {}).setdefault(_kind(row), set()).add(row["path"] if row["repeated"] is None else row["repeated"])
+    sent = pages.sparkSession.sparkContext.broadcast({host: tuple(frozenset(kinds.get(c, ())) for c in KINDS) for host, kinds in by_host.items()})
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = zip(*([frozenset(x) if x is not None else frozenset() for x in frame[c]] for c in ("low", "again", "important")))
-            texts = [main_text(s, *x) for s, x in zip(frame["source"], sets)]
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts})
+            yield output(frame, [main_text(s, *sent.value.get(host, ())) for s, host in zip(frame["source"], frame["host"])])
+
+    return rows.mapInPandas(batches, schema)
+
+
+def _joined(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` with the verdicts on each page's own nodes, by joins of nodes and of whole pages' digests."""
+
+    def nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(host, key, path, what if kind == 0 else None) for host, key, source in zip(frame["host"], frame["key"], frame["source"]) for path, kind, what, _ in counted(source)[1]]
+            yield pd.DataFrame(found, columns=["host", "key", "path", "what"]).astype({"what": "Int64"})
 
-    return given.mapInPandas(batches, "page_id long, url string, text string")
+    keyed = rows.withColumn("key", F.unhex(F.md5(F.coalesce("source", F.lit("")))))
+    own = keyed.select("host", "key", "source").mapInPandas(nodes, "host string, key binary, path string, what long").distinct()
+    met = own.join(told, ["host", "path"]).where(F.col("repeated").isNull() | (F.col("repeated") == F.col("what")))
+    path = F.col("repeated").isNull()
+    these = lambda c, test: F.collect_set(F.when(test, F.col(c))).alias
+    sets = met.groupBy("host", "key").agg(these("path", path & ~F.col("important"))("low"), these("repeated", ~path)("again"), these("path", path & F.col("important"))("important"))
+    return keyed.join(checkpointed(sets), ["host", "key"], "left").select("page_id", "url", "source", *KINDS)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

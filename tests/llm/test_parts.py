@@ -271,6 +271,10 @@ def test_attributes_are_whole(attributes):
         ("<div class='comments'><p>all the text</p></div><nav>m</nav>", "all the text"),
         ("<div class='related'><article>x</article></div><article>all the text</article>", "all the text"),
         ("<aside><article>x</article></aside><article>all</article>", "all"),
+        ("<article><p>a</p><div class='related-work'><p>b</p></div></article>", "a\nb"),
+        ("<main><div class='social-history'><p>all the text</p></div></main>", "all the text"),
+        ("<p>teaser</p><article>card</article><div class='body'>main text and most of it</div>", "teaser\ncard\nmain text and most of it"),
+        ("<article><p>all the text</p><div class='ad-slot'>x</div><div class='related posts'>y</div><div id='share-buttons'>z</div></article>", "all the text"),
     ],
 )
 def test_class_words_are_guesses(page, text):
@@ -317,6 +321,47 @@ def test_style_tree_judges_text_blocks_and_comes_first(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()} == want
 
 
+def furnished_pages(marks):
+    """Forty pages of one host whose menu, advert and footer come from some dozen texts each; articles of changing build."""
+    rng, rows, want = random.Random(8), [], {}
+    texts = [" ".join(f"t{k}w{j}" for j in range(8)) for k in range(12)]
+    for i in range(40):
+        paragraphs = [" ".join(f"w{i}x{j}y{k}" for j in range(30)) for k in range(1 + i % 7)]
+        nav, ad, foot = (rng.choice(texts) for _ in range(3))
+        menu = "".join(f"<li>{w}" for w in nav.split()[: 3 + i % 3])
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        rows.append((i, "http://h/a", f"<body><div class={marks[0]}><ul>{menu}</ul></div><div class={marks[1]}>{ad}</div><div class=b><h1>title {i}</h1>{body}</div><div class={marks[2]}>(c) {foot}</div></body>"))
+        want[i] = "\n".join([f"title {i}", *paragraphs])
+    return rows, want
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_style_tree_alone_removes_furniture(spark, monkeypatch, most):
+    """Without any furniture words or tags the tree finds menus, adverts and footers that recur but are not the same on all pages."""
+    for name in ("FURNITURE_WORDS", "FURNITURE_TAGS", "FURNITURE_ROLES", "ARTICLE"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", most)
+    rows, want = furnished_pages(("x", "y", "z"))
+    rows += [(100, None, "<body><p>other</p>"), (101, "http://h/a", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()} == want | {100: "other", 101: ""}
+
+
+def test_style_tree_finds_branches_of_the_given_pages(spark):
+    """The tree removes menus, adverts and footers there, and no article loses text to it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    told = html_extract.verdicts(pages).where("repeated is null and not important").collect()
+    assert len(told) > 10 and all(any(x in r["path"] for x in ("/nav", "/div.ad", "/footer")) for r in told)
+
+
+def test_joined_verdicts_are_the_sent_ones(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = lambda: sorted((r["page_id"], r["text"]) for r in html_extract.extract_main_text(pages).collect())
+    sent = texts()
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    assert texts() == sent
+
+
 def test_toxicity_without_labels():
     model = toxicity.fit([], ["a"])
     assert model.score("x") == 0.0 and toxicity.fit(["bad words"] * 3, ["good words"] * 3).score(None) < 1
