@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 from loomwell.llm.common import table
 
 #: Bound of the sample that the model is fitted on: rows a class.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1200
 #: Pieces by which toxic words are told: their bytes, words of a stretch, how much more often than in ordinary text,
 #: standard deviations above it, and the least number of documents.
 GRAMS, STRETCH, RATIO, SURE, LEAST_DOCUMENTS = (5, 6, 7, 8), 30, 4, 10, 3
-ROUNDS, DICTIONARY_BYTES = 3, 6000
+ROUNDS, DICTIONARY_BYTES = 3, 9000
+#: Ordinary documents whose pieces are counted at once.
+LOT = 100
 #: Differences in bytes whose frequency describes a document.
 STEPS = (2, 3, 4, 5, 6, 8)
 #: Ends every window and both dictionaries: the compressor looks for no match in the last 8 bytes of its input.
@@ -130,6 +132,11 @@ class _Windows:
     stretch: np.ndarray
     document: np.ndarray
 
+    @property
+    def begins(self) -> np.ndarray:
+        """The place of each word, and one behind the last word's space."""
+        return np.flatnonzero(self.text == 32) + 1
+
     @classmethod
     def of(cls, documents: list[list[bytes]]) -> "_Windows":
         text = np.frombuffer(b" " + b" ".join(w for words in documents for w in words) + b" ", np.uint8)
@@ -137,12 +144,12 @@ class _Windows:
         document = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(document)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         first = np.concatenate(([0], np.cumsum(-(-sizes // STRETCH))))
-        return cls(text, np.cumsum(text == 32) - 1, first[document] + place // STRETCH, document)
+        return cls(text, np.cumsum(text == 32, dtype=np.int32) - 1, first[document] + place // STRETCH, document)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """All pieces of ``n`` bytes of windows, as numbers, and the word of each. Only their ends may be spaces."""
-        space = np.concatenate(([0], np.cumsum(self.text == 32)))
-        at = np.arange(max(0, len(self.text) - n + 1))
+        space = np.concatenate(([0], np.cumsum(self.text == 32, dtype=np.int32)))
+        at = np.arange(max(0, len(self.text) - n + 1), dtype=np.int32)
         at = at[space[at + n - 1] == space[at + 1]]
         value = np.zeros(len(at), np.uint64)
         for k in range(n):
@@ -157,27 +164,37 @@ def _found_in(values: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
 
 def telling_words(bad: list[list[bytes]], good: list[list[bytes]]) -> tuple[np.ndarray, set[bytes]]:
     """Which words of toxic documents hold a telling piece, by place, and the ordinary ones that do."""
-    toxic, ordinary = _Windows.of(bad), _Windows.of(good)
-    marked, marked_good = np.zeros(len(toxic.document), bool), np.zeros(len(ordinary.document), bool)
-    if not len(marked) or not len(marked_good):
-        return marked, set()
-    share = (toxic.stretch[-1] + 1) / (ordinary.stretch[-1] + 1)
+    toxic, lots = _Windows.of(bad), [_Windows.of(good[k : k + LOT]) for k in range(0, len(good), LOT)]
+    marked, known_words = np.zeros(len(toxic.document), bool), set()
+    lots = [lot for lot in lots if len(lot.document)]
+    if not len(marked) or not lots:
+        return marked, known_words
+    share = (toxic.stretch[-1] + 1) / sum(int(lot.stretch[-1]) + 1 for lot in lots)
     for n in GRAMS:
-        (of_bad, word), (of_good, word_good) = toxic.grams(n), ordinary.grams(n)
+        of_bad, word = toxic.grams(n)
         known, value = np.unique(of_bad, return_inverse=True)
         if not len(known):
             continue
-        at = np.minimum(np.searchsorted(known, of_good), len(known) - 1)
-        there = known[at] == of_good
-        at, word_good = at[there], word_good[there]
-        found = _found_in(value, toxic.stretch[word], len(known))
-        expected = (_found_in(at, ordinary.stretch[word_good], len(known)) + 0.5) * share
-        least = max(LEAST_DOCUMENTS, len(bad) // 120)
+        found, ordinary = _found_in(value, toxic.stretch[word], len(known)), np.zeros(len(known), np.int64)
+        for lot in lots:
+            at, of = _known(lot, n, known)
+            ordinary += _found_in(at, lot.stretch[of], len(known))
+        expected, least = (ordinary + 0.5) * share, max(LEAST_DOCUMENTS, len(bad) // 120)
         telling = (found > RATIO * expected) & (found - expected > SURE * np.sqrt(expected + 1)) & (_found_in(value, toxic.document[word], len(known)) >= least)
         marked[word[telling[value]]] = True
-        marked_good[word_good[telling[at]]] = True
-    words = [w for of in good for w in of]
-    return marked, {words[k] for k in np.flatnonzero(marked_good)}
+        for lot in lots:
+            at, of = _known(lot, n, known[telling])
+            known_words.update(lot.text.tobytes()[lot.begins[k] : lot.begins[k + 1] - 1] for k in np.unique(of).tolist())
+    return marked, known_words
+
+
+def _known(windows: _Windows, n: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``known``, which are sorted, the pieces of ``windows`` are, and the words of these pieces."""
+    values, word = windows.grams(n)
+    at = np.searchsorted(known, values)
+    there = np.flatnonzero(np.append(known, 0)[at] == values)
+    there = there[at[there] < len(known)]
+    return at[there], word[there]
 
 
 def fit(toxic: list[str | None], ordinary: list[str | None]) -> Model:
