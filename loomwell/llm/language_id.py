@@ -5,14 +5,14 @@ and one backwards; at every byte their two states give the probabilities of the
 probabilities are the means over all of its bytes, and the largest one is the answer.
 
 The network is trained in numpy: backpropagation through time, cross entropy at every byte, Adam. It learns from a
-bounded sample: pieces of ``PIECE`` characters of about ``SAMPLE`` documents in all, as many of each language, chosen
-by a hash; the place of a piece in its text is chosen by the hash as well. Only text is an input.
+bounded sample: the whole texts of about ``SAMPLE`` documents in all, as many of each language, chosen by a hash;
+training windows are drawn from anywhere in them. Only text is an input.
 
 Prediction works in Arrow batches, windows of many documents side by side; nothing is shuffled.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is every text when there is nothing
 to learn from; a null ``doc_id`` is kept and counts as held out; rows given twice come out twice; equal sums go to the
-language that sorts first; a very long text is read whole; extra columns are not read.
+language that sorts first; a very long text is read whole; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from loomwell.llm.common import table
 
 #: Bytes of a window, states of the network in each direction, and windows computed side by side.
 WINDOW, STATES, LANES = 128, 12, 2048
-#: Documents in the training sample (all languages together), and characters of each.
-SAMPLE, PIECE = 2400, 400
+#: Documents in the training sample (all languages together).
+SAMPLE = 1200
 #: Training: windows in a step, bytes of a window, steps, and the largest step size.
 LANES_TRAINED, BYTES_TRAINED, STEPS, RATE = 128, 48, 260, 0.02
 #: The symbol after the end of a text.
@@ -227,9 +227,8 @@ def fit_on(docs: DataFrame) -> Network | None:
     each, place = max(1, SAMPLE // len(counts)), F.xxhash64("doc_id", "text")
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * each / n))))[F.col("lang")]
     chosen = usable.where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
-    piece = F.substring("text", (1 + F.pmod(F.shiftright(place, 30), F.greatest(F.lit(1), F.length("text") - PIECE + 1))).cast("int"), F.lit(PIECE))
-    rows = chosen.select(place.alias("place"), "lang", piece.alias("piece")).orderBy("place", "lang", "piece").limit(2 * SAMPLE).collect()
-    return train([(r["piece"], r["lang"]) for r in rows])
+    rows = chosen.select(place.alias("place"), "lang", "text").orderBy("place", "lang", "text").limit(2 * SAMPLE).collect()
+    return train([(r["text"], r["lang"]) for r in rows])
 
 
 def predict(docs: DataFrame, network: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ Work is done in Arrow batches cut to a few MB of samples; nothing is shuffled, a
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal files and features; a null ``doc_id``
 and rows given twice are kept; ``decode_images`` gives null pixels and the reason for bytes that are no lossless WebP;
-extra columns are ignored. A text must fit one image, 256 MiB.
+an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from loomwell.llm.common import table
 ROW = 64
 #: Samples and images that are coded together.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 8000
+#: Samples of one image: as many as its greatest height and width allow.
+IMAGE_BYTES = vp8l.MAX_SIDE * (vp8l.MAX_SIDE // ROW * ROW)
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -38,21 +40,23 @@ def to_payload(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % ROW or (0 if raw else ROW)), len(raw)
 
 
-def to_image(payload: bytes) -> np.ndarray:
-    width = ROW * -(-len(payload) // (ROW * vp8l.MAX_SIDE))
-    if width > vp8l.MAX_SIDE:
-        raise ValueError("a payload that is too large for one image")
-    return np.frombuffer(payload + b"\0" * (-len(payload) % width), np.uint8).reshape(-1, width)
+def to_images(payload: bytes) -> list[np.ndarray]:
+    """The payload's images, all but the last of full size."""
+    images = []
+    for at in range(0, len(payload), IMAGE_BYTES):
+        part = payload[at : at + IMAGE_BYTES]
+        width = ROW * -(-len(part) // (ROW * vp8l.MAX_SIDE))
+        images.append(np.frombuffer(part + b"\0" * (-len(part) % width), np.uint8).reshape(-1, width))
+    return images
 
 
-def feature_of(image: np.ndarray) -> str:
-    """Size, mean and variance of the samples, mean step along rows, and the number of levels; whole-number sums, so the same everywhere."""
-    flat = image.ravel()
-    levels = np.bincount(flat, minlength=256)
-    place = np.arange(256)
-    n, total, squares = flat.size, int(levels @ place), int(levels @ place**2)
-    steps = int(np.abs(np.diff(image.astype(np.int16), axis=1)).sum())
-    return f"{image.shape[1]}x{image.shape[0]};mean={total / n:.4f};var={(squares * n - total * total) / (n * n):.4f};step={steps / n:.4f};levels={int((levels > 0).sum())}"
+def feature_of(images: list[np.ndarray]) -> str:
+    """Sizes, mean and variance of the samples, mean step along rows, and the number of levels; whole-number sums, so the same everywhere."""
+    levels, place = sum(np.bincount(x.ravel(), minlength=256) for x in images), np.arange(256)
+    n, total, squares = int(levels.sum()), int(levels @ place), int(levels @ place**2)
+    steps = sum(int(np.abs(np.diff(x.astype(np.int16), axis=1)).sum()) for x in images)
+    sizes = "+".join(f"{x.shape[1]}x{x.shape[0]}" for x in images)
+    return f"{sizes};mean={total / n:.4f};var={(squares * n - total * total) / (n * n):.4f};step={steps / n:.4f};levels={int((levels > 0).sum())}"
 
 
 def _groups(payloads: list[tuple[bytes, int]]) -> Iterator[slice]:
@@ -66,15 +70,24 @@ def _groups(payloads: list[tuple[bytes, int]]) -> Iterator[slice]:
         yield slice(first, len(payloads))
 
 
+def _encoded(payloads: list[bytes]) -> list[list[bytes]]:
+    """The files of each payload's images; all images are coded together."""
+    images = [to_images(p) for p in payloads]
+    files = iter(vp8l.encode_batch([x for of in images for x in of]))
+    return [[next(files) for _ in of] for of in images]
+
+
 def described(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Rows of SCHEMA for (k, t): each text written as a file and read back."""
     payloads = [to_payload(t) for t in frame["t"]]
     for part in _groups(payloads):
         rows, own = [], payloads[part]
-        files = vp8l.encode_batch([to_image(p) for p, _ in own])
-        for key, (payload, n), file, image in zip(frame["k"][part], own, files, vp8l.decode_batch(files)):
-            back = image.tobytes()[: len(payload)]
-            rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(file), hashlib.sha256(file).hexdigest(), feature_of(image)))
+        files = _encoded([p for p, _ in own])
+        decoded = iter(vp8l.decode_batch([f for of in files for f in of]))
+        for key, (payload, n), mine in zip(frame["k"][part], own, files):
+            images, file = [next(decoded) for _ in mine], b"".join(mine)
+            back = b"".join(x.tobytes() for x in images)[: len(payload)]
+            rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(file), hashlib.sha256(file).hexdigest(), feature_of(images)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
 
@@ -87,16 +100,16 @@ def describe_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, file): every text as a lossless WebP file."""
+    """(doc_id, n_bytes, files): every text as lossless WebP files, one unless it is very large."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             payloads = [to_payload(t) for t in frame["t"]]
             for part in _groups(payloads):
-                files = vp8l.encode_batch([to_image(p) for p, _ in payloads[part]])
-                yield pd.DataFrame({"doc_id": frame["k"][part].astype("Int64"), "n_bytes": [n for _, n in payloads[part]], "file": files})
+                files = _encoded([p for p, _ in payloads[part]])
+                yield pd.DataFrame({"doc_id": frame["k"][part].astype("Int64"), "n_bytes": [n for _, n in payloads[part]], "files": files})
 
-    return docs.select(docs[doc_id].alias("k"), docs[text].alias("t")).mapInPandas(batches, "doc_id long, n_bytes long, file binary")
+    return docs.select(docs[doc_id].alias("k"), docs[text].alias("t")).mapInPandas(batches, "doc_id long, n_bytes long, files array<binary>")
 
 
 def decode_images(files: DataFrame, key: str, file: str) -> DataFrame:

@@ -50,6 +50,27 @@ def test_op1(spark, odd_dir):
     check_media(registry.queries()["op1_webp_lossless"](spark, odd_dir).collect(), read(spark, odd_dir))
 
 
+def test_large_payloads_become_several_images(spark, monkeypatch):
+    """Files read one by one give the payload back; features are of the samples."""
+    import pandas as pd
+
+    from loomwell.llm import vp8l, webp_media
+
+    monkeypatch.setattr(webp_media, "IMAGE_BYTES", 128)
+    texts = ["a" * 500, "", None, "xyz" * 100, "é" * 32]
+    frame = pd.DataFrame({"k": range(5), "t": texts})
+    rows = pd.concat(webp_media.described(frame)).to_dict("records")
+    check_media(rows, [{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    for r, t in zip(rows, texts):
+        payload, _ = webp_media.to_payload(t)
+        files = webp_media._encoded([payload])[0]
+        assert len(files) == -(-len(payload) // 128)
+        assert b"".join((vp8l.decode(f) >> 8 & 255).astype(np.uint8).tobytes() for f in files)[: len(payload)] == payload
+        assert (r["media_bytes"], r["media_sha256"]) == (sum(map(len, files)), hashlib.sha256(b"".join(files)).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        assert f";mean={x.mean():.4f};var={x.var():.4f};" in r["feature"] and r["feature"].endswith(f"levels={len(set(payload))}")
+
+
 def check_packing(rows, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
