@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: A place where no letter, digit or underscore of any script is on the left or right.
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-#: Patterns of redaction: what is kept in front, what is replaced.
+#: Patterns of redaction, what is kept in front, what is replaced.
 REDACTIONS = (
     (r"(?i)(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]"),
     (r"(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[^\s,;]+", "$1[REDACTED]"),
@@ -60,14 +60,20 @@ def chunk_id(entity: Column, section: Column, index: Column, body: Column) -> Co
     return F.concat(plain(entity), F.lit("__"), plain(section), F.lit("__c"), index.cast("string"), F.lit("__"), F.left(content_hash(body), F.lit(10)))
 
 
-def clean_wikitext(c: Column, depth: int = 8) -> Column:
-    """Plain text of a wiki-markup value; templates nested up to ``depth`` levels are resolved from the inside."""
+def clean_wikitext(c: Column) -> Column:
+    """Plain text of a wiki-markup value. Templates are resolved from the inside, however deep; names are compared
+    exactly; a template that is never closed stays as it is."""
+
+    def inner(c: Column) -> Column:
+        """The templates without others inside resolved: one level."""
+        c = F.regexp_replace(c, r"\{\{(?!\s*(?:S|Nihongo|W)\s*\|)[^{}]*\}\}", "")
+        c = F.regexp_replace(c, r"\{\{\s*S\s*\|([^{}|]*)[^{}]*\}\}", " ($1)")
+        return F.regexp_replace(c, r"\{\{\s*(?:Nihongo|W)\s*\|([^{}|]*)[^{}]*\}\}", "$1")
+
     c = F.regexp_replace(c, r"(?s)<!--.*?-->|(?is)<gallery[^>]*>.*?</gallery>|<ref[^>]*/>|<ref[^>]*>.*?</ref>", "")
     c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"(?i)\{\{\s*S\s*\|([^{}|]*)[^{}]*\}\}", " ($1)")
-        c = F.regexp_replace(c, r"(?i)\{\{\s*(?:Nihongo|W)\s*\|([^{}|]*)[^{}]*\}\}", "$1")
-        c = F.regexp_replace(c, r"\{\{[^{}]*\}\}", "")
+    levels = F.regexp_count(c, F.lit(r"\{\{"))
+    c = F.aggregate(F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>")), c, lambda s, _: inner(s))
     c = F.regexp_replace(c, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
     c = F.regexp_replace(c, r"<[^>]+>", "")
     return stripped(F.regexp_replace(c, r"[ \t]+", " "))

@@ -44,9 +44,9 @@ def fold(text: Column, most: int = 800, share: float = 0.15) -> Column:
 
 
 def header(entity: Column, aliases: Column, section: Column, categories: Column) -> Column:
-    """The lines put in front of a chunk: up to five aliases, up to six categories."""
+    """The line put in front of a chunk: up to five aliases, up to six categories."""
     some = lambda c, n, none: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, n), ", ")).otherwise(none)
-    return F.concat(F.lit("Entity: "), entity, F.lit("\nAliases: "), some(aliases, 5, "None"), F.lit("\nSection: "), section, F.lit("\nCategories: "), some(categories, 6, "General"), F.lit("\n"))
+    return F.concat(F.lit("Entity: "), entity, F.lit(" | Aliases: "), some(aliases, 5, "None"), F.lit(" | Section: "), section, F.lit(" | Categories: "), some(categories, 6, "General"), F.lit("\n"))
 
 
 def chunk(pages: DataFrame, most: int = 800) -> DataFrame:

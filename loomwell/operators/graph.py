@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder (``spark.checkpoint.dir``; a temporary one only where that is unset)."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-graph-")
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loomwell.functions.tables import written
 
 
 def upserted(edges: DataFrame) -> DataFrame:
@@ -41,9 +32,9 @@ def overview(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
 
 def induced(edges: DataFrame, ids: DataFrame, most: int = 100) -> DataFrame:
-    """The first ``most`` edges, by id, with both ends in ``ids`` (a bounded list)."""
-    few = F.broadcast(ids.select("id").distinct())
-    return edges.join(few.withColumnRenamed("id", "source"), "source", "left_semi").join(few.withColumnRenamed("id", "target"), "target", "left_semi").orderBy("edge_id").limit(most)
+    """The first ``most`` edges, by id, with both ends in ``ids``."""
+    end = lambda name: ids.select(F.col("id").alias(name))
+    return edges.join(end("source"), "source", "left_semi").join(end("target"), "target", "left_semi").orderBy("edge_id").limit(most)
 
 
 def neighbours(edges: DataFrame, names: list[str], each: int = 12, most: int = 24) -> DataFrame:
@@ -64,7 +55,7 @@ def subgraph(edges: DataFrame, start: str, depth: int = 2, most: int = 40, per_n
     small enough to send, and what comes back is ``most * per_node`` edges at most.
     """
     spark = edges.sparkSession
-    links = both_ways(edges if relation is None else edges.where(F.col("relation") == relation))
+    links = written(both_ways(edges if relation is None else edges.where(F.col("relation") == relation)))
     known, frontier, kept = [(start, 0, 0)], [(start, 0)], []
     for level in range(1, max(1, min(3, depth)) + 1):
         if not frontier:
@@ -93,28 +84,24 @@ def subgraph(edges: DataFrame, start: str, depth: int = 2, most: int = 40, per_n
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """(step, edge_id, source, target, relation) of a shortest path without regard to direction; no rows if there is none.
 
-    Breadth-first by joins; the parent of a node is the first edge by id that reaches it. Levels are written out, as a
-    frontier may be as large as the graph.
+    Breadth-first by joins, as a queue would go: nodes of a level are in the order of the edge ids of their paths, and
+    a node's path is the first one in that order. Levels are written out, as a frontier may be as large as the graph; a
+    neighbour of a level lies in it, the one before or the next one, so these two are all that is kept in sight.
     """
-    spark, links = edges.sparkSession, both_ways(edges)
+    spark = edges.sparkSession
     none = spark.createDataFrame([], "step int, edge_id long, source string, target string, relation string")
     if start == end:
         return none
-    levels = [written(spark.createDataFrame([(start, None, None)], "id string, parent string, via long"))]
-    reached = levels[0].select("id")
+    links = written(both_ways(edges).select("node", "other", "edge_id"))
+    before, now = None, written(spark.createDataFrame([(start, [])], "id string, path array<bigint>"))
     while True:
-        step = links.join(levels[-1].select(F.col("id").alias("node")), "node").join(reached.withColumnRenamed("id", "other"), "other", "left_anti")
-        new = written(step.groupBy("other").agg(F.min(F.struct("edge_id", "node")).alias("via")).select(F.col("other").alias("id"), F.col("via.node").alias("parent"), F.col("via.edge_id").alias("via")))
-        if new.isEmpty():
+        seen = now.select("id") if before is None else now.select("id").unionByName(before.select("id"))
+        step = links.join(now.select(F.col("id").alias("node"), "path"), "node").select(F.col("other").alias("id"), F.concat("path", F.array("edge_id")).alias("path"))
+        before, now = now, written(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        found = now.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") == end, F.col("path"))).alias("path")).first()
+        if not found["n"]:
             return none
-        levels.append(new)
-        reached = written(reached.unionByName(new.select("id")))
-        if not new.where(F.col("id") == end).isEmpty():
+        if found["path"] is not None:
             break
-    path, at = [], end
-    for n in range(len(levels) - 1, 0, -1):  # one row a level
-        row = levels[n].where(F.col("id") == at).first()
-        path.append((n, row["via"]))
-        at = row["parent"]
-    steps = F.broadcast(spark.createDataFrame(path, "step int, edge_id long"))
-    return edges.join(steps, "edge_id").select("step", "edge_id", "source", "target", "relation")
+    steps = spark.createDataFrame([(n, edge) for n, edge in enumerate(found["path"], 1)], "step int, edge_id long")  # one row a level
+    return edges.join(F.broadcast(steps), "edge_id").select("step", "edge_id", "source", "target", "relation")

@@ -27,8 +27,10 @@ TYPE_WORDS = (
 
 
 def field(infobox: Column, names: tuple[str, ...]) -> Column:
-    """The first non-empty value under one of ``names``; keys in any case, spaces as underscores."""
-    low = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(infobox), lambda e: F.struct(F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_")), e["value"]))))
+    """The first non-empty value under one of ``names``; keys in any case, spaces as underscores, the last of equal keys."""
+    entries = F.transform(F.map_entries(infobox), lambda e: F.struct(F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value")))
+    later = F.reverse(F.transform(entries, lambda e: e["key"]))
+    low = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(later, e["key"]) == F.size(entries) - i))
     return F.coalesce(*(F.nullif(F.trim(F.try_element_at(low, F.lit(n))), F.lit("")) for n in names), F.lit(""))
 
 

@@ -51,12 +51,17 @@ def alias_map(redirects: DataFrame) -> DataFrame:
 
 
 def expand(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(q_id, q) with ``expanded`` and ``matched``; ``aliases`` is (seq, alias, canonical), small enough to send (checked by the caller).
+    """(q_id, q) with ``expanded`` and ``matched``; ``aliases`` is (seq, alias, canonical).
 
     Aliases of three characters or more that the question contains count, in alias order; each entity is named once
-    and up to three are added.
+    and up to three are added. Aliases meet questions by an equi-join on their first three characters, so neither side
+    is sent whole or compared with all of the other.
     """
-    hits = questions.select("q_id", "q").join(F.broadcast(aliases.where(F.length("alias") >= 3)), F.lower("q").contains(F.lower("alias")))
+    low = F.lower("q")
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    places = questions.where(F.length(low) >= 3).select("q_id", "q", F.explode(starts).alias("start"))
+    named = aliases.where(F.length("alias") >= 3).withColumn("start", F.substring(F.lower("alias"), 1, 3))
+    hits = places.join(named, "start").where(F.lower("q").contains(F.lower("alias")))
     each = hits.groupBy("q_id", "canonical").agg(F.min("seq").alias("seq"))
     names = each.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "canonical"))), lambda x: x["canonical"]).alias("matched"))
     named = questions.join(names, "q_id", "left")

@@ -11,7 +11,7 @@ from loomwell.functions import text as tx
 
 #: Titles of sections that are left out; prefixes of links that are no pages; an edge's confidence by relation.
 LEFT_OUT = ("references", "gallery", "external links", "navigation")
-NO_PAGE = r"^(Category|File|Image|[a-z]{2,3}|wikipedia|w):"
+NO_PAGE = ("Category:", "File:", "Image:", "es:", "de:", "ru:", "zh:", "pt-br:", "vi:", "id:", "pl:", "tr:")
 CONFIDENCE = {"species_of": 1.0, "has_title": 1.0, "disciple_of": 0.9, "subordinate_of": 0.9, "affiliated_with": 0.95, "associated_with": 0.7}
 _PLACE = "array<struct<level:int,title:string>>"
 _SECTION = "array<struct<title:string,level:int,path:string,content:string>>"
@@ -30,7 +30,7 @@ def infobox(raw: Column) -> Column:
 def links(raw: Column) -> Column:
     """Distinct link targets in order, without categories, files and other wikis."""
     found = F.transform(F.regexp_extract_all(raw, F.lit(r"\[\[([^\[\]|#]+)"), 1), tx.stripped)
-    return F.array_distinct(F.filter(found, lambda x: ~x.rlike(NO_PAGE) & (x != "")))
+    return F.array_distinct(F.filter(found, lambda x: ~reduce(lambda y, z: y | z, (x.startswith(p) for p in NO_PAGE)) & (x != "")))
 
 
 def section_text(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwell.operators import graph
 
 
-def _edges(spark: SparkSession, sf_dir: str, supplies: bool = True) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of five kinds; sequence numbers keep the kinds apart."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
@@ -19,8 +19,7 @@ def _edges(spark: SparkSession, sf_dir: str, supplies: bool = True) -> DataFrame
     out = edges(t("nation"), F.col("n_nationkey"), node("nation", "n_nationkey"), node("region", "n_regionkey"), "in_region", 1.0)
     out = out.unionByName(edges(t("customer"), F.col("c_custkey") + 1_000, node("customer", "c_custkey"), node("nation", "c_nationkey"), "of_nation", 0.95))
     out = out.unionByName(edges(t("supplier"), F.col("s_suppkey") + 1_000_000_000, node("supplier", "s_suppkey"), node("nation", "s_nationkey"), "of_nation", 0.9))
-    if supplies:
-        out = out.unionByName(edges(t("lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10_000_000_000, node("supplier", "l_suppkey"), node("part", "l_partkey"), "supplies", 0.7))
+    out = out.unionByName(edges(t("lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10_000_000_000, node("supplier", "l_suppkey"), node("part", "l_partkey"), "supplies", 0.7))
     return graph.upserted(out)
 
 
@@ -35,7 +34,7 @@ def graph_degree_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir, supplies=False)
+    edges = _edges(spark, sf_dir)
     ids = spark.createDataFrame([(f"nation:{i}",) for i in range(25)] + [(f"region:{i}",) for i in range(3)] + [("customer:7",)], "id string")
     return graph.induced(edges, ids, 100).select("edge_id", "source", "target", "relation")
 
@@ -49,7 +48,7 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_subgraph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes and edges within two steps of a region, up to 40 nodes."""
-    nodes, edges = graph.subgraph(_edges(spark, sf_dir, supplies=False), "region:1", 2, 40)
+    nodes, edges = graph.subgraph(_edges(spark, sf_dir), "region:1", 2, 40)
     none = lambda kind: F.lit(None).cast(kind)
     return nodes.select(F.lit("node").alias("what"), "id", "depth", none("long").alias("edge_id")).unionByName(edges.select(F.lit("edge").alias("what"), F.concat_ws(">", "source", "target").alias("id"), none("int").alias("depth"), "edge_id"))
 
@@ -67,7 +66,7 @@ _IDS = ", ".join(f"('nation:{i}')" for i in range(25)) + ", ('region:0'), ('regi
 ORACLE = {
     "graph_edges": f"WITH {_EDGES} FROM edges",
     "graph_degree_overview": f"WITH {_EDGES} SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY degree DESC, upper(id), id LIMIT 60",
-    "graph_induced_edges": f"WITH {_EDGES}, ids AS (SELECT * FROM (VALUES {_IDS}) v(id)) SELECT edge_id, source, target, relation FROM edges WHERE relation <> 'supplies' AND source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids) ORDER BY edge_id LIMIT 100",
+    "graph_induced_edges": f"WITH {_EDGES}, ids AS (SELECT * FROM (VALUES {_IDS}) v(id)) SELECT edge_id, source, target, relation FROM edges WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids) ORDER BY edge_id LIMIT 100",
     "graph_neighbors": f"""
 WITH {_EDGES}, names AS (SELECT * FROM (VALUES (0, 'nation:3'), (1, 'region:1'), (2, 'supplier:2'), (3, 'nobody')) v(pos, node)),
 h AS (SELECT pos, other, min(edge_id) AS edge_id FROM (SELECT source AS node, target AS other, edge_id FROM edges UNION ALL SELECT target, source, edge_id FROM edges WHERE source <> target) JOIN names USING (node) GROUP BY ALL),
@@ -75,4 +74,14 @@ p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY edge
 f AS (SELECT other, min(pos * 100000000000 + edge_id) AS spot FROM p GROUP BY other)
 SELECT CAST(row_number() OVER (ORDER BY spot, other) AS INT) AS place, other FROM f ORDER BY spot, other LIMIT 24""",
 }
+# Levels of a search from customer:1, each node with the least list of edge ids that leads to it.
+_LEVEL = """l{n} AS (SELECT other AS id, min(list_append(path, edge_id)) AS path FROM l{p} JOIN links ON node = id
+  WHERE other NOT IN (SELECT id FROM l{p}) {old} GROUP BY other)"""
+_LEVELS = ", ".join(_LEVEL.format(n=n, p=n - 1, old=f"AND other NOT IN (SELECT id FROM l{n - 2})" if n > 1 else "") for n in range(1, 6))
+ORACLE["graph_shortest_path"] = f"""
+WITH {_EDGES}, links AS (SELECT source AS node, target AS other, edge_id FROM edges UNION ALL SELECT target, source, edge_id FROM edges WHERE source <> target),
+l0 AS (SELECT 'customer:1' AS id, []::BIGINT[] AS path), {_LEVELS},
+found AS (SELECT path FROM ({' UNION ALL '.join(f"SELECT {n} AS n, path FROM l{n} WHERE id = 'part:5'" for n in range(1, 6))}) ORDER BY n LIMIT 1),
+steps AS (SELECT unnest(path) AS edge_id, unnest(range(1, len(path) + 1)) AS step FROM found)
+SELECT CAST(step AS INT) AS step, edge_id, source, target, relation FROM steps JOIN edges USING (edge_id)"""
 QUERIES = {f.__name__: f for f in (graph_edges, graph_degree_overview, graph_induced_edges, graph_neighbors, graph_subgraph_bfs, graph_shortest_path)}

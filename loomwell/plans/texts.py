@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
 from loomwell.functions import text as tx
 from loomwell.functions import vector as vx
 from loomwell.operators import chunking
@@ -77,10 +77,15 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup of the kinds that occur, around every page's title."""
+    """Markup of the kinds that occur, templates up to twelve deep, around every page's title; its words as a list field."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("t"))
-    raw = F.concat(F.lit("<!-- x -->{{Nihongo|"), F.regexp_replace("t", r"[\[\]{}|<>]", ""), F.lit("|kanji|romaji}} [[Target|label]]<ref name='a'>no</ref><br/>{{S|1|{{W|in}}}}  {{gone}}"))
-    return pages.select("page_id", tx.clean_wikitext(raw).alias("plain"), F.array_join(tx.multivalue(F.lit("• a, b\n* c (d, e)\n\n- f")), "|").alias("parts"))
+    title, deep = F.regexp_replace("t", r"[\[\]{}|<>•*\-\s,()]+", " "), (F.col("page_id") % 12 + 1).cast("int")
+    inside = F.concat(F.lit("<br/>{{S|1|{{W|in}}}}  "), F.repeat(F.lit("{{a|"), deep), F.lit("x"), F.repeat(F.lit("}}"), deep), F.lit("{{s|no}}{{gone}}"))
+    raw = F.concat(F.lit("<!-- x -->{{Nihongo|"), title, F.lit("|kanji|romaji}} [[Target|label]]<ref name='a'>no</ref>"), inside)
+    words = F.split(title, " ")
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    listed = F.concat(F.lit("• a"), word(0), F.lit(", b"), word(1), F.lit("\n* c (d, "), word(2), F.lit(")\n\n- f"))
+    return pages.select("page_id", tx.clean_wikitext(raw).alias("plain"), F.array_join(tx.multivalue(listed), "|").alias("parts"))
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +125,7 @@ def incremental_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken up twice by a file stream; the second run finds nothing new."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = tables.shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
     schema = "doc_id long, seq long, content_hash string"
     _docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("seq"), tx.content_hash(F.col("text")).alias("content_hash")).write.parquet(f"{folder}/landing")
     for _ in range(2):
@@ -140,8 +145,8 @@ ORACLE = {
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
     "chunk_id": f"SELECT doc_id, {_PLAIN.format('source')} || '__' || {_PLAIN.format(repr('Lore > Part 1/2'))} || '__c' || (doc_id % 5) || '__' || left(sha256(coalesce(text, '')), 10) AS chunk_id FROM documents",
     "contextual_header": """
-SELECT doc_id, 'Entity: ' || source || chr(10) || 'Aliases: ' || coalesce(nullif(array_to_string([source || '-' || i for i in range(least(5, doc_id % 8))], ', '), ''), 'None') || chr(10) || 'Section: Introduction' || chr(10)
-  || 'Categories: ' || coalesce(nullif(array_to_string([lang || '/' || i for i in range(least(6, doc_id % 9))], ', '), ''), 'General') || chr(10) AS header FROM documents""",
+SELECT doc_id, 'Entity: ' || source || ' | Aliases: ' || coalesce(nullif(array_to_string([source || '-' || i for i in range(least(5, doc_id % 8))], ', '), ''), 'None') || ' | Section: Introduction'
+  || ' | Categories: ' || coalesce(nullif(array_to_string([lang || '/' || i for i in range(least(6, doc_id % 9))], ', '), ''), 'General') || chr(10) AS header FROM documents""",
     "upsert_insert_if_absent": "SELECT min(doc_id) AS doc_id, h AS content_hash FROM (SELECT doc_id, sha256(text) AS h FROM documents) GROUP BY h HAVING count(*) FILTER (WHERE doc_id % 2 = 0) = 0",
     "embedding_cache_join": """
 WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents),
@@ -166,6 +171,11 @@ SELECT page_id, coalesce(url[1:4] = 'http' AND NOT regexp_matches(url, '(?i)\.(p
 FROM (SELECT page_id, url FROM pages UNION ALL VALUES (-1, 'http://a/b.PDF'), (-2, 'ftp://a'), (-3, 'https://a/b.zip?x'), (-4, 'http://a/b.jpeg'), (-5, NULL))""",
     "local_titles": "SELECT doc_id, upper(left(source, 1)) || substring(source, 2) || ' ' || upper(left(lang, 1)) || substring(lang, 2) || ' Lore ' || doc_id AS title FROM documents",
     "incremental_changes": "SELECT DISTINCT 'page ' || user_id AS title FROM events WHERE event_type IN ('purchase', 'signup') AND ts > TIMESTAMP '2024-01-20 00:00:00'",
+    "wikitext_clean": r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[\[\]{}|<>•*\-\s,()]+', ' ', 'g') AS t FROM pages),
+w AS (SELECT *, string_split(t, ' ') AS w FROM p)
+SELECT page_id, trim(regexp_replace(t || ' label', ' +', ' ', 'g')) || chr(10) || ' (1)' AS plain,
+  'a' || w[1] || '|b' || coalesce(w[2], '') || '|c (d, ' || coalesce(w[3], '') || ')|f' AS parts FROM w""",
     "stream_ingest_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2",
 }
 QUERIES = {f.__name__: f for f in (sentence_split, token_estimate, chunk_documents, content_hash, chunk_id, contextual_header, upsert_insert_if_absent, embedding_cache_join, redact_secrets, wikitext_clean, html_text, link_discovery, valid_urls, local_titles, incremental_changes, stream_ingest_dedup)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
+
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "seq") -> DataFrame:
     """The rows of ``batch`` whose content hash is new; the first of equals. A null hash is a value like any other."""
@@ -34,15 +36,9 @@ def ingest_stream(spark: SparkSession, landing: str, schema: str, target: str, c
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            there = spark.read.parquet(target).where(F.col("batch") != number)
-        except AnalysisException:  # the first batch: there is no table yet
-            there = None
-        session = batch.sparkSession
-        session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        new_rows(batch, there).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("batch").parquet(target)
+        there = spark.read.parquet(target).where(F.col("batch") != number) if tables.exists(spark, target) else None
+        rows = new_rows(batch, there).withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(landing)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
