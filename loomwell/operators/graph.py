@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions.tables import written
+from loomwell.functions.text import contains_any
 
 
 def upserted(edges: DataFrame) -> DataFrame:
@@ -13,6 +14,19 @@ def upserted(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target", "relation").agg(F.min("seq").alias("edge_id"), F.max_by("confidence", "seq").alias("confidence"))
 
 
+def node_type(categories: Column) -> Column:
+    """A node's type by its page's categories: location, then skill, then organization; else character."""
+    has = lambda *words: F.exists(categories, lambda c: contains_any(F.lower(c), words))
+    return F.when(has("location"), "location").when(has("skill", "magic"), "skill").when(has("organization", "group"), "organization").otherwise("character")
+
+
+def with_sources(edges: DataFrame, base: str) -> DataFrame:
+    """Edges (source, source_chunk_id, ...) with the address of their page and what kind of evidence there is."""
+    name = F.replace(F.replace(F.url_encode(F.replace("source", F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    known = F.coalesce("source_chunk_id", F.lit("")) != ""
+    return edges.withColumn("source_url", F.concat(F.lit(base.rstrip("/") + "/"), name)).withColumn("evidence", F.when(known, "source_chunk").otherwise("entity_page"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, edge_id, source, target, relation): every edge from both of its ends, a loop once."""
     cols = ["edge_id", "source", "target", "relation"]
@@ -27,8 +41,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def overview(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """The ``most`` nodes of highest degree (500 at most), by degree, then name in any case, then id."""
+    most = max(1, min(500, most))
     found = nodes.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return found.orderBy(F.desc("degree"), F.lower("name"), "id").limit(max(1, min(500, most)))
+    return found.orderBy(F.desc("degree"), F.lower("name"), "id").limit(most)
+
+
+def overview_graph(nodes: DataFrame, edges: DataFrame, most: int, kind: str | None = None, relation: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` best-connected nodes (of one type), and the edges (of one relation) between them.
+
+    Degrees count all relations.
+    """
+    top = written(overview(nodes if kind is None else nodes.where(F.col("entity_type") == kind), edges, most))
+    return top, induced(edges if relation is None else edges.where(F.col("relation") == relation), top)
 
 
 def induced(edges: DataFrame, ids: DataFrame, most: int = 100) -> DataFrame:
@@ -47,7 +71,9 @@ def neighbours(edges: DataFrame, names: list[str], each: int = 12, most: int = 2
     return first.select(F.row_number().over(Window.orderBy("at", "other")).alias("place"), "other")
 
 
-def subgraph(edges: DataFrame, start: str, depth: int = 2, most: int = 40, per_node: int = 30, relation: str | None = None) -> tuple[DataFrame, DataFrame]:
+def subgraph(
+    edges: DataFrame, start: str, depth: int = 2, most: int = 40, per_node: int = 30, relation: str | None = None, nodes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, depth, pos), edges) reached from ``start`` without regard to direction.
 
     Level by level; nodes keep the order in which they are found; a node gives its first ``per_node`` edges by id and
@@ -75,8 +101,9 @@ def subgraph(edges: DataFrame, start: str, depth: int = 2, most: int = 40, per_n
                     seen.add(r["other"])
                     known.append((r["other"], level, len(known)))
                     frontier.append((r["other"], len(frontier)))
+    found = spark.createDataFrame(known, "id string, depth int, pos int")
     return (
-        spark.createDataFrame(known, "id string, depth int, pos int"),
+        found if nodes is None else nodes.join(F.broadcast(found), "id"),  # ids that no node row has are left out, their edges are not
         spark.createDataFrame(list(dict.fromkeys(kept)), "edge_id long, source string, target string, relation string"),
     )
 

@@ -58,6 +58,54 @@ def facts(rows: DataFrame) -> DataFrame:
     return top.select("entity", "entity_type", *(F.array_join(values(F.col(f)), ", ").alias(f) if f in LISTS else F.col(f) for f in FIELDS), F.col("richness").cast("int").alias("richness"))
 
 
+def page(limit: int, offset: int) -> tuple[int, int]:
+    """A page's bounds: 1 to 500 rows, from 0 on."""
+    return max(1, min(500, limit)), max(0, offset)
+
+
+def facts_page(table: DataFrame, query: str = "", limit: int = 50, offset: int = 0, entity_type: str | None = None, rank: str | None = None) -> DataFrame:
+    """A page of the facts that match, by entity in any case."""
+    rows = table if entity_type is None else table.where(F.col("entity_type") == entity_type)
+    rows = rows if rank is None else rows.where(F.lower("rank") == rank.lower())
+    limit, offset = page(limit, offset)
+    return matching(rows, query, ("entity", *FIELDS)).orderBy(F.lower("entity"), "entity").offset(offset).limit(limit)
+
+
+def events_page(events: DataFrame, query: str = "", entity: str | None = None, volume: int | None = None, chapter: int | None = None, relation: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the timeline events that match, by volume and chapter, those without last."""
+    rows = events if entity is None else events.where(F.lower("entity").contains(entity.lower()))
+    rows = rows.where(reduce(lambda x, y: x & y, (F.col(c) == v for c, v in (("volume", volume), ("chapter", chapter), ("relation", relation)) if v is not None), F.lit(True)))
+    limit, offset = page(limit, offset)
+    found = matching(rows, query, ("entity", "event_text", "section"))
+    return found.orderBy(F.col("volume").asc_nulls_last(), F.col("chapter").asc_nulls_last(), "event_id").offset(offset).limit(limit)
+
+
+def of_category(rows: DataFrame, category: str) -> DataFrame:
+    """Rows with a category that has ``category`` in it; case matters."""
+    return rows.where(F.exists("categories", lambda c: c.contains(category)))
+
+
+def details(chunks: DataFrame, most: int = 100) -> DataFrame:
+    """Chunks (seq, entity, canonical_url, chunk_type, section, text, categories, aliases, infobox) to one row an entity.
+
+    Its first ``most`` chunks count: the first categories and aliases that are not empty, the last address and infobox,
+    and all sections in order. An entity's rank limit is pushed to the tasks, so no entity is collected whole.
+    """
+    first = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("entity").orderBy("seq"))).where(F.col("_n") <= most)
+    some = lambda c: F.min_by(c, F.when(F.size(c) > 0, F.col("seq"))).alias(c)
+    none = F.array().cast("array<string>")
+    box = F.when((F.col("chunk_type") == "infobox") & F.col("infobox").isNotNull(), F.col("seq"))
+    sections = F.transform(F.array_sort(F.collect_list(F.struct("seq", "section", "chunk_type", "text"))), lambda s: F.struct(s["section"].alias("section"), s["chunk_type"].alias("chunk_type"), s["text"].alias("text")))
+    found = first.groupBy("entity").agg(F.max_by("canonical_url", "seq").alias("canonical_url"), F.max_by("infobox", box).alias("infobox"), some("categories"), some("aliases"), sections.alias("sections"))
+    return found.withColumns({c: F.coalesce(c, none) for c in ("categories", "aliases")})
+
+
+def cards(entities: DataFrame, facts_table: DataFrame) -> DataFrame:
+    """Entity cards with their facts; missing facts are empty."""
+    known = facts_table.select("entity", "entity_type", *FIELDS)
+    return entities.join(known, "entity", "left").select(*entities.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in ("entity_type", *FIELDS)))
+
+
 def matching(rows: DataFrame, query: str, columns: tuple[str, ...]) -> DataFrame:
     """Rows in which every word of the query occurs in one of the columns, in any case."""
     words = query.lower().split()
@@ -105,6 +153,14 @@ def evaluation(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     return joined.select("mode", "question", F.coalesce((F.col("best") <= 1).cast("double"), F.lit(0.0)).alias("hit_1"), F.coalesce((F.col("best") <= k).cast("double"), F.lit(0.0)).alias("hit_k"), F.coalesce(1 / F.col("best"), F.lit(0.0)).alias("mrr"))
 
 
+def summary(each: DataFrame, metrics: tuple[str, ...], new: str, old: str) -> DataFrame:
+    """(mode, n, means of ``metrics``) of each mode, and a row ``delta``: those of ``new`` less those of ``old``."""
+    means = each.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in metrics))
+    change = lambda m: F.sum(F.when(F.col("mode") == new, F.col(m)).when(F.col("mode") == old, -F.col(m))).alias(m)
+    delta = means.agg(F.max(F.when(F.col("mode") == new, F.col("n"))).alias("n"), *map(change, metrics)).where("n is not null").select(F.lit("delta").alias("mode"), "n", *metrics)
+    return means.unionByName(delta).select("mode", "n", *(F.round(m, 6).alias(m) for m in metrics))
+
+
 def keyword_recall(answer: Column, keywords: Column) -> Column:
     found = F.size(F.filter(keywords, lambda w: F.lower(answer).contains(F.lower(w))))
     return F.when(F.size(keywords) == 0, 1.0).otherwise(found / F.size(keywords))

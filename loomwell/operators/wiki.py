@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as tx
+from loomwell.operators import chunking
 
 #: Titles of sections that are left out; prefixes of links that are no pages; an edge's confidence by relation.
 LEFT_OUT = ("references", "gallery", "external links", "navigation")
@@ -18,13 +19,13 @@ _SECTION = "array<struct<title:string,level:int,path:string,content:string>>"
 
 
 def infobox(raw: Column) -> Column:
-    """The fields of the first template whose name has "infobox" in it, one a line, as a map; the first of equal keys."""
+    """The fields of the first template whose name has "infobox" in it, one a line, as a map; empty ones go, of equal keys the last counts."""
     body = F.regexp_extract(raw, r"(?is)\{\{([^|{}\n]*infobox[^|{}\n]*)\s*\|(.*?)\n\}\}", 2)
     fields = F.filter(F.split(body, r"(?:^|\n)\s*\|"), lambda f: f.contains("="))
     pairs = F.transform(fields, lambda f: F.struct(tx.stripped(F.substring_index(f, "=", 1)).alias("key"), tx.clean_wikitext(F.substring(f, F.length(F.substring_index(f, "=", 1)) + 2, F.length(f))).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    first = F.filter(pairs, lambda p, i: (F.array_position(keys, p["key"]) == i + 1) & (p["key"] != ""))
-    return F.map_from_entries(first)
+    pairs = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+    later = F.reverse(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(later, p["key"]) == F.size(pairs) - i))
 
 
 def links(raw: Column) -> Column:
@@ -70,6 +71,80 @@ def sections(raw: Column) -> Column:
     return F.aggregate(F.split(raw, "\n"), empty, step, closed)
 
 
+#: Typed fields of an infobox with the keys that they are read from, in the order of a fact sheet.
+SINGLE = {
+    "name": ("name", "title", "kanji_name"), "kanji": ("kanji",), "romaji": ("romaji",), "species": ("species", "race", "evolution"), "gender": ("gender",), "age": ("age",),
+    "status": ("status",), "country": ("country", "base", "origin"), "rank": ("rank", "drank", "arank"),
+    "first_appearance": ("light", "manga", "anime", "web", "first_appearance"), "image_url": ("image", "image1"),
+}
+MANY = {
+    "aliases": ("alias", "aliases", "fnames"), "affiliation": ("affiliation", "faffiliation"), "occupation": ("occupations", "occupation", "class"),
+    "titles": ("titles", "ftitles"), "family": ("family", "relatives"),
+}
+SHEET = ("name", "kanji", "romaji", "aliases", "species", "gender", "age", "status", "country", "affiliation", "occupation", "titles", "family", "rank", "first_appearance", "image_url")
+
+
+def typed(fields: Column) -> dict[str, Column]:
+    """The typed fields of an infobox map: text, or an array for a list field; the first key that is there counts."""
+    first = lambda keys: F.coalesce(*(F.try_element_at(fields, F.lit(k)) for k in keys))
+    none = F.array().cast("array<string>")
+    return {n: first(k) for n, k in SINGLE.items()} | {n: F.coalesce(tx.multivalue(first(k)), none) for n, k in MANY.items()}
+
+
+def fact_sheet(fields: Column) -> Column:
+    """Lines "Key: value" of the typed fields that have values, then of the other fields; lists as "a, b"."""
+    title = lambda k: F.concat(F.upper(F.left(k, F.lit(1))), F.lower(F.substring(k, 2, 1 << 30)))
+    of, lines, known = typed(fields), [], []
+    for name in SHEET:
+        value = F.array_join(of[name], ", ") if name in MANY else of[name]
+        lines.append(F.when(value != "", F.concat(title(F.lit(name)), F.lit(": "), value)))
+        known.append(F.lit(name) if name in MANY else F.when(of[name].isNotNull(), F.lit(name)))
+    others = F.transform(F.filter(F.map_entries(fields), lambda e: ~F.array_contains(F.array_compact(F.array(*known)), e["key"])), lambda e: F.concat(title(e["key"]), F.lit(": "), e["value"]))
+    return F.array_join(F.concat(F.array_compact(F.array(*lines)), others), "\n")
+
+
+HEADING = r"(?m)^={2,6}\s*[^=\n][^\n]*?={2,6}[ \t]*$"
+
+
+def parse_pages(pages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(title, raw_text, ...) and (canonical, aliases) to the same with infobox, aliases, lead, sections and links.
+
+    Pages without text go. Aliases are those of redirects, then those of the infobox, each once.
+    """
+    plain = tx.clean_wikitext(F.regexp_replace("raw_text", r"(?is)<references\s*/?>", ""), noted="s", kept="nihongo", flags="(?i)")
+    rows = pages.where(tx.stripped(F.coalesce("raw_text", F.lit(""))) != "").join(aliases.select(F.col("canonical").alias("title"), F.col("aliases").alias("_known")), "title", "left")
+    rows = rows.withColumn("infobox", infobox(F.col("raw_text"))).withColumn("_plain", plain).withColumn("links", links(F.col("raw_text")))
+    own = F.coalesce("_known", F.array().cast("array<string>"))
+    rows = rows.withColumn("aliases", F.array_distinct(F.concat(own, typed(F.col("infobox"))["aliases"])))
+    return rows.withColumn("lead", section_text(F.split("_plain", HEADING, 2)[0])).withColumn("sections", sections(F.col("_plain"))).drop("_plain", "_known")
+
+
+def chunk_pages(parsed: DataFrame, most: int = 800) -> DataFrame:
+    """One row a chunk of parsed pages: the infobox's fact sheet, the lead, and the sections, all in one pass."""
+    piece = lambda kind, section, place, text: F.struct(F.lit(kind).alias("chunk_type"), section.alias("section"), place.alias("idx"), text.alias("raw"))
+    none = F.array().cast("array<struct<chunk_type:string,section:string,idx:int,raw:string>>")
+    sheet = F.when(F.size("infobox") > 0, F.array(piece("infobox", F.lit("Infobox"), F.lit(0), fact_sheet(F.col("infobox"))))).otherwise(none)
+    texts = F.concat(F.array(F.struct(F.lit("Introduction").alias("path"), F.col("lead").alias("content"))), F.transform("sections", lambda s: F.struct(s["path"].alias("path"), s["content"].alias("content"))))
+    cut = F.flatten(F.transform(texts, lambda t: F.transform(chunking.fold(t["content"], most), lambda c, i: piece("text", t["path"], i, c))))
+    rows = parsed.withColumn("_piece", F.explode(F.concat(sheet, cut)))
+    rows = rows.select(*parsed.columns, "_piece.*")
+    shown = F.when(F.col("chunk_type") == "infobox", "Infobox & Overview").otherwise(F.col("section"))
+    body = F.when(F.col("chunk_type") == "infobox", F.concat(F.lit("[INFOBOX FACT SHEET]\n"), F.col("raw"))).otherwise(F.col("raw"))
+    rows = rows.withColumn("chunk_text", tx.stripped(F.concat(chunking.header(F.col("title"), F.col("aliases"), shown, F.col("categories")), F.lit("\n"), body)))
+    hashed = rows.withColumn("content_hash", tx.content_hash(F.col("chunk_text")))
+    return hashed.withColumn("chunk_id", tx.chunk_id(F.col("title"), F.col("section"), F.col("idx"), F.col("chunk_text"))).drop("infobox", "lead", "sections", "links", "raw_text")
+
+
+def quarantined(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages that can be read, and (title, page_id, error, raw_text) of the others, in one test a page."""
+    raw = F.coalesce("raw_text", F.lit(""))
+    count = lambda mark: F.regexp_count(raw, F.lit(mark))
+    error = F.when(tx.stripped(F.coalesce("title", F.lit(""))) == "", "no title").when(count("<!--") > count("-->"), "a comment that is not closed")
+    error = error.when(count(r"\{\{") != count(r"\}\}"), "a template that is not closed")
+    told = pages.withColumn("_error", error)
+    return told.where("_error is null").drop("_error"), told.where("_error is not null").select("title", "page_id", F.col("_error").alias("error"), "raw_text")
+
+
 def split_values(c: Column) -> Column:
     """Names of a list field: no brackets, quotes or bullets around, more than one character, no addresses."""
     parts = F.transform(F.split(c, r"[,;\n•]|<br\s*/?>"), lambda x: F.regexp_replace(x, r"^[ \[\]{}*\"']+|[ \[\]{}*\"']+$", ""))

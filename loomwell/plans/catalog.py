@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.plans import graphs, knowledge, pages, retrieval, texts
+from loomwell.plans import graphs, knowledge, lookups, pages, retrieval, texts
 
-MODULES = (retrieval, texts, knowledge, graphs, pages)
+MODULES = (retrieval, texts, knowledge, graphs, pages, lookups)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as tx
+from loomwell.functions.tables import written
 from loomwell.operators import knowledge as kn
 from loomwell.operators import routing
 
@@ -20,7 +21,7 @@ def _infoboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lambda test, c: F.when(test, c).otherwise("")
     size = F.col("p_size")
     box = F.create_map(
-        F.lit("Species"), kept(size % 3 == 0, F.col("p_type")), F.lit("D Rank"), F.lit(""), F.lit("rank"), F.concat(F.lit("R"), (size % 7).cast("string")),
+        F.lit("Species"), kept(size % 3 == 0, F.col("p_type")), F.lit("D Rank"), F.lit(""), F.lit("Rank"), F.lit("an earlier one"), F.lit("rank"), F.concat(F.lit("R"), (size % 7).cast("string")),
         F.lit("Skill"), kept(size % 5 == 0, F.replace("p_name", F.lit(" "), F.lit(" , "))), F.lit("weapon"), kept(size > 25, F.col("p_type")),
     )
     category = F.when(size % 11 == 0, F.array(F.lit("Main Characters"))).otherwise(F.array(F.lit("Lore")))
@@ -78,12 +79,6 @@ def entity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.orderBy("first_doc").limit(50)
 
 
-def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By entity: languages, and the last document of each, all by sums that tasks combine first."""
-    d = _table(spark, sf_dir, "documents")
-    return d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc"), F.max_by(F.sha2("text", 256), "doc_id").alias("last_sha256"), F.sum("n_chars").alias("chars"))
-
-
 def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")
     shells = c.select("conv_id").distinct().unionByName(spark.createDataFrame([(-7,)], "conv_id long"))
@@ -98,28 +93,39 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", place.cast("int").alias("place"), "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages as questions, documents as answers: two rankings, by distinct shared terms and by their rarity.
-
-    The questions' terms are sent to the documents (their number is checked by the caller's data model: a benchmark
-    is small); only matches are shuffled, and the first ten of each question are kept in the tasks.
-    """
-    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    df = docs.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    pairs = docs.join(F.broadcast(asked.join(df, "term")), "term").groupBy("question", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum(1 / F.col("df")), 9).alias("rarity"))
-    both = pairs.select("question", F.col("doc_id").alias("id"), F.explode(F.create_map(F.lit("shared"), F.col("shared").cast("double"), F.lit("rarity"), F.col("rarity"))).alias("mode", "score"))
-    top = Window.partitionBy("mode", "question").orderBy(F.desc("score"), "id")
-    return both.withColumn("rank", F.row_number().over(top)).where("rank <= 10").select("mode", "question", "rank", "id")
+#: Terms of a passage that it is searched by, the rarest ones, and how many of them are its keywords.
+RARE, KEYWORDS = 8, 3
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean hit rates and reciprocal ranks; documents that hold a passage word for word are the right answers."""
-    bench = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("passage"))
-    expected = _table(spark, sf_dir, "documents").join(F.broadcast(bench), F.contains("text", "passage")).select("question", F.col("doc_id").alias("id"))
-    each = kn.evaluation(_judged(spark, sf_dir), expected, 5)
-    mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    return each.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), mean("hit_1"), mean("hit_k"), mean("mrr"))
+    """Passages as questions: mean hit rates, reciprocal ranks and keyword recall of two rankings, and their difference.
+
+    Documents that hold a passage's tokens in a row are the right answers. Rankings are by the shared ones of a
+    passage's rarest terms, in number and by rarity. Documents meet passages by these terms only, so no common word
+    makes a pair; candidates for a right answer meet by the rarest term.
+    """
+    bench, docs = _table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")
+    asked = bench.select(F.col("item_id").alias("question"), tx.tokens(F.col("text")).alias("passage"))
+    terms = asked.select("question", F.explode(F.array_distinct("passage")).alias("term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    held = written(held.join(terms.select("term").distinct(), "term", "left_semi"))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("question").orderBy("df", "term"))
+    rare = written(terms.join(df, "term").withColumn("place", rarest).where(F.col("place") <= RARE))
+    hits = written(held.join(rare, "term").select("question", "doc_id", "term", "df", "place"))
+    pairs = hits.groupBy("question", F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("shared"), F.round(F.sum(1 / F.col("df")), 9).alias("rarity"))
+    both = pairs.select("question", "id", F.explode(F.create_map(F.lit("shared"), "shared", F.lit("rarity"), "rarity")).alias("mode", "score"))
+    top = Window.partitionBy("mode", "question").orderBy(F.desc("score"), "id")
+    ranked = written(both.withColumn("rank", F.row_number().over(top)).where("rank <= 10").select("mode", "question", "rank", "id"))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    likely = hits.where("place = 1").select("question", "doc_id").join(asked, "question").join(docs.select("doc_id", "text"), "doc_id")
+    expected = likely.where(F.contains(spaced(tx.tokens(F.col("text"))), spaced(F.col("passage")))).select("question", F.col("doc_id").alias("id"))
+    each = kn.evaluation(ranked, expected, 5)
+    found = ranked.where("rank <= 5").join(hits.where(F.col("place") <= KEYWORDS), (ranked["question"] == hits["question"]) & (ranked["id"] == hits["doc_id"]))
+    found = found.groupBy(ranked["mode"], ranked["question"]).agg(F.count_distinct("term").alias("found"))
+    wanted = rare.where(F.col("place") <= KEYWORDS).groupBy("question").agg(F.count(F.lit(1)).alias("wanted"))
+    recall = each.join(found, ["mode", "question"], "left").join(wanted, "question").withColumn("keywords", F.coalesce("found", F.lit(0)) / F.col("wanted"))
+    return kn.summary(recall, ("hit_1", "hit_k", "mrr", "keywords"), "rarity", "shared")
 
 
 def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +160,7 @@ u AS (SELECT seq, entity, section, left(regexp_replace(body, '[\\s\\x{{85}}\\x{{
 tl AS (SELECT event_id, arg_max(entity, seq) AS entity, arg_max(section, seq) AS section, arg_max(event_text, seq) AS event_text, any_value(volume) AS volume, any_value(chapter) AS chapter, arg_max(relation, seq) AS relation,
   CASE WHEN any_value(volume) IS NOT NULL OR any_value(chapter) IS NOT NULL THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence
   FROM (SELECT *, sha1(entity || '|' || section || '|' || coalesce(volume::VARCHAR, 'None') || '|' || coalesce(chapter::VARCHAR, 'None') || '|' || event_text) AS event_id FROM u WHERE volume IS NOT NULL OR chapter IS NOT NULL OR relation <> '') GROUP BY event_id)"""
-_TOK = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda x: x <> ''))"
+_SEQ = r"list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda x: x <> '')"
 ORACLE = {
     "facts_rebuild": f"WITH {_BOX} FROM facts",
     "facts_search": f"""WITH {_BOX} SELECT entity, entity_type, rank, species, skills FROM facts WHERE lower(rank) = 'r3'
@@ -170,24 +176,31 @@ s AS (SELECT count(*) AS n_rows, count(DISTINCT h) AS n_hashes, (SELECT count(*)
   count(*) FILTER (WHERE no_entity) AS missing_entity, count(*) FILTER (WHERE no_text) AS missing_chunk_text, max(nullif(n_chars, 0))::DOUBLE AS latest FROM d)
 SELECT *, duplicate_groups + missing_chunk_id + missing_content_hash + missing_entity + missing_chunk_text = 0 AS ok FROM s""",
     "entity_cards": "SELECT source, count(*) AS n_chunks, min(doc_id) AS first_doc, arg_min(lang, doc_id) AS lang, arg_min(left(text, 80), doc_id) AS snippet FROM documents GROUP BY source ORDER BY first_doc LIMIT 50",
-    "entity_detail": "SELECT source, lang, count(*) AS n, max(doc_id) AS last_doc, arg_max(sha256(text), doc_id) AS last_sha256, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL",
     "conversation_list": """
 WITH s AS (SELECT DISTINCT conv_id FROM conversations UNION ALL SELECT -7)
 SELECT conv_id, count(turn) AS n_messages, coalesce(max(turn), -1) AS last_turn, coalesce(arg_min(left(text, 200), turn) FILTER (WHERE role = 'user'), '') AS title
 FROM s LEFT JOIN conversations USING (conv_id) GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 500""",
     "conversation_messages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS place, role, sha256(coalesce(text, '')) AS text_sha256 FROM conversations",
     "eval_metrics": f"""
-WITH a AS (SELECT item_id AS question, unnest({_TOK}) AS term FROM benchmark), d AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents),
-df AS (SELECT term, count(*) AS df FROM d WHERE term IN (SELECT term FROM a) GROUP BY term),
-p AS (SELECT question, doc_id AS id, count(*)::DOUBLE AS shared, round(sum(1.0::DOUBLE / df), 9) AS rarity FROM d JOIN a USING (term) JOIN df USING (term) GROUP BY ALL),
+WITH q AS (SELECT item_id AS question, {_SEQ} AS passage FROM benchmark), a AS (SELECT question, unnest(list_distinct(passage)) AS term FROM q),
+d AS (SELECT doc_id, unnest(list_distinct({_SEQ})) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM d WHERE term IN (SELECT term FROM a) GROUP BY term),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY df, term) AS place FROM a JOIN df USING (term)) WHERE place <= 8),
+h AS (SELECT question, doc_id AS id, term, df, place FROM d JOIN r USING (term)),
+p AS (SELECT question, id, count(*)::DOUBLE AS shared, round(sum(1.0::DOUBLE / df), 9) AS rarity FROM h GROUP BY ALL),
 b AS (SELECT 'shared' AS mode, question, id, shared AS score FROM p UNION ALL SELECT 'rarity', question, id, rarity FROM p),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mode, question ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 10),
-e AS (SELECT item_id AS question, doc_id AS id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)),
-m AS (SELECT mode, question, min(rank) AS best FROM r JOIN e USING (question, id) GROUP BY ALL),
-j AS (SELECT mode, question, best FROM (SELECT DISTINCT question FROM e) CROSS JOIN (SELECT DISTINCT mode FROM r) LEFT JOIN m USING (mode, question))
-SELECT mode, count(*) AS n, round(avg(coalesce((best <= 1)::INT, 0)), 6) AS hit_1, round(avg(coalesce((best <= 5)::INT, 0)), 6) AS hit_k, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM j GROUP BY mode""",
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mode, question ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 10),
+t AS (SELECT doc_id AS id, ' ' || array_to_string({_SEQ}, ' ') || ' ' AS body FROM documents),
+e AS (SELECT question, id FROM t JOIN q ON contains(body, ' ' || array_to_string(passage, ' ') || ' ')),
+m AS (SELECT mode, question, min(rank) AS best FROM k JOIN e USING (question, id) GROUP BY ALL),
+f AS (SELECT mode, question, count(DISTINCT term) AS found FROM k JOIN h USING (question, id) WHERE rank <= 5 AND place <= 3 GROUP BY ALL),
+w AS (SELECT question, count(*) AS wanted FROM r WHERE place <= 3 GROUP BY question),
+j AS (SELECT mode, question, coalesce((best <= 1)::INT, 0) AS hit_1, coalesce((best <= 5)::INT, 0) AS hit_k, coalesce(1.0::DOUBLE / best, 0) AS mrr, coalesce(found, 0) / wanted::DOUBLE AS keywords
+  FROM (SELECT DISTINCT question FROM e) CROSS JOIN (SELECT DISTINCT mode FROM k) LEFT JOIN m USING (mode, question) LEFT JOIN f USING (mode, question) JOIN w USING (question)),
+s AS (SELECT mode, count(*) AS n, avg(hit_1) AS hit_1, avg(hit_k) AS hit_k, avg(mrr) AS mrr, avg(keywords) AS keywords FROM j GROUP BY mode),
+g AS (FROM s UNION ALL SELECT 'delta', x.n, x.hit_1 - y.hit_1, x.hit_k - y.hit_k, x.mrr - y.mrr, x.keywords - y.keywords FROM s x, s y WHERE x.mode = 'rarity' AND y.mode = 'shared')
+SELECT mode, n, round(hit_1, 6) AS hit_1, round(hit_k, 6) AS hit_k, round(mrr, 6) AS mrr, round(keywords, 6) AS keywords FROM g""",
     "keyword_recall": """
 SELECT conv_id, turn, round(CASE WHEN turn % 4 = 0 THEN 1.0 ELSE (contains(t, 'the')::INT + (turn % 4 > 1 AND contains(t, 'and'))::INT + (turn % 4 > 2 AND contains(t, 'zzz'))::INT) / (turn % 4)::DOUBLE END, 6) AS recall
 FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)""",
 }
-QUERIES = {f.__name__: f for f in (facts_rebuild, facts_search, timeline_events, timeline_search, temporal_metadata, quality_audit, entity_cards, entity_detail, conversation_list, conversation_messages, eval_metrics, keyword_recall)}
+QUERIES = {f.__name__: f for f in (facts_rebuild, facts_search, timeline_events, timeline_search, temporal_metadata, quality_audit, entity_cards, conversation_list, conversation_messages, eval_metrics, keyword_recall)}

@@ -23,7 +23,7 @@ def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     bar = lambda i: F.repeat(F.lit("="), (2 + i % 3).cast("int"))
     title = lambda i: F.when(i % 7 == 5, "References").otherwise(F.concat(F.lit("Part "), i.cast("string")))
     body = F.array_join(F.transform("lines", lambda x, i: F.concat(bar(i), F.lit(" "), title(i), F.lit(" "), bar(i), F.lit("\n  "), x, F.lit("\n"))), "")
-    box = F.concat(F.lit("{{Character Infobox\n| name = [[N|"), "source", F.lit("]]\n|race={{S|"), "lang", F.lit("}}\n| race = twice\n}}\nLead [["), "lang", F.lit("#x|l]] [[File:a.png]] [["), "source", F.lit("]]\n"))
+    box = F.concat(F.lit("{{Character Infobox\n| name = [[N|"), "source", F.lit("]]\n|race=once\n| none =\n| race = {{S|"), "lang", F.lit("}}\n}}\nLead [["), "lang", F.lit("#x|l]] [[File:a.png]] [[pt-br:x]] [[api:"), (F.col("doc_id") % 9).cast("string"), F.lit("]] [["), "source", F.lit("]]\n"))
     return d.select("doc_id", F.concat(box, body).alias("raw"))
 
 
@@ -73,7 +73,7 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HYBRID = retrieval.ORACLE["hybrid_retrieve"]
 ORACLE = {
-    "wiki_infobox": "SELECT doc_id, 2 AS n, source AS name, '(' || lang || ')' AS race, CASE WHEN lang = source THEN 'N|' || lang ELSE 'N|' || lang || '|' || source END AS links FROM documents",
+    "wiki_infobox": "SELECT doc_id, 2 AS n, source AS name, '(' || lang || ')' AS race, CASE WHEN lang = source THEN 'N|' || lang || '|api:' || doc_id % 9 ELSE 'N|' || lang || '|api:' || doc_id % 9 || '|' || source END AS links FROM documents",
     "page_graph": """
 WITH p AS (SELECT 'S' || (s_suppkey % 50) AS e, s_suppkey AS k, s_nationkey AS nk FROM supplier),
 x AS (SELECT e AS source, 'kind ' || (k % 5) AS target, 'species_of' AS relation, 1.0 AS confidence FROM p WHERE k % 2 = 0 UNION ALL SELECT e, 'T' || (k % 9), 'has_title', 1.0 FROM p

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
+
 PAGE = "page_id long, title string, canonical_url string, revision_id long, revision_timestamp string, categories array<string>, raw_wikitext string, fetched_at double"
 CHUNK = "chunk_id string, page_id long, entity string, section_path string, chunk_type string, chunk_text string, raw_text string, content_hash string, canonical_url string, categories array<string>, aliases array<string>, language string, fetched_at double"
 GOLDEN = "id string, question string, archetype string, language string, expected_entities array<string>, expected_answer_keywords array<string>, notes string"
@@ -13,6 +15,11 @@ TEXT_FILES = ("md", "txt", "markdown", "json")
 NOT_PAGES = r"(?i)\.(png|jpe?g|pdf|zip|exe)$"
 
 
+def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
+    """Rows as JSON, one a line: added to a table there or in its place."""
+    rows.write.mode("append" if append else "overwrite").json(path)
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE).json(path)
 
@@ -22,6 +29,9 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
+    """Golden questions; none where there is no such file."""
+    if not tables.exists(spark, path):
+        return spark.createDataFrame([], GOLDEN)
     return spark.read.schema(GOLDEN).json(path, multiLine=True)
 
 

@@ -202,7 +202,7 @@ def test_infobox_and_links(spark):
     from loomwell.operators import wiki
 
     raw = "{{Char Infobox\n| a = [[x|y]]\n| a = z\n|b={{S|t}}<br>u\n| none\n}}\n[[P#q|r]] [[File:f]] [[P]] [[de:x]]"
-    assert one(spark, wiki.infobox(F.lit(raw))) == {"a": "y", "b": "(t)\nu"}
+    assert one(spark, wiki.infobox(F.lit(raw))) == {"a": "z", "b": "(t)\nu"}
     assert one(spark, wiki.links(F.lit(raw))) == ["x", "P"]
     assert one(spark, wiki.infobox(F.lit("no box"))) == {}
 
