@@ -18,9 +18,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def once(c: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(c), use)[0]
+
+
 def normalised(v: Column) -> Column:
     """Length 1; a vector of zeros stays."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    return once(v, lambda w: once(F.greatest(norm(w), F.lit(1e-12)), lambda n: F.transform(w, lambda x: x.cast("double") / n)))
 
 
 def similarity_score(distance: Column) -> Column:

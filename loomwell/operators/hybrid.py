@@ -53,7 +53,8 @@ def retrieve(corpus: Corpus, question: str, k: int, filters: dict | None = None,
     of = lambda hits: hits.join(allowed.select(F.col("id").alias("doc")), "doc", "left_semi") if filters else hits
     order = [F.desc(F.round("score", 9)), "doc"]
     vectors = corpus.vectors.select(F.col("id").alias("doc"), "embedding")
-    found = rt.nearest(of(vectors), corpus.embed(F.lit(text)), n, id_column="doc").select("doc", "distance", "score")
+    vector = [float(x) for x in corpus.chunks.sparkSession.range(1).select(corpus.embed(F.lit(text)).alias("v")).first()["v"]]
+    found = rt.nearest(of(vectors), vector, n, id_column="doc").select("doc", "distance", "score")
     legs = [rt.ranked(found, 1, ["distance", "doc"])]
     if lexical:
         legs.append(rt.ranked(rt.search_index(corpus.index, text, n, of), 2, order))

@@ -58,7 +58,7 @@ def expand(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     is sent whole or compared with all of the other.
     """
     low = F.lower("q")
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    starts = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), 1))
     places = questions.where(F.length(low) >= 3).select("q_id", "q", F.explode(starts).alias("start"))
     named = aliases.where(F.length("alias") >= 3).withColumn("start", F.substring(F.lower("alias"), 1, 3))
     hits = places.join(named, "start").where(F.lower("q").contains(F.lower("alias")))

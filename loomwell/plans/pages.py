@@ -51,7 +51,7 @@ def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.hybrid_retrieve(spark, sf_dir).withColumnRenamed("source", "title")
+    found = retrieval.hybrid_retrieve(spark, sf_dir).where("question = 0").withColumnRenamed("source", "title")
     return answers.prompt(found).select(F.sha2("prompt", 256).alias("prompt_sha256"), "n", "confident")
 
 
@@ -80,7 +80,7 @@ x AS (SELECT e AS source, 'kind ' || (k % 5) AS target, 'species_of' AS relation
   UNION ALL SELECT e, 'S' || ((k + 1) % 50), 'disciple_of', 0.9 FROM p UNION ALL SELECT e, 'S' || ((k + 2) % 50), 'disciple_of', 0.9 FROM p UNION ALL SELECT 'S' || ((k + 3) % 50), e, 'subordinate_of', 0.9 FROM p
   UNION ALL SELECT e, 'N' || nk || '0', 'affiliated_with', 0.95 FROM p UNION ALL SELECT e, 'S' || ((k + 7) % 50), 'associated_with', 0.7 FROM p WHERE k % 3 = 0)
 SELECT DISTINCT source, target, relation, confidence::DOUBLE AS confidence FROM x""",
-    "rag_prompt": f"SELECT sha256(string_agg('[' || citation || '] ' || source || chr(10) || snippet, chr(10) || chr(10) ORDER BY citation)) AS prompt_sha256, count(*) AS n, coalesce(max(score) >= 0.35, false) AS confident FROM ({_HYBRID})",
+    "rag_prompt": f"SELECT sha256(string_agg('[' || citation || '] ' || source || chr(10) || snippet, chr(10) || chr(10) ORDER BY citation)) AS prompt_sha256, count(*) AS n, coalesce(max(score) >= 0.35, false) AS confident FROM ({_HYBRID}) WHERE question = 0",
     "verification_parse": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'ok' ELSE 'unverified' END AS verdict, CASE turn % 3 WHEN 0 THEN 's' || turn WHEN 1 THEN 'plain words' ELSE '' END AS summary FROM conversations WHERE role = 'assistant'",
     "settings_lookup": """
 SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY scope = 'global', value) AS n FROM (

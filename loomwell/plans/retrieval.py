@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as tx
 from loomwell.functions import vector as vx
+from loomwell.operators import hybrid, routing
 from loomwell.operators import retrieval as rt
-from loomwell.operators import routing
 
 QUESTION = "the and thanedble worthless license ertion"
 TERMS = ["the", "and", "thanedble", "worthless", "license", "ertion"]
@@ -86,14 +89,42 @@ def infobox_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.infobox_first(rows.withColumn("kind", _kind()), "kind", "rank").select("id", "kind", "rank", F.col("new_rank").cast("int").alias("new_rank"))
 
 
+#: One factual, one relational and one general question; the first two name entities.
+ASKED = ("what is item 3 of thanedble rank", "the friend of item 7 and item 11", "worthless license ertion")
+
+
+def _letters(text):
+    """A stand-in for a user's encoder: how many tokens have each length (to the base 64), as a vector of length 1."""
+    sizes = F.transform(tx.tokens(text), lambda t: F.pmod(F.length(t), F.lit(64)))
+    return vx.normalised(vx.once(sizes, lambda s: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(s, lambda n: n == i)).cast("double"))))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> hybrid.Corpus:
+    """Documents as chunks; passages as entities "item n" that are linked with their first words."""
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    item = F.concat(F.lit("item "), F.col("item_id").cast("string"))
+    words = bench.select("item_id", item.alias("source"), F.posexplode(F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 4)).alias("n", "target"))
+    edges = words.select((F.col("item_id") * 10 + F.col("n")).alias("edge_id"), "source", "target", F.lit("mentions").alias("relation"), F.lit(1.0).alias("confidence"))
+    kind = F.when(F.col("doc_id") % 7 == 0, "infobox").otherwise("text")
+    return hybrid.Corpus(
+        chunks=docs.select(F.col("doc_id").alias("id"), kind.alias("chunk_type"), "lang", "source", "text"),
+        vectors=_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"),
+        index=rt.lexical_index(docs), aliases=bench.select(F.col("item_id").alias("seq"), item.alias("alias"), item.alias("canonical")),
+        edges=edges, embed=_letters, searched=("lang", "source", "text"),
+    )
+
+
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All legs, fusion, infobox promotion, the cut to k, and the source payload."""
-    fused = rt.fuse(_legs(spark, sf_dir, K), rt.candidates(K))
-    placed = fused.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rrf"), "first_leg", "first_rank"))).withColumn("doc", F.col("id"))
-    top = rt.infobox_first(placed.withColumn("kind", _kind()), "kind", "place").where(F.col("new_rank") <= K)
+    """Ten sources for each of three questions: routing, expansion, all lists, fusion, promotion where the question asks
+    for it, and the source payload."""
+    corpus = _corpus(spark, sf_dir)
+    with ThreadPoolExecutor(len(ASKED)) as pool:  # the questions' jobs run side by side
+        lists = list(pool.map(lambda q: hybrid.retrieve(corpus, q, K), ASKED))
+    found = reduce(DataFrame.unionByName, (mine.withColumn("question", F.lit(n)) for n, mine in enumerate(lists)))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.concat(F.substring("text", 1, 280), F.lit("...")).alias("snippet"))
-    # Ten rows at most look their texts up; the larger side is not moved.
-    return docs.join(F.broadcast(top), "id").select(F.col("new_rank").cast("int").alias("citation"), "id", "kind", "source", "snippet", F.round("rrf", 4).alias("score"))
+    # Thirty rows at most look their texts up; the larger side is not moved.
+    top = docs.join(F.broadcast(found), "id")
+    return top.select("question", F.col("place").cast("int").alias("citation"), "id", F.col("chunk_type").alias("kind"), "source", "snippet", F.round("rrf", 4).alias("score"), "first_leg")
 
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +210,27 @@ FROM (SELECT *, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in e]
 WITH {_BM25}, b AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM bm ORDER BY rank LIMIT 15)
 SELECT id, kind, rank, CAST(row_number() OVER (ORDER BY kind <> 'infobox', rank) AS INT) AS new_rank FROM b""",
     "hybrid_retrieve": f"""
-WITH {_Q}, {_BM25}, {_STRUCT}, {_LEGS}, f AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, row_number() OVER (ORDER BY rrf DESC, first_leg, first_rank) AS place FROM ({_FUSE.format(legs='FROM l1 UNION ALL FROM l2 UNION ALL FROM l4', k=30)})),
-p AS (SELECT *, CAST(row_number() OVER (ORDER BY kind <> 'infobox', place) AS INT) AS citation FROM f)
-SELECT citation, id, kind, source, substring(text, 1, 280) || '...' AS snippet, round(rrf, 4) AS score FROM p JOIN documents ON doc_id = id WHERE citation <= 10""",
+WITH asked AS ({' UNION ALL '.join(f"SELECT {n} AS question, '{q}' AS q, {q.startswith('what is')} AS factual" for n, q in enumerate(ASKED))}),
+al AS (SELECT item_id, 'item ' || item_id AS name, list_distinct({_TOK.format(t='text')}) AS u, {_TOK.format(t='text')} AS t FROM benchmark),
+hit AS (SELECT question, item_id, name, t FROM asked JOIN al ON contains(lower(q), name)),
+ex AS (SELECT question, factual, CASE WHEN m IS NULL THEN q ELSE q || ' (also known as: ' || array_to_string(m[1:3], ', ') || ')' END AS x FROM asked LEFT JOIN (SELECT question, list(name ORDER BY item_id) AS m FROM hit GROUP BY 1) USING (question)),
+first4 AS (SELECT question, unnest(list_filter(t, lambda x, i: list_position(t, x) = i)[1:4]) AS term FROM hit),
+terms AS (SELECT DISTINCT question, 2 AS leg, unnest({_TOK.format(t='x')}) AS term FROM ex UNION SELECT DISTINCT question, 3, term FROM first4),
+tok AS (SELECT doc_id, {_TOK.format(t='text')} AS t FROM documents WHERE text IS NOT NULL), whole AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
+post AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT question, leg, doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM terms JOIN post USING (term) JOIN df USING (term), whole GROUP BY ALL),
+sizes AS (SELECT question, [len(list_filter({_TOK.format(t='x')}, lambda y: length(y) % 64 = i))::DOUBLE for i in range(64)] AS c FROM ex),
+qv AS (SELECT question, [y / greatest(sqrt(list_sum([z * z for z in c])), 1e-12) for y in c] AS e FROM sizes),
+near AS (SELECT question, vec_id AS id, {_D} AS d FROM embeddings v, qv q),
+st AS (SELECT question, doc_id AS id, list_sum([contains(h, w)::INT for w in list_filter(string_split_regex(lower(x), '\\s+'), lambda w: length(w) >= 2)]) AS score FROM ex, (SELECT doc_id, lower(concat_ws(' ', lang, source, text)) AS h FROM documents)),
+legs AS (SELECT question, 1 AS leg, id, row_number() OVER (PARTITION BY question ORDER BY d, id) AS rank FROM near
+  UNION ALL SELECT question, leg, id, row_number() OVER (PARTITION BY question, leg ORDER BY round(score, 9) DESC, id) FROM bm
+  UNION ALL SELECT question, 4, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) FROM st WHERE score > 0),
+f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(leg * 1000 + rank) AS spot FROM legs WHERE rank <= 30 GROUP BY ALL),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rrf DESC, spot) AS n FROM f) WHERE n <= 30),
+p AS (SELECT c.*, CASE WHEN id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, source, substring(text, 1, 280) || '...' AS snippet, factual FROM c JOIN documents ON doc_id = id JOIN ex USING (question)),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY factual AND kind <> 'infobox', n) AS INT) AS citation FROM p)
+SELECT question, citation, id, kind, source, snippet, round(rrf, 4) AS score, CAST(spot // 1000 AS INT) AS first_leg FROM o WHERE citation <= 10""",
     "rerank_overlap": f"""
 WITH {_BM25}, b AS (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 30)
 SELECT doc_id, round(len(list_intersect({_TERMS}, t)) / 6.0, 6) AS rerank FROM b JOIN tok USING (doc_id) ORDER BY rerank DESC, round(score, 9) DESC, doc_id LIMIT 10""",
