@@ -22,9 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["folder"]
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut, and what follows is planned with its true size."""
-    path = f"{shared_folder(df.sparkSession)}/loomwell-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(df.sparkSession)}/loomwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
