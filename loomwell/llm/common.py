@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwell.functions import tables
+from loomwell.functions.tables import sent_if_few, shared_folder
+
+__all__ = ["checkpointed", "sent_if_few", "shared_folder", "step", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict = {}
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where none is set (tests on one machine) is a temporary folder made.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if "folder" not in _OWN:
-        _OWN["folder"] = tempfile.mkdtemp(prefix="spark-ckpt-")
-    return _OWN["folder"]
+#: Tables that were written since the current step began.
+_MADE: list[str] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -36,19 +31,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     a plan that starts at files stays small, where checkpoints pass on orderings that double each time round.
     """
     session = df.sparkSession
-    path = f"{shared_folder(session)}/loomwell-{uuid.uuid4().hex}"
     # Python gets its rows in small batches, so that workers need little memory beside the executor's own.
     usual = session.conf.get(BATCH, None)
     session.conf.set(BATCH, str(8 << 20))
     try:
-        df.write.parquet(path)
+        out = tables.written(df, path := f"{shared_folder(session)}/loomwell-{uuid.uuid4().hex}")
     finally:
         session.conf.unset(BATCH) if usual is None else session.conf.set(BATCH, usual)
-    return session.read.schema(df.schema).parquet(path)
-
-
-def sent_if_few(df: DataFrame, most: int) -> DataFrame:
-    """``df``, a written table, marked for a broadcast join if its rows, which are counted, are at most ``most``."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= most else df
+    _MADE.append(path)
+    return out
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that were written within it: for steps whose own result is written out."""
+    begun = len(_MADE)
+    yield
+    for path in _MADE[begun:]:
+        tables.delete(spark, path)
+    del _MADE[begun:]

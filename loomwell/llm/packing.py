@@ -41,6 +41,15 @@ SALTED, MOST_SALTS = 500, 4096
 SENT = 300_000
 
 
+@lru_cache(maxsize=1)
+def _whole(vocabulary: str):
+    """The tokenizer itself, loaded where a text needs it: it takes much memory."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
     """A function from a text to its ids in the public byte-level vocabulary of that name.
@@ -48,19 +57,20 @@ def encoder(vocabulary: str):
     The file of ranks holds the same vocabulary and splitting pattern as the tokenizer's own file and is several times
     faster. Only a text that holds one of the tokenizer's special strings goes through the tokenizer itself.
     """
+    import json
+
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return _whole(vocabulary).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
