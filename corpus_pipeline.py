@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwell.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from loomwell.llm.common import checkpointed, sent_if_few, shared_folder, table
+from loomwell.llm.common import checkpointed, sent_if_few, shared_folder, step, table
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Lines that ten documents or more share go from every document."""
     done = line_dedup.dedup_lines(docs)
     changed = F.col("_lines.n_dropped") > 0
-    columns = [F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns)
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return done.select(*(n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with step(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
