@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, secret_scan, toxicity, webp_media
+from loomwell.llm import chat_format, decontaminate, fill_in_middle, filter_audit, html_extract, language_id, line_dedup, near_dedup, one_bit_search, packing, secret_scan, toxicity, webp_media
 
-MODULES = (webp_media, packing, decontaminate, chat_format, line_dedup, language_id, toxicity, secret_scan, near_dedup, html_extract)
+MODULES = (webp_media, packing, decontaminate, chat_format, line_dedup, language_id, toxicity, secret_scan, near_dedup, html_extract, filter_audit, fill_in_middle, one_bit_search)
 
 
 def queries() -> dict:
