@@ -60,26 +60,6 @@ def chunk_id(entity: Column, section: Column, index: Column, body: Column) -> Co
     return F.concat(plain(entity), F.lit("__"), plain(section), F.lit("__c"), index.cast("string"), F.lit("__"), F.left(content_hash(body), F.lit(10)))
 
 
-def clean_wikitext(c: Column, noted: str = "S", kept: str = "Nihongo|W", flags: str = "") -> Column:
-    """Plain text of wiki markup. Templates are resolved from the inside, however deep: ``noted`` ones become their first
-    value in parentheses, ``kept`` ones their first value, others go; one that is never closed stays as it is. Names are
-    compared exactly unless ``flags`` says otherwise."""
-
-    def inner(c: Column) -> Column:
-        """The templates without others inside resolved: one level."""
-        c = F.regexp_replace(c, flags + r"\{\{(?!\s*(?:" + noted + "|" + kept + r")\s*\|)[^{}]*\}\}", "")
-        c = F.regexp_replace(c, flags + r"\{\{\s*(?:" + noted + r")\s*\|([^{}|]*)[^{}]*\}\}", " ($1)")
-        return F.regexp_replace(c, flags + r"\{\{\s*(?:" + kept + r")\s*\|([^{}|]*)[^{}]*\}\}", "$1")
-
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->|(?is)<gallery[^>]*>.*?</gallery>|<ref[^>]*/>|<ref[^>]*>.*?</ref>", "")
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    levels = F.regexp_count(c, F.lit(r"\{\{"))
-    c = F.aggregate(F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>")), c, lambda s, _: inner(s))
-    c = F.regexp_replace(c, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
-    c = F.regexp_replace(c, r"<[^>]+>", "")
-    return stripped(F.regexp_replace(c, r"[ \t]+", " "))
-
-
 def multivalue(c: Column) -> Column:
     """Values of a field: one a line, bullets taken off, lines without parentheses split at commas."""
     lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^[•\-*\s]+|[•\-*\s]+$", ""))

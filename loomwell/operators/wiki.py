@@ -8,69 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as tx
+from loomwell.functions import wikitext
 from loomwell.operators import chunking
 
-#: Titles of sections that are left out; prefixes of links that are no pages; an edge's confidence by relation.
-LEFT_OUT = ("references", "gallery", "external links", "navigation")
-NO_PAGE = ("Category:", "File:", "Image:", "es:", "de:", "ru:", "zh:", "pt-br:", "vi:", "id:", "pl:", "tr:")
+#: An edge's confidence by relation.
 CONFIDENCE = {"species_of": 1.0, "has_title": 1.0, "disciple_of": 0.9, "subordinate_of": 0.9, "affiliated_with": 0.95, "associated_with": 0.7}
-_PLACE = "array<struct<level:int,title:string>>"
-_SECTION = "array<struct<title:string,level:int,path:string,content:string>>"
-
-
-def infobox(raw: Column) -> Column:
-    """The fields of the first template whose name has "infobox" in it, one a line, as a map; empty ones go, of equal keys the last counts."""
-    body = F.regexp_extract(raw, r"(?is)\{\{([^|{}\n]*infobox[^|{}\n]*)\s*\|(.*?)\n\}\}", 2)
-    fields = F.filter(F.split(body, r"(?:^|\n)\s*\|"), lambda f: f.contains("="))
-    pairs = F.transform(fields, lambda f: F.struct(tx.stripped(F.substring_index(f, "=", 1)).alias("key"), tx.clean_wikitext(F.substring(f, F.length(F.substring_index(f, "=", 1)) + 2, F.length(f))).alias("value")))
-    pairs = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    later = F.reverse(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(later, p["key"]) == F.size(pairs) - i))
-
-
-def links(raw: Column) -> Column:
-    """Distinct link targets in order, without categories, files and other wikis."""
-    found = F.transform(F.regexp_extract_all(raw, F.lit(r"\[\[([^\[\]|#]+)"), 1), tx.stripped)
-    return F.array_distinct(F.filter(found, lambda x: ~reduce(lambda y, z: y | z, (x.startswith(p) for p in NO_PAGE)) & (x != "")))
-
-
-def section_text(c: Column) -> Column:
-    """Lines stripped, blank ones left out, runs of spaces and tabs as one space."""
-    lines = F.filter(F.transform(F.split(c, "\n"), tx.stripped), lambda x: x != "")
-    return F.regexp_replace(F.array_join(lines, "\n"), r"[ \t]+", " ")
-
-
-def sections(raw: Column) -> Column:
-    """Array of (title, level, path, content); what stands before the first heading is no section.
-
-    A heading closes all sections of its level or deeper; a section that is left out does not change the path, so
-    sections below it hang where it hung. Sections without text go.
-    """
-    heading = r"^(={2,6})\s*([^=].*?)\s*={2,6}\s*$"
-    empty = F.struct(F.array().cast(_PLACE).alias("open"), F.lit(None).cast("struct<title:string,level:int,path:string>").alias("now"), F.array().cast("array<string>").alias("lines"), F.array().cast(_SECTION).alias("done"))
-
-    def closed(s: Column) -> Column:
-        content = section_text(F.array_join(s["lines"], "\n"))
-        made = F.struct(s["now"]["title"].alias("title"), s["now"]["level"].alias("level"), s["now"]["path"].alias("path"), content.alias("content"))
-        return F.when(s["now"].isNotNull() & (content != ""), F.concat(s["done"], F.array(made))).otherwise(s["done"])
-
-    def step(s: Column, line: Column) -> Column:
-        level, title = F.length(F.regexp_extract(line, heading, 1)), tx.stripped(F.regexp_extract(line, heading, 2))
-        left_out = F.lower(title).isin(*LEFT_OUT)
-        shallower = F.filter(s["open"], lambda p: p["level"] < level)
-        opened = F.when(left_out, s["open"]).otherwise(F.concat(shallower, F.array(F.struct(level.alias("level"), title.alias("title")))))
-        now = F.when(~left_out, F.struct(title.alias("title"), level.alias("level"), F.array_join(F.transform(opened, lambda p: p["title"]), " > ").alias("path")))
-        is_heading = level > 0
-        return F.struct(
-            F.when(is_heading, opened).otherwise(s["open"]).alias("open"),
-            F.when(is_heading, now).otherwise(s["now"]).alias("now"),
-            F.when(is_heading, F.array().cast("array<string>")).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"),
-            F.when(is_heading, closed(s)).otherwise(s["done"]).alias("done"),
-        )
-
-    return F.aggregate(F.split(raw, "\n"), empty, step, closed)
-
-
 #: Typed fields of an infobox with the keys that they are read from, in the order of a fact sheet.
 SINGLE = {
     "name": ("name", "title", "kanji_name"), "kanji": ("kanji",), "romaji": ("romaji",), "species": ("species", "race", "evolution"), "gender": ("gender",), "age": ("age",),
@@ -103,20 +45,27 @@ def fact_sheet(fields: Column) -> Column:
     return F.array_join(F.concat(F.array_compact(F.array(*lines)), others), "\n")
 
 
-HEADING = r"(?m)^={2,6}\s*[^=\n][^\n]*?={2,6}[ \t]*$"
-
-
 def parse_pages(pages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(title, raw_text, ...) and (canonical, aliases) to the same with infobox, aliases, lead, sections and links.
+    """(title, raw_text, ...) and (canonical, aliases) to the same with infobox, aliases, lead, sections, links and error.
 
-    Pages without text go. Aliases are those of redirects, then those of the infobox, each once.
+    Pages without text go. Aliases are those of redirects, then those of the infobox, each once. ``error`` says why a
+    page could not be read, as ``pages`` tells (a record that is none) or the parser; see ``quarantined``.
     """
-    plain = tx.clean_wikitext(F.regexp_replace("raw_text", r"(?is)<references\s*/?>", ""), noted="s", kept="nihongo", flags="(?i)")
-    rows = pages.where(tx.stripped(F.coalesce("raw_text", F.lit(""))) != "").join(aliases.select(F.col("canonical").alias("title"), F.col("aliases").alias("_known")), "title", "left")
-    rows = rows.withColumn("infobox", infobox(F.col("raw_text"))).withColumn("_plain", plain).withColumn("links", links(F.col("raw_text")))
+    known = aliases.select(F.col("canonical").alias("title"), F.col("aliases").alias("_known"))
+    told = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    rows = pages.where(tx.stripped(F.coalesce("raw_text", F.lit(""))) != "").join(known, "title", "left").withColumn("_told", told)
+    # One call a page; what follows takes its fields.
+    rows = rows.withColumn("_page", wikitext.parsed(F.when(F.col("_told").isNull(), F.col("raw_text"))))
+    rows = rows.withColumn("infobox", wikitext.fields_map(F.col("_page")))
     own = F.coalesce("_known", F.array().cast("array<string>"))
     rows = rows.withColumn("aliases", F.array_distinct(F.concat(own, typed(F.col("infobox"))["aliases"])))
-    return rows.withColumn("lead", section_text(F.split("_plain", HEADING, 2)[0])).withColumn("sections", sections(F.col("_plain"))).drop("_plain", "_known")
+    read = {c: F.col(f"_page.{c}") for c in ("lead", "sections", "links")}
+    return rows.withColumns(read | {"error": F.coalesce("_told", "_page.error")}).drop("_page", "_known", "_told")
+
+
+def quarantined(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages that were read, and (title, page_id, error, raw_text) of those that could not be."""
+    return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("title", "page_id", "error", "raw_text")
 
 
 def chunk_pages(parsed: DataFrame, most: int = 800) -> DataFrame:
@@ -132,17 +81,7 @@ def chunk_pages(parsed: DataFrame, most: int = 800) -> DataFrame:
     body = F.when(F.col("chunk_type") == "infobox", F.concat(F.lit("[INFOBOX FACT SHEET]\n"), F.col("raw"))).otherwise(F.col("raw"))
     rows = rows.withColumn("chunk_text", tx.stripped(F.concat(chunking.header(F.col("title"), F.col("aliases"), shown, F.col("categories")), F.lit("\n"), body)))
     hashed = rows.withColumn("content_hash", tx.content_hash(F.col("chunk_text")))
-    return hashed.withColumn("chunk_id", tx.chunk_id(F.col("title"), F.col("section"), F.col("idx"), F.col("chunk_text"))).drop("infobox", "lead", "sections", "links", "raw_text")
-
-
-def quarantined(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages that can be read, and (title, page_id, error, raw_text) of the others, in one test a page."""
-    raw = F.coalesce("raw_text", F.lit(""))
-    count = lambda mark: F.regexp_count(raw, F.lit(mark))
-    error = F.when(tx.stripped(F.coalesce("title", F.lit(""))) == "", "no title").when(count("<!--") > count("-->"), "a comment that is not closed")
-    error = error.when(count(r"\{\{") != count(r"\}\}"), "a template that is not closed")
-    told = pages.withColumn("_error", error)
-    return told.where("_error is null").drop("_error"), told.where("_error is not null").select("title", "page_id", F.col("_error").alias("error"), "raw_text")
+    return hashed.withColumn("chunk_id", tx.chunk_id(F.col("title"), F.col("section"), F.col("idx"), F.col("chunk_text"))).drop("infobox", "lead", "sections", "links", "raw_text", "error")
 
 
 def split_values(c: Column) -> Column:

@@ -27,16 +27,20 @@ def _text(*parts) -> F.Column:
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as wiki pages, with redirects as aliases."""
     s, k = _table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    said = F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 200), "[^A-Za-z0-9]+", " ")
+    s = s.join(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_suppkey"), said.alias("said")), "s_suppkey", "left")
+    said = F.coalesce("said", F.lit(""))
     raw = _text(
-        "{{Character Infobox\n| name = [[X|Name ", k, "]]\n| titles = {{Nihongo|Lord ", k % 7, "|x}}<br/>Duke, Count\n| race = {{S|kin ", k % 3, "}}\n| alias = A", k % 5, "\n| power = {{W|p}}",
-        k, "\n| none = <!-- x -->\n}}\nLead of [[N", F.col("s_nationkey"), "|nation]] and [[File:a.png|f]]it.<ref>no</ref>\n== History ==\nText a ", k, ". More.\n=== Early ===\n\nText  b {{gone|{{x}}}}here.\n",
-        "== References ==\nno\n=== Late ===\n[[pt-br:z]]c\n== Skills ==\n{{s|note}} Text [[d]].\n== Empty ==\n",
+        "{{Character Infobox\n| name = [[X|Name ", k, "]]\n| titles = {{Nihongo|[[l|Lord ", k % 7, "]]|x}}<br/>Duke, Count\n| race = {{S|kin ", k % 3, "}}|alias = A", k % 5, "\n| power = {{W|''p''}}",
+        k, "{{gone|a\nb}}\n| none = <!-- x -->\n}}\n'''Lead''' of [[N", F.col("s_nationkey"), "|nation]] &amp; [[File:a.png|f]]it, see [http://x.y site].<ref>no [[r]]</ref> ", said,
+        "\n== History ==\nText a ", k, ". More.\n=== Early ===\n\nText  b {{gone|{{x}}}}here.\n== References ==\nno\n=== Late ===\n[[pt-br:z]]c <nowiki>{{</nowiki>\n== Skills ==\n{{s|note}} Text [[d#e]]. ",
+        said, "\n== Empty ==\n",
     )
     pages = s.select(k.alias("page_id"), F.col("s_name").alias("title"), raw.alias("raw_text"), F.array(F.lit("Lore"), _text("N", F.col("s_nationkey"))).alias("categories"))
     blank = spark.createDataFrame([(-1, "blank", " \n", []), (-2, "null", None, [])], pages.schema)
     redirects = s.where(k % 2 == 0).select(k.alias("seq"), _text("R", k % 4).alias("alias"), F.col("s_name").alias("target"))
     redirects = redirects.withColumn("alias", _text(F.col("alias"), "-", F.col("seq")))
-    return wiki.parse_pages(pages.unionByName(blank), routing.alias_map(redirects))
+    return wiki.quarantined(wiki.parse_pages(pages.unionByName(blank), routing.alias_map(redirects)))[0]
 
 
 def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +54,15 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as pages, some broken: which are taken, and why others are not."""
+    """Landed pages, some lines of which are no records: what is read of each, and what is put aside with an error."""
     c, k = _table(spark, sf_dir, "customer"), F.col("c_custkey")
-    raw = F.when(k % 5 == 0, "a {{b").when(k % 5 == 1, "a <!-- b").otherwise("a {{b}} <!-- c -->")
-    pages = c.select(k.alias("page_id"), F.when(k % 7 != 0, F.col("c_name")).alias("title"), raw.alias("raw_text"))
-    good, bad = wiki.quarantined(pages)
-    return good.select("page_id", F.lit("").alias("error")).unionByName(bad.select("page_id", "error"))
+    raw = F.when(k % 5 == 1, "a {{b").when(k % 5 == 2, "a <!-- b").when(k % 5 == 3, "<nowiki>{{</nowiki> fine").otherwise(_text("''", F.col("c_mktsegment"), "'' {{b}} <!-- c -->"))
+    line = F.to_json(F.struct(k.alias("page_id"), F.col("c_name").alias("title"), raw.alias("raw_wikitext")))
+    path = f"{tables.shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    c.select(F.when(k % 7 == 0, F.substring_index(line, ",", 2)).otherwise(line)).write.text(path)
+    pages = files.pages(spark, path).select("page_id", "title", F.col("raw_wikitext").alias("raw_text"), "error")
+    good, bad = wiki.quarantined(wiki.parse_pages(pages, spark.createDataFrame([], "canonical string, aliases array<string>")))
+    return good.select("page_id", F.lit("").alias("error"), F.col("lead").alias("text")).unionByName(bad.select("page_id", "error", F.col("raw_text").alias("text")))
 
 
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +243,8 @@ def checker_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEAD = "'Entity: ' || title || ' | Aliases: ' || aliases || ' | Section: ' || {} || ' | Categories: Lore, N' || n || chr(10) || chr(10)"
-_PAGES = """p AS (SELECT s_suppkey AS page_id, s_suppkey AS k, s_name AS title, s_nationkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'R' || s_suppkey % 4 || '-' || s_suppkey || ', ' ELSE '' END || 'A' || s_suppkey % 5 AS aliases FROM supplier)"""
+_PAGES = """p AS (SELECT s_suppkey AS page_id, s_suppkey AS k, s_name AS title, s_nationkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'R' || s_suppkey % 4 || '-' || s_suppkey || ', ' ELSE '' END || 'A' || s_suppkey % 5 AS aliases,
+  trim(regexp_replace(coalesce(substr(split_part(text, chr(10), 1), 1, 200), ''), '[^A-Za-z0-9]+', ' ', 'g')) AS said FROM supplier LEFT JOIN documents ON doc_id = s_suppkey)"""
 _ID = "replace(replace(replace({}, ' > ', '__'), ' ', '_'), '/', '_')"
 _CHUNKED = """chunks AS (SELECT doc_id AS seq, source || '/' || lang AS entity, 'http://w/' || doc_id % 10 AS url, CASE WHEN doc_id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, 'part ' || doc_id % 4 AS section, text,
   CASE WHEN doc_id % 3 = 0 THEN 'Main ' || lang || '|x' END AS categories, CASE WHEN doc_id % 4 = 1 THEN 'al' || doc_id END AS aliases, CASE WHEN doc_id % 14 = 0 THEN '{"k": ' || doc_id || '}' END AS infobox FROM documents)"""
@@ -250,16 +258,21 @@ def _oracle() -> dict[str, str]:
 
     return {
         "parse_pages": f"""
-WITH {_PAGES} SELECT page_id, replace(aliases, ', ', '|') AS aliases, 'Lead of nation and fit.' AS lead,
-  'History=Text a ' || k || '. More.|History > Early=Text b here.|History > Late=pt-br:zc|Skills=(note) Text d.' AS sections, 'X|N' || n || '|d' AS links, 5 AS n_fields FROM p""",
+WITH {_PAGES} SELECT page_id, replace(aliases, ', ', '|') AS aliases, trim('Lead of nation & fit, see site. ' || said) AS lead,
+  'History=History' || chr(10) || 'Text a ' || k || '. More.|History > Early=Early' || chr(10) || 'Text b here.|History > Late=Late' || chr(10) || 'pt-br:zc {{{{|Skills=Skills' || chr(10)
+    || trim('(note) Text d#e. ' || said) || '|Empty=Empty' AS sections, 'X|l|N' || n || '|r|d#e' AS links, 5 AS n_fields FROM p""",
         "chunk_pages": f"""
-WITH {_PAGES}, s AS (SELECT page_id, title, aliases, n, 'text' AS chunk_type, unnest(['Introduction', 'History', 'History > Early', 'History > Late', 'Skills']) AS section,
-    unnest(['Lead of nation and fit.', 'Text a ' || k || '. More.', 'Text b here.', 'pt-br:zc', '(note) Text d.']) AS raw FROM p),
+WITH {_PAGES}, s AS (SELECT page_id, title, aliases, n, 'text' AS chunk_type, unnest(['Introduction', 'History', 'History > Early', 'History > Late', 'Skills', 'Empty']) AS section,
+    unnest([trim('Lead of nation & fit, see site. ' || said), 'History' || chr(10) || 'Text a ' || k || '. More.', 'Early' || chr(10) || 'Text b here.', 'Late' || chr(10) || 'pt-br:zc {{{{',
+      'Skills' || chr(10) || trim('(note) Text d#e. ' || said), 'Empty']) AS raw FROM p),
 t AS (SELECT page_id, title, section, chunk_type, {_HEAD.format('section')} || raw AS body FROM s UNION ALL
   SELECT page_id, title, 'Infobox', 'infobox', {_HEAD.format("'Infobox & Overview'")} || '[INFOBOX FACT SHEET]' || chr(10) || 'Name: Name ' || k || chr(10) || 'Aliases: A' || k % 5 || chr(10) || 'Species: (kin ' || k % 3 || ')'
     || chr(10) || 'Titles: Lord ' || k % 7 || ', Duke, Count' || chr(10) || 'Race: (kin ' || k % 3 || ')' || chr(10) || 'Alias: A' || k % 5 || chr(10) || 'Power: p' || k FROM p)
 SELECT page_id, section, CAST(0 AS INT) AS idx, chunk_type, {_ID.format('title')} || '__' || {_ID.format('section')} || '__c0__' || left(sha256(body), 10) AS chunk_id, sha256(body) AS content_hash FROM t""",
-        "quarantine": """SELECT c_custkey AS page_id, CASE WHEN c_custkey % 7 = 0 THEN 'no title' WHEN c_custkey % 5 = 0 THEN 'a template that is not closed' WHEN c_custkey % 5 = 1 THEN 'a comment that is not closed' ELSE '' END AS error FROM customer""",
+        "quarantine": """
+WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS m, c_custkey % 5 AS r FROM customer)
+SELECT CASE WHEN k % 7 <> 0 THEN k END AS page_id, CASE WHEN k % 7 = 0 THEN 'not a record' ELSE '' END AS error,
+  CASE WHEN k % 7 = 0 THEN '{"page_id":' || k || ',"title":"' || c_name || '"' WHEN r = 1 THEN 'a {{b' WHEN r = 2 THEN 'a <!-- b' WHEN r = 3 THEN '{{ fine' ELSE m END AS text FROM c""",
         "jsonl_round_trip": """SELECT c_custkey AS page_id, c_name AS title, 'text "' || c_mktsegment || '"' || chr(10) AS raw_wikitext, c_mktsegment AS category FROM customer""",
         "replace_on_write": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
         "ascii_copy": r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g')) AS ascii_sha256 FROM documents",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.functions import wikitext
 from loomwell.operators import answers, wiki
 from loomwell.plans import retrieval
 
@@ -18,23 +19,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as wiki pages: an infobox in front, headings of changing level over their lines."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[=\[\]{}|<>]", ""), "\n").alias("lines"))
-    bar = lambda i: F.repeat(F.lit("="), (2 + i % 3).cast("int"))
+    """Documents as wiki pages: an infobox in one of three layouts, a lead of all kinds of marks, headings of changing level over their lines."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[=\[\]{}|<>'&*#:;!-]", "")
+    d, n = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.split(text, "\n").alias("lines")), F.col("doc_id")
+    bar = lambda i: F.repeat(F.lit("="), (1 + i % 4).cast("int"))
     title = lambda i: F.when(i % 7 == 5, "References").otherwise(F.concat(F.lit("Part "), i.cast("string")))
     body = F.array_join(F.transform("lines", lambda x, i: F.concat(bar(i), F.lit(" "), title(i), F.lit(" "), bar(i), F.lit("\n  "), x, F.lit("\n"))), "")
-    box = F.concat(F.lit("{{Character Infobox\n| name = [[N|"), "source", F.lit("]]\n|race=once\n| none =\n| race = {{S|"), "lang", F.lit("}}\n}}\nLead [["), "lang", F.lit("#x|l]] [[File:a.png]] [[pt-br:x]] [[api:"), (F.col("doc_id") % 9).cast("string"), F.lit("]] [["), "source", F.lit("]]\n"))
-    return d.select("doc_id", F.concat(box, body).alias("raw"))
+    name, race = F.concat(F.lit("[[N|"), "source", F.lit("]]")), F.concat(F.lit("{{S|''"), "lang", F.lit("''}}"))
+    box = F.when(n % 3 == 0, F.concat(F.lit("{{Infobox character|name="), name, F.lit("|race="), race, F.lit("}}")))
+    box = box.when(n % 3 == 1, F.concat(F.lit("{{Character Infobox\n|name="), name, F.lit("\n|race="), race, F.lit("}}")))
+    box = box.otherwise(F.concat(F.lit("{{Character Infobox\n| name = "), name, F.lit("\n|race=once\n| none =\n| race = {{gone|x\n}}"), race, F.lit("\n}}")))
+    lead = F.concat(
+        F.lit("\n'''Lead''' of [["), "lang", F.lit("#x|l]] &amp; [[File:a.png]] [[pt-br:x]] [[api:"), (n % 9).cast("string"), F.lit("]] [["), "source",
+        F.lit("]], see [http://x.y site] [http://z]<ref>no</ref> {{Nihongo|[[a|b]]|k}}{{gone}} <nowiki>{{</nowiki>\n"),
+    )
+    return d.select("doc_id", F.concat(box, lead, body).alias("raw"))
 
 
 def wiki_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _wiki(spark, sf_dir).select("doc_id", F.posexplode(wiki.sections(F.col("raw"))).alias("pos", "s"))
+    pages = _wiki(spark, sf_dir).select("doc_id", wikitext.parsed(F.col("raw")).alias("page"))
+    rows = pages.select("doc_id", F.posexplode("page.sections").alias("pos", "s"))
     return rows.select("doc_id", "pos", "s.title", "s.level", "s.path", F.sha2("s.content", 256).alias("content_sha256"))
 
 
 def wiki_infobox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = wiki.infobox(F.col("raw"))
-    return _wiki(spark, sf_dir).select("doc_id", F.size(box).alias("n"), F.try_element_at(box, F.lit("name")).alias("name"), F.try_element_at(box, F.lit("race")).alias("race"), F.array_join(wiki.links(F.col("raw")), "|").alias("links"))
+    pages = _wiki(spark, sf_dir).select("doc_id", wikitext.parsed(F.col("raw")).alias("page"))
+    field = lambda name: F.try_element_at(wikitext.fields_map(F.col("page")), F.lit(name)).alias(name)
+    return pages.select("doc_id", F.size("page.fields").alias("n"), field("name"), field("race"), F.array_join("page.links", "|").alias("links"), "page.lead")
 
 
 def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +84,21 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HYBRID = retrieval.ORACLE["hybrid_retrieve"]
 ORACLE = {
-    "wiki_infobox": "SELECT doc_id, 2 AS n, source AS name, '(' || lang || ')' AS race, CASE WHEN lang = source THEN 'N|' || lang || '|api:' || doc_id % 9 ELSE 'N|' || lang || '|api:' || doc_id % 9 || '|' || source END AS links FROM documents",
+    "wiki_infobox": """
+SELECT doc_id, CAST(2 AS INT) AS n, source AS name, '(' || lang || ')' AS race, 'N|' || lang || '#x|api:' || doc_id % 9 || '|' || source || '|a' AS links,
+  'Lead of l & File:a.png pt-br:x api:' || doc_id % 9 || ' ' || source || ', see site b {{' AS lead FROM documents""",
+    "wiki_sections": r"""
+WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[=\[\]{}|<>''&*#:;!-]', '', 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+s AS (SELECT *, i % 4 + 1 AS level, i % 7 = 5 AS left_out, 'Part ' || i AS title FROM l),
+-- The last heading of each level above, if no later one of a lower level closed it.
+w AS (SELECT *, max(CASE WHEN level = 1 AND NOT left_out THEN i END) OVER b AS a1, max(CASE WHEN level = 2 AND NOT left_out THEN i END) OVER b AS a2,
+             max(CASE WHEN level = 3 AND NOT left_out THEN i END) OVER b AS a3
+      FROM s WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, coalesce(CASE WHEN level > 1 THEN 'Part ' || a1 || ' > ' END, '') || coalesce(CASE WHEN level > 2 AND a2 > coalesce(a1, -1) THEN 'Part ' || a2 || ' > ' END, '')
+             || coalesce(CASE WHEN level > 3 AND a3 > coalesce(greatest(a1, a2), -1) THEN 'Part ' || a3 || ' > ' END, '') || title AS path FROM w WHERE NOT left_out)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, title, CAST(level AS INT) AS level, path,
+  sha256(title || CASE WHEN trim(line, ' ' || chr(9) || chr(13)) <> '' THEN chr(10) || trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ' || chr(13)) ELSE '' END) AS content_sha256 FROM p""",
     "page_graph": """
 WITH p AS (SELECT 'S' || (s_suppkey % 50) AS e, s_suppkey AS k, s_nationkey AS nk FROM supplier),
 x AS (SELECT e AS source, 'kind ' || (k % 5) AS target, 'species_of' AS relation, 1.0 AS confidence FROM p WHERE k % 2 = 0 UNION ALL SELECT e, 'T' || (k % 9), 'has_title', 1.0 FROM p

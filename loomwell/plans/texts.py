@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwell.functions import tables
 from loomwell.functions import text as tx
 from loomwell.functions import vector as vx
+from loomwell.functions import wikitext
 from loomwell.operators import chunking
 from loomwell.sources import files
 from loomwell.streaming import ingest
@@ -85,7 +86,7 @@ def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(title, " ")
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
     listed = F.concat(F.lit("• a"), word(0), F.lit(", b"), word(1), F.lit("\n* c (d, "), word(2), F.lit(")\n\n- f"))
-    return pages.select("page_id", tx.clean_wikitext(raw).alias("plain"), F.array_join(tx.multivalue(listed), "|").alias("parts"))
+    return pages.select("page_id", wikitext.value(raw).alias("plain"), F.array_join(tx.multivalue(listed), "|").alias("parts"))
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +175,7 @@ FROM (SELECT page_id, url FROM pages UNION ALL VALUES (-1, 'http://a/b.PDF'), (-
     "wikitext_clean": r"""
 WITH p AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[\[\]{}|<>•*\-\s,()]+', ' ', 'g') AS t FROM pages),
 w AS (SELECT *, string_split(t, ' ') AS w FROM p)
-SELECT page_id, trim(regexp_replace(t || ' label', ' +', ' ', 'g')) || chr(10) || ' (1)' AS plain,
+SELECT page_id, trim(regexp_replace(replace(t, '&amp;', '&') || ' label', ' +', ' ', 'g')) || chr(10) || ' (1)' AS plain,
   'a' || w[1] || '|b' || coalesce(w[2], '') || '|c (d, ' || coalesce(w[3], '') || ')|f' AS parts FROM w""",
     "stream_ingest_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2",
 }

@@ -21,7 +21,9 @@ def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE).json(path)
+    """Landed pages; a line that is no record becomes a row with the line as ``raw_wikitext`` and an ``error``."""
+    rows = spark.read.schema(f"{PAGE}, bad_record string").json(path, columnNameOfCorruptRecord="bad_record")
+    return rows.withColumn("error", F.when(F.col("bad_record").isNotNull(), "not a record")).withColumn("raw_wikitext", F.coalesce("bad_record", "raw_wikitext")).drop("bad_record")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:

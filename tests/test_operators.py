@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as tx
+from loomwell.functions import wikitext
 from loomwell.operators import chunking, graph, knowledge, retrieval, routing
 from loomwell.sources import files
 from loomwell.streaming import ingest
@@ -71,7 +72,7 @@ def test_numbers_beside_thai_and_spaces(spark):
 
 def test_wikitext(spark):
     raw = "[[A|b]] {{S|x}}<br>{{Nihongo|n|k}} <ref>z</ref>{{outer|{{inner}}}}<!-- c -->"
-    plain = one(spark, tx.clean_wikitext(F.lit(raw)))
+    plain = one(spark, wikitext.value(F.lit(raw)))
     assert plain == "b (x)\nn" and "[" not in plain
 
 
@@ -172,12 +173,13 @@ def model_sections(raw):
             out.append((*now, content))
 
     for line in raw.split("\n"):
-        m = re.match(r"^(={2,6})\s*([^=].*?)\s*={2,6}\s*$", line)
+        m = re.match(r"^(={1,6})\s*([^=].*?)\s*={1,6}\s*$", line)
         if not m:
             lines.append(line)
             continue
         close()
-        lines, level, title = [], len(m[1]), m[2].strip()
+        level, title = len(m[1]), m[2].strip()
+        lines = [title]
         if title.lower() in ("references", "gallery", "external links", "navigation"):
             now = None
             continue
@@ -187,24 +189,73 @@ def model_sections(raw):
     return out
 
 
-def test_sections_are_the_model(spark):
-    from loomwell.operators import wiki
-
+def test_sections_are_the_model():
     pages = [
         "lead\n== A ==\ntext\n=== B ===\n\n==== C ====\n  deep \t x\n== References ==\nno\n=== D ===\nyes\n== E ==",
-        "== Gallery ==\n=== x ===\na\n== y ==\nb\n\n c", "", "no headings", "== a ==\n1\n==== b ====\n2\n=== c ===\n3",
+        "== Gallery ==\n=== x ===\na\n== y ==\nb\n\n c", "", "no headings", "== a ==\n1\n==== b ====\n2\n=== c ===\n3", "= Top =\nx\n== A ==\n= Next =\ny",
     ]
     for page in pages:
-        assert [tuple(s) for s in one(spark, wiki.sections(F.lit(page)))] == model_sections(page)
+        assert [tuple(s.values()) for s in wikitext.parsed_page(page)["sections"]] == model_sections(page)
+
+
+def box(raw):
+    return {f["key"]: f["value"] for f in wikitext.parsed_page(raw)["fields"]}
 
 
 def test_infobox_and_links(spark):
+    raw = "{{Char Infobox\n| a = [[x|y]]\n| a = z\n|b={{S|t}}<br>u\n| none\n}}\n[[P#q|r]] [[File:f]] [[P]] [[de:x]]"
+    row = spark.createDataFrame([(raw,)], "raw string").select(wikitext.parsed("raw").alias("p")).select(wikitext.fields_map(F.col("p")).alias("f"), "p.links", "p.error").first()
+    assert (row["f"], row["links"], row["error"]) == ({"a": "z", "b": "(t)\nu", "1": "none"}, ["x", "P#q", "P"], None)
+    assert box("no box") == {}
+
+
+@pytest.mark.parametrize("raw, fields", [
+    ("{{Infobox character|name=A|race=B}}", {"name": "A", "race": "B"}),
+    ("{{Infobox character\n|name=A\n|race=B}}", {"name": "A", "race": "B"}),
+    ("{{Infobox c\n|name=A|race=B\n|q={{X|a\n}}c\n}}", {"name": "A", "race": "B", "q": "c"}),
+    ("{{Infobox c|k={{Nihongo|[[a|b]]|k}}|x=[http://x.y site]|e=R &amp; D|s='''b''' it''s}}", {"k": "b", "x": "site", "e": "R & D", "s": "b it''s"}),
+    ("{{Infobox c|kanji = リムル＝テンペスト|titles = C<br>G|species=[[True Dragon]] {{S|[[U]]}}|link=[[a|b=c]]}}", {"kanji": "リムル＝テンペスト", "titles": "C\nG", "species": "True Dragon (U)", "link": "b=c"}),
+    ("{{Outer|{{Infobox in|a=1}}}} {{Infobox two|b=2}}", {"a": "1"}),
+    ("{{Infobox out|in={{Infobox in|a=1}}|b=2}}", {"b": "2"}),
+])
+def test_infobox_layouts(raw, fields):
+    assert box(raw) == fields
+
+
+@pytest.mark.parametrize("raw, lead, links", [
+    ("'''Rimuru''' ''x'' &amp; king, see [http://x.y site] [http://q] it''s http://bare", "Rimuru x & king, see site it''s http://bare", []),
+    ("[[Slime#Kinds|s]] [[File:a|thumb|cap]] [[b]]", "s thumb|cap b", ["Slime#Kinds", "b"]),
+    ("<nowiki>{{</nowiki> fine page", "{{ fine page", []),
+    ("a {{b <!-- c [[d", "a {{b <!-- c [[d", []),
+    ("{{s|{{s|x}}}} {{Nihongo|n|k}} {{W|gone}}<ref>[[in]]</ref><ref name=x/>t<gallery>g</gallery>", "((x)) n t", ["in"]),
+    ("* a\n:# b\n----\n{| class=x\n|-\n! h\n| c || d\n|}", "a\nb\n! h\nc d", []),
+    ("[[a\nb]] ]] }} <b>c</b> <3", "[[a\nb]] ]] }} c <3", []),
+])
+def test_page_text(raw, lead, links):
+    page = wikitext.parsed_page(raw)
+    assert (page["lead"], page["links"], page["error"]) == (lead, links, None)
+
+
+@pytest.mark.parametrize("many", ["{{a|b}}", "{{S|", "[[", "{{S|x [[a|b]] '''c'''}} &amp;\n", "<!--", "<ref>", "[[<ref>", "[[{{a", "== a ==\nb {{x}}\n", "[http://a b", "<nowiki>", "{{a|[["])
+def test_marks_in_linear_time(many):
+    import time
+
+    spent = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        wikitext.parsed_page(many * n + "}}" * n)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 24 * spent[0] + 0.5
+
+
+def test_pages_that_cannot_be_read_are_put_aside(spark, tmp_path, monkeypatch):
     from loomwell.operators import wiki
 
-    raw = "{{Char Infobox\n| a = [[x|y]]\n| a = z\n|b={{S|t}}<br>u\n| none\n}}\n[[P#q|r]] [[File:f]] [[P]] [[de:x]]"
-    assert one(spark, wiki.infobox(F.lit(raw))) == {"a": "z", "b": "(t)\nu"}
-    assert one(spark, wiki.links(F.lit(raw))) == ["x", "P"]
-    assert one(spark, wiki.infobox(F.lit("no box"))) == {}
+    (tmp_path / "a.json").write_text('{"page_id": 1, "title": "A", "raw_wikitext": "x {{"}\n{"page_id": 2, "ti\n\n{"page_id": 3, "title": "B", "raw_wikitext": " "}\n')
+    pages = files.pages(spark, str(tmp_path)).withColumnRenamed("raw_wikitext", "raw_text")
+    good, bad = wiki.quarantined(wiki.parse_pages(pages, spark.createDataFrame([("A", ["B"])], "canonical string, aliases array<string>")))
+    assert [(r["page_id"], r["lead"], r["aliases"]) for r in good.collect()] == [(1, "x {{", ["B"])]
+    assert [tuple(r) for r in bad.collect()] == [(None, None, "not a record", '{"page_id": 2, "ti')]
 
 
 def test_verification(spark):
