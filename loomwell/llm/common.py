@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Tables that were written since the current step began.
-_MADE: list[str] = []
+#: Tables that were written since the current step of this thread began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -38,15 +39,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
         out = tables.written(df, path := f"{shared_folder(session)}/loomwell-{uuid.uuid4().hex}")
     finally:
         session.conf.unset(BATCH) if usual is None else session.conf.set(BATCH, usual)
-    _MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return out
 
 
 @contextmanager
 def step(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables that were written within it: for steps whose own result is written out."""
-    begun = len(_MADE)
-    yield
-    for path in _MADE[begun:]:
-        tables.delete(spark, path)
-    del _MADE[begun:]
+    """Removes, at its end or when it fails, the tables that were written within it: for steps whose own result is
+    written out. Tables of other threads' steps are not touched."""
+    outer = _MADE.set([])
+    try:
+        yield
+    finally:
+        for path in _MADE.get():
+            tables.delete(spark, path)
+        _MADE.reset(outer)

@@ -14,9 +14,11 @@ Nodes that ``LEAST_PAGES`` pages have are judged, first of all. The measure is t
 with half of the host's text or more: a branch of a page is removed when its composite importance is more than ``GAP``
 below that of the main branch. Text in adverts, menus and footers recurs now and then even where it is not the same on
 all pages; an article's hardly does. A text block that most pages of its node repeat (importance under ``CUT``) is
-removed as well, paragraphs in articles like any other. The elements that hold the article (and what is above them)
-and branches with half of a page's text or more are never removed, nor are text blocks when they are half of what the
-branches leave, so near copies of a page on one host don't lose their text.
+removed as well. Within the main branch, and within article and main elements, nothing is removed for being repeated:
+headings, lines and boxes that an article's pages share are its text. There only branches of low importance go that are
+no text in themselves, with links for half of their characters or more. The elements that hold the article (and what is
+above them) and branches with half of a page's text or more are never removed, nor are text blocks when they are half of
+what the branches leave, so near copies of a page on one host don't lose their text.
 
 Then markup, for what a tree can't know (a host with few pages, menus that differ on all of them): elements and roles
 that mean navigation, notices, adverts, forms or comments go, and elements whose class or id says so with all of its
@@ -109,6 +111,8 @@ class Element:
 class Block:
     element: Element
     text: str
+    #: Characters of it in links.
+    linked: int = 0
 
 
 def _named(value: str) -> set[str]:
@@ -146,13 +150,15 @@ def parse(source: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     source = source or ""
     root = Element("", "", FREE, False, 0, None, [])
-    now, blocks, parts, at, end = root, [], [], 0, len(source)
+    now, blocks, parts, linked, link, at, end = root, [], [], 0, False, 0, len(source)
 
     def flush() -> None:
+        nonlocal linked
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-        parts.clear()
         if text:
-            blocks.append(Block(now, text))
+            blocks.append(Block(now, text, linked))
+        parts.clear()
+        linked = 0
 
     def scope(tags: frozenset, until: frozenset) -> Element | None:
         """The nearest open element with one of ``tags``, not looking above ``until``."""
@@ -170,6 +176,7 @@ def parse(source: str | None) -> list[Block]:
             break
         if m.start() > at:
             parts.append(source[at : m.start()])
+            linked += len(parts[-1].strip()) if link else 0
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -183,11 +190,14 @@ def parse(source: str | None) -> list[Block]:
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
+            elif tag == "a":
+                link = not closing
             continue
         flush()
         if tag in VOID:
             continue
         if closing:
+            link = False
             if (e := scope(frozenset([tag]), frozenset())) is not None:
                 now = e.parent
             continue
@@ -256,17 +266,19 @@ def _digest(*parts: str) -> int:
     return xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def without_low(blocks: list[Block], low: frozenset[str], repeated: frozenset[int]) -> list[Block]:
-    """The blocks outside of branches at ``low`` paths and without ``repeated`` ones, which digests of path and text name."""
-    if low and blocks:
+def without_low(blocks: list[Block], low: frozenset[str], linked: frozenset[str], repeated: frozenset[int]) -> list[Block]:
+    """The blocks outside of branches at ``low`` paths, and at ``linked`` ones if links are half of them, and without
+    ``repeated`` ones, which digests of path and text name."""
+    if (low or linked) and blocks:
         held = {b.element.path: [e.path for e in chain(b.element)] for b in blocks}
-        sizes: Counter = Counter()
+        sizes, links = Counter(), Counter()
         for b in blocks:
             for path in held[b.element.path]:
                 sizes[path] += len(b.text)
+                links[path] += b.linked
         # Branches with half of the text or more, which are those above the largest one and it, stay.
         most = sum(len(b.text) for b in blocks) / 2
-        gone = {path for path, n in sizes.items() if path in low and n < most}
+        gone = {path for path, n in sizes.items() if n < most and (path in low or path in linked and 2 * links[path] >= n)}
         blocks = [b for b in blocks if gone.isdisjoint(held[b.element.path])]
     if repeated and blocks:
         new = [b for b in blocks if _digest(b.element.path, b.text) not in repeated]
@@ -275,9 +287,11 @@ def without_low(blocks: list[Block], low: frozenset[str], repeated: frozenset[in
     return blocks
 
 
-def main_text(source: str | None, low: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset(), important: frozenset[str] = frozenset()) -> str:
+def main_text(
+    source: str | None, low: frozenset[str] = frozenset(), linked: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset(), important: frozenset[str] = frozenset()
+) -> str:
     """The text of a page: first by the tree's verdicts, then without furniture."""
-    blocks, marked = without_furniture(without_low(parse(source), low, repeated))
+    blocks, marked = without_furniture(without_low(parse(source), low, linked, repeated))
     if marked:
         blocks = [b for b in blocks if b.element.article or b.element.path in important]
     return "\n".join(b.text for b in blocks)
@@ -332,28 +346,36 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[
 
 
 def verdicts(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, repeated, important) of the judged nodes: branches of low importance, repeated text blocks
-    (``repeated`` is a digest of path and text) and important nodes."""
+    """(host, path, repeated, within, important) of the judged nodes: branches of low importance, repeated text blocks
+    (``repeated`` is a digest of path and text) and important nodes. ``within``: in the main branch or an article."""
     tree, blocks = style_tree(pages, url, html)
     # The main branch: the deepest one with half of the host's text, by what lies at the top of its pages.
     total = tree.groupBy("host").agg(F.max("chars").alias("total"))
     half = 2 * F.col("chars") >= F.col("total")
     place = F.struct(half.alias("half"), F.when(half, F.size(F.split("path", "/"))).alias("depth"), "chars", "path")
-    main = tree.join(total, "host").groupBy("host").agg(F.max_by("importance", place).alias("main"))
+    main = tree.join(total, "host").groupBy("host").agg(F.max_by(F.struct("importance", "path"), place).alias("x"))
+    # Where it ends in text blocks, what holds them counts.
+    at = F.regexp_replace("x.path", rf"(/({'|'.join(sorted(TEXT_TAGS))})([.#][^/]*)?)+$", "")
+    main = main.select("host", F.col("x.importance").alias("main"), at.alias("at"))
     name = F.regexp_extract("path", r"([^/.#]*)[^/]*$", 1)
     branch = ~name.isin(*sorted(TEXT_TAGS | ARTICLE | {"html", "body", ""}))
     poor = F.col("importance") < F.col("main") - GAP
+    # A page as a whole is no main branch: then only articles are known to hold text.
+    named = ~F.regexp_extract("at", r"([^/.#]*)[^/]*$", 1).isin("html", "body", "")
+    within = named & ((F.col("path") == F.col("at")) | F.col("path").startswith(F.concat("at", F.lit("/"))))
+    if ARTICLE:
+        within = within | F.col("path").rlike(rf"/({'|'.join(sorted(ARTICLE))})([.#/]|$)")
     judged = tree.where(F.col("m") >= least_pages).join(main, "host").where(branch | ~poor)
-    judged = judged.select("host", "path", F.lit(None).cast("long").alias("repeated"), (~poor).alias("important"))
-    same = blocks.where((F.col("m") >= least_pages) & (1 - F.ln("k") / F.ln("m") < CUT))
-    return judged.unionByName(same.select("host", "path", F.col("what").alias("repeated"), F.lit(False).alias("important")))
+    judged = judged.select("host", "path", F.lit(None).cast("long").alias("repeated"), within.alias("within"), (~poor).alias("important"))
+    same = blocks.where((F.col("m") >= least_pages) & (1 - F.ln("k") / F.ln("m") < CUT)).join(main, "host").where(named & ~within)
+    return judged.unionByName(same.select("host", "path", F.col("what").alias("repeated"), F.lit(False).alias("within"), F.lit(False).alias("important")))
 
 
-KINDS = ("low", "again", "important")
+KINDS = ("low", "linked", "again", "important")
 
 
 def _kind(row) -> str:
-    return "again" if row["repeated"] is not None else "important" if row["important"] else "low"
+    return "again" if row["repeated"] is not None else "important" if row["important"] else "linked" if row["within"] else "low"
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -396,7 +418,8 @@ def _joined(rows: DataFrame, told: DataFrame) -> DataFrame:
     met = own.join(told, ["host", "path"]).where(F.col("repeated").isNull() | (F.col("repeated") == F.col("what")))
     path = F.col("repeated").isNull()
     these = lambda c, test: F.collect_set(F.when(test, F.col(c))).alias
-    sets = met.groupBy("host", "key").agg(these("path", path & ~F.col("important"))("low"), these("repeated", ~path)("again"), these("path", path & F.col("important"))("important"))
+    low = path & ~F.col("important")
+    sets = met.groupBy("host", "key").agg(these("path", low & ~F.col("within"))("low"), these("path", low & F.col("within"))("linked"), these("repeated", ~path)("again"), these("path", path & F.col("important"))("important"))
     return keyed.join(checkpointed(sets), ["host", "key"], "left").select("page_id", "url", "source", *KINDS)
 
 

@@ -1,7 +1,10 @@
 """Inner parts: the image format, the network, the packing plan, alignment, parsing, the pipeline's stages."""
 
 import html
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -310,7 +313,7 @@ def test_style_tree_judges_text_blocks_and_comes_first(spark):
         want[len(rows) - 1] = text
 
     for i in range(12):
-        add("notices", f"<article><p>{words(i, 30)}</p><p>All rights are ours</p><ul><li>Write to us<li>item {i}</ul></article>", f"{words(i, 30)}\nitem {i}")
+        add("notices", f"<article><p>{words(i, 30)}</p><p>All rights are ours</p><ul><li>Write to us<li>item {i}</ul></article>", f"{words(i, 30)}\nAll rights are ours\nWrite to us\nitem {i}")
         add("beside", f"<article><p>{words(i, 30)}</p></article><div class='zone'><p>told {i} once</p></div><div class='box'><p>Follow us</p></div>", f"{words(i, 30)}\ntold {i} once")
         add("copies", "<article><p>all the text there is</p></article>", "all the text there is")
         add("near", f"<article><p>all the text there is</p><p>{i}</p></article>", f"all the text there is\n{i}")
@@ -321,6 +324,59 @@ def test_style_tree_judges_text_blocks_and_comes_first(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()} == want
 
 
+def recipe_pages():
+    """Two hosts whose articles share headings, lines and boxes; one has furniture within and around the article."""
+    rows, want = [], {}
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    for i in range(12):
+        rows.append((i, "http://dishes/a", f"<body><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>{words(i, 20)}</p><h2>Method</h2><p>{words(100 + i, 20)}</p><p>Serves four.</p></article></body>"))
+        want[i] = f"Dish {i}\nIngredients\n{words(i, 20)}\nMethod\n{words(100 + i, 20)}\nServes four."
+        box = "<div class='facts'><p>Open daily from nine.</p><p>yes</p></div>"
+        more = "<div class='q'><a href='/x'>See all offers</a> <a href='/y'>Get the app</a></div>"
+        for k, (begin, end) in enumerate((("<article>", "</article>"), ("<div class='story'>", "</div>"))):
+            rows.append((100 * (k + 1) + i, f"http://places{k}/a", f"<body><div class='zone'>Follow our channel</div>{begin}<h1>Place {i}</h1>{box}<p>{words(i, 30)}</p>{more}<p>The end.</p>{end}<div class='low'>Made by us</div></body>"))
+            want[100 * (k + 1) + i] = f"Place {i}\nOpen daily from nine.\nyes\n{words(i, 30)}\nThe end."
+    return rows, want
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_style_tree_keeps_what_articles_share(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", most)
+    rows, want = recipe_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()} == want
+
+
+def test_style_tree_importances_are_the_model(spark):
+    """Importances of all nodes of the given pages, from plain counts of pages."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    hosts = {}
+    for r in spark.read.parquet(path).collect():
+        blocks = html_extract.parse(r["html"])
+        host = re.match(r"(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", r["url"] or "")
+        elements = {e.path: tuple(e.children) for b in blocks for e in [*html_extract.chain(b.element)][::-1]}
+        hosts.setdefault(host[1].lower() if host else "", {})[tuple(b.text for b in blocks)] = (elements, {(b.element.path, b.text) for b in blocks})
+    want = {}
+    for host, pages in hosts.items():
+        styles, texts = {}, {}
+        for elements, blocks in pages.values():
+            for p, children in elements.items():
+                styles.setdefault(p, Counter())[children] += 1
+            for p, text in blocks:
+                texts.setdefault(p, Counter())[text] += 1
+        pages_of = {p: sum(c.values()) for p, c in styles.items()}
+        for p, m in pages_of.items():
+            if m < 2:
+                continue
+            own = sum(-n / m * math.log(n / m, m) for n in styles[p].values())
+            below = [1 - math.log(k, pages_of[q]) for q, c in texts.items() if (q == p or q.startswith(p + "/")) and pages_of.get(q, 0) > 1 for k in c.values() for _ in range(k)]
+            content = sum(below) / len(below) if below else 1.0
+            want[host, p] = 1 - (1 - content) * (1 - own)
+    tree, _ = html_extract.style_tree(spark.read.parquet(path))
+    got = {(r["host"], r["path"]): r["importance"] for r in tree.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def furnished_pages(marks):
     """Forty pages of one host whose menu, advert and footer come from some dozen texts each; articles of changing build."""
     rng, rows, want = random.Random(8), [], {}
