@@ -44,7 +44,7 @@ SAMPLE, CELL_ROWS, MOST_CELLS, ROUNDS = 16_384, 4096, 1024, 8
 #: Bits for each dimension (the code is a multiple of 64 bits), deviations at which an estimate is trusted to rule out.
 BITS_PER_DIM, DEVIATIONS = 4, 3.0
 #: Rows of a part of a cell, queries of a slice, and queries that a task compares at once.
-PART_ROWS, SLICE_QUERIES, AT_ONCE = 16_384, 8192, 256
+PART_ROWS, SLICE_QUERIES, AT_ONCE = 4096, 4096, 256
 SEED = 20
 
 CODED = "cell int, vec_id long, h1 long, h2 long, v array<double>, bits binary, scale double, deviation double, rest double"
@@ -175,8 +175,9 @@ class Index:
                     times = parts[cell]
                     part = np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
                     at = np.repeat(at, times)
-                    # Queries of one cell share their slices, so that a slice visits few parts.
-                    slice_of = own.astype(np.int64) * slices + h1 % slices
+                    # Queries of one cell share their slices, so that a slice visits few parts; small cells share one.
+                    each = -(-slices // len(centres))
+                    slice_of = own * slices // len(centres) if each == 1 else own * each + h1 % each
                     for a in range(0, len(at), 8192):
                         i = at[a : a + 8192]
                         yield pa.record_batch([pa.array(part[a : a + 8192], pa.int32()), pa.array(slice_of[i], pa.int32()), pa.array(h1[i]), piece.column("h2").take(pa.array(i)), rows_of(q[i]), pa.array(bound[i])], names=[f.split()[0] for f in VISIT.split(", ")])
