@@ -3,7 +3,12 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window is a word with its spaces
 around it; it is compressed with each, and the difference of the two lengths tells how much better toxic text explains
 it. A document is described by how many of its windows reach each of a few differences, in number and per word;
-weights on these, fitted on the labelled rows, are the calibration, and 0.5 is the threshold.
+weights on these are the calibration, and 0.5 is the threshold.
+
+Nothing is chosen on held-out rows: the sample is parted into ``FOLDS`` by id, each fold is described by dictionaries of
+the others, in each of the sizes ``SIZES``; the smallest size whose log loss over all folds is the least one, up to its deviation,
+is taken, and the weights are fitted on these descriptions, so they see every document as one that its dictionaries never saw. Spark fits the folds and
+the final dictionaries side by side, a task each; the driver gets descriptions and dictionaries, no texts.
 
 How the dictionaries are made, from a bounded sample of labelled rows (``SAMPLE_ROWS`` a class, with whole texts; the
 rows are those with the smallest hashes of their ids, and of rows with one id the first text counts):
@@ -26,6 +31,7 @@ counts, however long it is.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,20 +42,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm.common import table
+from loomwell.llm.common import checkpointed, table
 
 #: Bound of the sample that the model is fitted on: rows a class.
 SAMPLE_ROWS = 1200
 #: Pieces by which toxic words are told: their bytes, words of a stretch, how much more often than in ordinary text,
 #: standard deviations above it, and the least number of documents.
 GRAMS, STRETCH, RATIO, SURE, LEAST_DOCUMENTS = (5, 6, 7, 8), 30, 4, 10, 3
-ROUNDS, DICTIONARY_BYTES = 3, 9000
+ROUNDS = 3
+#: Parts of the sample for cross-validation, and sizes of a dictionary that are tried.
+FOLDS, SIZES = 3, (6000, 9000, 13_000)
 #: Ordinary documents whose pieces are counted at once.
 LOT = 100
 #: Differences in bytes whose frequency describes a document.
 STEPS = (2, 3, 4, 5, 6, 8)
 #: Ends every window and both dictionaries: the compressor looks for no match in the last 8 bytes of its input.
 PADDING = bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19])
+FITTED = "fold int, size int, toxic_side binary, ordinary_side binary, doc_id long, toxic boolean, x array<double>"
 #: Words whose difference a worker keeps.
 KEPT_WORDS = 150_000
 
@@ -69,20 +78,20 @@ def _compressor(content: bytes):
         window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=4, target_length=16, strategy=z.STRATEGY_LAZY2,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS,
     )
-    dictionary = z.ZstdCompressionDict(content[-DICTIONARY_BYTES:].rjust(DICTIONARY_BYTES, b"\0") + PADDING, dict_type=z.DICT_TYPE_RAWCONTENT)
+    dictionary = z.ZstdCompressionDict(content + PADDING, dict_type=z.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=settings)
     return z.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-def _trained(samples: list[bytes]) -> bytes:
-    """The content of a dictionary trained on ``samples``, or the samples themselves where they are too few to train."""
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """``size`` bytes of a dictionary trained on ``samples``, or of the samples themselves where they are too few to train."""
     import zstandard as z
 
     try:
-        raw = z.train_dictionary(DICTIONARY_BYTES + 500, samples, k=16, d=6).as_bytes()
+        raw = z.train_dictionary(size + 500, samples, k=16, d=6).as_bytes()
     except z.ZstdError:
-        return b"".join(samples)[-DICTIONARY_BYTES:]
-    return raw[-DICTIONARY_BYTES:]
+        raw = b"".join(samples)
+    return raw[-size:].rjust(size, b"\0")
 
 
 @dataclass
@@ -197,45 +206,84 @@ def _known(windows: _Windows, n: int, known: np.ndarray) -> tuple[np.ndarray, np
     return at[there], word[there]
 
 
-def fit(toxic: list[str | None], ordinary: list[str | None]) -> Model:
-    """The model of labelled texts."""
-    bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
-    if not bad or not good:
-        return Model(b"", b"", np.zeros(0))
+def dictionaries(bad: list[list[bytes]], good: list[list[bytes]]) -> dict[int, Model]:
+    """For each size the two dictionaries of labelled texts, as a model without weights."""
     marked, known = telling_words(bad, good)
     samples, at = [], 0
     for words in bad:
         mine = [words[k] for k in np.flatnonzero(marked[at : at + len(words)])]
         samples += [_window(b" ".join(mine))] if mine else []
         at += len(words)
-    toxic_side = _trained(samples or [_window(b" ".join(words)) for words in bad])
     counts = Counter(w for words in good for w in words)
-    common = _trained([_window(b" ".join(words[k : k + 12])) for words in good for k in range(0, len(words), 60)])
+    stretches = [_window(b" ".join(words[k : k + 12])) for words in good for k in range(0, len(words), 60)]
+    return {size: _pair(samples or [_window(b" ".join(words)) for words in bad], stretches, counts, known, size) for size in SIZES}
+
+
+def _pair(samples: list[bytes], stretches: list[bytes], counts: Counter, known: set[bytes], size: int) -> Model:
+    toxic_side, common, hard = _trained(samples, size), _trained(stretches, size), Counter()
     model = Model(toxic_side, common, np.zeros(0))
-    hard: Counter = Counter()
     for _ in range(ROUNDS):
         wrong = {w: n for w, n in counts.items() if w not in known and model.difference(w) >= STEPS[0]}
         if not wrong:
             break
         hard.update(wrong)
-        taken, room = [], DICTIONARY_BYTES // 2
+        taken, room = [], size // 2
         for w in sorted(hard, key=lambda w: (-hard[w], w)):
             if (room := room - len(w) - 2) < 0:
                 break
             taken.append(_window(w))
-        model = Model(toxic_side, common[: DICTIONARY_BYTES // 2] + b"".join(reversed(taken)), np.zeros(0))
-    x = np.array([model.described(t) for t in [*toxic, *ordinary]])
-    y = np.array([1.0] * len(bad) + [0.0] * len(good))
-    return Model(model.toxic, model.ordinary, _logistic(x, y))
+        model = Model(toxic_side, (common[: size // 2] + b"".join(reversed(taken))).rjust(size, b"\0"), np.zeros(0))
+    return model
+
+
+def fold_of(doc_id: int) -> int:
+    return zlib.crc32(f"fold {doc_id}".encode()) % FOLDS
+
+
+def fitted(ids: list[int], texts: list[str], toxic: list[bool], fold: int) -> pd.DataFrame:
+    """Rows (fold, size, toxic_side, ordinary_side, doc_id, toxic, x): the held fold described by dictionaries of the others,
+    or for fold ``FOLDS`` the dictionaries of all rows."""
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    mine = [i for i in order if fold_of(ids[i]) == fold]
+    bad, good = ([words_of(texts[i]) for i in order if toxic[i] == kind and fold_of(ids[i]) != fold] for kind in (True, False))
+    rows: list[tuple] = []
+    if bad and good:
+        for size, model in dictionaries(bad, good).items():
+            rows += [(fold, size, None, None, ids[i], bool(toxic[i]), model.described(texts[i]).tolist()) for i in mine]
+            rows += [(fold, size, model.toxic, model.ordinary, None, None, None)] if fold == FOLDS else []
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in FITTED.split(", ")]).astype({"doc_id": "Int64"})
+
+
+def chosen(rows: list, share: float = 1.0) -> Model:
+    """The model with the size of least log loss over the folds (see above), calibrated on descriptions out of fold. ``share``: how
+    many times rarer toxic rows are among all labelled rows than in the sample."""
+    sides = {r["size"]: (bytes(r["toxic_side"]), bytes(r["ordinary_side"])) for r in rows if r["fold"] == FOLDS}
+    losses, models = [], []
+    for size in sorted(sides):
+        told = sorted((r["doc_id"], r["fold"], r["toxic"], r["x"]) for r in rows if r["size"] == size and r["fold"] < FOLDS)
+        x, y, fold = np.array([t[3] for t in told]), np.array([float(t[2]) for t in told]), np.array([t[1] for t in told])
+        if len(set(y)) < 2:
+            continue
+        counts, loss = np.where(y > 0, share, 1.0), np.zeros(len(y))
+        for k in range(FOLDS):
+            z = np.clip(x[fold == k] @ _logistic(x[fold != k], y[fold != k], counts[fold != k]), -30, 30)
+            loss[fold == k] = counts[fold == k] * np.log1p(np.exp(np.where(y[fold == k] > 0, -z, z)))
+        losses.append(loss)
+        models.append(Model(*sides[size], _logistic(x, y, counts)))
+    if not models:
+        return Model(b"", b"", np.zeros(0))
+    least = losses[int(np.argmin([loss.sum() for loss in losses]))]
+    # The smallest size whose loss is above the least one by no more than the deviation of that difference.
+    return next(m for m, loss in zip(models, losses) if (loss - least).sum() <= (loss - least).std() * np.sqrt(len(loss)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Ridge logistic weights by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Ridge logistic weights by Newton steps; ``counts``: rows that each row stands for."""
     w = np.zeros(x.shape[1])
     shrink = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + shrink, x.T @ (y - p) - shrink @ w)
+        step = np.linalg.solve(x.T @ (x * (counts * p * (1 - p))[:, None]) + shrink, x.T @ (counts * (y - p)) - shrink @ w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -253,12 +301,19 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     The ids are chosen among the labels first, so that one pass over the documents finds their texts.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = [known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for toxic in (True, False)]
+    picked = [known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for toxic in (True, False)]
     # Twice SAMPLE_ROWS ids at most, and one text for each. An empty text has nothing to learn from.
     usable = docs.select("doc_id", "text").where(F.length("text") > 0)
-    texts = usable.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = sorted(texts.collect(), key=lambda r: r["doc_id"])
-    return fit(*([r["text"] for r in found if r["toxic"] == toxic] for toxic in (True, False)))
+    texts = usable.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # Each of FOLDS + 1 tasks gets the whole sample.
+    sample = checkpointed(texts).select("doc_id", "toxic", "text", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("fold"))
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return fitted(frame["doc_id"].tolist(), frame["text"].tolist(), frame["toxic"].tolist(), int(key[0]))
+
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = min(SAMPLE_ROWS, n.get(False, 1)) / n.get(False, 1) * n.get(True, 1) / min(SAMPLE_ROWS, n.get(True, 1))
+    return chosen(sample.groupBy("fold").applyInPandas(one, FITTED).collect(), share)
 
 
 @lru_cache(maxsize=1)

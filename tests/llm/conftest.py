@@ -32,13 +32,16 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([(0, None, 1), (1, "", 1), (2, odd_documents()[8][1][:200], 1), (2, "short", 1), (None, odd_documents()[8][1][300:500], 1)], "item_id long, text string, doc_id long").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, 0, "user", None, 1), (1, 1, "assistant", "", 1), (1, 1, "assistant", "tie", 1), (1, 1, "assistant", "tie", 1), (2, None, None, "<|end|><\\|turn|>", 1), (None, 3, "assistant", "x", 1)], "conv_id long, turn long, role string, text string, segments long").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(1, None, None, 1), (2, "", "", 1), (3, "http://h/x", "<p>a<div class=ad>b</div>", 1), (3, "http://h/x", "<p>a<div class=ad>b</div>", 1), (None, "x", "<" * 50 + "p>" * 40 + "é&amp;&#x41", 1)], "page_id long, url string, html string, host long").write.parquet(f"{d}/pages.parquet")
+    vectors = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.6, 0.8]), (2, [0.6, 0.8]), (20, [0.6, 0.8]), (40, [0.0, 1.0]), (40, [1.0, 1.0]), (None, [2.0, 0.0]), (None, None), (3, None), (60, None), (4, [0.0, 0.0]), (5, [1.0, None]),
+               (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (80, [1e30, -1e30]), (-20, [-1.0, 0.0])]
+    spark.createDataFrame([(*r, 1, 1, [1.0], "z") for r in vectors], "vec_id long, embedding array<float>, label int, part int, v array<double>, score string").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
-    for name in ("documents", "labels", "benchmark", "conversations", "pages"):
+    for name in ("documents", "labels", "benchmark", "conversations", "pages", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return d
 

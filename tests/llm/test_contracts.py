@@ -26,7 +26,7 @@ def test_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_odd_tables(spark, odd_dir, name):
     rows = registry.queries()[name](spark, odd_dir).collect()
-    table = {"op4": None, "op3": None, "op10": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op4": None, "op3": None, "op10": "pages", "op11": None, "op13": None}.get(name.split("_")[0], "documents")
     if table and not name.startswith("op2"):
         assert len(rows) == spark.read.parquet(f"{odd_dir}/{table}.parquet").count()
 
@@ -271,11 +271,12 @@ def test_op7_scores_are_those_of_the_model(spark, odd_dir):
     twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
     models = [tx.fit_on(d, labels) for d in (docs, docs.repartition(7), twice, twice.repartition(5))]
     assert models[0].__getstate__()[:2] == models[1].__getstate__()[:2] and models[2].__getstate__()[:2] == models[3].__getstate__()[:2]
-    assert np.allclose(models[0].weights, models[1].weights) and len(models[0].toxic) and models[0].toxic != models[0].ordinary
+    assert np.allclose(models[0].weights, models[1].weights) and models[0].toxic != models[0].ordinary
+    assert len(models[0].toxic) == len(models[0].ordinary) and len(models[0].toxic) in tx.SIZES
     settings = zstandard.ZstdCompressionParameters(window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
     def length(content, window):
-        whole = content[-tx.DICTIONARY_BYTES :].rjust(tx.DICTIONARY_BYTES, b"\0") + tx.PADDING
+        whole = content + tx.PADDING
         return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings).compress(window + tx.PADDING))
 
     got = {r["doc_id"]: r["score"] for r in registry.queries()["op7_toxicity"](spark, SF01).collect()}
@@ -287,6 +288,27 @@ def test_op7_scores_are_those_of_the_model(spark, odd_dir):
         assert got[d["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(np.dot(x, models[0].weights), -30, 30))), abs=1e-9)
 
 
+def test_op7_is_chosen_and_calibrated_out_of_fold():
+    """No document is described by dictionaries that saw it, and the taken size has the least loss."""
+    from loomwell.llm import toxicity as tx
+
+    rng = np.random.default_rng(1)
+    common, rude = [f"word{i}" for i in range(60)], ["grumblesnark", "vilewretch"]
+    texts = [" ".join([*rng.choice(common, 40), *(rng.choice(rude, 2) if i % 2 else ())]) for i in range(120)]
+    ids, toxic = list(range(120)), [bool(i % 2) for i in range(120)]
+    rows = [r for fold in range(tx.FOLDS + 1) for r in tx.fitted(ids, texts, toxic, fold).to_dict("records")]
+    for r in rows:
+        assert (r["fold"] == tx.FOLDS) == (r["toxic_side"] is not None) and (r["fold"] == tx.FOLDS or tx.fold_of(r["doc_id"]) == r["fold"])
+    assert sum(r["fold"] < tx.FOLDS for r in rows) == 120 * len(tx.SIZES)
+    held = [i for i in ids if tx.fold_of(i) == 0]
+    alone = tx.dictionaries([tx.words_of(texts[i]) for i in ids if toxic[i] and i not in held], [tx.words_of(texts[i]) for i in ids if not toxic[i] and i not in held])
+    told = {(r["doc_id"], r["size"]): r["x"] for r in rows if r["fold"] == 0}
+    assert all(np.allclose(told[i, size], alone[size].described(texts[i])) for i in held for size in tx.SIZES)
+    model = tx.chosen(rows)
+    assert all((model.score(t) >= 0.5) == y for t, y in zip(texts, toxic))
+    assert len(tx.chosen([]).weights) == 0 and tx.chosen([]).score("x") == 0.0
+
+
 def test_op10_article_only(spark):
     import html
 
@@ -325,5 +347,156 @@ def test_line_dedup_counts_documents(spark, tmp_path, ids, n_dropped):
         assert sorted(map(tuple, done)) == sorted(con.execute(registry.oracle_sql()["op5_line_dedup"]).fetchall())
 
 
+def unusable(v):
+    return not v or any(x is None or not np.isfinite(x) for x in v) or not any(v)
+
+
+def brute_neighbours(rows, k=20):
+    """For each query row the k nearest of the others: largest product, then smallest id."""
+    rows = {(r["vec_id"], tuple(r["embedding"])) for r in rows if not unusable(r["embedding"]) and len(r["embedding"]) == 2 or len(r["embedding"] or ()) == 64}
+    want = []
+    for q, v in rows:
+        if q is None or q % 20:
+            continue
+        near = sorted(((-sum(a * b for a, b in zip(v, w)), i is None, i) for i, w in rows if (i, w) != (q, v)), key=lambda x: (x[0], x[1], x[2] or 0))
+        want += [(q, n + 1, i, -s) for n, (s, _, i) in enumerate(near[:k])]
+    return want
+
+
+def test_op13_odd(spark, odd_dir):
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in registry.queries()["op13_one_bit_search"](spark, odd_dir).collect())
+    assert got == Counter(brute_neighbours(read(spark, odd_dir, "embeddings"))) and len(got) > 20
+
+
+@pytest.mark.parametrize("parts", [4096, 40])
+def test_op13_recall(spark, monkeypatch, parts):
+    """Against brute force on the given vectors; small cells, parts and slices make every query visit many."""
+    from loomwell.llm import one_bit_search
+
+    monkeypatch.setattr(one_bit_search, "PART_ROWS", parts)
+    monkeypatch.setattr(one_bit_search, "CELL_ROWS", parts * 2)
+    monkeypatch.setattr(one_bit_search, "SLICE_QUERIES", 8 if parts == 40 else 4096)
+    rows = read(spark, SF01, "embeddings")
+    got = registry.queries()["op13_one_bit_search"](spark, SF01).collect()
+    want = {(q, i): s for q, _, i, s in brute_neighbours(rows)}
+    assert len(got) == len(want) and [r["rank"] for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == list(range(1, 21)) * (len(got) // 20)
+    found = [(r["query_id"], r["vec_id"]) for r in got if (r["query_id"], r["vec_id"]) in want]
+    assert len(found) >= 0.99 * len(want) and all(abs(r["score"] - want[r["query_id"], r["vec_id"]]) < 1e-12 for r in got if (r["query_id"], r["vec_id"]) in want)
+
+
+def test_op13_copies_and_clusters(spark):
+    """A third of the rows are one vector; tight clusters let bounds rule cells out; every list is exact."""
+    from loomwell.llm import one_bit_search
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((30, 64))
+    rows = [{"vec_id": i, "embedding": (centres[0] if i % 3 == 0 else centres[i % 30] + 0.05 * rng.standard_normal(64)).astype(np.float32).tolist()} for i in range(900)]
+    docs = spark.createDataFrame([(r["vec_id"], r["embedding"]) for r in rows], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in one_bit_search.search(docs).collect()}
+    assert got == {(q, n): (i, round(s, 9)) for q, n, i, s in brute_neighbours(rows)}
+
+
+def test_op13_estimates_keep_their_bounds():
+    from loomwell.llm import one_bit_search as ob
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 32)) * rng.uniform(0.1, 3, (2000, 1))
+    model = ob.Model(x, 4, 32)
+    cell, bits, scale, deviation, rest = model.code(x)
+    assert bits.shape == (2000, model.bits // 8) and np.allclose(model.rotation.T @ model.rotation, np.eye(32))
+    q = rng.standard_normal((50, 32))
+    signs = (np.unpackbits(bits, axis=1) * 2.0 - 1) / np.sqrt(model.bits)
+    off = (q @ model.rotation.T @ signs.T * scale + q @ model.centres[cell].T - q @ x.T) / np.maximum(deviation, 1e-12) / np.linalg.norm(q, axis=1)[:, None]
+    assert abs(off.mean()) < 0.05 and off.std() < 1.1 and (np.abs(off) > ob.DEVIATIONS).mean() < 0.005
+
+
+def test_op11_counts_one_by_one(spark, odd_dir):
+    """Every order walked for every row of the odd documents."""
+    from itertools import permutations
+
+    docs, labels = read(spark, odd_dir), read(spark, odd_dir, "labels")
+    first = {}
+    for d in docs:
+        if d["doc_id"] is not None:
+            t = d["text"] or ""
+            first[t] = min(first.get(t, d["doc_id"]), d["doc_id"])
+
+    def fails(d):
+        t = d["text"] or ""
+        words = t.encode().split()
+        e = d["doc_id"] is not None and d["doc_id"] > first[t]
+        return {"A": len(words) < 100, "B": 100 * len(set(words)) < 80 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": e}
+
+    said = lambda c, i: i is not None and any(r["doc_id"] == i and r[c] == 1 for r in labels)
+    told = [(d["lang"] or "", fails(d), said("quality", d["doc_id"]), said("toxic", d["doc_id"])) for d in docs]
+    want, shapley = {}, Counter()
+    for part in {p for p, *_ in told}:
+        mine = [x for x in told if x[0] == part]
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone, failing = [x for x in left if x[1][f]], [x for x in mine if x[1][f]]
+                left = [x for x in left if not x[1][f]]
+                only = sum(sum(x[1].values()) == 1 for x in failing)
+                want[part, order, step] = (len(left), len(gone), len(failing) - len(gone), only, sum(x[2] for x in gone), sum(x[3] for x in gone))
+                shapley[part, f] += len(gone)
+    rows = registry.queries()["op11_filter_audit"](spark, odd_dir).collect()
+    got = {(r["part"], r["filter_order"], r["step"]): (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["toxic_lost"]) for r in rows}
+    assert got == want and len(rows) == len(want) and all(r["shapley"] == shapley[r["part"], r["filter_order"][r["step"] - 1]] for r in rows)
+
+
+def test_op11_parts(spark, monkeypatch):
+    """More parts than a task adds up at once, and words across stretches."""
+    from loomwell.llm import filter_audit
+
+    monkeypatch.setattr(filter_audit, "PARTS_AT_ONCE", 3)
+    rows = [(i, "a b " * (i % 120), f"l{i % 17}") for i in range(200)]
+    done = filter_audit.audit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len(done) == 17 * 600 and sum(r["kept"] + r["removed"] for r in done if r["step"] == 1 and r["filter_order"] == "ABCDE") == 200
+    text = ("word é\n" * 7 + "Xx y#z ").encode() * 50
+    whole = filter_audit.text_mask(text)
+    monkeypatch.setattr(filter_audit, "STRETCH", 13)
+    assert filter_audit.text_mask(text) == whole and b"".join(x.replace(b" ", b"") for x in filter_audit.stretches(text)).split() == text.replace(b" ", b"").split()
+
+
+def test_op12_checkpoints(spark, monkeypatch):
+    """Cuts found through the index are those of the text itself, for code points and for patterns."""
+    import regex
+
+    from loomwell.llm import fill_in_middle as fim
+
+    monkeypatch.setattr(fim, "STRETCH", 50)
+    text = "aé的😀\n <x> e\u0301\u0302 " * 40
+    for every in (1, 7, 1024):
+        points = fim.Checkpoints(text.encode(), every)
+        assert points.units == len(text) and len(points.at) == -(-len(text) // every)
+        for u in range(0, len(text) + 1):
+            assert points.cut(u) == (len(text[:u].encode()), u)
+        for pattern in (r"\X", r"\S+\s*|\s+", r"[^\n]*\n?"):
+            units = [m.start() for m in regex.finditer(pattern, text, regex.DOTALL)]
+            index = fim.Checkpoints(text.encode(), every, regex.compile(pattern, regex.DOTALL))
+            assert index.units == len(units)
+            for u, at in [*enumerate(units), (len(units), len(text))]:
+                assert index.cut(u) == (len(text[:at].encode()), at)
+    long = "é" * 3_000_000
+    assert fim.Checkpoints(long.encode()).cut(2_999_999) == (5_999_998, 2_999_999)
+
+
+def test_op12_gives_texts_back(spark, odd_dir):
+    from loomwell.llm import fill_in_middle as fim
+
+    tricky = [(1000 + i, t, None, None, None) for i, t in enumerate(["<", "a<P", "<P>x", "x<S>y", "<M>", "<<>>" * 30, "S>", "x" * 99] * 20)]
+    docs = spark.createDataFrame([(d[0], d[1]) for d in [*tricky, *odd_documents()]], "doc_id long, text string")
+    for unit in (None, r"\X", r"\S+\s*|\s+"):
+        rows = fim.fill_in_middle(docs, unit=unit).select("*", fim.restored(F.col("output").cast("string"), F.col("form")).alias("back")).collect()
+        assert Counter((r["doc_id"], r["back"]) for r in rows) == Counter((d[0], d[1] or "") for d in [*tricky, *odd_documents()])
+        assert {r["form"] for r in rows} == {"plain", "psm", "spm"}
+        for r in rows:
+            if r["form"] != "plain":
+                out, b = r["output"], (r["prefix_bytes"], r["middle_bytes"])
+                middle = out[out.rindex(b"<M>") + 3 :]
+                assert len(middle) == b[1] and len(middle.decode()) == r["middle_chars"]
+
+
 def test_odd_rows_are_odd():
     assert sum(r[1] is None for r in odd_documents()) == 2
