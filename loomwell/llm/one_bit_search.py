@@ -103,18 +103,20 @@ def searched(model: Model, queries: dict, rows: dict, k: int) -> dict:
     """The at most k best rows of one part for each query: exact products of what the estimates leave."""
     n, dim = len(rows["x"]), model.dim
     signs = (np.unpackbits(rows["bits"], axis=1)[:, : model.bits].astype(np.float32) * 2 - 1).T / np.float32(np.sqrt(model.bits))
-    scale, deviation = rows["scale"].astype(np.float32), rows["deviation"].astype(np.float32) * np.float32(DEVIATIONS)
+    scale, deviation = rows["scale"], rows["deviation"] * DEVIATIONS
     out: list[tuple] = []
     for lo in range(0, len(queries["q"]), AT_ONCE):
         q = queries["q"][lo : lo + AT_ONCE]
         size = np.linalg.norm(q, axis=1)
         slack = size * (np.linalg.norm(rows["centre"]) + rows["rest"].max(initial=0)) * 1e-5
-        estimate = (q @ rows["centre"])[:, None].astype(np.float32) + (q @ model.rotation.T).astype(np.float32) @ signs * scale
+        # Directions in single precision, lengths, which may be of any size, in double.
+        turned = (q / size[:, None] @ model.rotation.T).astype(np.float32)
+        estimate = (q @ rows["centre"])[:, None] + (turned @ signs).astype(np.float64) * size[:, None] * scale
         bound = queries["bound"][lo : lo + AT_ONCE]
         if n >= k:
             best = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
             bound = np.maximum(bound, (q[:, None] * rows["x"][best]).sum(axis=2).min(axis=1))
-        at, row = np.nonzero(estimate + size[:, None].astype(np.float32) * deviation >= (bound - slack)[:, None].astype(np.float32))
+        at, row = np.nonzero(estimate + size[:, None] * deviation >= (bound - slack)[:, None])
         for a in range(0, len(at), 1 << 18):
             i, j = at[a : a + (1 << 18)], row[a : a + (1 << 18)]
             score = (q[i] * rows["x"][j]).sum(axis=1)
