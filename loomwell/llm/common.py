@@ -17,7 +17,7 @@ __all__ = ["checkpointed", "sent_if_few", "shared_folder", "step", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system Spark knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, f"{sf_dir}/{name}.parquet")
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
