@@ -22,6 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["folder"]
 
 
+#: Bytes of a table up to which its rows are dealt out to all cores: less than a file's split, so one task would read all.
+SMALL = 24 << 20
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A table. A small one, which may be one split, is dealt out, so that work on its rows takes all cores; larger
+    ones are read as they are split."""
+    df = spark.read.parquet(path)
+    few = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL
+    return df.repartition(spark.sparkContext.defaultParallelism) if few else df
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut, and what follows is planned with its true size."""
     path = path or f"{shared_folder(df.sparkSession)}/loomwell-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.functions import wikitext
+from loomwell.functions import tables, wikitext
 from loomwell.operators import answers, wiki
 from loomwell.plans import retrieval
 
@@ -15,7 +15,7 @@ TABLES = ("documents", "pages", "embeddings", "conversations", "benchmark", "lab
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:

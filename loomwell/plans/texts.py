@@ -17,7 +17,7 @@ from loomwell.streaming import ingest
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.read(spark, f"{sf_dir}/documents.parquet")
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +72,14 @@ def embedding_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, "Authorization: Bearer abc.DEF-123/x=="), (-2, "use sk-abcdefgh1234 or SK-no, api-key = zzz;next"), (-3, "token: t0 secret=s1 Password : p")], "id long, text string")
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.lit(1 << 40) + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    chats = tables.read(spark, f"{sf_dir}/conversations.parquet").select((F.lit(1 << 40) + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     clean = tx.redacted(F.coalesce("text", F.lit("")))
     return own.unionByName(docs).unionByName(chats).select("id", (clean != F.coalesce("text", F.lit(""))).alias("changed"), F.sha2(clean, 256).alias("clean_sha256"))
 
 
 def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup of the kinds that occur, templates up to twelve deep, around every page's title; its words as a list field."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("t"))
+    pages = tables.read(spark, f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("t"))
     title, deep = F.regexp_replace("t", r"[\[\]{}|<>•*\-\s,()]+", " "), (F.col("page_id") % 12 + 1).cast("int")
     inside = F.concat(F.lit("<br/>{{S|1|{{W|in}}}}  "), F.repeat(F.lit("{{a|"), deep), F.lit("x"), F.repeat(F.lit("}}"), deep), F.lit("{{s|no}}{{gone}}"))
     raw = F.concat(F.lit("<!-- x -->{{Nihongo|"), title, F.lit("|kanji|romaji}} [[Target|label]]<ref name='a'>no</ref>"), inside)
@@ -96,17 +96,17 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         h = F.regexp_replace(h, rf"(?is)<{tag}[\s>].*?</{tag}\s*>", "")
     title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
     lines = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(h, r"(?is)<title[^>]*>.*?</title>", ""), r"(?s)<[^>]*>", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(title != "", title).otherwise(F.col("url")).alias("title"), F.array_join(lines, "\n").alias("body"))
+    rows = tables.read(spark, f"{sf_dir}/pages.parquet").select("page_id", F.when(title != "", title).otherwise(F.col("url")).alias("title"), F.array_join(lines, "\n").alias("body"))
     return rows.where(F.length("body") >= 50).select("page_id", "title", F.length("body").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"))
 
 
 def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return files.links(tables.read(spark, f"{sf_dir}/pages.parquet"))
 
 
 def valid_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, "http://a/b.PDF"), (-2, "ftp://a"), (-3, "https://a/b.zip?x"), (-4, "http://a/b.jpeg"), (-5, None)], "page_id long, url string")
-    rows = own.unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    rows = own.unionByName(tables.read(spark, f"{sf_dir}/pages.parquet").select("page_id", "url"))
     return rows.select("page_id", files.valid_url(F.col("url")).alias("valid"))
 
 
