@@ -61,14 +61,20 @@ def induced(edges: DataFrame, ids: DataFrame, most: int = 100) -> DataFrame:
     return edges.join(end("source"), "source", "left_semi").join(end("target"), "target", "left_semi").orderBy("edge_id").limit(most)
 
 
+def neighbours_of(edges: DataFrame, named: DataFrame, each: int = 12, most: int = 24) -> DataFrame:
+    """(q_id, place, other) for (q_id, pos, node): up to ``each`` distinct neighbours of a question's nodes, by edge, and
+    ``most`` in all, in the order of the nodes, each once."""
+    hits = both_ways(edges).join(named, "node").groupBy("q_id", "pos", "other").agg(F.min("edge_id").alias("edge_id"))
+    per = hits.withColumn("n", F.row_number().over(Window.partitionBy("q_id", "pos").orderBy("edge_id", "other"))).where(F.col("n") <= each)
+    first = per.groupBy("q_id", "other").agg(F.min(F.struct("pos", "edge_id")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("at", "other"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("q_id", "place", "other")
+
+
 def neighbours(edges: DataFrame, names: list[str], each: int = 12, most: int = 24) -> DataFrame:
     """(place, other): up to ``each`` distinct neighbours of the first eight names, in order, each once."""
-    spark = edges.sparkSession
-    given = spark.createDataFrame([(i, n) for i, n in enumerate(names[:8])], "pos int, node string")
-    hits = both_ways(edges).join(F.broadcast(given), "node").groupBy("pos", "other").agg(F.min("edge_id").alias("edge_id"))
-    per = hits.withColumn("n", F.row_number().over(Window.partitionBy("pos").orderBy("edge_id", "other"))).where(F.col("n") <= each)
-    first = per.groupBy("other").agg(F.min(F.struct("pos", "edge_id")).alias("at")).orderBy("at", "other").limit(most)
-    return first.select(F.row_number().over(Window.orderBy("at", "other")).alias("place"), "other")
+    given = edges.sparkSession.createDataFrame([(0, i, n) for i, n in enumerate(names[:8])], "q_id int, pos int, node string")
+    return neighbours_of(edges, F.broadcast(given), each, most).select("place", "other")
 
 
 def subgraph(

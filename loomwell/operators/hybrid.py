@@ -4,96 +4,110 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
 from loomwell.functions import vector as vx
-from loomwell.operators import graph, routing
+from loomwell.operators import graph, lexical, metric, routing
 from loomwell.operators import retrieval as rt
 
-#: What an archetype of question asks for.
-HINTS = {"factual": {"infobox_first"}, "relational": {"expand_all"}, "comparative": {"split"}}
 #: Related names of a question: of so many matched entities, so many each, so many in all.
 MATCHED, EACH, NAMES = 8, 12, 24
+#: Fused rows that are sent to the chunks; more meet them by a shuffle.
+SENT = 100_000
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What is searched: chunks (id, chunk_type, text and what filters name), their vectors (id, embedding), a lexical
-    index of their texts, aliases (seq, alias, canonical), graph edges, and ``embed``, from a text to its vector."""
+    """What is searched: chunks (id, chunk_type, text and what filters name), indexes of their vectors and texts, aliases
+    (seq, alias, canonical), graph edges, and ``embed``, from a text to its vector."""
 
     chunks: DataFrame
-    vectors: DataFrame
-    index: rt.LexicalIndex
+    vectors: metric.MetricIndex
+    index: lexical.LexicalIndex
     aliases: DataFrame
     edges: DataFrame
     embed: Callable[[Column], Column]
     searched: tuple[str, ...] = ("text",)
 
 
-def understood(question: str, corpus: Corpus) -> dict:
-    """The question's archetype, its expanded form and the entities that it names: one row on the driver."""
-    asked = corpus.chunks.sparkSession.createDataFrame([(0, question)], "q_id int, q string")
-    row = routing.expand(asked, corpus.aliases).select("expanded", "matched", routing.archetype(F.col("q")).alias("archetype"), routing.language(F.col("q")).alias("language")).first()
-    return row.asDict() | {"matched": row["matched"] or []}
+def understood(questions: DataFrame, corpus: Corpus) -> DataFrame:
+    """(q_id, q) with expanded form, named and related entities, archetype and language."""
+    told = routing.expand(questions, corpus.aliases).withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+    told = tables.written(told.withColumn("archetype", routing.archetype(F.col("q"))).withColumn("language", routing.language(F.col("q"))))
+    named = told.select("q_id", F.posexplode(F.slice("matched", 1, MATCHED)).alias("pos", "node"))
+    related = graph.neighbours_of(corpus.edges, named, EACH, NAMES).groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("related"))
+    return tables.written(told.join(related, "q_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>"))))
 
 
-def retrieve(corpus: Corpus, question: str, k: int, filters: dict | None = None, expand: bool = True, lexical: bool = True, scorer: Callable | None = None) -> DataFrame:
-    """(place, id, chunk_type, rrf, first_leg, first_rank, raw_score): the ``k`` best chunks for a question.
+def temporal(text: Column) -> Column:
+    """What a chunk says about its time: volumes, chapters, and whether it names a before or after."""
+    c = F.coalesce(text, F.lit(""))
+    return F.struct(
+        routing.numbers(c, routing.VOLUME).alias("volumes"), routing.numbers(c, routing.CHAPTER).alias("chapters"), routing.has_word(c, routing.BEFORE_OR_AFTER).alias("has_relation")
+    )
 
-    Lists: 1 nearest vectors, 2 lexical, 3 lexical by the names of graph neighbours of the entities that are named (also
-    without list 2), 4 structured terms. Only a factual question puts infobox chunks first. With a ``scorer``, see
-    ``rerank``, the fused candidates are ordered by it.
+
+def retrieve(
+    corpus: Corpus, questions: DataFrame, k: int, filters: dict | None = None, expand: bool = True, use_lexical: bool = True, scorer: Callable | None = None
+) -> DataFrame:
+    """The ``k`` best chunks for each question (q_id, q): (q_id, place, id, chunk_type, rrf, first_leg, first_rank, raw_score)
+    and what is known of question and chunk (archetype, language, matched, related, temporal).
+
+    All questions go through one plan. Lists: 1 nearest vectors, 2 lexical, 3 lexical by the names of graph neighbours of
+    the entities that are named (also without list 2), 4 structured terms. Only a factual question puts infobox chunks
+    first. With a ``scorer``, see ``rerank``, the fused candidates are ordered by it.
     """
-    told, n = understood(question, corpus), rt.candidates(k)
-    text = told["expanded"] if expand else question
-    allowed = corpus.chunks.where(rt.equal_to(filters or {}))
-    of = lambda hits: hits.join(allowed.select(F.col("id").alias("doc")), "doc", "left_semi") if filters else hits
-    order = [F.desc(F.round("score", 9)), "doc"]
-    vectors = corpus.vectors.select(F.col("id").alias("doc"), "embedding")
-    vector = [float(x) for x in corpus.chunks.sparkSession.range(1).select(corpus.embed(F.lit(text)).alias("v")).first()["v"]]
-    found = rt.nearest(of(vectors), vector, n, id_column="doc").select("doc", "distance", "score")
-    legs = [rt.ranked(found, 1, ["distance", "doc"])]
-    if lexical:
-        legs.append(rt.ranked(rt.search_index(corpus.index, text, n, of), 2, order))
-    if told["matched"]:
-        names = [r["other"] for r in graph.neighbours(corpus.edges, told["matched"][:MATCHED], EACH, NAMES).orderBy("place").collect()]
-        if names:
-            legs.append(rt.ranked(rt.search_index(corpus.index, " ".join(names), n, of), 3, order))
-    legs.append(rt.ranked(rt.term_score(allowed, text, list(corpus.searched), n, "id"), 4, [F.desc("score"), "doc"]))
-    lists = legs[0]
-    for leg in legs[1:]:
-        lists = lists.unionByName(leg)
-    fused = rt.fuse(lists, n).join(corpus.chunks.select("id", "chunk_type", "text"), "id")
-    last = [F.desc("rrf"), "first_leg", "first_rank"]
-    if "infobox_first" in HINTS.get(told["archetype"], ()):
-        last.insert(0, F.col("chunk_type") != "infobox")
-    placed = fused.withColumn("place", F.row_number().over(Window.orderBy(*last)))
+    told, n = understood(questions, corpus), rt.candidates(k)
+    asked = told.select("q_id", (F.col("expanded") if expand else F.col("q")).alias("q"))
+    chosen = corpus.chunks.where(rt.equal_to(filters or {}))
+    allowed = chosen.select(F.col("id").alias("doc")) if filters else None
+    leg = lambda rows, number, score: rows.select("q_id", F.lit(number).alias("leg"), "rank", F.col("doc").alias("id"), score.cast("double").alias("score"))
+    near = metric.search(corpus.vectors, asked.select("q_id", corpus.embed(F.col("q")).alias("q")), n, allowed).withColumnRenamed("id", "doc")
+    legs = [leg(near, 1, 1 / (1 + F.col("distance")))]
+    # Lists 2 and 3 of all questions are one search.
+    words = told.where(F.size("related") > 0).select(F.struct("q_id", F.lit(3).alias("leg")).alias("q_id"), F.array_join("related", " ").alias("q"))
+    if use_lexical:
+        words = words.unionByName(asked.select(F.struct("q_id", F.lit(2).alias("leg")).alias("q_id"), "q"))
+    found = lexical.search(corpus.index, words, n, allowed)
+    legs.append(found.select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.leg").alias("leg"), "rank", F.col("doc").alias("id"), "score"))
+    legs.append(leg(rt.term_scores(chosen, asked, list(corpus.searched), n, "id"), 4, F.col("score")))
+    fused = tables.sent_if_few(tables.written(rt.fuse_each(reduce(DataFrame.unionByName, legs), n)), SENT)
+    rows = corpus.chunks.select("id", "chunk_type", "text").join(fused, "id").join(told.select("q_id", "q", "archetype", "language", "matched", "related"), "q_id")
+    late = (F.col("archetype") == "factual") & (F.col("chunk_type") != "infobox")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(late, "fused")))
     if scorer is not None:
-        scored = rerank(placed, question, "text", scorer)
-        placed = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rerank"), "place")))
-    return placed.where(F.col("place") <= k).select("place", "id", "chunk_type", "rrf", "first_leg", "first_rank", "raw_score")
+        scored = rerank(placed, F.col("q"), "text", scorer)
+        placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("rerank"), "place")))
+    best = placed.where(F.col("place") <= k).withColumn("temporal", temporal(F.col("text")))
+    return best.select("q_id", "place", "id", "chunk_type", "rrf", "first_leg", "first_rank", "raw_score", "archetype", "language", "matched", "related", "temporal")
 
 
-def rerank(rows: DataFrame, question: str, text: str, scorer: Callable[[], Callable[[str, list[str]], list[float]]]) -> DataFrame:
+def rerank(rows: DataFrame, question: Column | str, text: str, scorer: Callable[[], Callable[[str, list[str]], list[float]]]) -> DataFrame:
     """``rows`` with ``rerank``, the score that a user's model gives a pair of question and text.
 
-    ``scorer`` makes the model, once in each worker; the model scores a batch of texts.
+    ``scorer`` makes the model, once in each worker; the model scores a question's texts of a batch at once.
     """
 
     @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = scorer()
-        for part in parts:
-            yield pd.Series(model(question, [t or "" for t in part]), dtype="float64")
+        for asked, texts in parts:
+            out = pd.Series(0.0, index=texts.index)
+            for q, mine in texts.groupby(asked, sort=False):
+                out[mine.index] = list(map(float, model(q, [t or "" for t in mine])))
+            yield out
 
-    return rows.withColumn("rerank", score(F.col(text)))
+    return rows.withColumn("rerank", score(F.lit(question) if isinstance(question, str) else question, F.col(text)))
 
 
 def embed_texts(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], cache: DataFrame | None = None) -> DataFrame:
-    """``rows`` (with content_hash) with ``embedding``, of length 1, by a user's model; texts with a cached vector are not encoded.
+    """``rows`` (with content_hash) with ``embedding``, of length 1, by a user's model; texts with a cached vector are not encoded;
+    rows without a hash are encoded each.
 
     ``encoder`` makes the model, once in each worker; the model encodes a batch of texts. Equal hashes are encoded once.
     """
@@ -104,9 +118,11 @@ def embed_texts(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list
         for part in parts:
             yield pd.Series([list(map(float, v)) for v in model([t or "" for t in part])])
 
-    texts = rows.groupBy("content_hash").agg(F.first(text).alias("_text"))
+    hashed, bare = rows.where("content_hash is not null"), rows.where("content_hash is null")
+    texts = hashed.groupBy("content_hash").agg(F.first(text).alias("_text"))
     known = cache.select("content_hash", "embedding") if cache is not None else None
     new = (texts if known is None else texts.join(known, "content_hash", "left_anti")).select("content_hash", encode("_text").alias("_v"))
     made = new.select("content_hash", vx.normalised(F.col("_v")).alias("embedding"))
     vectors = made if known is None else made.unionByName(known)
-    return rows.join(vectors, "content_hash", "left")
+    own = bare.withColumn("_v", encode(text)).withColumn("embedding", vx.normalised(F.col("_v"))).drop("_v")
+    return hashed.join(vectors, "content_hash", "left").unionByName(own)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
 from loomwell.functions.text import LEFT, RIGHT, contains_any
 
 # The words of each archetype, tested in this order of archetypes.
@@ -50,20 +55,77 @@ def alias_map(redirects: DataFrame) -> DataFrame:
     return last.groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "alias"))), lambda x: x["alias"]).alias("aliases"))
 
 
+#: Characters of aliases that one automaton holds.
+MOST_CHARS = 4_000_000
+
+
+def mentions(questions: DataFrame, aliases: DataFrame, least: int = 3) -> DataFrame:
+    """(q_id, seq, canonical): the aliases of ``least`` characters or more that each question holds, in any case.
+
+    The aliases become an Aho-Corasick automaton, made once in each worker, and a question is walked once however many
+    aliases there are or begin alike. Where they have more than ``MOST_CHARS`` characters, which are counted, they are
+    parted by hash, and each part is one pass over the questions.
+    """
+    spark = questions.sparkSession
+    low = aliases.select("seq", F.lower("alias").alias("low"), "canonical").where((F.length("alias") >= least) & F.col("canonical").isNotNull())
+    first = low.groupBy("low", "canonical").agg(F.min("seq").alias("seq"))
+    size = first.agg(F.sum(F.length("low") + F.length("canonical"))).first()[0] or 0
+    parts, asked, out = max(1, -(-size // MOST_CHARS)), questions.select("q_id", F.lower("q").alias("low")).where("low is not null"), None
+    numbered = tables.written(first.withColumn("part", F.pmod(F.xxhash64("low"), F.lit(parts)).cast("int")))
+    kind = questions.schema["q_id"].dataType.simpleString()
+    for part in range(parts):
+        named = numbered.where(F.col("part") == part).drop("part").toArrow()
+        found = asked.mapInArrow(_walk(spark.sparkContext.broadcast(named)), f"q_id {kind}, seq long, canonical string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: The automaton that a worker keeps, by its broadcast's number.
+_KEPT: dict = {}
+
+
+def _automaton(named: Broadcast, number: int):
+    """The automaton of a broadcast table of aliases, or None if it has none."""
+    import ahocorasick
+
+    if number not in _KEPT:
+        made, rows = ahocorasick.Automaton(), {}
+        for low, canonical, seq in zip(*(named.value.column(c).to_pylist() for c in ("low", "canonical", "seq"))):
+            rows.setdefault(low, []).append((seq, canonical))
+        for low, those in rows.items():
+            made.add_word(low, those)
+        made.make_automaton()
+        _KEPT.clear()
+        _KEPT[number] = made if rows else None
+    return _KEPT[number]
+
+
+def _walk(named: Broadcast):
+    number = named._jbroadcast.id()
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(named, number)
+        for batch in found:
+            rows: list[tuple] = []
+            for i, low in enumerate(batch.column("low").to_pylist() if machine is not None else ()):
+                rows += [(i, *row) for row in {row for _, those in machine.iter(low) for row in those}]
+            at, seq, canonical = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([batch.column("q_id").take(pa.array(at, pa.int64())), pa.array(seq, pa.int64()), pa.array(canonical, pa.string())], names=["q_id", "seq", "canonical"])
+
+    return batches
+
+
 def expand(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(q_id, q) with ``expanded`` and ``matched``; ``aliases`` is (seq, alias, canonical).
+    """(q_id, q) with ``expanded`` and ``matched``; ``aliases`` is (seq, alias, canonical), an entity's own name among them.
 
-    Aliases of three characters or more that the question contains count, in alias order; each entity is named once
-    and up to three are added. Aliases meet questions by an equi-join on their first three characters, so neither side
-    is sent whole or compared with all of the other.
+    Entities are matched in the order of their first alias in the question, each once. For each that has aliases beside
+    its own name, the first three of them are added to the question.
     """
-    low = F.lower("q")
-    starts = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), 1))
-    places = questions.where(F.length(low) >= 3).select("q_id", "q", F.explode(starts).alias("start"))
-    named = aliases.where(F.length("alias") >= 3).withColumn("start", F.substring(F.lower("alias"), 1, 3))
-    hits = places.join(named, "start").where(F.lower("q").contains(F.lower("alias")))
-    each = hits.groupBy("q_id", "canonical").agg(F.min("seq").alias("seq"))
-    names = each.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "canonical"))), lambda x: x["canonical"]).alias("matched"))
-    named = questions.join(names, "q_id", "left")
-    extra = F.concat(F.lit(" (also known as: "), F.array_join(F.slice("matched", 1, 3), ", "), F.lit(")"))
-    return named.withColumn("expanded", F.when(F.col("matched").isNull(), F.col("q")).otherwise(F.concat("q", extra)))
+    others = aliases.where(F.lower("alias") != F.lower("canonical"))
+    place = F.row_number().over(Window.partitionBy("canonical").orderBy("seq", "alias"))
+    three = others.withColumn("n", place).where(F.col("n") <= 3).groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "alias"))), lambda x: x["alias"]).alias("names"))
+    each = mentions(questions, aliases).groupBy("q_id", "canonical").agg(F.min("seq").alias("seq")).join(three, "canonical", "left")
+    told = each.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("seq", "canonical", "names"))).alias("told"))
+    named = questions.join(told, "q_id", "left")
+    added = F.transform(F.filter("told", lambda t: t["names"].isNotNull()), lambda t: F.concat(F.lit(" (also known as: "), F.array_join(t["names"], ", "), F.lit(")")))
+    return named.select(*questions.columns, F.transform("told", lambda t: t["canonical"]).alias("matched"), F.concat("q", F.coalesce(F.array_join(added, ""), F.lit(""))).alias("expanded"))

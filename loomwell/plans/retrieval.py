@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import tables
 from loomwell.functions import text as tx
 from loomwell.functions import vector as vx
-from loomwell.operators import hybrid, routing
+from loomwell.operators import hybrid, lexical, metric, routing
 from loomwell.operators import retrieval as rt
 
 QUESTION = "the and thanedble worthless license ertion"
 TERMS = ["the", "and", "thanedble", "worthless", "license", "ertion"]
+#: A question with a rare word, and one of common words only.
+SEARCHED = ("Thanedble, thanedble license", "the and of")
 K = 10
 
 
@@ -41,8 +40,9 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
-    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return rt.nearest_batch(v, queries, 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    found = metric.search(metric.build(v), queries, 5)
+    return found.select(F.col("q_id").alias("query_id"), F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from an index that is written and then searched."""
-    index = rt.lexical_index(_table(spark, sf_dir, "documents"))
-    return rt.search_index(index, QUESTION, K).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    """The same for three questions from an index that is built from half of the documents and takes up the others in two steps."""
+    docs = _table(spark, sf_dir, "documents")
+    index = lexical.build(docs.where("doc_id % 2 = 0"))
+    for rest in (1, 3):
+        index = lexical.add(index, docs.where(F.col("doc_id") % 4 == rest))
+    asked = spark.createDataFrame(list(enumerate((QUESTION, *SEARCHED))), "q_id int, q string")
+    return lexical.search(index, asked, K).select(F.col("q_id").alias("question"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def structured_term_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,25 +111,28 @@ def _corpus(spark: SparkSession, sf_dir: str) -> hybrid.Corpus:
     words = bench.select("item_id", item.alias("source"), F.posexplode(F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 4)).alias("n", "target"))
     edges = words.select((F.col("item_id") * 10 + F.col("n")).alias("edge_id"), "source", "target", F.lit("mentions").alias("relation"), F.lit(1.0).alias("confidence"))
     kind = F.when(F.col("doc_id") % 7 == 0, "infobox").otherwise("text")
+    own = bench.select(F.col("item_id").alias("seq"), item.alias("alias"), item.alias("canonical"))
     return hybrid.Corpus(
         chunks=docs.select(F.col("doc_id").alias("id"), kind.alias("chunk_type"), "lang", "source", "text"),
-        vectors=_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"),
-        index=rt.lexical_index(docs), aliases=bench.select(F.col("item_id").alias("seq"), item.alias("alias"), item.alias("canonical")),
+        vectors=metric.build(_table(spark, sf_dir, "embeddings")), index=lexical.build(docs),
+        aliases=own.unionByName(bench.select((F.col("item_id") + 10_000).alias("seq"), F.concat(F.lit("passage "), F.col("item_id").cast("string")).alias("alias"), item.alias("canonical"))),
         edges=edges, embed=_letters, searched=("lang", "source", "text"),
     )
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten sources for each of three questions: routing, expansion, all lists, fusion, promotion where the question asks
-    for it, and the source payload."""
+    for it, the source payload and what is known of question and source."""
     corpus = _corpus(spark, sf_dir)
-    with ThreadPoolExecutor(len(ASKED)) as pool:  # the questions' jobs run side by side
-        lists = list(pool.map(lambda q: hybrid.retrieve(corpus, q, K), ASKED))
-    found = reduce(DataFrame.unionByName, (mine.withColumn("question", F.lit(n)) for n, mine in enumerate(lists)))
+    found = tables.written(hybrid.retrieve(corpus, spark.createDataFrame(list(enumerate(ASKED)), "q_id int, q string"), K))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.concat(F.substring("text", 1, 280), F.lit("...")).alias("snippet"))
     # Thirty rows at most look their texts up; the larger side is not moved.
     top = docs.join(F.broadcast(found), "id")
-    return top.select("question", F.col("place").cast("int").alias("citation"), "id", F.col("chunk_type").alias("kind"), "source", "snippet", F.round("rrf", 4).alias("score"), "first_leg")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return top.select(
+        F.col("q_id").alias("question"), F.col("place").cast("int").alias("citation"), "id", F.col("chunk_type").alias("kind"), "source", "snippet", F.round("rrf", 4).alias("score"), "first_leg",
+        "archetype", "language", joined("matched"), joined("related"), F.array_join("temporal.volumes", "|").alias("volumes"), F.col("temporal.has_relation").alias("has_relation"),
+    )
 
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,10 +219,13 @@ WITH {_BM25}, b AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'infobox'
 SELECT id, kind, rank, CAST(row_number() OVER (ORDER BY kind <> 'infobox', rank) AS INT) AS new_rank FROM b""",
     "hybrid_retrieve": f"""
 WITH asked AS ({' UNION ALL '.join(f"SELECT {n} AS question, '{q}' AS q, {q.startswith('what is')} AS factual" for n, q in enumerate(ASKED))}),
-al AS (SELECT item_id, 'item ' || item_id AS name, list_distinct({_TOK.format(t='text')}) AS u, {_TOK.format(t='text')} AS t FROM benchmark),
-hit AS (SELECT question, item_id, name, t FROM asked JOIN al ON contains(lower(q), name)),
-ex AS (SELECT question, factual, CASE WHEN m IS NULL THEN q ELSE q || ' (also known as: ' || array_to_string(m[1:3], ', ') || ')' END AS x FROM asked LEFT JOIN (SELECT question, list(name ORDER BY item_id) AS m FROM hit GROUP BY 1) USING (question)),
-first4 AS (SELECT question, unnest(list_filter(t, lambda x, i: list_position(t, x) = i)[1:4]) AS term FROM hit),
+al AS (SELECT item_id, 'item ' || item_id AS name, 'passage ' || item_id AS alias, {_TOK.format(t='text')} AS t FROM benchmark),
+hit AS (SELECT question, item_id, name, alias, t FROM asked JOIN al ON contains(lower(q), name) OR contains(lower(q), alias)),
+ex AS (SELECT question, factual, q, q || coalesce(x, '') AS x, coalesce(m, '') AS matched FROM asked LEFT JOIN (
+  SELECT question, string_agg(' (also known as: ' || alias || ')', '' ORDER BY item_id) AS x, string_agg(name, '|' ORDER BY item_id) AS m FROM hit GROUP BY 1) USING (question)),
+near4 AS (SELECT question, item_id, unnest(list_filter(t, lambda x, i: list_position(t, x) = i)[1:4]) AS term, unnest(range(len(list_filter(t, lambda x, i: list_position(t, x) = i)[1:4]))) AS i FROM hit),
+rel AS (SELECT question, string_agg(term, '|' ORDER BY spot) AS related FROM (SELECT question, term, min(item_id * 10 + i) AS spot FROM near4 GROUP BY ALL) GROUP BY question),
+first4 AS (SELECT question, term FROM near4),
 terms AS (SELECT DISTINCT question, 2 AS leg, unnest({_TOK.format(t='x')}) AS term FROM ex UNION SELECT DISTINCT question, 3, term FROM first4),
 tok AS (SELECT doc_id, {_TOK.format(t='text')} AS t FROM documents WHERE text IS NOT NULL), whole AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
 post AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -229,9 +239,11 @@ legs AS (SELECT question, 1 AS leg, id, row_number() OVER (PARTITION BY question
   UNION ALL SELECT question, 4, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) FROM st WHERE score > 0),
 f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(leg * 1000 + rank) AS spot FROM legs WHERE rank <= 30 GROUP BY ALL),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rrf DESC, spot) AS n FROM f) WHERE n <= 30),
-p AS (SELECT c.*, CASE WHEN id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, source, substring(text, 1, 280) || '...' AS snippet, factual FROM c JOIN documents ON doc_id = id JOIN ex USING (question)),
+p AS (SELECT c.*, CASE WHEN id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, source, substring(text, 1, 280) || '...' AS snippet, factual, matched, q, text FROM c JOIN documents ON doc_id = id JOIN ex USING (question)),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY factual AND kind <> 'infobox', n) AS INT) AS citation FROM p)
-SELECT question, citation, id, kind, source, snippet, round(rrf, 4) AS score, CAST(spot // 1000 AS INT) AS first_leg FROM o WHERE citation <= 10""",
+SELECT question, citation, id, kind, source, snippet, round(rrf, 4) AS score, CAST(spot // 1000 AS INT) AS first_leg, CASE {_ARCH} ELSE 'general' END AS archetype, 'en' AS language, matched,
+  coalesce(related, '') AS related, array_to_string(regexp_extract_all(text, '(?i)(?:^|[^\\pL\\pN_])(?:volume|vol\\.?)\\s*([0-9]+)', 1), '|') AS volumes,
+  regexp_matches(text, '(?i)(?:^|[^\\pL\\pN_])(?:before|after)(?:$|[^\\pL\\pN_])') AS has_relation FROM o LEFT JOIN rel USING (question) WHERE citation <= 10""",
     "rerank_overlap": f"""
 WITH {_BM25}, b AS (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 30)
 SELECT doc_id, round(len(list_intersect({_TERMS}, t)) / 6.0, 6) AS rerank FROM b JOIN tok USING (doc_id) ORDER BY rerank DESC, round(score, 9) DESC, doc_id LIMIT 10""",
@@ -242,10 +254,18 @@ WITH {_QUESTIONS}, al AS (SELECT n_nationkey AS seq, lower(n_name) AS alias, n_n
 every AS (FROM qs UNION ALL SELECT n_nationkey - 1000, 'who rules ' || n_name || ' and where' FROM nation),
 hit AS (SELECT q_id, canonical, min(seq) AS seq FROM every JOIN al ON length(alias) >= 3 AND contains(lower(q), alias) GROUP BY ALL),
 m AS (SELECT q_id, list(canonical ORDER BY seq, canonical) AS names FROM hit GROUP BY q_id)
-SELECT q_id, coalesce(array_to_string(names, '|'), '') AS matched, sha256(CASE WHEN names IS NULL THEN q ELSE q || ' (also known as: ' || array_to_string(names[1:3], ', ') || ')' END) AS expanded_sha256 FROM every LEFT JOIN m USING (q_id)""",
+SELECT q_id, coalesce(array_to_string(names, '|'), '') AS matched,
+  sha256(q || coalesce(array_to_string(list_transform(names, lambda x: ' (also known as: ' || lower(substring(x, 1, 3)) || ')'), ''), '')) AS expanded_sha256 FROM every LEFT JOIN m USING (q_id)""",
     "alias_map": """
 WITH a AS (SELECT 'alias ' || (c_custkey % 997) AS alias, arg_max('nation ' || c_nationkey, c_custkey) AS canonical, min(c_custkey) AS seq FROM customer GROUP BY 1)
 SELECT canonical, CAST(count(*) AS INT) AS n_aliases, string_agg(alias, '|' ORDER BY seq) AS aliases FROM a GROUP BY canonical""",
 }
-ORACLE["bm25_index"] = ORACLE["bm25_topk"]
+_POST = f"""tok AS (SELECT doc_id, {_TOK.format(t='text')} AS t FROM documents WHERE text IS NOT NULL), whole AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
+post AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+ORACLE["bm25_index"] = f"""
+WITH asked AS ({' UNION ALL '.join(f"SELECT {n} AS question, '{q}' AS q" for n, q in enumerate((QUESTION, *SEARCHED)))}),
+terms AS (SELECT DISTINCT question, unnest({_TOK.format(t='q')}) AS term FROM asked), {_POST},
+bm AS (SELECT question, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM terms JOIN post USING (term) JOIN df USING (term), whole GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM bm)
+SELECT question, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 QUERIES = {f.__name__: f for f in (bm25_index, vector_topk_l2, vector_topk_filtered, vector_batch_topk, vector_normalize, bm25_topk, structured_term_score, rrf_fusion, infobox_promotion, hybrid_retrieve, rerank_overlap, query_language, query_archetype, query_expansion, alias_map)}

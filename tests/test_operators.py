@@ -258,6 +258,145 @@ def test_pages_that_cannot_be_read_are_put_aside(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in bad.collect()] == [(None, None, "not a record", '{"page_id": 2, "ti')]
 
 
+TEXTS = [" ".join(f"w{(i * j * 7 + j) % (3 + j % 40)}" for j in range(3 + i % 50)) for i in range(300)] + ["", "rare w1", "rare rare w2", "  ...  "]
+
+
+def full_search(texts, query, k):
+    """BM25 over all documents, term by term."""
+    import math
+    from collections import Counter
+
+    docs = {i: Counter(re.findall(r"[^\W_]+", t.lower())) for i, t in texts.items() if t is not None}
+    n, mean = len(docs), sum(sum(c.values()) for c in docs.values()) / len(docs)
+    score = Counter()
+    for term in set(re.findall(r"[^\W_]+", query.lower())):
+        df = sum(term in c for c in docs.values())
+        for i, c in docs.items():
+            if term in c:
+                score[i] += math.log(1 + (n - df + 0.5) / (df + 0.5)) * c[term] * 2.2 / (c[term] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+    return [(i, round(s, 9)) for i, s in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]]
+
+
+def test_lexical_index_is_kept_up(spark, tmp_path, monkeypatch):
+    """Pruned searches are full ones, with one segment, with several and merged; what is there is not rewritten; a writer that fails changes nothing."""
+    import glob
+    import os
+
+    from loomwell.operators import lexical
+
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 60)
+    texts = dict(enumerate(TEXTS)) | {500: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    queries = ["w1 W2 w7", "rare w1", "w0 w1 w2 w3 w4 w5", "nothing here", ""]
+    asked = spark.createDataFrame(list(enumerate(queries)), "q_id int, q string")
+
+    def check(index, known):
+        for pruned in (True, False):
+            rows = lexical.search(index, asked, 7, pruned=pruned).orderBy("q_id", "rank").collect()
+            for n, q in enumerate(queries):
+                assert [(r["doc"], round(r["score"], 9)) for r in rows if r["q_id"] == n] == full_search(known, q, 7), (n, pruned)
+
+    path = str(tmp_path / "index")
+    index = lexical.build(docs.where("doc_id < 150"), path=path)
+    assert index.n == 150
+    check(index, {i: t for i, t in texts.items() if i < 150})
+    files = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/segments/*/*/*.parquet")}
+    for low, high in ((150, 220), (220, 1000)):
+        index = lexical.add(index, docs.where(f"doc_id >= {low} and doc_id < {high}"))
+    check(index, texts)
+    assert len(index.segments) == 3 and all(os.path.getmtime(f) == m for f, m in files.items())
+    only = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("doc"))
+    some = lexical.search(index, asked, 400, allowed=only).collect()
+    every = {(r["q_id"], r["doc"]): r["score"] for r in lexical.search(index, asked, 400).collect()}
+    assert {(r["q_id"], r["doc"]): r["score"] for r in some} == {k: s for k, s in every.items() if k[1] % 2 == 0}
+
+    def broken(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "_committed", broken)
+        with pytest.raises(RuntimeError):
+            lexical.add(index, docs.limit(5))
+    again = lexical.open_index(spark, path)
+    assert again == index
+    one = lexical.merged(again)
+    assert len(one.segments) == 1 and one.version == index.version + 1 and (one.n, one.mean) == (index.n, pytest.approx(index.mean))
+    check(one, texts)
+    # A term's rows are in one file of a bucket.
+    assert max(len(glob.glob(f"{path}/segments/{one.segments[0]}/bucket={b}/*.parquet")) for b in range(lexical.BUCKETS)) == 1
+
+
+def test_lexical_blocks_are_left_out(spark, monkeypatch):
+    """A rare word decides, so blocks that have common words only need not be scored."""
+    from loomwell.operators import lexical
+
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 20)
+    rows = [(i, " ".join(["the"] * (1 + i % 60) + (["grail"] * 3 if i in (3, 4) else []))) for i in range(600)]
+    index = lexical.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen, left = [], lexical._left
+
+    def told(placed, near, k):
+        seen.append((placed.count(), (out := left(placed, near, k)).count()))
+        return out
+
+    monkeypatch.setattr(lexical, "_left", told)
+    found = lexical.search(index, spark.createDataFrame([(0, "the grail")], "q_id int, q string"), 2).orderBy("rank").collect()
+    assert [(r["doc"], round(r["score"], 9)) for r in found] == full_search(dict(rows), "the grail", 2) and seen[0][1] < seen[0][0] / 4
+
+
+def test_metric_index_is_exact(spark, monkeypatch):
+    import numpy as np
+
+    from loomwell.operators import metric
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16)) * 3
+    x = np.concatenate([centres[rng.integers(0, 12, 900)] + 0.2 * rng.standard_normal((900, 16)), np.tile(centres[0], (100, 1))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0])]
+    monkeypatch.setattr(metric, "CELL_ROWS", 50)
+    monkeypatch.setattr(metric, "PART_ROWS", 40)
+    index = metric.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert index.rows.count() == 1000 and max(index.parts) > 1
+    asked = [(i, x[i * 17].tolist()) for i in range(40)] + [(100, (x[0] + 5).tolist())]
+    queries = spark.createDataFrame(asked, "q_id int, q array<double>")
+    got = {(r["q_id"], r["rank"]): (r["id"], round(r["distance"], 9)) for r in metric.search(index, queries, 6).collect()}
+    want, odd = {}, {}
+    for q, v in asked:
+        d = ((x - np.array(v)) ** 2).sum(axis=1)
+        for where, ids in ((want, np.arange(1000)), (odd, np.arange(1, 1000, 2))):
+            where.update({(q, n + 1): (int(i), round(float(d[i]), 9)) for n, i in enumerate(ids[np.lexsort((ids, d[ids].round(12)))][:6])})
+    assert got == want
+    only = spark.range(1, 1000, 2).select(F.col("id").alias("doc"))
+    assert {(r["q_id"], r["rank"]): (r["id"], round(r["distance"], 9)) for r in metric.search(index, queries, 6, only).collect()} == odd
+    assert metric.compared(index, queries, 6) < 0.25 * 1000 * len(asked)
+    assert metric.search(metric.build(spark.createDataFrame([], "vec_id long, embedding array<double>")), queries, 3).count() == 0
+
+
+@pytest.mark.parametrize("most", [4_000_000, 2000])
+def test_mentions_of_many_aliases(spark, monkeypatch, most):
+    """Aliases with one common beginning, in one part and in several; overlapping, repeated and short ones."""
+    monkeypatch.setattr(routing, "MOST_CHARS", most)
+    aliases = [(i, f"Item {i}", f"E{i % 700}") for i in range(1000)] + [(2000, "em 1", "X"), (2001, "it", "short"), (2002, "ITEM 5", "E5"), (2003, None, "none"), (2004, "élan", "É"), (2005, "x y", None)]
+    questions = [(0, "item 17 and ITEM 999"), (1, "It is"), (2, None), (3, "Élan of item 5"), (4, "")]
+    q, a = spark.createDataFrame(questions, "q_id int, q string"), spark.createDataFrame(aliases, "seq long, alias string, canonical string")
+    want = set()
+    for n, text in questions:
+        for seq, alias, canonical in aliases:
+            if text is not None and alias and canonical and len(alias) >= 3 and alias.lower() in text.lower():
+                want.add((n, min(s for s, b, c in aliases if b and (b.lower(), c) == (alias.lower(), canonical)), canonical))
+    got = [tuple(r) for r in routing.mentions(q, a).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_expansion_names_the_aliases_of_each_entity(spark):
+    aliases = [(0, "Rimuru", "Rimuru"), (1, "Slime", "Rimuru"), (2, "Satoru", "Rimuru"), (3, "Lord", "Rimuru"), (4, "King", "Rimuru"), (5, "Veldora", "Veldora"), (6, "dragon", "Veldora")]
+    questions = spark.createDataFrame([(0, "the dragon and the slime"), (1, "nobody"), (2, "VELDORA")], "q_id int, q string")
+    rows = {r["q_id"]: (r["matched"], r["expanded"]) for r in routing.expand(questions, spark.createDataFrame(aliases, "seq long, alias string, canonical string")).collect()}
+    assert rows == {
+        0: (["Rimuru", "Veldora"], "the dragon and the slime (also known as: Slime, Satoru, Lord) (also known as: dragon)"), 1: (None, "nobody"), 2: (["Veldora"], "VELDORA (also known as: dragon)"),
+    }
+
+
 def test_verification(spark):
     from loomwell.operators import answers
 
