@@ -13,7 +13,7 @@ from loomwell.operators import answers, chats, graph, hybrid, routing, wiki
 from loomwell.operators import knowledge as kn
 from loomwell.plans import knowledge
 from loomwell.sources import files
-from loomwell.streaming import ingest
+from loomwell.streaming import ingest, keyed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +76,15 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each user: a row with a known key replaces the one before."""
+    """The last event of each user, from a keyed table that takes up the events in three batches."""
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return ingest.latest(e, "user_id", "event_id")
+    path = f"{tables.shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    table = keyed.open_table(spark, path, "user_id", "user_id long, event_id long, event_type string", 16)
+    for batch in (e.where("event_id % 10 < 6"), e.where("event_id % 10 = 6"), e.where("event_id % 10 > 6")):
+        known = table.rows().select("user_id", F.col("event_id").alias("_known"))
+        newer = batch.join(known, "user_id", "left").where(F.col("_known").isNull() | (F.col("event_id") > F.col("_known"))).drop("_known")
+        table = keyed.upsert(table, newer, "event_id")
+    return table.rows()
 
 
 def ascii_copy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,8 +130,8 @@ def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id long, seq long, content_hash string"
     _docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("seq"), tx.content_hash(F.col("text")).alias("content_hash")).write.parquet(f"{folder}/landing")
     for _ in range(2):
-        ingest.ingest_stream(spark, f"{folder}/landing", schema, f"{folder}/table", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/table").select("doc_id", "content_hash")
+        table = ingest.ingest_stream(spark, f"{folder}/landing", schema, f"{folder}/table", f"{folder}/state")
+    return table.rows().select("doc_id", "content_hash")
 
 
 _SENT = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.functions import tables
+from loomwell.streaming import keyed
 
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "seq") -> DataFrame:
     """The rows of ``batch`` whose content hash is new; the first of equals. A null hash is a value like any other."""
-    first = batch.withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy(order))).where("_n = 1").drop("_n")
+    first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
     if existing is None:
         return first
     there = existing.select(F.col("content_hash").alias("_h"))
@@ -28,17 +28,16 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(whole, order).alias("r")).select("r.*")
 
 
-def ingest_stream(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str) -> None:
-    """Take up all files that have landed and append rows with new content hashes to the table at ``target``.
+def ingest_stream(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, order: str = "seq") -> keyed.KeyedTable:
+    """Take up all files that have landed and insert rows with new content hashes into the keyed table at ``target``.
 
-    Files are read once (the checkpoint knows them); a batch that is repeated after a failure overwrites its own
-    part, so nothing is inserted twice.
+    Files are read once (the checkpoint knows them); the table keeps the number of its last batch, so one that is repeated
+    after a failure changes nothing. Of the table, only buckets in which a hash may be are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        there = spark.read.parquet(target).where(F.col("batch") != number) if tables.exists(spark, target) else None
-        rows = new_rows(batch, there).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        keyed.insert(keyed.open_table(spark, target, "content_hash", schema), batch, order, number)
 
     stream = spark.readStream.schema(schema).parquet(landing)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return keyed.open_table(spark, target, "content_hash", schema)

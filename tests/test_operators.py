@@ -397,6 +397,68 @@ def test_expansion_names_the_aliases_of_each_entity(spark):
     }
 
 
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    """Inserts and upserts against a dictionary; only touched buckets are read; failures and repeats change nothing."""
+    from loomwell.streaming import keyed
+
+    schema, path = "k string, seq long, v string", str(tmp_path / "t")
+    open_ = lambda: keyed.open_table(spark, path, "k", schema, 8)
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    as_dict = lambda t: {r["k"]: (r["seq"], r["v"]) for r in t.rows().collect()}
+    table, want = open_(), {}
+    assert as_dict(table) == {}
+    for n in range(4):
+        rows = [(f"k{(i * 13 + n * 40) % 150}", 1000 * n + i, f"v{n}") for i in range(60)] + [(None, 1000 * n + 70, f"null{n}"), (f"k{n}", 1000 * n + 80, "late")]
+        table = keyed.insert(table, df(rows), "seq", n)
+        for k, seq, v in rows:
+            want.setdefault(k, (seq, v))
+        assert as_dict(table) == want and table.rows().count() == len(want)
+    assert keyed.insert(table, df([("fresh", 1, "x")]), "seq", 3) is table
+    rows = [("k5", 1, "old"), ("k5", 9, "new"), ("brand new", 3, "x"), (None, 5, "n")]
+    read = []
+    with monkeypatch.context() as m:
+        m.setattr(keyed.KeyedTable, "rows", lambda self, buckets=None, real=keyed.KeyedTable.rows: read.append(buckets) or real(self, buckets))
+        newer = keyed.upsert(table, df(rows), "seq")
+    assert len(read) == 1 and len(read[0]) <= 3
+    want |= {"k5": (9, "new"), "brand new": (3, "x"), None: (5, "n")}
+    assert as_dict(newer) == want and {p[1] for p in newer.parts if p[0] not in read[0]} <= {p[1] for p in table.parts}
+
+    def broken(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m:
+        m.setattr(keyed, "_committed", broken)
+        with pytest.raises(RuntimeError):
+            keyed.upsert(newer, df(rows), "seq")
+    assert as_dict(open_()) == want and open_().version == newer.version
+    monkeypatch.setattr(keyed, "MOST_PARTS", 2)
+    newer = keyed.insert(newer, df([(f"n{i}", i, "z") for i in range(40)]), "seq")
+    want |= {f"n{i}": (i, "z") for i in range(40)}
+    assert as_dict(newer) == want
+    assert keyed.vacuum(newer) > 0 and as_dict(open_()) == want
+    # Filters keep most new keys from reading anything.
+    told = keyed._may_be_there(newer, df([(f"other{i}", i, "z") for i in range(500)])).where("_may").count()
+    assert told < 10
+
+
+def test_chat_log_applied_again(spark):
+    """Creates that repeat lose nothing, a replayed log changes nothing, roles are checked, deletes take messages along."""
+    from loomwell.operators import chats
+
+    schema = "seq long, at long, kind string, conv_id long, message_id string, role string, content string, title string"
+    log = [
+        (1, 1, "create", 1, None, None, None, "first"), (2, 2, "message", 1, "a", "user", "hi", None), (3, 3, "create", 1, None, None, None, "again"), (4, 4, "rename", 1, None, None, None, "named"),
+        (5, 5, "message", 1, "b", "tool", "no", None), (6, 6, "verify", 1, "a", None, "{1}", None), (7, 7, "message", 2, "c", "user", "early", None), (8, 8, "create", 2, None, None, None, None),
+        (9, 9, "message", 2, "d", "assistant", "x", None), (10, 10, "delete", 2, None, None, None, None), (11, 11, "message", 2, "e", "user", "late", None), (12, 12, "create", 3, None, None, None, "t" * 300),
+        (13, 13, "delete", 3, None, None, None, None), (14, 14, "create", 3, None, None, None, ""), (15, 15, "message", 3, "f", "system", "s", None),
+    ]
+    again = [(s + 100, at, *rest) for s, at, *rest in log if rest[1] == 1]
+    for rows in (log, log + again):
+        conversations, messages = chats.applied(spark.createDataFrame(rows, schema))
+        assert {(r["conv_id"], r["title"], r["updated_at"], r["n_messages"]) for r in conversations.collect()} == {(1, "named", 4, 1), (3, "New chat", 15, 1)}
+        assert {tuple(r) for r in messages.select("conv_id", "message_id", "place", "role", "verification").collect()} == {(1, "a", 1, "user", "{1}"), (3, "f", 1, "system", "{}")}
+
+
 def test_verification(spark):
     from loomwell.operators import answers
 
