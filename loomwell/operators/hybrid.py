@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,41 +51,51 @@ def temporal(text: Column) -> Column:
     )
 
 
-def retrieve(
-    corpus: Corpus, questions: DataFrame, k: int, filters: dict | None = None, expand: bool = True, use_lexical: bool = True, scorer: Callable | None = None
-) -> DataFrame:
-    """The ``k`` best chunks for each question (q_id, q): (q_id, place, id, chunk_type, rrf, first_leg, first_rank, raw_score)
-    and what is known of question and chunk (archetype, language, matched, related, temporal).
-
-    All questions go through one plan. Lists: 1 nearest vectors, 2 lexical, 3 lexical by the names of graph neighbours of
-    the entities that are named (also without list 2), 4 structured terms. Only a factual question puts infobox chunks
-    first. With a ``scorer``, see ``rerank``, the fused candidates are ordered by it.
-    """
-    told, n = understood(questions, corpus), rt.candidates(k)
+def lists(corpus: Corpus, told: DataFrame, k: int, filters: dict | None = None, expand: bool = True, use_lexical: bool = True) -> DataFrame:
+    """(q_id, leg, rank, id, score) of understood questions: 1 nearest vectors, 2 lexical, 3 lexical by the names of graph
+    neighbours of the entities that are named (also without list 2), 4 structured terms."""
+    n = rt.candidates(k)
     asked = told.select("q_id", (F.col("expanded") if expand else F.col("q")).alias("q"))
     chosen = corpus.chunks.where(rt.equal_to(filters or {}))
     allowed = chosen.select(F.col("id").alias("doc")) if filters else None
     leg = lambda rows, number, score: rows.select("q_id", F.lit(number).alias("leg"), "rank", F.col("doc").alias("id"), score.cast("double").alias("score"))
     near = metric.search(corpus.vectors, asked.select("q_id", corpus.embed(F.col("q")).alias("q")), n, allowed).withColumnRenamed("id", "doc")
-    legs = [leg(near, 1, 1 / (1 + F.col("distance")))]
     # Lists 2 and 3 of all questions are one search.
     words = told.where(F.size("related") > 0).select(F.struct("q_id", F.lit(3).alias("leg")).alias("q_id"), F.array_join("related", " ").alias("q"))
     if use_lexical:
         words = words.unionByName(asked.select(F.struct("q_id", F.lit(2).alias("leg")).alias("q_id"), "q"))
     found = lexical.search(corpus.index, words, n, allowed)
-    legs.append(found.select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.leg").alias("leg"), "rank", F.col("doc").alias("id"), "score"))
-    legs.append(leg(rt.term_scores(chosen, asked, list(corpus.searched), n, "id"), 4, F.col("score")))
-    fused = tables.sent_if_few(tables.written(rt.fuse_each(reduce(DataFrame.unionByName, legs), n)), SENT)
+    found = found.select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.leg").alias("leg"), "rank", F.col("doc").alias("id"), "score")
+    terms = leg(rt.term_scores(chosen, asked, list(corpus.searched), n, "id"), 4, F.col("score"))
+    return tables.written(leg(near, 1, 1 / (1 + F.col("distance"))).unionByName(found).unionByName(terms))
+
+
+def placed(corpus: Corpus, told: DataFrame, legs: DataFrame, k: int, scorer: Callable | None = None) -> DataFrame:
+    """The ``k`` best chunks of fused lists for each question, with what is known of question and chunk."""
+    fused = tables.sent_if_few(tables.written(rt.fuse_each(legs, rt.candidates(k))), SENT)
     rows = corpus.chunks.select("id", "chunk_type", "text").join(fused, "id").join(told.select("q_id", "q", "archetype", "language", "matched", "related"), "q_id")
     late = (F.col("archetype") == "factual") & (F.col("chunk_type") != "infobox")
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(late, "fused")))
+    found = rows.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(late, "fused")))
     if scorer is not None:
-        scored = rerank(placed, F.col("q"), "text", scorer)
-        placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("rerank"), "place")))
-    best = placed.where(F.col("place") <= k).withColumn("temporal", temporal(F.col("text")))
+        scored = rerank(found, F.col("q"), "text", scorer)
+        found = scored.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("rerank"), "place")))
+    best = found.where(F.col("place") <= k).withColumn("temporal", temporal(F.col("text")))
     return best.select("q_id", "place", "id", "chunk_type", "rrf", "first_leg", "first_rank", "raw_score", "archetype", "language", "matched", "related", "temporal")
 
 
+def retrieve(
+    corpus: Corpus, questions: DataFrame, k: int, filters: dict | None = None, expand: bool = True, use_lexical: bool = True, scorer: Callable | None = None
+) -> DataFrame:
+    """The ``k`` best chunks for each question (q_id, q): (q_id, place, id, chunk_type, rrf, first_leg, first_rank, raw_score)
+    and what is known of question and chunk (archetype, language, matched, related, temporal).
+
+    All questions go through one plan. Only a factual question puts infobox chunks first. With a ``scorer``, see
+    ``rerank``, the fused candidates are ordered by it.
+    """
+    told = understood(questions, corpus)
+    return placed(corpus, told, lists(corpus, told, k, filters, expand, use_lexical), k, scorer)
+
+
 def rerank(rows: DataFrame, question: Column | str, text: str, scorer: Callable[[], Callable[[str, list[str]], list[float]]]) -> DataFrame:
     """``rows`` with ``rerank``, the score that a user's model gives a pair of question and text.
 

@@ -26,11 +26,15 @@ TYPE_WORDS = (
 )
 
 
-def field(infobox: Column, names: tuple[str, ...]) -> Column:
-    """The first non-empty value under one of ``names``; keys in any case, spaces as underscores, the last of equal keys."""
+def lowered(infobox: Column) -> Column:
+    """An infobox with keys in lower case and spaces as underscores; the last of equal keys counts."""
     entries = F.transform(F.map_entries(infobox), lambda e: F.struct(F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value")))
     later = F.reverse(F.transform(entries, lambda e: e["key"]))
-    low = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(later, e["key"]) == F.size(entries) - i))
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(later, e["key"]) == F.size(entries) - i))
+
+
+def field(low: Column, names: tuple[str, ...]) -> Column:
+    """The first non-empty value of a lowered infobox under one of ``names``."""
     return F.coalesce(*(F.nullif(F.trim(F.try_element_at(low, F.lit(n))), F.lit("")) for n in names), F.lit(""))
 
 
@@ -51,7 +55,9 @@ def entity_type(categories: Column, infobox: Column) -> Column:
 def facts(rows: DataFrame) -> DataFrame:
     """(seq, entity, categories, infobox map) to one row an entity, the one with most fields; the first of equals."""
     named = rows.where(F.trim("entity") != "")
-    found = named.select("seq", "entity", entity_type(F.col("categories"), F.col("infobox")).alias("entity_type"), *(field(F.col("infobox"), NAMES[f]).alias(f) for f in FIELDS))
+    # A projection of its own: the lowered map is made once a row, then looked up.
+    found = named.select("seq", "entity", entity_type(F.col("categories"), F.col("infobox")).alias("entity_type"), lowered(F.col("infobox")).alias("_low"))
+    found = found.select("seq", "entity", "entity_type", *(field(F.col("_low"), NAMES[f]).alias(f) for f in FIELDS))
     found = found.withColumn("richness", reduce(lambda x, y: x + y, ((F.col(f) != "").cast("int") for f in FIELDS)))
     best = Window.partitionBy("entity").orderBy(F.desc("richness"), "seq")
     top = found.withColumn("place", F.row_number().over(best)).where("place = 1")

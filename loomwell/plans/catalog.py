@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwell.plans import graphs, knowledge, lookups, pages, retrieval, texts
+from loomwell.plans import evaluation, graphs, knowledge, lookups, pages, retrieval, texts
 
-MODULES = (retrieval, texts, knowledge, graphs, pages, lookups)
+MODULES = (retrieval, texts, knowledge, graphs, pages, lookups, evaluation)
 
 
 def queries() -> dict:

@@ -201,24 +201,9 @@ _FUSE = "SELECT id, sum(1.0 / (60 + rank)) AS rrf, CAST(min(leg * 1000 + rank) /
 _QUESTIONS = "qs AS (" + " UNION ALL ".join(f"SELECT {-1 - i} AS q_id, '{q}' AS q" for i, q in enumerate(LITERALS)) + " UNION ALL SELECT conv_id * 1000 + turn, coalesce(text, '') FROM conversations)"
 _ARCH = " ".join("WHEN " + " OR ".join(f"contains(lower(q), '{w}')" for w in words) + f" THEN '{name}'" for name, words in routing.ARCHETYPES)
 
-ORACLE = {
-    "vector_topk_l2": f"WITH {_Q} SELECT vec_id, label, round(d, 6) AS distance, round(s, 6) AS score FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 10",
-    "vector_topk_filtered": f"WITH {_Q} SELECT vec_id, label, round(d, 6) AS distance, round(s, 6) AS score FROM ({_NEAR}) WHERE label = 3 ORDER BY d, vec_id LIMIT 10",
-    "vector_batch_topk": f"""
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0)
-SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT q.query_id, v.vec_id, {_D} AS d FROM embeddings v, q)) WHERE rank <= 5""",
-    "vector_normalize": """
-SELECT vec_id, round(n, 5) AS norm, round(CAST(e[1] AS DOUBLE) / greatest(n, 1e-12), 5) AS first, round(sqrt(list_sum([(CAST(x AS DOUBLE) / greatest(n, 1e-12)) * (CAST(x AS DOUBLE) / greatest(n, 1e-12)) for x in e])), 5) AS unit_norm
-FROM (SELECT *, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in e])) AS n FROM (SELECT vec_id, [x * 3 for x in embedding] AS e FROM embeddings))""",
-    "bm25_topk": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 10",
-    "structured_term_score": f"WITH {_STRUCT} SELECT doc_id, score FROM st WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
-    "rrf_fusion": f"WITH {_Q}, {_BM25}, {_STRUCT}, {_LEGS} SELECT id, round(rrf, 8) AS rrf, first_leg, first_rank FROM ({_FUSE.format(legs='FROM l1 UNION ALL FROM l2', k=10)})",
-    "infobox_promotion": f"""
-WITH {_BM25}, b AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM bm ORDER BY rank LIMIT 15)
-SELECT id, kind, rank, CAST(row_number() OVER (ORDER BY kind <> 'infobox', rank) AS INT) AS new_rank FROM b""",
-    "hybrid_retrieve": f"""
-WITH asked AS ({' UNION ALL '.join(f"SELECT {n} AS question, '{q}' AS q, {q.startswith('what is')} AS factual" for n, q in enumerate(ASKED))}),
+def _hybrid(asked: str, n: int, lexical: bool = True) -> str:
+    """Common tables of a whole retrieval for ``asked`` (question, q): ``o`` has every fused row with its place as ``citation``."""
+    return f"""asked AS (SELECT *, CASE {_ARCH} ELSE 'general' END = 'factual' AS factual FROM ({asked})),
 al AS (SELECT item_id, 'item ' || item_id AS name, 'passage ' || item_id AS alias, {_TOK.format(t='text')} AS t FROM benchmark),
 hit AS (SELECT question, item_id, name, alias, t FROM asked JOIN al ON contains(lower(q), name) OR contains(lower(q), alias)),
 ex AS (SELECT question, factual, q, q || coalesce(x, '') AS x, coalesce(m, '') AS matched FROM asked LEFT JOIN (
@@ -237,13 +222,34 @@ st AS (SELECT question, doc_id AS id, list_sum([contains(h, w)::INT for w in lis
 legs AS (SELECT question, 1 AS leg, id, row_number() OVER (PARTITION BY question ORDER BY d, id) AS rank FROM near
   UNION ALL SELECT question, leg, id, row_number() OVER (PARTITION BY question, leg ORDER BY round(score, 9) DESC, id) FROM bm
   UNION ALL SELECT question, 4, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) FROM st WHERE score > 0),
-f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(leg * 1000 + rank) AS spot FROM legs WHERE rank <= 30 GROUP BY ALL),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rrf DESC, spot) AS n FROM f) WHERE n <= 30),
+f AS (SELECT question, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(leg * 1000 + rank) AS spot FROM legs WHERE rank <= {n} AND ({lexical} OR leg <> 2) GROUP BY ALL),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rrf DESC, spot) AS n FROM f) WHERE n <= {n}),
 p AS (SELECT c.*, CASE WHEN id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, source, substring(text, 1, 280) || '...' AS snippet, factual, matched, q, text FROM c JOIN documents ON doc_id = id JOIN ex USING (question)),
-o AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY factual AND kind <> 'infobox', n) AS INT) AS citation FROM p)
-SELECT question, citation, id, kind, source, snippet, round(rrf, 4) AS score, CAST(spot // 1000 AS INT) AS first_leg, CASE {_ARCH} ELSE 'general' END AS archetype, 'en' AS language, matched,
-  coalesce(related, '') AS related, array_to_string(regexp_extract_all(text, '(?i)(?:^|[^\\pL\\pN_])(?:volume|vol\\.?)\\s*([0-9]+)', 1), '|') AS volumes,
-  regexp_matches(text, '(?i)(?:^|[^\\pL\\pN_])(?:before|after)(?:$|[^\\pL\\pN_])') AS has_relation FROM o LEFT JOIN rel USING (question) WHERE citation <= 10""",
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY factual AND kind <> 'infobox', n) AS INT) AS citation FROM p)"""
+
+
+_ASKED = " UNION ALL ".join(f"SELECT {n} AS question, '{q}' AS q" for n, q in enumerate(ASKED))
+_HYBRID_ROWS = rf"""SELECT question, citation, id, kind, source, snippet, round(rrf, 4) AS score, CAST(spot // 1000 AS INT) AS first_leg, CASE {_ARCH} ELSE 'general' END AS archetype, 'en' AS language, matched,
+  coalesce(related, '') AS related, array_to_string(regexp_extract_all(text, '(?i)(?:^|[^\pL\pN_])(?:volume|vol\.?)\s*([0-9]+)', 1), '|') AS volumes,
+  regexp_matches(text, '(?i)(?:^|[^\pL\pN_])(?:before|after)(?:$|[^\pL\pN_])') AS has_relation FROM o LEFT JOIN rel USING (question) WHERE citation <= 10"""
+
+ORACLE = {
+    "vector_topk_l2": f"WITH {_Q} SELECT vec_id, label, round(d, 6) AS distance, round(s, 6) AS score FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 10",
+    "vector_topk_filtered": f"WITH {_Q} SELECT vec_id, label, round(d, 6) AS distance, round(s, 6) AS score FROM ({_NEAR}) WHERE label = 3 ORDER BY d, vec_id LIMIT 10",
+    "vector_batch_topk": f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0)
+SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT q.query_id, v.vec_id, {_D} AS d FROM embeddings v, q)) WHERE rank <= 5""",
+    "vector_normalize": """
+SELECT vec_id, round(n, 5) AS norm, round(CAST(e[1] AS DOUBLE) / greatest(n, 1e-12), 5) AS first, round(sqrt(list_sum([(CAST(x AS DOUBLE) / greatest(n, 1e-12)) * (CAST(x AS DOUBLE) / greatest(n, 1e-12)) for x in e])), 5) AS unit_norm
+FROM (SELECT *, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in e])) AS n FROM (SELECT vec_id, [x * 3 for x in embedding] AS e FROM embeddings))""",
+    "bm25_topk": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 10",
+    "structured_term_score": f"WITH {_STRUCT} SELECT doc_id, score FROM st WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
+    "rrf_fusion": f"WITH {_Q}, {_BM25}, {_STRUCT}, {_LEGS} SELECT id, round(rrf, 8) AS rrf, first_leg, first_rank FROM ({_FUSE.format(legs='FROM l1 UNION ALL FROM l2', k=10)})",
+    "infobox_promotion": f"""
+WITH {_BM25}, b AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'infobox' ELSE 'text' END AS kind, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM bm ORDER BY rank LIMIT 15)
+SELECT id, kind, rank, CAST(row_number() OVER (ORDER BY kind <> 'infobox', rank) AS INT) AS new_rank FROM b""",
+    "hybrid_retrieve": f"WITH {_hybrid(_ASKED, 30)} {_HYBRID_ROWS}",
     "rerank_overlap": f"""
 WITH {_BM25}, b AS (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 30)
 SELECT doc_id, round(len(list_intersect({_TERMS}, t)) / 6.0, 6) AS rerank FROM b JOIN tok USING (doc_id) ORDER BY rerank DESC, round(score, 9) DESC, doc_id LIMIT 10""",

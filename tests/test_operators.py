@@ -459,6 +459,34 @@ def test_chat_log_applied_again(spark):
         assert {tuple(r) for r in messages.select("conv_id", "message_id", "place", "role", "verification").collect()} == {(1, "a", 1, "user", "{1}"), (3, "f", 1, "system", "{}")}
 
 
+def test_retrieval_with_filters_and_scorer(spark):
+    """Many questions at once: filters hold for all lists, a scorer orders the candidates, metadata come along."""
+    from loomwell.functions import vector as vx
+    from loomwell.operators import hybrid, lexical, metric
+
+    texts = ["slime king of volume 3", "dragon of the north chapter 7", "slime before the war", "", None, "dragon and slime"]
+    chunks = spark.createDataFrame([(i, "infobox" if i == 5 else "text", "a" if i % 2 else "b", t) for i, t in enumerate(texts)], "id long, chunk_type string, wiki string, text string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    aliases = spark.createDataFrame([(0, "Rimuru", "Rimuru"), (1, "slime", "Rimuru"), (2, "Veldora", "Veldora")], "seq long, alias string, canonical string")
+    edges = spark.createDataFrame([(1, "Rimuru", "dragon", "knows", 1.0), (2, "north", "Veldora", "home", 1.0)], "edge_id long, source string, target string, relation string, confidence double")
+    embed = lambda q: vx.normalised(F.array(F.length(q).cast("double"), F.lit(1.0)))
+    corpus = hybrid.Corpus(chunks, metric.build(vectors), lexical.build(chunks, "id"), aliases, edges, embed)
+    asked = spark.createDataFrame([(7, "what is the slime"), (8, "Veldora"), (9, "nothing")], "q_id long, q string")
+    rows = hybrid.retrieve(corpus, asked, 3).collect()
+    by = {q: sorted((r for r in rows if r["q_id"] == q), key=lambda r: r["place"]) for q in (7, 8, 9)}
+    assert all([r["place"] for r in mine] == [1, 2, 3] for mine in by.values())
+    first = by[7][0]
+    assert (first["id"], first["chunk_type"], first["archetype"], first["matched"], first["related"]) == (5, "infobox", "factual", ["Rimuru"], ["dragon"])
+    assert by[8][0]["related"] == ["north"] and by[9][0]["matched"] == [] and {r["language"] for r in rows} == {"en"}
+    told = {r["id"]: r["temporal"] for r in rows}
+    assert all(told[i]["volumes"] == ([3] if i == 0 else []) and told[i]["chapters"] == ([7] if i == 1 else []) and told[i]["has_relation"] == (i == 2) for i in told)
+    only = hybrid.retrieve(corpus, asked, 3, filters={"wiki": "a"}).collect()
+    assert {r["id"] for r in only} <= {1, 3, 5} and len({r["q_id"] for r in only}) == 3
+    scorer = lambda: lambda q, texts: [float(len(t)) + (100.0 if q == "Veldora" and "war" in t else 0.0) for t in texts]
+    scored = {r["q_id"]: r["id"] for r in hybrid.retrieve(corpus, asked, 1, scorer=scorer).collect()}
+    assert scored[8] == 2 and scored[9] == 1
+
+
 def test_verification(spark):
     from loomwell.operators import answers
 
