@@ -12,7 +12,7 @@ from loomwell.functions import text as tx
 from loomwell.operators import answers, chats, graph, hybrid, routing, wiki
 from loomwell.operators import knowledge as kn
 from loomwell.plans import knowledge
-from loomwell.sources import files
+from loomwell.sources import dumps, files
 from loomwell.streaming import ingest, keyed
 
 
@@ -65,6 +65,27 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("page_id", F.lit("").alias("error"), F.col("lead").alias("text")).unionByName(bad.select("page_id", "error", F.col("raw_text").alias("text")))
 
 
+def dump_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed dumps of customers, some lines of which are no records, taken up by a stream into a keyed table in runs that
+    stop and go on: what lands or is appended in between is read once."""
+    c, k = _table(spark, sf_dir, "customer"), F.col("c_custkey")
+    line = F.to_json(F.struct(k.alias("page_id"), F.col("c_name").alias("title"), F.concat(F.lit("about "), "c_mktsegment").alias("raw_wikitext"), F.array(F.concat(F.lit("Category:"), "c_mktsegment")).alias("categories")))
+    lines = c.select(k.alias("k"), F.when(k % 7 == 0, F.concat(F.lit("{"), k.cast("string"))).otherwise(line).alias("value"))
+    folder = f"{tables.shared_folder(spark)}/dumps-{uuid.uuid4().hex}"
+    dumps.register(spark)
+    fields, schema = ("key", "page_id", "title", "raw_text", "category", "error"), "key string, page_id long, title string, raw_text string, category string, error string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("key", F.coalesce(F.col("page_id").cast("string"), "raw_text")).withColumn("category", F.get("categories", F.lit(0)))
+        keyed.insert(keyed.open_table(spark, f"{folder}/table", "key", schema), rows.select(*fields), "page_id", number)
+
+    for part in range(3):
+        lines.where(F.col("k") % 3 == part).select("value").write.mode("append").text(f"{folder}/landed")
+        stream = spark.readStream.format("page_dumps").load(f"{folder}/landed").writeStream.foreachBatch(write)
+        stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return keyed.open_table(spark, f"{folder}/table", "key", schema).rows().select(*fields)
+
+
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as JSON lines in two parts, the first one twice in its place, and read back."""
     n = _table(spark, sf_dir, "customer")
@@ -279,6 +300,10 @@ SELECT page_id, section, CAST(0 AS INT) AS idx, chunk_type, {_ID.format('title')
 WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS m, c_custkey % 5 AS r FROM customer)
 SELECT CASE WHEN k % 7 <> 0 THEN k END AS page_id, CASE WHEN k % 7 = 0 THEN 'not a record' ELSE '' END AS error,
   CASE WHEN k % 7 = 0 THEN '{"page_id":' || k || ',"title":"' || c_name || '"' WHEN r = 1 THEN 'a {{b' WHEN r = 2 THEN 'a <!-- b' WHEN r = 3 THEN '{{ fine' ELSE m END AS text FROM c""",
+        "dump_stream": """
+SELECT CASE WHEN c_custkey % 7 = 0 THEN '{' || c_custkey ELSE c_custkey::VARCHAR END AS key, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS page_id, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS title,
+  CASE WHEN c_custkey % 7 = 0 THEN '{' || c_custkey ELSE 'about ' || c_mktsegment END AS raw_text, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS category,
+  CASE WHEN c_custkey % 7 = 0 THEN 'not a record: JSONDecodeError' END AS error FROM customer""",
         "jsonl_round_trip": """SELECT c_custkey AS page_id, c_name AS title, 'text "' || c_mktsegment || '"' || chr(10) AS raw_wikitext, c_mktsegment AS category FROM customer""",
         "replace_on_write": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
         "ascii_copy": r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g')) AS ascii_sha256 FROM documents",
@@ -336,7 +361,7 @@ ORACLE = _oracle()
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_pages, chunk_pages, quarantine, jsonl_round_trip, replace_on_write, ascii_copy, entity_detail, entity_lookup, entity_page, facts_page, facts_get, timeline_page, graph_nodes, graph_node,
+        parse_pages, chunk_pages, quarantine, dump_stream, jsonl_round_trip, replace_on_write, ascii_copy, entity_detail, entity_lookup, entity_page, facts_page, facts_get, timeline_page, graph_nodes, graph_node,
         graph_overview, graph_subgraph_nodes, graph_sources, chat_conversations, chat_messages, settings_saved, embed_texts, rerank_scorer, status_rollup, checker_prompt,
     )
 }

@@ -487,6 +487,44 @@ def test_retrieval_with_filters_and_scorer(spark):
     assert scored[8] == 2 and scored[9] == 1
 
 
+def test_page_dumps(spark, tmp_path):
+    """Every line once: in splits of any size, and in micro-batches over appended and new files, with a line half written."""
+    import json
+
+    from loomwell.sources import dumps
+
+    land, out, state = tmp_path / "land", str(tmp_path / "out"), str(tmp_path / "state")
+    land.mkdir()
+    pages = [json.dumps({"page_id": i, "title": f"T{i}", "raw_wikitext": "é" * (i % 60), "categories": ["Category:A"]}, ensure_ascii=False) for i in range(200)]
+    (land / "a.jsonl").write_text("\n".join(pages[:120]) + "\n{broken\n\n[1]\n")
+    dumps.register(spark)
+    for split in (50, 333, 1 << 20):
+        rows = spark.read.format("page_dumps").option("splitBytes", split).load(str(land)).collect()
+        assert sorted(r["page_id"] for r in rows if r["error"] is None) == list(range(120))
+        assert sorted(r["raw_text"] for r in rows if r["error"]) == ["[1]", "{broken"] and len(rows) == 122
+    assert {(r["title"], r["raw_text"], tuple(r["categories"])) for r in rows if r["page_id"] == 7} == {("T7", "é" * 7, ("A",))}
+
+    def run():
+        stream = spark.readStream.format("page_dumps").option("maxBytes", 3000).option("splitBytes", 500).load(str(land)).writeStream.format("parquet")
+        stream.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(out).select("file", "at", "page_id").collect()
+        assert len({(r["file"], r["at"]) for r in rows}) == len(rows)
+        return rows
+
+    assert 0 < len(run()) < 122
+    with open(land / "a.jsonl", "a") as f:
+        f.write("\n".join(pages[120:150]) + "\n" + pages[150][:20])
+    for _ in range(8):
+        rows = run()
+    assert sorted(r["page_id"] for r in rows if r["page_id"] is not None) == list(range(150))
+    with open(land / "a.jsonl", "a") as f:
+        f.write(pages[150][20:] + "\n")
+    (land / "b.jsonl").write_text("\n".join(pages[151:]) + "\n")
+    for _ in range(4):
+        rows = run()
+    assert sorted(r["page_id"] for r in rows if r["page_id"] is not None) == list(range(200)) and len(rows) == 202
+
+
 def test_verification(spark):
     from loomwell.operators import answers
 
