@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
 from loomwell.functions.tables import written
 from loomwell.functions.text import contains_any
 
@@ -77,24 +81,64 @@ def neighbours(edges: DataFrame, names: list[str], each: int = 12, most: int = 2
     return neighbours_of(edges, F.broadcast(given), each, most).select("place", "other")
 
 
+#: Buckets of nodes, edge ids that share a block of a node, and frontier nodes up to which only their buckets are read.
+BUCKETS, BLOCK_IDS, PUSHED = 16, 4096, 1000
+_LINKS = "array<struct<edge_id:bigint,other:string,source:string,target:string,relation:string>>"
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Edges by node, written once and searched often: rows (bucket, node, block, links), a node's links in blocks by edge
+    id, files in buckets by the node's hash and sorted by node."""
+
+    edges: DataFrame
+    path: str
+
+    def of(self, frontier: DataFrame) -> DataFrame:
+        """(..., edge_id, other, source, target, relation) of the frontier's nodes (node, ...); a small frontier reads its buckets only."""
+        spark = self.edges.sparkSession
+        blocks = spark.read.schema(f"node string, block long, links {_LINKS}, bucket int").parquet(self.path)
+        nodes = [r[0] for r in frontier.select("node").distinct().limit(PUSHED + 1).collect()]
+        if len(nodes) <= PUSHED:
+            buckets = [r[0] for r in frontier.select(_bucket()).distinct().collect()]
+            blocks = blocks.where(F.col("bucket").isin(buckets) & F.col("node").isin(nodes))
+        return blocks.join(frontier, "node").select(*frontier.columns, F.explode("links").alias("x")).select(*frontier.columns, "x.*")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def adjacency(edges: DataFrame, path: str | None = None) -> Adjacency:
+    path = path or f"{tables.shared_folder(edges.sparkSession)}/loomwell-edges-{uuid.uuid4().hex}"
+    links = F.array_sort(F.collect_list(F.struct("edge_id", "other", "source", "target", "relation")))
+    rows = both_ways(edges).groupBy("node", F.floor(F.col("edge_id") / BLOCK_IDS).cast("long").alias("block")).agg(links.alias("links")).select("node", "block", "links", _bucket())
+    rows.repartition("bucket").sortWithinPartitions("bucket", "node", "block").write.partitionBy("bucket").parquet(path)
+    return Adjacency(edges, path)
+
+
+def _adjacency(edges: DataFrame | Adjacency) -> Adjacency:
+    return edges if isinstance(edges, Adjacency) else adjacency(edges)
+
+
 def subgraph(
-    edges: DataFrame, start: str, depth: int = 2, most: int = 40, per_node: int = 30, relation: str | None = None, nodes: DataFrame | None = None
+    edges: DataFrame | Adjacency, start: str, depth: int = 2, most: int = 40, per_node: int = 30, relation: str | None = None, nodes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, depth, pos), edges) reached from ``start`` without regard to direction.
 
     Level by level; nodes keep the order in which they are found; a node gives its first ``per_node`` edges by id and
     is opened only while fewer than ``most`` nodes are known. A level has at most ``most`` nodes, so the frontier is
-    small enough to send, and what comes back is ``most * per_node`` edges at most.
+    small enough to send, only its nodes' buckets are read, and what comes back is ``most * per_node`` edges at most.
     """
-    spark = edges.sparkSession
-    links = written(both_ways(edges if relation is None else edges.where(F.col("relation") == relation)))
-    known, frontier, kept = [(start, 0, 0)], [(start, 0)], []
+    links, (known, frontier, kept) = _adjacency(edges), ([(start, 0, 0)], [(start, 0)], [])
+    spark = links.edges.sparkSession
     for level in range(1, max(1, min(3, depth)) + 1):
         if not frontier:
             break
-        sent = F.broadcast(spark.createDataFrame(frontier, "node string, pos int"))
-        first = Window.partitionBy("node").orderBy("edge_id")
-        rows = links.join(sent, "node").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_node).orderBy("pos", "edge_id").collect()
+        rows = links.of(F.broadcast(spark.createDataFrame(frontier, "node string, pos int")))
+        rows = rows if relation is None else rows.where(F.col("relation") == relation)
+        first = F.row_number().over(Window.partitionBy("pos").orderBy("edge_id"))
+        rows = rows.withColumn("n", first).where(F.col("n") <= per_node).orderBy("pos", "edge_id").collect()
         seen, frontier, by_pos = {n for n, _, _ in known}, [], {}
         for r in rows:
             by_pos.setdefault(r["pos"], []).append(r)
@@ -114,27 +158,34 @@ def subgraph(
     )
 
 
-def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+def shortest_path(edges: DataFrame | Adjacency, start: str, end: str) -> DataFrame:
     """(step, edge_id, source, target, relation) of a shortest path without regard to direction; no rows if there is none.
 
-    Breadth-first by joins, as a queue would go: nodes of a level are in the order of the edge ids of their paths, and
-    a node's path is the first one in that order. Levels are written out, as a frontier may be as large as the graph; a
-    neighbour of a level lies in it, the one before or the next one, so these two are all that is kept in sight.
+    Of equally short paths it is the one whose edge ids are least, one after the other. Two searches, one from each end,
+    take turns, the smaller frontier first, until they meet; so each goes half of the way. A node keeps the least list of
+    edge ids between it and its end. Levels are written out, as a frontier may be as large as the graph; a neighbour of a
+    level lies in it, the one before or the next one, so these two are all that is kept in sight.
     """
-    spark = edges.sparkSession
+    links = _adjacency(edges)
+    spark = links.edges.sparkSession
     none = spark.createDataFrame([], "step int, edge_id long, source string, target string, relation string")
     if start == end:
         return none
-    links = written(both_ways(edges).select("node", "other", "edge_id"))
-    before, now = None, written(spark.createDataFrame([(start, [])], "id string, path array<bigint>"))
+    sides = [{"now": tables.written(spark.createDataFrame([(node, [])], "id string, path array<bigint>")), "before": None, "n": 1} for node in (start, end)]
     while True:
+        near = 0 if sides[0]["n"] <= sides[1]["n"] else 1
+        side, other = sides[near], sides[1 - near]
+        now, before = side["now"], side["before"]
         seen = now.select("id") if before is None else now.select("id").unionByName(before.select("id"))
-        step = links.join(now.select(F.col("id").alias("node"), "path"), "node").select(F.col("other").alias("id"), F.concat("path", F.array("edge_id")).alias("path"))
-        before, now = now, written(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        found = now.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") == end, F.col("path"))).alias("path")).first()
-        if not found["n"]:
+        edge = F.array("edge_id")
+        step = links.of(now.select(F.col("id").alias("node"), "path")).select(F.col("other").alias("id"), (F.concat("path", edge) if near == 0 else F.concat(edge, "path")).alias("path"))
+        side["before"], side["now"] = now, tables.written(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        side["n"] = side["now"].count()
+        if not side["n"]:
             return none
-        if found["path"] is not None:
+        first, last = (s["now"].select("id", F.col("path").alias(f"path{k}")) for k, s in enumerate(sides))
+        path = first.join(last, "id").agg(F.min(F.concat("path0", "path1")).alias("path")).first()["path"]
+        if path is not None:
             break
-    steps = spark.createDataFrame([(n, edge) for n, edge in enumerate(found["path"], 1)], "step int, edge_id long")  # one row a level
-    return edges.join(F.broadcast(steps), "edge_id").select("step", "edge_id", "source", "target", "relation")
+    steps = spark.createDataFrame([(n, edge) for n, edge in enumerate(path, 1)], "step int, edge_id long")  # one row a level
+    return links.edges.join(F.broadcast(steps), "edge_id").select("step", "edge_id", "source", "target", "relation")

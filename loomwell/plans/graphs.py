@@ -74,6 +74,18 @@ p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY edge
 f AS (SELECT other, min(pos * 100000000000 + edge_id) AS spot FROM p GROUP BY other)
 SELECT CAST(row_number() OVER (ORDER BY spot, other) AS INT) AS place, other FROM f ORDER BY spot, other LIMIT 24""",
 }
+# Two levels from region:1, 30 edges of a node, 40 nodes: a node of the first level is opened while fewer are known.
+ORACLE["graph_subgraph_bfs"] = f"""
+WITH {_EDGES}, links AS (SELECT source AS node, target AS other, edge_id, source, target FROM edges UNION ALL SELECT target, source, edge_id, source, target FROM edges WHERE source <> target),
+e1 AS (SELECT * FROM links WHERE node = 'region:1' ORDER BY edge_id LIMIT 30),
+n1 AS (SELECT * FROM (SELECT other AS id, row_number() OVER (ORDER BY min(edge_id)) AS pos FROM e1 WHERE other <> 'region:1' GROUP BY other) WHERE pos <= 39),
+e2 AS (SELECT * FROM (SELECT l.*, n1.pos, row_number() OVER (PARTITION BY l.node ORDER BY edge_id) AS n FROM links l JOIN n1 ON l.node = n1.id) WHERE n <= 30),
+f2 AS (SELECT other AS id, min(pos) AS pos, min(pos * 1000000000000 + edge_id) AS spot FROM e2 WHERE other <> 'region:1' AND other NOT IN (SELECT id FROM n1) GROUP BY other),
+n2 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY spot) AS place FROM f2) WHERE place <= 39 - (SELECT count(*) FROM n1)),
+open AS (SELECT id FROM n1 WHERE 1 + (SELECT count(*) FROM n1) + (SELECT count(*) FROM n2 WHERE n2.pos < n1.pos) < 40),
+kept AS (SELECT DISTINCT edge_id, source, target FROM (SELECT edge_id, source, target FROM e1 UNION ALL SELECT edge_id, source, target FROM e2 WHERE node IN (SELECT id FROM open)))
+SELECT 'node' AS what, id, CAST(depth AS INT) AS depth, NULL::BIGINT AS edge_id FROM (SELECT 'region:1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2)
+UNION ALL SELECT 'edge', source || '>' || target, NULL, edge_id FROM kept"""
 # Levels of a search from customer:1, each node with the least list of edge ids that leads to it.
 _LEVEL = """l{n} AS (SELECT other AS id, min(list_append(path, edge_id)) AS path FROM l{p} JOIN links ON node = id
   WHERE other NOT IN (SELECT id FROM l{p}) {old} GROUP BY other)"""

@@ -525,6 +525,41 @@ def test_page_dumps(spark, tmp_path):
     assert sorted(r["page_id"] for r in rows if r["page_id"] is not None) == list(range(200)) and len(rows) == 202
 
 
+def test_shortest_paths_of_a_model(spark, monkeypatch):
+    """Least edge ids among all shortest paths, on a graph with hubs, loops, double edges and parts that do not meet."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for e in range(160):
+        a, b = rng.randrange(60), rng.choice([rng.randrange(60), 0, 1])
+        rows.append((e * 7 % 1000, f"n{a}", f"n{b}", "r"))
+    rows += [(2000, "far", "away", "r"), (2001, "n3", "n3", "loop")]
+    rows = list({(r[1], r[2]): r for r in rows}.values())
+    links = {}
+    for e, a, b, _ in rows:
+        links.setdefault(a, []).append((e, b))
+        links.setdefault(b, []).append((e, a))
+
+    def model(start, end):
+        level, seen = {start: []}, {start}
+        while level and end not in level:
+            new = {}
+            for node, path in level.items():
+                for e, other in links.get(node, ()):
+                    if other not in seen:
+                        new[other] = min(new.get(other, [10**9]), [*path, e])
+            seen |= set(new)
+            level = new
+        return level.get(end, [])
+
+    monkeypatch.setattr(graph, "BLOCK_IDS", 100)
+    edges = spark.createDataFrame(rows, "edge_id long, source string, target string, relation string")
+    index = graph.adjacency(edges)
+    for n, (a, b) in enumerate([("n5", "n40"), ("n2", "n33"), ("n0", "n1"), ("n7", "away"), ("n12", "n55")]):
+        monkeypatch.setattr(graph, "PUSHED", 1000 if n % 2 else 0)
+        assert [r["edge_id"] for r in graph.shortest_path(index, a, b).orderBy("step").collect()] == model(a, b)
+
+
 def test_verification(spark):
     from loomwell.operators import answers
 
