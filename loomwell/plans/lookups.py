@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from loomwell.functions import tables
 from loomwell.functions import text as tx
-from loomwell.operators import answers, chats, graph, hybrid, routing, wiki
+from loomwell.operators import answers, chats, chunking, graph, hybrid, routing, wiki
 from loomwell.operators import knowledge as kn
-from loomwell.plans import knowledge
+from loomwell.plans import knowledge, texts
 from loomwell.sources import dumps, files
 from loomwell.streaming import ingest, keyed
 
@@ -65,6 +65,31 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("page_id", F.lit("").alias("error"), F.col("lead").alias("text")).unionByName(bad.select("page_id", "error", F.col("raw_text").alias("text")))
 
 
+def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as landed API answers of 50 pages each, some pages missing or without revisions or categories."""
+    c, k = _table(spark, sf_dir, "customer"), F.col("c_custkey")
+    slots = F.struct(F.struct(F.concat(F.lit("text of "), "c_name").alias("content")).alias("main"))
+    revision = F.struct((k * 10).alias("revid"), F.concat(F.lit("2024-01-"), (k % 28 + 1).cast("string")).alias("timestamp"), slots.alias("slots"))
+    page = F.struct(
+        F.when(k % 9 != 0, k).alias("pageid"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("title"), F.when(k % 9 == 0, True).alias("missing"), F.when(k % 4 != 0, F.array(revision)).alias("revisions"),
+        F.when(k % 5 != 0, F.array(F.struct(F.concat(F.lit("Category:"), "c_mktsegment").alias("title")), F.struct(F.lit("").alias("title")))).alias("categories"),
+    )
+    path = f"{tables.shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    c.groupBy((k / 50).cast("int").alias("answer")).agg(F.to_json(F.struct(F.struct(F.collect_list(page).alias("pages")).alias("query"))).alias("value")).select("value").write.text(path)
+    return files.api_pages(spark, path, "https://w.org/wiki/").select("page_id", "title", "canonical_url", "revision_id", "revision_timestamp", F.array_join("categories", "|").alias("categories"), "raw_wikitext")
+
+
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents written as JSON lines and read back by their schema."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(chunking.fold(F.coalesce("text", F.lit("")), 200)).alias("chunk_text"))
+    d = d.withColumn("content_hash", tx.content_hash(F.col("chunk_text"))).withColumn("chunk_id", tx.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id"), F.col("chunk_text")))
+    path = f"{tables.shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    rows = d.select("chunk_id", F.col("doc_id").alias("page_id"), F.col("source").alias("entity"), "chunk_text", "content_hash", F.array("lang").alias("categories"), F.col("lang").alias("language"))
+    files.write_lines(rows, path)
+    read = files.chunks(spark, path)
+    return read.groupBy("page_id", "entity", "language").agg(F.count(F.lit(1)).alias("n"), F.sum((tx.content_hash(F.col("chunk_text")) == F.col("content_hash")).cast("long")).alias("n_same"), F.sum(F.length("chunk_text")).alias("chars"))
+
+
 def dump_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed dumps of customers, some lines of which are no records, taken up by a stream into a keyed table in runs that
     stop and go on: what lands or is appended in between is read once."""
@@ -300,6 +325,13 @@ SELECT page_id, section, CAST(0 AS INT) AS idx, chunk_type, {_ID.format('title')
 WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS m, c_custkey % 5 AS r FROM customer)
 SELECT CASE WHEN k % 7 <> 0 THEN k END AS page_id, CASE WHEN k % 7 = 0 THEN 'not a record' ELSE '' END AS error,
   CASE WHEN k % 7 = 0 THEN '{"page_id":' || k || ',"title":"' || c_name || '"' WHEN r = 1 THEN 'a {{b' WHEN r = 2 THEN 'a <!-- b' WHEN r = 3 THEN '{{ fine' ELSE m END AS text FROM c""",
+        "api_pages": """
+SELECT c_custkey AS page_id, replace(c_name, '#', ' ') AS title, 'https://w.org/wiki/' || replace(replace(c_name, '#', ' '), ' ', '_') AS canonical_url, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey * 10 END AS revision_id,
+  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '2024-01-' || (c_custkey % 28 + 1) END AS revision_timestamp, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS categories,
+  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'text of ' || c_name END AS raw_wikitext FROM customer WHERE c_custkey % 9 <> 0""",
+        "chunk_lines": rf"""
+WITH {texts.FOLDED.format(most=200, overlap=30)}
+SELECT doc_id AS page_id, source AS entity, lang AS language, count(*) AS n, count(*) AS n_same, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM folded JOIN documents USING (doc_id) GROUP BY ALL""",
         "dump_stream": """
 SELECT CASE WHEN c_custkey % 7 = 0 THEN '{' || c_custkey ELSE c_custkey::VARCHAR END AS key, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS page_id, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS title,
   CASE WHEN c_custkey % 7 = 0 THEN '{' || c_custkey ELSE 'about ' || c_mktsegment END AS raw_text, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS category,
@@ -361,7 +393,7 @@ ORACLE = _oracle()
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_pages, chunk_pages, quarantine, dump_stream, jsonl_round_trip, replace_on_write, ascii_copy, entity_detail, entity_lookup, entity_page, facts_page, facts_get, timeline_page, graph_nodes, graph_node,
+        parse_pages, chunk_pages, quarantine, api_pages, chunk_lines, dump_stream, jsonl_round_trip, replace_on_write, ascii_copy, entity_detail, entity_lookup, entity_page, facts_page, facts_get, timeline_page, graph_nodes, graph_node,
         graph_overview, graph_subgraph_nodes, graph_sources, chat_conversations, chat_messages, settings_saved, embed_texts, rerank_scorer, status_rollup, checker_prompt,
     )
 }

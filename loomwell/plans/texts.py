@@ -136,6 +136,19 @@ def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SENT = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 _PLAIN = "replace(replace(replace({}, ' > ', '__'), ' ', '_'), '/', '_')"
+#: Chunks of documents' texts, ``folded`` (doc_id, idx, chunk): one step of the recursion is one chunk of each document. A
+#: chunk begins with the last sentences of the one before that fit the overlap; sums of estimates tell where it ends.
+FOLDED = r"""RECURSIVE sent AS (SELECT doc_id, """ + _SENT + r""" AS s FROM documents),
+sized AS (SELECT doc_id, s, list_transform(s, lambda x: greatest(1, CAST(floor(len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) * 1.3) AS INT))) AS n FROM sent WHERE len(s) > 0),
+-- ends[i]: the tokens of the first i sentences.
+sums AS (SELECT doc_id, s, list_prepend(0, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i]))) AS ends FROM sized),
+cut AS (
+  SELECT doc_id, 0 AS idx, 1::BIGINT AS low, coalesce(list_min(list_filter(range(2, len(s) + 1), lambda j: ends[j + 1] > {most})), len(s) + 1) AS high FROM sums
+  UNION ALL
+  SELECT doc_id, idx + 1, low2, coalesce(list_min(list_filter(range(high + 1, len(s) + 1), lambda j: ends[j + 1] - ends[low2] > {most})), len(s) + 1)
+  FROM (SELECT c.doc_id, c.idx, c.high, x.s, x.ends, coalesce(list_min(list_filter(range(c.low, c.high), lambda j: x.ends[c.high] - x.ends[j] <= {overlap})), c.high) AS low2
+        FROM cut c JOIN sums x USING (doc_id) WHERE c.high <= len(x.s))),
+folded AS (SELECT doc_id, idx, array_to_string(s[low:high - 1], ' ') AS chunk FROM cut JOIN sums USING (doc_id))"""
 _FURNITURE = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
 for _tag in ("script", "style", "nav", "footer", "header", "aside"):
     _FURNITURE = rf"regexp_replace({_FURNITURE}, '(?is)<{_tag}[\s>].*?</{_tag}\s*>', '', 'g')"
@@ -144,6 +157,10 @@ ORACLE = {
     "sentence_split": f"SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, sha256(array_to_string(s, chr(10) || chr(10))) AS sentences_sha256 FROM (SELECT doc_id, {_SENT} AS s FROM documents)",
     "token_estimate": r"SELECT doc_id, greatest(1, CAST(trunc(len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) AS INT)) AS tokens FROM documents",
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
+    "chunk_documents": rf"""
+WITH {FOLDED.format(most=200, overlap=30)}
+SELECT doc_id, CAST(idx AS INT) AS idx, {_PLAIN.format('source')} || '__' || {_PLAIN.format(repr('Lore > Part 1/2'))} || '__c' || idx || '__' || left(sha256(chunk), 10) AS chunk_id, sha256(chunk) AS content_hash,
+  greatest(1, CAST(trunc(len(list_filter(string_split_regex(chunk, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) AS INT)) AS tokens FROM folded JOIN documents USING (doc_id)""",
     "chunk_id": f"SELECT doc_id, {_PLAIN.format('source')} || '__' || {_PLAIN.format(repr('Lore > Part 1/2'))} || '__c' || (doc_id % 5) || '__' || left(sha256(coalesce(text, '')), 10) AS chunk_id FROM documents",
     "contextual_header": """
 SELECT doc_id, 'Entity: ' || source || ' | Aliases: ' || coalesce(nullif(array_to_string([source || '-' || i for i in range(least(5, doc_id % 8))], ', '), ''), 'None') || ' | Section: Introduction'

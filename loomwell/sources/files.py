@@ -10,6 +10,10 @@ from loomwell.functions import tables
 PAGE = "page_id long, title string, canonical_url string, revision_id long, revision_timestamp string, categories array<string>, raw_wikitext string, fetched_at double"
 CHUNK = "chunk_id string, page_id long, entity string, section_path string, chunk_type string, chunk_text string, raw_text string, content_hash string, canonical_url string, categories array<string>, aliases array<string>, language string, fetched_at double"
 GOLDEN = "id string, question string, archetype string, language string, expected_entities array<string>, expected_answer_keywords array<string>, notes string"
+API_ANSWER = (
+    "query struct<pages:array<struct<pageid:bigint,title:string,missing:boolean,categories:array<struct<title:string>>,"
+    "revisions:array<struct<revid:bigint,timestamp:string,slots:struct<main:struct<content:string>>>>>>>"
+)
 #: File endings that local documents have, and those of links that are not pages.
 TEXT_FILES = ("md", "txt", "markdown", "json")
 NOT_PAGES = r"(?i)\.(png|jpe?g|pdf|zip|exe)$"
@@ -64,7 +68,14 @@ def links(pages_table: DataFrame, url: str = "url", html: str = "html") -> DataF
     return rows.where(valid_url(F.col("link"))).select("page_id", "link").distinct()
 
 
-def wiki_page(titles_and_text: DataFrame, base: str) -> DataFrame:
-    """(title, categories, ...) with prefixes of categories taken off and a canonical url."""
-    name = F.transform("categories", lambda c: F.regexp_replace(c, "^Category:", ""))
-    return titles_and_text.withColumn("categories", name).withColumn("canonical_url", F.concat(F.lit(base), F.replace("title", F.lit(" "), F.lit("_"))))
+def api_pages(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """Pages of landed API answers (one a line, each with many pages): those that are missing are left out, of revisions the
+    first counts, categories lose their prefix, and the address is made of ``base`` and the title."""
+    answers = spark.read.schema(API_ANSWER).json(path).select(F.explode("query.pages").alias("p"), F.col("_metadata.file_modification_time").alias("landed"))
+    rows = answers.where(~F.coalesce("p.missing", F.lit(False))).select("p.*", "landed").withColumn("r", F.get("revisions", F.lit(0)))
+    named = F.filter(F.transform("categories", lambda c: F.replace(c["title"], F.lit("Category:"), F.lit(""))), lambda c: c != "")
+    address = F.concat(F.lit(base.rstrip("/") + "/"), F.replace("title", F.lit(" "), F.lit("_"))) if base else F.lit("")
+    return rows.select(
+        F.col("pageid").alias("page_id"), "title", address.alias("canonical_url"), F.coalesce("r.revid", F.lit(0)).alias("revision_id"), F.coalesce("r.timestamp", F.lit("")).alias("revision_timestamp"),
+        F.coalesce(named, F.array().cast("array<string>")).alias("categories"), F.coalesce("r.slots.main.content", F.lit("")).alias("raw_wikitext"), F.unix_timestamp("landed").cast("double").alias("fetched_at"),
+    )

@@ -560,6 +560,14 @@ def test_shortest_paths_of_a_model(spark, monkeypatch):
         assert [r["edge_id"] for r in graph.shortest_path(index, a, b).orderBy("step").collect()] == model(a, b)
 
 
+def test_api_pages(spark, tmp_path):
+    answer = '{"query": {"pages": [{"pageid": 1, "title": "A b", "revisions": [{"revid": 7, "timestamp": "t", "slots": {"main": {"content": "x"}}}, {"revid": 6}], "categories": [{"title": "Category:C"}, {"title": ""}]}, '
+    answer += '{"title": "gone", "missing": true}, {"pageid": 2, "title": "B"}]}}'
+    (tmp_path / "a.json").write_text(answer + "\n{}\n")
+    rows = files.api_pages(spark, str(tmp_path), "http://w/").drop("fetched_at").collect()
+    assert sorted(map(tuple, rows)) == [(1, "A b", "http://w/A_b", 7, "t", ["C"], "x"), (2, "B", "http://w/B", 0, "", [], "")]
+
+
 def test_verification(spark):
     from loomwell.operators import answers
 
