@@ -67,9 +67,12 @@ def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verification_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    told = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('```json\n{"verdict": "ok", "summary": "s'), F.col("turn").cast("string"), F.lit('"}\n```'))).when(F.col("turn") % 3 == 1, "plain words").otherwise("")
-    return c.select("conv_id", "turn", answers.verification(told).alias("v")).select("conv_id", "turn", "v.verdict", "v.summary")
+    """Messages as checkers' answers: in fenced JSON, as plain words, and fenced without JSON."""
+    c, text = _table(spark, sf_dir, "conversations"), F.coalesce("text", F.lit(""))
+    fenced = lambda x, kind="": F.concat(F.lit(f"```{kind}\n"), x, F.lit("\n```"))
+    verdict = F.when(F.col("turn") % 2 == 0, "ok").otherwise("wrong")
+    told = F.when(F.col("turn") % 3 == 0, fenced(F.to_json(F.struct(verdict.alias("verdict"), text.alias("summary"))), "json")).when(F.col("turn") % 3 == 1, text).otherwise(fenced(text))
+    return c.select("conv_id", "turn", answers.verification(told).alias("v")).select("conv_id", "turn", "v.verdict", F.sha2("v.summary", 256).alias("summary_sha256"))
 
 
 def settings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +109,9 @@ x AS (SELECT e AS source, 'kind ' || (k % 5) AS target, 'species_of' AS relation
   UNION ALL SELECT e, 'N' || nk || '0', 'affiliated_with', 0.95 FROM p UNION ALL SELECT e, 'S' || ((k + 7) % 50), 'associated_with', 0.7 FROM p WHERE k % 3 = 0)
 SELECT DISTINCT source, target, relation, confidence::DOUBLE AS confidence FROM x""",
     "rag_prompt": f"SELECT sha256(string_agg('[' || citation || '] ' || source || chr(10) || snippet, chr(10) || chr(10) ORDER BY citation)) AS prompt_sha256, count(*) AS n, coalesce(max(score) >= 0.35, false) AS confident FROM ({_HYBRID}) WHERE question = 0",
-    "verification_parse": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'ok' ELSE 'unverified' END AS verdict, CASE turn % 3 WHEN 0 THEN 's' || turn WHEN 1 THEN 'plain words' ELSE '' END AS summary FROM conversations WHERE role = 'assistant'",
+    "verification_parse": r"""
+SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 'unverified' WHEN turn % 2 = 0 THEN 'ok' ELSE 'wrong' END AS verdict,
+  sha256(CASE WHEN turn % 3 = 0 THEN t ELSE left(regexp_replace(t, '^\s+|\s+$', '', 'g'), 1000) END) AS summary_sha256 FROM (SELECT *, coalesce(text, '') AS t FROM conversations)""",
     "settings_lookup": """
 SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY scope = 'global', value) AS n FROM (
   SELECT 'key' || (n_nationkey % 6) AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'global' ELSE 'project' END AS scope, 'p' || (n_regionkey % 2) AS project, n_name AS value FROM nation) WHERE scope = 'global' OR project = 'p1') WHERE n = 1""",
