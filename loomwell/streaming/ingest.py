@@ -10,7 +10,7 @@ from loomwell.streaming import keyed
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "seq") -> DataFrame:
     """The rows of ``batch`` whose content hash is new; the first of equals. A null hash is a value like any other."""
-    first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+    first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*batch.columns), F.struct(order)).alias("_r")).select("_r.*")
     if existing is None:
         return first
     there = existing.select(F.col("content_hash").alias("_h"))

@@ -116,7 +116,8 @@ def insert(table: KeyedTable, batch: DataFrame, order: str, tag: int | None = No
     """The table with the rows of ``batch`` whose key it does not have; of equal new keys the first by ``order``."""
     if tag is not None and table.tag is not None and tag <= table.tag:
         return table
-    first = batch.groupBy(table.key).agg(F.min_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+    # A struct orders rows whose order is null, too.
+    first = batch.groupBy(table.key).agg(F.min_by(F.struct(*batch.columns), F.struct(order)).alias("_r")).select("_r.*")
     told = tables.written(_may_be_there(table, first))
     touched = {r[0] for r in told.where("_may").select("_bucket").distinct().collect()}  # at most as many as buckets
     there = table.rows(touched).select(F.col(table.key).alias("_key"))
@@ -135,7 +136,7 @@ def upsert(table: KeyedTable, batch: DataFrame, order: str, tag: int | None = No
     """The table with the rows of ``batch`` in place of those with their keys; of equal keys the last by ``order``."""
     if tag is not None and table.tag is not None and tag <= table.tag:
         return table
-    last = tables.written(batch.groupBy(table.key).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*"))
+    last = tables.written(batch.groupBy(table.key).agg(F.max_by(F.struct(*batch.columns), F.struct(order)).alias("_r")).select("_r.*"))
     touched = {r[0] for r in last.select(table.bucket()).distinct().collect()}
     given = last.select(F.col(table.key).alias("_key"))
     kept = table.rows(touched).select(batch.columns)

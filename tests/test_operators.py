@@ -414,6 +414,8 @@ def test_keyed_table(spark, tmp_path, monkeypatch):
             want.setdefault(k, (seq, v))
         assert as_dict(table) == want and table.rows().count() == len(want)
     assert keyed.insert(table, df([("fresh", 1, "x")]), "seq", 3) is table
+    table, want = keyed.insert(table, df([("no order", None, "x")]), "seq", 4), want | {"no order": (None, "x")}
+    assert as_dict(table) == want
     rows = [("k5", 1, "old"), ("k5", 9, "new"), ("brand new", 3, "x"), (None, 5, "n")]
     read = []
     with monkeypatch.context() as m:
