@@ -418,16 +418,50 @@ def test_joined_verdicts_are_the_sent_ones(spark, monkeypatch):
     assert texts() == sent
 
 
+def fit(toxic, ordinary):
+    """The model of labelled texts, fold by fold."""
+    texts = [*toxic, *ordinary]
+    told = [i < len(toxic) for i in range(len(texts))]
+    return toxicity.chosen([r for fold in range(toxicity.FOLDS + 1) for r in toxicity.fitted(list(range(len(texts))), texts, told, fold).to_dict("records")])
+
+
 def test_toxicity_without_labels():
-    model = toxicity.fit([], ["a"])
-    assert model.score("x") == 0.0 and toxicity.fit(["bad words"] * 3, ["good words"] * 3).score(None) < 1
+    model = fit([], ["a"])
+    assert model.score("x") == 0.0 and fit(["bad words"] * 9, ["good words"] * 9).score(None) < 1
+
+
+def test_step_removes_its_tables_only(spark, tmp_path):
+    """Also when it fails; tables of a step in another thread and those made outside of steps stay."""
+    import threading
+
+    from loomwell.functions import tables
+    from loomwell.llm import common
+
+    made, inside = [], threading.Event()
+    path = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    outside = path(common.checkpointed(spark.range(3).repartition(1)))
+
+    def other():
+        with common.step(spark):
+            made.append(path(common.checkpointed(spark.range(4).repartition(1))))
+            inside.wait(60)
+            made.append(tables.exists(spark, made[0]))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with pytest.raises(ZeroDivisionError), common.step(spark):
+        mine = path(common.checkpointed(spark.range(5).repartition(1)))
+        raise ZeroDivisionError
+    inside.set()
+    thread.join()
+    assert made[1] and not tables.exists(spark, mine) and not tables.exists(spark, made[0]) and tables.exists(spark, outside)
 
 
 def test_toxicity_learns_from_whole_texts():
     """A text of 50000 characters that only swears at its end teaches the word."""
     plain = [" ".join(f"w{(7 * i + j) % 991}" for j in range(400)) for i in range(40)]
     long = " ".join(f"w{j % 991}" for j in range(9000))
-    model = toxicity.fit([f"{long} blastedly {p} blastedly" for p in plain[:12]], [*plain[12:], long])
+    model = fit([f"{long} blastedly {p} blastedly" for p in plain[:12]], [*plain[12:], long])
     assert len(long) > 40_000 and model.difference(b"blastedly") >= 4
     assert model.score(f"{plain[30]} blastedly") > 2 * model.score(plain[30])
 
