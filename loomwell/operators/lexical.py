@@ -88,7 +88,8 @@ def _stats(spark: SparkSession, path: str, segment: str) -> DataFrame:
 
 def _segment(docs: DataFrame, path: str, id_column: str, text: str) -> str:
     segment = uuid.uuid4().hex
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), tx.tokens(F.col(text)).alias("t")).where("t is not null")
+    # Rows are filtered by their text, so that tokens are not made a second time for it.
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(id_column).cast("long").alias("doc"), tx.tokens(F.col(text)).alias("t"))
     each = rows.select("doc", F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit(ANY)), "t")).alias("term"))
     counted = each.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     _grouped(counted, docs.count()).write.partitionBy("bucket").parquet(f"{path}/segments/{segment}")
