@@ -78,14 +78,15 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup of the kinds that occur, templates up to twelve deep, around every page's title; its words as a list field."""
+    """Markup of the kinds that occur, templates up to twelve deep, around every page's title, which is
+    no markup and whose ampersands are decoded; its words as a list field."""
     pages = tables.read(spark, f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("t"))
     title, deep = F.regexp_replace("t", r"[\[\]{}|<>•*\-\s,()]+", " "), (F.col("page_id") % 12 + 1).cast("int")
     inside = F.concat(F.lit("<br/>{{S|1|{{W|in}}}}  "), F.repeat(F.lit("{{a|"), deep), F.lit("x"), F.repeat(F.lit("}}"), deep), F.lit("{{s|no}}{{gone}}"))
-    raw = F.concat(F.lit("<!-- x -->{{Nihongo|"), title, F.lit("|kanji|romaji}} [[Target|label]]<ref name='a'>no</ref>"), inside)
+    raw = F.concat(F.lit("<!-- x -->{{Nihongo|"), wikitext.literal(F.replace(title, F.lit("&amp;"), F.lit("&"))), F.lit("|kanji|romaji}} [[Target|label]]<ref name='a'>no</ref>"), inside)
     words = F.split(title, " ")
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    listed = F.concat(F.lit("• a"), word(0), F.lit(", b"), word(1), F.lit("\n* c (d, "), word(2), F.lit(")\n\n- f"))
+    listed = F.concat(F.lit("• a"), F.get(words, F.lit(0)), F.lit(", b"), word(1), F.lit("\n* c (d, "), word(2), F.lit(")\n\n- f"))
     return pages.select("page_id", wikitext.value(raw).alias("plain"), F.array_join(tx.multivalue(listed), "|").alias("parts"))
 
 
