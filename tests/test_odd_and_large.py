@@ -1,6 +1,7 @@
 """Queries on odd tables, and their steps on what large tables bring."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomwell.plans import catalog
 from tests.conftest import same_rows
@@ -20,3 +21,73 @@ def test_wikitext_clean_shows_titles_as_they_are(spark, tmp_path):
     pages = [(i, f"<html><title>{t}</title>" if t is not None else None) for i, t in enumerate(titles)]
     con = with_tables(spark, tmp_path, pages=(pages, "page_id long, html string"))
     assert same_rows(catalog.queries()["wikitext_clean"](spark, str(tmp_path)), con, catalog.oracle_sql()["wikitext_clean"]) == len(titles)
+
+
+def test_index_blocks_are_made_in_their_task(spark, monkeypatch):
+    """Postings are packed before they are shuffled: a task's documents give a row for each term and block."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from loomwell.operators import lexical
+
+    texts = {i * 7 % 101: ["the"] * (i % 9) + [f"w{i % 13}", "x"] * (i % 4) for i in range(101)}
+    batches = pa.table({"doc": list(texts), "t": pa.array(list(texts.values()), pa.list_(pa.string()))}).to_batches(max_chunksize=40)
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(lexical, "STEP_DOCS", 16)
+    for most in (100, 1 << 22):
+        monkeypatch.setattr(lexical, "MOST_TOKENS", most)
+        rows = [r for b in lexical._packed(iter(batches)) for r in b.to_pylist()]
+        got = {(r["term"], d): (tf, n) for r in rows for d, tf, n in zip(r["docs"], r["tfs"], r["lengths"])}
+        assert got == {(t, d): (c, len(ts)) for d, ts in texts.items() for t, c in (Counter(ts) | {lexical.ANY: 1}).items()}
+        assert len({(r["term"], r["block"]) for r in rows}) == len(rows) < len(got)
+        for r in rows:
+            assert r["docs"] == sorted(r["docs"]) and (r["df"], r["most"], r["least"]) == (len(r["docs"]), max(r["tfs"]), min(r["lengths"])) and r["df"] <= 5
+            assert max(r["lengths"]) <= 1.2 * (r["least"] + 1)
+        in_block = {}
+        for r in rows:
+            in_block.setdefault(r["block"], set()).update(r["docs"])
+        assert sum(map(len, in_block.values())) == len(texts)
+
+
+def test_terms_of_many_questions_in_one_pass(spark, monkeypatch):
+    from loomwell.operators import retrieval
+
+    rows = [(i, "ab"[i % 2], " ".join(f"W{i * j % 17}" for j in range(i % 11)) if i % 10 else None) for i in range(300)]
+    asked = [(q, f"w{q % 17} W1 w1  a {'xyz' * (q % 3)}" if q % 50 else None) for q in range(700)]
+    docs, queries = spark.createDataFrame(rows, "id long, kind string, text string").repartition(3), spark.createDataFrame(asked, "q_id long, q string")
+    want = {}
+    for q, text in asked:
+        words = [w for w in (text or "").lower().split() if len(w) >= 2]
+        scores = [(-sum(w in " ".join(x for x in (kind, body) if x is not None).lower() for w in words), i) for i, kind, body in rows]
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:7], 1)}
+    for most in (1_000_000, 3000):
+        monkeypatch.setattr(retrieval, "MOST_CHARS", most, raising=False)
+        found = retrieval.term_scores(docs, queries, ["kind", "text"], 7, "id")
+        assert {(r["q_id"], r["rank"]): (r["doc"], r["score"]) for r in found.collect()} == want
+        if most == 1_000_000:
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition 3") == 1
+
+
+def test_nearest_rows_meet_in_groups(spark, monkeypatch):
+    """Zones and slices, large groups of copies, and queries without a vector or with one of another length."""
+    import numpy as np
+
+    from loomwell.operators import metric
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((700, 8)), np.tile(rng.standard_normal((3, 8)), (200, 1))]).astype(np.float32)
+    for name, value in (("CELL_ROWS", 60), ("PART_ROWS", 150), ("SLICE", 30), ("SIDE_BY_SIDE", 7), ("PAIRS", 50)):
+        monkeypatch.setattr(metric, name, value, raising=False)
+    index = metric.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    asked = [(i, x[i * 11].tolist()) for i in range(110)] + [(500, None), (501, [1.0])]
+    got = {(r["q_id"], r["rank"]): (r["id"], r["distance"]) for r in metric.search(index, spark.createDataFrame(asked, "q_id long, q array<float>"), 9).collect()}
+    want = {}
+    for q, v in asked[:110]:
+        d = np.cumsum((x.astype(float) - np.array(v, dtype=np.float32).astype(float)) ** 2, axis=1)[:, -1]
+        want |= {(q, n + 1): (int(i), float(d[i])) for n, i in enumerate(np.lexsort((np.arange(len(x)), d))[:9])}
+    assert got == want
+    # Some cells share a zone; no zone has many more rows than a part.
+    zone = F.get(F.array(*map(F.lit, index.zones)), F.col("cell")) + F.col("part")
+    sizes = index.rows.groupBy(zone).count().collect()
+    assert len(sizes) < len(set((r["cell"], r["part"]) for r in index.rows.select("cell", "part").collect())) and max(r["count"] for r in sizes) < 3 * 150
