@@ -1,6 +1,7 @@
 """Queries on odd tables, and their steps on what large tables bring."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from loomwell.plans import catalog
@@ -91,3 +92,36 @@ def test_nearest_rows_meet_in_groups(spark, monkeypatch):
     zone = F.get(F.array(*map(F.lit, index.zones)), F.col("cell")) + F.col("part")
     sizes = index.rows.groupBy(zone).count().collect()
     assert len(sizes) < len(set((r["cell"], r["part"]) for r in index.rows.select("cell", "part").collect())) and max(r["count"] for r in sizes) < 3 * 150
+
+
+@pytest.mark.parametrize("pushed, sent", [(1000, 1000), (2, 1000), (2, 2)])
+def test_one_search_moves_the_edges_it_meets(spark, monkeypatch, pushed, sent):
+    """Searches without an index give what those with one give, by pushed names, by a semi-join and by an index made late."""
+    import random
+
+    from loomwell.operators import graph
+
+    rng = random.Random(8)
+    rows = [(e * 11 % 500, f"n{rng.randrange(40)}", f"n{rng.choice([rng.randrange(40), 0])}", "rs"[e % 2], 1.0) for e in range(150)] + [(900, "n3", "n3", "r", 1.0), (901, "far", "away", "r", 1.0)]
+    edges = graph.upserted(spark.createDataFrame(rows, "seq long, source string, target string, relation string, confidence double"))
+    index, made = graph.adjacency(edges), []
+    monkeypatch.setattr(graph, "PUSHED", pushed)
+    monkeypatch.setattr(graph, "SENT", sent, raising=False)
+    build = graph.adjacency
+    monkeypatch.setattr(graph, "adjacency", lambda e: made.append(1) or build(e))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    for a, b in (("n5", "n30"), ("n2", "away")):
+        assert rows_of(graph.shortest_path(edges, a, b)) == rows_of(graph.shortest_path(index, a, b))
+    for mine, other in zip(graph.subgraph(edges, "n7", 3, 25, 4, "r"), graph.subgraph(index, "n7", 3, 25, 4, "r")):
+        assert rows_of(mine) == rows_of(other)
+    assert bool(made) == (sent == 2)
+
+
+def test_both_ways_reads_edges_once(spark):
+    from loomwell.operators import graph
+
+    rows = [(1, "a", "b", "r", 1.0), (2, "a", "a", "r", 1.0), (3, "c", None, "r", 1.0)]
+    edges = graph.upserted(spark.createDataFrame(rows, "seq long, source string, target string, relation string, confidence double"))
+    both = graph.both_ways(edges)
+    assert {tuple(r) for r in both.collect()} == {("a", "b", 1, "a", "b", "r"), ("b", "a", 1, "a", "b", "r"), ("a", "a", 2, "a", "a", "r"), ("c", None, 3, "c", None, "r")}
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
