@@ -125,3 +125,26 @@ def test_both_ways_reads_edges_once(spark):
     both = graph.both_ways(edges)
     assert {tuple(r) for r in both.collect()} == {("a", "b", 1, "a", "b", "r"), ("b", "a", 1, "a", "b", "r"), ("a", "a", 2, "a", "a", "r"), ("c", None, 3, "c", None, "r")}
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_parser_holds_few_pages(spark, monkeypatch):
+    """Pages become Arrow rows some at a time, and queries give the parser batches of few bytes."""
+    import pyarrow as pa
+
+    from loomwell.functions import tables, wikitext
+
+    sources = [f"lead [[a{i}]]\n== Part ==\n  text {i}" if i % 9 else None for i in range(300)]
+    sizes, rows = [], pa.array
+
+    class Watched:
+        array = staticmethod(lambda x, kind=None: sizes.append(len(x)) or rows(x, kind))
+        concat_arrays = staticmethod(pa.concat_arrays)
+
+    raw = pa.array(sources)
+    monkeypatch.setattr(wikitext, "pa", Watched)
+    assert wikitext.parsed.func(raw).to_pylist() == [wikitext.parsed_page(s or "") for s in sources]
+    assert max(sizes) == 64
+    usual = spark.conf.get(tables.BATCH, None)
+    with tables.small_batches(spark):
+        assert spark.conf.get(tables.BATCH) == str(8 << 20)
+    assert spark.conf.get(tables.BATCH, None) == usual
