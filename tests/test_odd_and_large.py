@@ -148,3 +148,70 @@ def test_parser_holds_few_pages(spark, monkeypatch):
     with tables.small_batches(spark):
         assert spark.conf.get(tables.BATCH) == str(8 << 20)
     assert spark.conf.get(tables.BATCH, None) == usual
+
+
+def test_texts_searched_once_need_no_index(spark, monkeypatch):
+    """One search gives what an index gives: copies, ties, rows without text or terms, filters; many terms make an index."""
+    from loomwell.operators import lexical
+
+    rows = [(i * 7 % 600, "the " * (i % 5) + " ".join(f"W{i * j % 23}" for j in range(i % 12)) if i % 10 else ("" if i % 20 else None)) for i in range(600)]
+    docs = spark.createDataFrame([*rows, *((1000 + i, "the copy, The copy") for i in range(300))], "id long, text string").repartition(5)
+    asked = spark.createDataFrame([(q, q % 2, t) for q, t in enumerate(["the w3", "w1 W1 w2, w5 w7", "copy the", "gone", "", None, "THE"])], "a int, b int, q string")
+    asked, only = asked.select(F.struct("a", "b").alias("q_id"), "q"), docs.where("id % 3 = 1").select(F.col("id").alias("doc"))
+    index, made = lexical.build(docs, "id"), []
+    build = lexical.build
+    monkeypatch.setattr(lexical, "build", lambda *a: made.append(1) or build(*a))
+    monkeypatch.setattr(lexical, "STEP_DOCS", 16)
+    found = lambda source, allowed: {(r["q_id"].a, r["q_id"].b, r["rank"]): (r["doc"], round(r["score"], 9)) for r in lexical.search(source, asked, 9, allowed).collect()}
+    want = [found(index, allowed) for allowed in (None, only)]
+    assert len(want[0]) == 4 * 9
+    for most in (10_000, 3):
+        monkeypatch.setattr(lexical, "SEARCHED_TERMS", most)
+        source = lexical.Unindexed(docs, "id")
+        assert [found(source, allowed) for allowed in (None, only)] == want and len(made) == (most == 3)
+    monkeypatch.setattr(lexical, "SEARCHED_TERMS", 10_000)
+    assert lexical.search(lexical.Unindexed(docs.limit(0), "id"), asked, 9).count() == lexical.search(lexical.Unindexed(docs, "id"), asked.limit(0), 9).count() == 0
+
+
+def test_vectors_searched_once_need_no_index(spark, monkeypatch):
+    """Queries meet the rows of their length: copies, filters, ids of any kind; many queries make an index."""
+    import numpy as np
+
+    from loomwell.operators import metric
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((400, 6)), np.tile(rng.standard_normal((2, 6)), (150, 1))]).astype(np.float32)
+    rows = [(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame([*rows, ("w", None), ("x", [1.0]), ("y", [float("nan")] * 6), ("z", [None, *[0.0] * 5])], "vec_id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, x[i * 17].tolist()) for i in range(40)] + [(500, None), (501, [3.0])], "q_id long, q array<float>")
+    for name, value in (("SIDE_BY_SIDE", 7), ("PAIRS", 50)):
+        monkeypatch.setattr(metric, name, value)
+    found = lambda source, allowed=None: {(r["q_id"], r["rank"]): (r["id"], r["distance"]) for r in metric.search(source, asked, 9, allowed).collect()}
+
+    def brute(ids):
+        out = {}
+        for q in range(40):
+            d = np.cumsum((x[ids].astype(float) - x[q * 17].astype(float)) ** 2, axis=1)[:, -1]
+            out |= {(q, n): (rows[ids[i]][0], float(d[i])) for n, i in enumerate(np.lexsort((ids, d))[:9], 1)}
+        return out
+
+    every = np.arange(len(x))
+    assert found(metric.Unindexed(vectors)) == brute(every) | {(501, 1): ("x", 4.0)}
+    assert found(metric.Unindexed(vectors), vectors.where("vec_id like '%3'").select(F.col("vec_id").alias("doc"))) == brute(every[3::10])
+    monkeypatch.setattr(metric, "SLICE", 30)
+    source = metric.Unindexed(vectors.where("vec_id like 'v%'"))
+    assert found(source) == brute(every) and source.index is not None
+
+
+@pytest.mark.parametrize("name", ["hybrid_retrieve", "rag_prompt"])
+def test_three_questions_build_no_index(spark, duck, monkeypatch, name):
+    from loomwell.operators import lexical, metric
+
+    def built(*_):
+        raise AssertionError("an index of all texts or vectors for one search")
+
+    for module in (lexical, metric):
+        monkeypatch.setattr(module, "build", built)
+    from tests.conftest import SF
+
+    assert same_rows(catalog.queries()[name](spark, SF), duck, catalog.oracle_sql()[name])
