@@ -215,3 +215,14 @@ def test_three_questions_build_no_index(spark, duck, monkeypatch, name):
     from tests.conftest import SF
 
     assert same_rows(catalog.queries()[name](spark, SF), duck, catalog.oracle_sql()[name])
+
+
+def test_prompt_asks_its_own_question_only(spark, duck, monkeypatch):
+    from loomwell.operators import hybrid
+    from loomwell.plans import retrieval
+    from tests.conftest import SF
+
+    asked, retrieve = [], hybrid.retrieve
+    monkeypatch.setattr(hybrid, "retrieve", lambda corpus, questions, *a: asked.append([tuple(r) for r in questions.collect()]) or retrieve(corpus, questions, *a))
+    assert same_rows(catalog.queries()["rag_prompt"](spark, SF), duck, catalog.oracle_sql()["rag_prompt"]) == 1
+    assert asked == [[(0, retrieval.ASKED[0])]]
